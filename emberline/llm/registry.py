@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import exact_dedup, simhash, url_filter
+from emberline.llm import bpe, exact_dedup, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
