@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, exact_dedup, media, packing, simhash, url_filter
+from emberline.llm import bpe, chat, exact_dedup, html_extract, media, packing, simhash, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_simhash": simhash.op2_simhash,
         "op3_packing": packing.op3_packing,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_media": media.op6_media,
         "op9_bpe": bpe.op9_bpe,
+        "op10_html": html_extract.op10_html,
     }
 
 
