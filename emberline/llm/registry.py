@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, chat, exact_dedup, html_extract, media, packing, simhash, url_filter
+from emberline.llm import bpe, chat, exact_dedup, html_extract, media, packing, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_media": media.op6_media,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_bpe": bpe.op9_bpe,
         "op10_html": html_extract.op10_html,
     }
