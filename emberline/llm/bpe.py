@@ -220,6 +220,20 @@ class Encoder:
             flags[a + np.cumsum([0, *[len(w.encode()) for w in words[:-1]]])] = True
         return flags
 
+    def _encode_chunks(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks laid end to end, and how many each has."""
+        chunk_at = np.cumsum(lengths) - lengths
+        words = np.flatnonzero(self._word_starts(data, chunk_at, lengths))
+        ids, per_word = merge_all(self.vocab, self.vocab.of_byte[data], np.diff(np.r_[words, len(data)]))
+        return ids.astype("<u4"), np.add.reduceat(per_word, np.searchsorted(words, chunk_at))
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, each as after a space in a text, and how many each has."""
+        if not words:
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        return self._encode_chunks(np.frombuffer(b" " + b" ".join(words), dtype=np.uint8), lengths)
+
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units laid end to end (uint32), and how many each has. Units are not empty."""
         packed = [u.encode("utf-8", "replace") for u in units]
@@ -239,14 +253,9 @@ class Encoder:
             which = np.array([seen.setdefault(c, len(seen)) for c in chunks])
             chosen = np.unique(which, return_index=True)[1]
         kept = lengths[chosen]
-        distinct = data[_ragged(starts[chosen], kept)]
-        chunk_at = np.cumsum(kept) - kept
-        begins = self._word_starts(distinct, chunk_at, kept)
-        words = np.flatnonzero(begins)
-        ids, per_word = merge_all(self.vocab, self.vocab.of_byte[distinct], np.diff(np.r_[words, len(distinct)]))
-        per_chunk = np.add.reduceat(per_word, np.searchsorted(words, chunk_at))
+        ids, per_chunk = self._encode_chunks(data[_ragged(starts[chosen], kept)], kept)
         id_at = np.cumsum(per_chunk) - per_chunk
-        flat = ids.astype("<u4")[_ragged(id_at[which], per_chunk[which])]
+        flat = ids[_ragged(id_at[which], per_chunk[which])]
         per_unit = np.add.reduceat(per_chunk[which], np.searchsorted(starts, unit_starts))
         return flat, per_unit
 
