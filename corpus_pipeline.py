@@ -1,4 +1,8 @@
-"""Corpus pipeline over `documents`: stages that each read what the one before wrote."""
+"""Corpus pipeline over `documents`: toxicity, exact duplicates, near duplicates, packing.
+
+Each stage works on all that its predecessor kept; all but the last return the columns of documents.
+A stage's rows are written to the shared folder and read again, so no stage computes an earlier one twice.
+"""
 
 from __future__ import annotations
 
@@ -6,29 +10,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import exact_dedup, simhash
+from emberline.llm import exact_dedup, packing, simhash, toxicity
+from emberline.llm.common import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model of the labels does not reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, lower and upper case A-Z alike."""
     return exact_dedup.drop_duplicates(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
     return simhash.keep_representatives(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("exact_dedup", exact),
-    ("simhash", near),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact),
+    ("simhash", drop_near),
+    ("packing", pack),
 ]
 
-#: SimHash has no SQL form.
+#: Toxicity, SimHash and byte-level BPE have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

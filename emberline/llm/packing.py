@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm.bpe import Encoder, vocabulary_path
-from emberline.llm.common import table, written
+from emberline.llm.common import find_package, table, written
 
 WINDOW = 1024
 END_ID = 0
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, path: str | None = None, shares: Mapping[str, float] |
 
     `shares` maps sources to parts of the mixture; a source left out has the least share and fills in at the end.
     """
+    find_package(docs.sparkSession)
     path = path or vocabulary_path()
     tokens = tokenised(with_queue(docs), path)
     per_part = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, chat, exact_dedup, html_extract, media, packing, simhash, toxicity, url_filter
+from emberline.llm import bpe, chat, exact_dedup, html_extract, lm_scoring, media, packing, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_media": media.op6_media,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_bpe": bpe.op9_bpe,
         "op10_html": html_extract.op10_html,
     }

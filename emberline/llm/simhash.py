@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import checkpointed, table
+from emberline.llm.common import checkpointed, find_package, table
 from emberline.llm.components import connected_components
 
 RADIUS = 4
@@ -38,6 +38,8 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 BLOCK = 1 << 16
+#: Ids of dropped documents up to which they are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -193,7 +195,10 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay; rows that repeat the kept doc_id stay with it.
     """
-    dropped = near_duplicate_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    find_package(docs.sparkSession)
+    dropped = checkpointed(near_duplicate_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
