@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.plans import evidence_queries, log_queries, statistics_queries, store_queries
+
+ALL = {**log_queries.QUERIES, **evidence_queries.QUERIES, **statistics_queries.QUERIES, **store_queries.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -42,12 +42,11 @@ FROM (
 DEPLOYS = """
 SELECT ordinal AS deploy_id, ts AS deployed_at, service, substr(trace_id, 1, 7) AS commit FROM {logs} WHERE event_name = 'signup'
 """
-#: One operation for each order line that ends after it starts.
+#: One operation for each distinct order line: from order to shipment, the earliest where a line is repeated.
 OPERATIONS = """
-SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS operation_id, l_suppkey AS worker,
-  concat(o_orderpriority, '|', o_orderstatus, '|', l_returnflag, '|', CAST(o_custkey % 20 AS STRING)) AS cohort,
-  {seconds} AS duration
-FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS operation_id,
+  min(concat(o_orderpriority, '|', o_orderstatus, '|', l_returnflag, '|', CAST(o_custkey % 20 AS STRING))) AS cohort, min({seconds}) AS duration
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1
 """
 
 SPARK = {"k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "ts": "CAST(ts AS TIMESTAMP)", "seconds": "CAST(unix_seconds(CAST(l_shipdate AS TIMESTAMP)) - unix_seconds(CAST(o_orderdate AS TIMESTAMP)) AS DOUBLE)"}
