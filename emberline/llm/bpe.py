@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from emberline.llm.common import table
 
 #: Characters of text encoded against one index.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
+#: Rows whose texts are turned into Python strings at once.
+ROWS = 2_000
 #: Pre-token pattern of byte-level BPE with use_regex.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -159,7 +161,11 @@ def merge_all(vocab: Vocabulary, tokens: np.ndarray, lengths: np.ndarray) -> tup
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i]+1, ... of all pieces, one after the other."""
     ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not total or starts.max() < 1 << 31) else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -244,7 +250,10 @@ class Encoder:
         lengths = np.diff(np.r_[starts, len(data)])
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-            hashes = np.add.reduceat((data + np.uint64(1)) * powers[_ragged(np.zeros_like(starts), lengths)], starts)
+            terms = powers[_ragged(np.zeros_like(starts), lengths)]
+            terms *= data
+            hashes = np.add.reduceat(terms, starts) * np.uint64(31) + lengths.astype(np.uint64)
+            del terms
         _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
         same = (lengths[chosen][which] == lengths).all() and (data[_ragged(starts[chosen][which], lengths)] == data).all()
         if not same:  # two chunks with one hash
@@ -308,7 +317,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             texts = batch.column(1).to_pylist()
             for start, packed in encoder.blocks(texts):
                 plain = [decode(encoder.vocab, x.tolist()) for x in packed]
@@ -326,7 +335,7 @@ def op9_digests(df: DataFrame, path: str | None = None) -> DataFrame:
         encoder = Encoder(path)
         names = [str(i) for i in range(encoder.vocab.size)]
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             for start, packed in encoder.blocks(batch.column(1).to_pylist()):
                 rows = []
                 for x in packed:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.bpe import Encoder, vocabulary_path
+from emberline.llm.bpe import ROWS, Encoder, vocabulary_path
 from emberline.llm.common import find_package, table, written
 
 WINDOW = 1024
@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, so_far = Encoder(path), {}
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             queues = batch.column(2).to_pylist()
             for at, ids in encoder.blocks(batch.column(1).to_pylist()):
                 before, counts, packed = [], [], []
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str | None = None, shares: Mapping[str, float] |
     rows = tokens.join(offsets, ["part", "queue"]).select("doc_id", "queue", (F.col("skip") + F.col("before")).alias("first"), "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             queues, firsts, counts = (batch.column(i).to_pylist() for i in (1, 2, 3))
             sizes, columns, crcs, parts = [], [], [], []
             for queue, first, n, ids in zip(queues, firsts, counts, batch.column(4), strict=True):

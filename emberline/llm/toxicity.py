@@ -53,7 +53,7 @@ _EDGES = "!|*'’_.-$@"
 _AROUND = _EDGES + ",;:?()[]{}\"«»“”„…"
 _CAPITALS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 #: Words and tokens that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 _INNER = regex.compile(r"[^\p{L}\p{M}]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W\d_])")
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
@@ -189,6 +189,12 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     ]
 
 
+def forget(lexicon: Lexicon) -> None:
+    """Give back what a task has remembered; Python workers outlive their tasks."""
+    _tokens.clear()
+    lexicon.known.clear()
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, trees: Boosted, knots: tuple[np.ndarray, np.ndarray], constant: float | None = None) -> None:
         self.lexicon, self.trees, self.knots, self.constant = lexicon, trees, knots, constant
@@ -238,7 +244,9 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled documents whose crc32(doc_id) mod 5 is not 0."""
     rows = labelled(docs, labels, crc_of(F.col("__id")) % 5 == 0)
-    return fit(sorted(((r[0], r[1], r[2]) for r in rows.collect()), key=lambda r: (r[0], r[2], r[1] or "")))
+    model = fit(sorted(((r[0], r[1], r[2]) for r in rows.collect()), key=lambda r: (r[0], r[2], r[1] or "")))
+    forget(model.lexicon)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -252,6 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
                 )
+        forget(model.lexicon)
 
     rows = docs.select("doc_id", (crc_of(F.col("doc_id")) % 5 == 0).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -264,8 +273,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = model.scores(batch.column(batch.schema.get_field_index("text")).to_pylist()) < 0.5
-            yield batch.filter(pa.array(keep))
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                keep = model.scores(part.column(part.schema.get_field_index("text")).to_pylist()) < 0.5
+                yield part.filter(pa.array(keep))
+        forget(model.lexicon)
 
     return docs.mapInArrow(run, docs.schema)
 
