@@ -6,7 +6,7 @@ Fingerprints link at `RADIUS` or fewer differing bits.
 Links are found by ball hashing. Of the three bands of about 21 bits, two fingerprints within 4 bits
 differ in one band by 2 or more bits, or in none by more than 1; leaving out the band with the most
 differences leaves at most 2. So each distinct fingerprint is looked at three times, once without
-each band, and in each view emits every variant within half of what is left, that is 1 bit: 132
+each band, and in each view emits every variant within half of what is left, that is 1 bit: 131
 variants. (One view of all 64 bits with variants within 2 bits, `bands=1`, is the plain form: 2,081
 variants and no false candidates. Both give the same links; README has the figures.) The shuffle is on
 variants of distinct fingerprints, so copies cost nothing. In a bucket all colliding pairs are
