@@ -4,10 +4,12 @@ A page is read once into blocks of text, each with its root-to-leaf tag path. El
 an article (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, reader comments: by
 element, role, or a word of class or id) take their blocks out. For each path that is left, the text length and
 the punctuation of its nodes are added up; the ratios per node are smoothed over neighbouring paths in page
-order, fused (geometric mean of length and punctuation), and paths at or over the mean are content paths. The
-content root is the article or main element with most of the score, or without one the deepest element
-that holds all content paths. All blocks in the root that were not taken out are the main text; where the
-root is the body itself, only those of content paths and the headings beside them.
+order, fused (geometric mean of length and punctuation), and paths at or over the mean are content paths. Blocks of those
+that are over the mean before smoothing too carry the page's score, each by the length of its own text. An article with most of it is the main text, with any other of at least half its own score; a main
+element with most of it is narrowed to its articles only where they hold most of the main's score, and is else taken
+without articles that score nothing (teasers). Without such a landmark the root is the deepest
+element that holds all content paths. All blocks in the root that were not taken out are the main text; where the
+root is the body itself, only those of content paths, the headings beside them and the articles that score.
 
 Broken markup is read as browsers do: a block closes an open paragraph, list items and cells close their
 like, unknown end tags are ignored, raw text runs to its end tag, what is open at the end is closed.
@@ -223,21 +225,43 @@ def content_blocks(page: Page) -> list[str]:
         return [padded[i] / 4 + padded[i + 1] / 2 + padded[i + 2] / 4 for i in range(len(values))]
 
     lengths, signs = smooth([r[0] for r in ratios]), smooth([r[1] for r in ratios])
-    fused = {p: (a * (1 + b)) ** 0.5 * sums[p][2] for p, a, b in zip(paths, lengths, signs, strict=True)}
+    fused = {p: (a * (1 + b)) ** 0.5 for p, a, b in zip(paths, lengths, signs, strict=True)}
     bound = sum(fused.values()) / len(fused)
     chosen = {p for p in paths if fused[p] >= bound}
-    # An article or main element, by the score of the blocks in it.
-    marks: dict[int, float] = {}
+    # Core paths are over the mean of the ratios before smoothing too, which lifts what stands beside long texts.
+    own = {p: (a * (1 + b)) ** 0.5 for p, (a, b) in zip(paths, ratios, strict=True)}
+    core = {p for p in chosen if own[p] >= sum(own.values()) / len(own)} or chosen
+    # Score of each article and main element: the text of core paths in it.
+    marks: dict[int, int] = {}
     found: dict[int, Node] = {}
-    for node, _, path in kept:
+    total = 0
+    for node, text, path in kept:
+        score = len(text) if path in core else 0
+        total += score
         for up in node.line():
             if up.tag in LANDMARKS:
-                marks[id(up)] = marks.get(id(up), 0) + fused[path] / sums[path][2]
+                marks[id(up)] = marks.get(id(up), 0) + score
                 found[id(up)] = up
-    if marks:
-        # Articles side by side are all content; a main element is narrowed to the articles in it.
-        articles = {k for k, n in found.items() if n.tag == "article"} or set(found)
-        return [text for node, text, _ in kept if any(id(up) in articles for up in node.line())]
+
+    def within(node: Node, roots: set[int]) -> bool:
+        return any(id(up) in roots for up in node.line())
+
+    # Outermost articles: one in another is a part of it.
+    articles = {k for k, n in found.items() if n.tag == "article" and not any(up.tag == "article" for up in n.line()[:-1])}
+    main = next((k for k, n in found.items() if n.tag == "main" and marks[k] > total / 2 and not within(n, articles)), None)
+    whole = total if main is None else marks[main]
+    inner = {k for k in articles if main is None or within(found[k], {main})}
+    best = max((marks[k] for k in inner), default=0)
+    if best > whole / 2:  # one of half its score stands beside it as its like, a smaller one is a teaser
+        taken = {k for k in inner if marks[k] >= best / 2}
+        return [text for node, text, _ in kept if within(node, taken)]
+    content = {k for k in inner if marks[k] > 0}
+    if main is not None:
+        if sum(marks[k] for k in inner) > whole / 2:
+            return [text for node, text, _ in kept if within(node, content)]
+        return [text for node, text, _ in kept if within(node, {main}) and not within(node, inner - content)]
+    # No landmark has most: content paths, without the teasers.
+    kept = [(node, text, path) for node, text, path in kept if not within(node, inner - content)]
     lines = [node.line() for node, _, path in kept if path in chosen]
     shared = 0
     while all(len(x) > shared for x in lines) and len({id(x[shared]) for x in lines}) == 1:
@@ -247,8 +271,8 @@ def content_blocks(page: Page) -> list[str]:
         root = root.parent
     if root.tag in ("", "html", "body"):
         beside = {p.rpartition("/")[0] for p in chosen}
-        return [t for n, t, p in kept if p in chosen or (n.tag in HEADINGS and p.rpartition("/")[0] in beside)]
-    return [text for node, text, _ in kept if any(up is root for up in node.line())]
+        return [t for n, t, p in kept if p in chosen or within(n, content) or (n.tag in HEADINGS and p.rpartition("/")[0] in beside)]
+    return [text for node, text, _ in kept if within(node, {id(root)})]
 
 
 def main_text(source: str | None) -> str:

@@ -112,6 +112,21 @@ def test_html_pages(spark, sf):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_html_landmarks_without_the_text():
+    """Articles that are only teasers, beside a div, in a main element, beside the article."""
+    text = [f"Paragraph {i} of the story is long, with commas, and more than one sentence. It goes on and on, as stories do." for i in range(4)]
+    post = "<h1>T</h1>" + "".join(f"<p>{t}</p>" for t in text)
+    whole = "\n".join(["T", *text])
+    for n in (1, 3, 20):
+        teasers = "".join(f"<article><h3>Card {i}</h3><p>Blurb {i}, more.</p></article>" for i in range(n))
+        for source in (f"<div class=post>{post}</div><div class=cards>{teasers}</div>", f"{teasers}<div class=post>{post}</div>", f"<main>{post}{teasers}</main>",
+                       f"<article>{post}</article>{teasers}", f"<main><article>{post}</article>{teasers}</main>", f"<div class=post>{post}</div><main>{teasers}</main>"):
+            assert html_extract.main_text(f"<body>{source}</body>") == whole, source
+    like = [f"<article><h2>A{j}</h2><p>{text[j]}</p><ul><li>x{j}</ul></article>" for j in range(4)]  # side by side: all content
+    for source in ("".join(like), f"<main>{''.join(like)}</main>"):
+        assert html_extract.main_text(source) == "\n".join(f"A{j}\n{text[j]}\nx{j}" for j in range(4))
+
+
 def test_isotonic_and_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 4))
