@@ -40,7 +40,7 @@ def url_host(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def host_key(host: Column) -> Column:

@@ -41,6 +41,16 @@ def test_urls(spark):
     assert url_filter.match_rules(df.limit(0)).count() == 0
 
 
+def test_url_path_follows_the_host(spark):
+    """A later url with a path, in the query or fragment of one without, gives no path."""
+    urls = ["http://a.example.org?u=http://b.com/es/x", "http://example.org#http://b.com/es/x", "http://example.org?x://y", "http://a.com/de/?u=http://b.com/fr/"]
+    found = url_filter.match_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        host, path = url_reference(urls[r["page_id"]])
+        assert (r["host"], r["path"], (r["rule"], r["verdict"])) == (host, path, rule_reference(host, path)), urls[r["page_id"]]
+
+
 def test_nested_rules(spark):
     rules = [("b.a.org", "/", "block"), ("a.org", "/", "allow"), ("org", "/x/", "block"), ("c.org", "/", "block")]
     df = spark.createDataFrame([(0, "http://z.b.a.org/x/"), (1, "http://a.org/y"), (2, "http://q.org/x/1"), (3, "http://q.org/y"), (4, "http://c.org/x/")], "page_id long, url string")
