@@ -186,6 +186,10 @@ def test_lm_base_and_order(docs_of, hard):
     assert lm_scoring.score_texts(hard.limit(0)).count() == 0
 
 
+def test_lm_steps_of_a_partition():
+    assert lm_scoring.STEPS >= 60
+
+
 def test_lm_is_a_distribution():
     """Class probabilities after any context add up to one."""
     rng = np.random.default_rng(2)
