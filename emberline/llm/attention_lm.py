@@ -221,7 +221,7 @@ def gradients(p: Params, direct: Params, c: np.ndarray, y: np.ndarray) -> Params
     return grads
 
 
-def train(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray, steps: int, batch: int = TRAIN_BATCH, rate: float = 0.02, seed: int = 1) -> Params:
+def train(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray, steps: int, batch: int = TRAIN_BATCH, rate: float = 0.02, seed: int | list[int] = 1) -> Params:
     """Adam over random windows, with a falling rate."""
     p = {k: v.copy() for k, v in p.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))

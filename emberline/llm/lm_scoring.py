@@ -5,9 +5,10 @@ What is gathered from the corpus covers all training documents and grows with it
    with their training counts (a map-side combine); a window over each word adds up the counts of all chunks and
    the result is written to the shared folder. A word has one row a chunk, however frequent it is.
 2. The distinct words with their corpus counts give counts of subword ids, then of class follow-ups.
-3. Queries, keys, values and output weights are trained data-parallel: in each of `ROUNDS` rounds every partition takes
-   `STEPS` steps on windows of its share (one in `SHARE`) of the training documents, starting from the same weights, and
-   the weights are averaged by the number of windows. Sums are combined by tasks before the driver sees them.
+3. Queries, keys, values and output weights are trained data-parallel: in each of `ROUNDS` rounds every partition streams
+   its share (one in `SHARE`) of the training documents in blocks of at most about `BLOCK_WINDOWS` windows. Each block takes steps
+   in proportion to its windows, starting from the weights of the round, and the weights are averaged by the
+   number of windows. Sums are combined by tasks before the driver sees them.
 4. Chunks meet their words with corpus counts (cogroup); each token of each text is scored once in overlapping
    windows, and the base is summed.
 
@@ -39,12 +40,12 @@ CHUNK_BYTES = 10_000_000
 #: One in so many training documents feeds the steps of a round; more where there are fewer than SHARE * FEW of them.
 SHARE, FEW = 16, 2000
 ROUNDS = 2
-#: Steps of a partition in a round; more where there are few partitions, so that a round has ALL_STEPS at least,
-#: and never more than EPOCHS times through its windows.
+#: A block takes one step for each TRAIN_BATCH of its windows, and STEPS at least; more where there are few partitions, so that
+#: a round has ALL_STEPS at least, but these never more than EPOCHS times through its windows.
 EPOCHS = 3
 STEPS, ALL_STEPS = 60, 1000
-#: Windows of a partition that are held for a round at most: those of evenly spread documents come first.
-HELD_WINDOWS = 40_000
+#: Windows that are held at once, up to those of BLOCK_TEXTS texts more; all windows of the share are trained on.
+BLOCK_WINDOWS, BLOCK_TEXTS = 40_000, 200
 #: Rows of words encoded at once.
 ENCODED_ROWS = 400_000
 #: Tokens scored at once.
@@ -220,8 +221,30 @@ def _laid_out(ids: np.ndarray, per: np.ndarray, texts: list[np.ndarray]) -> tupl
     return ids[_ragged(at[words], per[words])], np.add.reduceat(per[words], starts)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, classes: np.ndarray, end_id: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of all texts, cut where `size` windows are reached."""
+    inputs, targets, held = [], [], 0
+    for batch in batches:
+        for i in range(0, len(batch), BLOCK_TEXTS):
+            ids, sizes = _text_ids(encoder, batch.column(0).slice(i, BLOCK_TEXTS).to_pylist(), end_id)
+            c, y = model.windows(classes[ids], sizes)
+            inputs.append(c.astype(np.int16))
+            targets.append(y.astype(np.int16))
+            held += len(c)
+            if held >= size:
+                yield np.concatenate(inputs).astype(np.int64), np.concatenate(targets).astype(np.int64)
+                inputs, targets, held = [], [], 0
+    if held:
+        yield np.concatenate(inputs).astype(np.int64), np.concatenate(targets).astype(np.int64)
+
+
+def steps_of(held: int, least: int) -> int:
+    """Steps of a block of so many windows."""
+    return max(-(-held // model.TRAIN_BATCH), min(least, 1 + EPOCHS * held // model.TRAIN_BATCH))
+
+
 def train(docs: DataFrame, path: str, of: np.ndarray, direct: model.Params, end_id: int, texts: int) -> model.Params:
-    """Local steps on every partition, averaged, ROUNDS times. `texts`: how many training documents there are."""
+    """Local steps on every block of every partition, averaged, ROUNDS times. `texts`: how many training documents there are."""
     share = max(1, min(SHARE, texts // FEW))
     count = max(STEPS, ALL_STEPS // max(1, docs.select("doc_id").rdd.getNumPartitions()))
     weights = model.new_params()
@@ -232,22 +255,14 @@ def train(docs: DataFrame, path: str, of: np.ndarray, direct: model.Params, end_
         start = weights
 
         def steps(batches: Iterator[pa.RecordBatch], start=start, number=number) -> Iterator[pa.RecordBatch]:
-            encoder, inputs, targets, held = Encoder(path), [], [], 0
-            classes = small.astype(np.int64)
-            for batch in batches:
-                for i in range(0, len(batch), 200):
-                    if held >= HELD_WINDOWS:
-                        break
-                    ids, sizes = _text_ids(encoder, batch.column(0).slice(i, 200).to_pylist(), end_id)
-                    c, y = model.windows(classes[ids], sizes)
-                    inputs.append(c.astype(np.int16))
-                    targets.append(y.astype(np.int16))
-                    held += len(c)
-            if held:
-                seed = TaskContext.get().partitionId() * ROUNDS + number
-                got = model.train(start, direct, np.concatenate(inputs).astype(np.int64), np.concatenate(targets).astype(np.int64), min(count, 1 + EPOCHS * held // model.TRAIN_BATCH), seed=seed)
-                flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64) * held
-                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
+            classes, total, flat = small.astype(np.int64), 0, None
+            for block, (inputs, targets) in enumerate(blocks(batches, Encoder(path), classes, end_id, BLOCK_WINDOWS)):
+                seed = [TaskContext.get().partitionId(), number, block]
+                got = model.train(start, direct, inputs, targets, steps_of(len(inputs), count), seed=seed)
+                part = np.concatenate([got[k].ravel() for k in names]).astype(np.float64) * len(inputs)
+                total, flat = total + len(inputs), part if flat is None else flat + part
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, flat = 0, None

@@ -190,6 +190,22 @@ def test_lm_steps_of_a_partition():
     assert lm_scoring.STEPS >= 60
 
 
+def test_lm_trains_on_the_end_of_a_sorted_table(spark):
+    """A class that comes only after 40,000 windows of the one partition has its weights trained; steps grow with windows."""
+    docs = spark.createDataFrame([(i, "a " * 4800 if i < 600 else "zz " * 480) for i in range(620)], "doc_id long, text string").coalesce(1)
+    path = lm_scoring.vocabulary_path()
+    vocab = lm_scoring.load(path)
+    encoder = lm_scoring.Encoder(path)
+    of = np.ones(vocab.size + 1, dtype=np.int64)
+    late = np.setdiff1d(encoder.encode_words([b"zz"])[0], encoder.encode_words([b"a"])[0])
+    of[late], of[vocab.size] = 2, 0
+    ones = np.ones(attention_lm.CLASSES)
+    direct = attention_lm.direct_tables(np.zeros((attention_lm.CLASSES,) * 2), ones, ones)
+    weights = lm_scoring.train(docs, path, of, direct, vocab.size, 620)
+    assert len(late) and (weights["k"][1] != attention_lm.new_params()["k"][1]).any() and (weights["k"][2] != attention_lm.new_params()["k"][2]).any()
+    assert lm_scoring.steps_of(960_000, 60) == 10_000 and lm_scoring.steps_of(960, 60) == 31 and lm_scoring.steps_of(4000, 60) == 60
+
+
 def test_lm_is_a_distribution():
     """Class probabilities after any context add up to one."""
     rng = np.random.default_rng(2)
