@@ -109,7 +109,7 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as finished jobs (one in three failed, one in three resumed) by day and host, with executions by pod."""
     status = F.expr("CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'succeeded' ELSE 'resumed' END")
-    rows = logs(spark, sf_dir).filter("event_name = 'purchase' AND k % 10 = 1").select(F.date_format("ts", "yyyy-MM-dd").alias("incident"), status.alias("status"), "host", "ts", "ordinal")
+    rows = logs(spark, sf_dir).filter("event_name = 'purchase'").select(F.date_format("ts", "yyyy-MM-dd").alias("incident"), status.alias("status"), "host", "ts", "ordinal")
     return rows.groupBy("incident", "status", "host").agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.concat(F.lit("job-"), F.min("ordinal").cast("string")).alias("event_id"),
     ).select("incident", "event_id", "status", "first_seen", "last_seen", F.array(F.concat(F.lit("x"), "host")).alias("execution_ids"),

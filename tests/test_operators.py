@@ -223,3 +223,16 @@ def test_no_row_functions_in_plans(spark, sf):
     for name in ("label_groups_full", "detect_rules", "impact_assessment", "peer_duration_features"):
         plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"Python|CartesianProduct|NestedLoop", plan), name
+
+
+def test_lifecycles_take_every_purchase(spark, sf):
+    from emberline.plans import evidence_queries
+    from emberline.sources.relations import logs
+
+    rows = logs(spark, sf).filter("event_name = 'purchase'").selectExpr("date_format(ts, 'yyyy-MM-dd') AS d", "k", "host", "ordinal").collect()
+    expected = {}
+    for r in rows:
+        key = (r["d"], ("failed", "succeeded", "resumed")[r["k"] % 3], r["host"])
+        expected[key] = min(expected.get(key, r["ordinal"]), r["ordinal"])
+    found = {(r["incident"], r["status"], r["hosts"][0]): r["event_id"] for r in evidence_queries.lifecycles(spark, sf).collect()}
+    assert found == {k: f"job-{n}" for k, n in expected.items()}
