@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions import text
+
 
 def lowest_hash(df: DataFrame, stratum: str, key: str, keep: int) -> DataFrame:
     """The `keep` rows of each stratum with the smallest SHA-256 of stratum and key."""
@@ -64,23 +66,43 @@ def rarest(groups: DataFrame, keep: int = 3) -> DataFrame:
     return groups.filter(F.col("level").isin("error", "warn")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
+def _evenly(rows: DataFrame, stage: int, wanted: Column, budget: int, limit: int) -> DataFrame:
+    """Takes `budget` wanted rows of each incident at even steps, as far as `limit` has room; rows taken before count but add nothing."""
+    whole = Window.partitionBy("incident")
+    rows = rows.withColumn("wanted", F.coalesce(wanted, F.lit(False)))
+    rows = rows.withColumns({
+        "place": F.row_number().over(Window.partitionBy("incident", "wanted").orderBy("ts", "ordinal")) - 1,
+        "size": F.count_if("wanted").over(whole), "room": F.least(F.lit(budget), limit - F.count("stage").over(whole)),
+    })
+    steps = F.when(F.col("room") <= 1, F.array(F.lit(0.0))).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), F.col("room") - 1), lambda i: F.bround(i * (F.col("size") - 1) / F.greatest(F.col("room") - 1, F.lit(1)), 0)))
+    fits = (F.col("size") <= F.col("room")) | F.array_contains(steps, F.col("place").cast("double"))
+    taken = F.col("stage").isNull() & F.col("wanted") & (F.col("room") > 0) & fits
+    return rows.withColumn("stage", F.when(taken, stage).otherwise(F.col("stage"))).drop("wanted", "place", "size", "room")
+
+
 def representative_sample(logs: DataFrame, shape: str, limit: int, signal: str) -> DataFrame:
-    """A bounded sample of each incident that keeps its first and last record, both ends of every signal shape, then
-    other shapes, then evenly spaced records.
+    """A bounded sample of each incident: its first and last record (stage 0), both ends of every semantic signal (1) and of
+    every signal shape (2), the first of every shape (3), then records at even steps of time (4).
 
-    Every record has the best stage that wants it; stages are filled in order, each up to its part of the limit.
+    Each stage has its own part of the limit and picks evenly in time where more rows want in. `ordinal` is unique in an incident.
     """
     by_time = Window.partitionBy("incident").orderBy("ts", "ordinal")
     back = Window.partitionBy("incident").orderBy(F.desc("ts"), F.desc("ordinal"))
     own = Window.partitionBy("incident", shape).orderBy("ts", "ordinal")
-    own_back = Window.partitionBy("incident", shape).orderBy(F.desc("ts"), F.desc("ordinal"))
+    loud = Window.partitionBy("incident", shape, F.coalesce(F.col(signal), F.lit(False)))
+    at = F.struct("ts", "ordinal")
+    keyed = logs.select("incident", "ts", "ordinal", F.explode(text.detect_signals(F.col("message"), F.col("level"))).alias("s"))
+    ends = keyed.groupBy("incident", "s.signal_family", "s.status", "s.scope").agg(F.array(F.min(at), F.max(at)).alias("ends"))
+    ends = ends.select("incident", F.explode("ends").alias("end"))
+    ends = ends.select("incident", F.col("end.ordinal").alias("ordinal"), F.lit(True).alias("semantic")).distinct()
     rows = logs.withColumns({
-        "a": F.row_number().over(by_time), "z": F.row_number().over(back), "sa": F.row_number().over(own), "sz": F.row_number().over(own_back),
-        "size": F.count(F.lit(1)).over(Window.partitionBy("incident")),
-    })
-    edge = (F.col("sa") == 1) | (F.col("sz") == 1)
-    stage = F.when((F.col("a") == 1) | (F.col("z") == 1), 0).when(edge & F.col(signal), 1).when(edge, 2).otherwise(3)
-    spread = F.when(stage == 3, F.pmod((F.col("a") * 0.6180339887498949), F.lit(1.0))).otherwise(F.col("a").cast("double"))
-    rows = rows.withColumn("stage", stage).withColumn("spread", spread)
-    place = Window.partitionBy("incident").orderBy("stage", "spread", "a")
-    return rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= limit).drop("a", "z", "sa", "sz", "size", "spread")
+        "a": F.row_number().over(by_time), "z": F.row_number().over(back), "first": F.row_number().over(own) == 1,
+        "loud_end": F.col(signal) & ((F.row_number().over(loud.orderBy("ts", "ordinal")) == 1) | (F.row_number().over(loud.orderBy(F.desc("ts"), F.desc("ordinal"))) == 1)),
+    }).join(ends, ["incident", "ordinal"], "left")
+    rows = rows.withColumn("stage", F.when((F.col("a") == 1) | ((F.col("z") == 1) & F.lit(limit > 1)), 0))
+    rows = _evenly(rows, 1, F.col("semantic"), max(limit // 4, 2), limit)
+    rows = _evenly(rows, 2, F.col("loud_end"), max(limit // 3, 1), limit)
+    rows = _evenly(rows, 3, F.col("first"), max(limit // 3, 4), limit)
+    rows = _evenly(rows, 4, F.col("stage").isNull(), limit, limit)
+    return rows.filter(F.col("stage").isNotNull()).select(*logs.columns, "stage")

@@ -236,3 +236,16 @@ def test_lifecycles_take_every_purchase(spark, sf):
         expected[key] = min(expected.get(key, r["ordinal"]), r["ordinal"])
     found = {(r["incident"], r["status"], r["hosts"][0]): r["event_id"] for r in evidence_queries.lifecycles(spark, sf).collect()}
     assert found == {k: f"job-{n}" for k, n in expected.items()}
+
+
+def test_representative_sample_budgets(spark):
+    """More signal shapes than the limit: late ones, general shapes and the time fill keep their parts."""
+    rows = [(i, i, f"e{i // 2}" if i < 200 else f"g{(i - 200) // 10}", "error" if i < 200 else "info", "odd" if i != 151 else "no space left on device") for i in range(400)]
+    df = spark.createDataFrame(rows, "ordinal long, t long, signature string, level string, message string").selectExpr("*", "timestamp_seconds(t) AS ts", "'i' AS incident", "level = 'error' AS important")
+    found = sampling.representative_sample(df, "signature", 60, "important").collect()
+    assert len(found) == 60 and {0, 399, 151} <= {r["ordinal"] for r in found}
+    stages = [sum(r["stage"] == s for r in found) for s in range(5)]
+    assert stages[0] == 2 and 1 <= stages[1] <= 15 and 10 <= stages[2] <= 20 and 10 <= stages[3] <= 20 and stages[4] >= 3
+    assert max(r["ordinal"] for r in found if r["stage"] == 2) > 180 and any(r["ordinal"] >= 200 for r in found if r["stage"] == 3)
+    few = sampling.representative_sample(df.limit(20), "signature", 60, "important")
+    assert few.count() == 20 and sampling.representative_sample(df, "signature", 1, "important").count() == 1
