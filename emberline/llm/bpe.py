@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 A partition is worked off in blocks of about `BLOCK_CHARS` characters (a longer text is one block).
-The distinct space-separated chunks of a block (their pre-tokens cannot reach across a lone space) are laid end to end in one array
-of token ids with links to the next and previous token. An index maps every mergeable pair to all its
+The distinct space-separated chunks of a block (their pre-tokens cannot reach across the cut) are laid
+end to end in one array of token ids with links to the next and previous token. An index maps every mergeable pair to all its
 positions in that array. The ranks that occur are applied in ascending order: all positions of the
 pair are merged at once and the pairs with the neighbours are entered in the index. A merge can only
 make pairs of higher rank, because the merged token did not exist before; so ascending order over the
@@ -25,15 +25,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm.common import table
 
 #: Characters of text encoded against one index.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 10_000_000
 #: Rows whose texts are turned into Python strings at once.
-ROWS = 2_000
+ROWS = 4_000
 #: Pre-token pattern of byte-level BPE with use_regex.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,7 +65,7 @@ class Vocabulary:
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.size = max(self.bytes_of) + 1
-        self.of_byte = np.zeros(256, dtype=np.int64)
+        self.of_byte = np.zeros(256, dtype=np.int32)
         for i, token in self.bytes_of.items():
             if len(token) == 1:
                 self.of_byte[token[0]] = i
@@ -75,13 +76,15 @@ class Vocabulary:
         keys = self.left * self.size + self.right
         self._order = np.argsort(keys)
         self._keys = keys[self._order]
+        #: Rank of each pair of bytes, -1 where it doesn't merge.
+        self.byte_ranks = self.ranks(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)).astype(np.int32)
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it doesn't merge."""
-        keys = left * self.size + right
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, self._order[at], -1)
+        keys = left.astype(np.int64) * self.size + right
+        at = self._keys.searchsorted(keys)
+        return np.where(self._keys.take(at, mode="clip") == keys, self._order.take(at, mode="clip"), -1)
 
 
 @lru_cache(maxsize=4)
@@ -89,73 +92,76 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_all(vocab: Vocabulary, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Apply all merges to words laid end to end; their ids and new lengths."""
-    n = len(tokens)
+def merge_all(vocab: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Apply all merges to words (their bytes laid end to end); their ids and how many each has."""
+    n = len(data)
+    tokens = vocab.of_byte[data]
     if not n:
         return tokens, lengths
     ends = np.cumsum(lengths)
-    nxt = np.arange(1, n + 1)
-    nxt[ends - 1] = -1
-    prv = np.arange(-1, n - 1)
-    prv[ends - lengths] = -1
+    # Links have one place more than there are tokens: -1, "none", leads there.
+    nxt = np.arange(1, n + 2)
+    nxt[ends - 1] = nxt[n] = -1
+    prv = np.arange(-1, n)
+    prv[ends - lengths] = prv[n] = -1
+    tokens = np.append(tokens, np.int32(-1))
     index: dict[int, list[np.ndarray]] = {}
+    narrow = np.uint16 if len(vocab.left) < 1 << 16 else np.int64
 
-    def enter(positions: np.ndarray) -> list[int]:
+    def enter(positions: np.ndarray, rank: np.ndarray) -> list[int]:
         """Put pairs into the index; the ranks that it didn't have."""
-        rank = vocab.ranks(tokens[positions], tokens[nxt[positions]])
-        known = rank >= 0
-        rank, positions = rank[known], positions[known]
-        fresh = []
+        known = np.flatnonzero(rank >= 0)
+        if not len(known):
+            return []
+        rank, positions = rank.take(known), positions.take(known)
         if len(rank) > 1:
-            order = np.argsort(rank, kind="stable")
-            rank, positions = rank[order], positions[order]
-            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
-            groups = zip(rank[np.r_[0, cuts]].tolist(), np.split(positions, cuts), strict=True)
-        else:
-            groups = zip(rank.tolist(), [positions], strict=False)
-        for r, at in groups:
+            order = rank.astype(narrow).argsort(kind="stable")
+            rank, positions = rank.take(order), positions.take(order)
+        cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(rank)]
+        fresh = []
+        for r, start, end in zip(rank.take(cuts[:-1]).tolist(), cuts, cuts[1:], strict=False):
             if r in index:
-                index[r].append(at)
+                index[r].append(positions[start:end])
             else:
-                index[r] = [at]
+                index[r] = [positions[start:end]]
                 fresh.append(r)
         return fresh
 
-    heap = enter(np.flatnonzero(nxt >= 0))
+    inside = np.flatnonzero(nxt[:n] >= 0)
+    heap = enter(inside, vocab.byte_ranks.take(data.take(inside).astype(np.int64) * 256 + data.take(inside + 1)))
     heapq.heapify(heap)
     while heap:
         r = heapq.heappop(heap)
         lists = index.pop(r)
-        at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+        at = lists[0] if len(lists) == 1 else np.concatenate(lists)
         a, b, made = vocab.left[r], vocab.right[r], vocab.made[r]
-        after = nxt[at]
-        still = (tokens[at] == a) & (after >= 0) & (tokens[after] == b)
-        if not still.all():
-            at, after = at[still], after[still]
-        if not len(at):
+        after = nxt.take(at)
+        still = np.flatnonzero((tokens.take(at) == a) & (tokens.take(after) == b))
+        if not len(still):
             continue
-        if len(lists) == 1 and len(at) > 1 and (at[1:] <= at[:-1]).any():
+        if len(still) < len(at):
+            at, after = at.take(still), after.take(still)
+        if len(at) > 1 and (at[1:] <= at[:-1]).any():  # entered from both sides, or by several merges
             at = np.unique(at)
-            after = nxt[at]
+            after = nxt.take(at)
         if a == b and len(at) > 1:  # in a run of three the first two merge
             taken, last = [], -1
             for i, (p, q) in enumerate(zip(at.tolist(), after.tolist(), strict=True)):
                 if p != last:
                     taken.append(i)
                     last = q
-            at, after = at[taken], after[taken]
-        beyond = nxt[after]
+            at, after = at.take(taken), after.take(taken)
+        beyond, before = nxt.take(after), prv.take(at)
         tokens[at] = made
         tokens[after] = -1
         nxt[at] = beyond
-        more = beyond >= 0
-        prv[beyond[more]] = at[more]
-        before = prv[at]
-        for fresh in enter(np.concatenate([before[before >= 0], at[more]])):
-            heapq.heappush(heap, fresh)
-    alive = tokens >= 0
-    return tokens[alive], np.add.reduceat(alive.astype(np.int64), ends - lengths)
+        prv[beyond] = at
+        pairs = np.concatenate([before[before >= 0], at[beyond >= 0]])
+        if len(pairs):
+            for fresh in enter(pairs, vocab.ranks(tokens.take(pairs), tokens.take(nxt.take(pairs)))):
+                heapq.heappush(heap, fresh)
+    alive = tokens[:n] >= 0
+    return tokens[:n][alive], np.add.reduceat(alive, ends - lengths, dtype=np.int64)
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -168,12 +174,26 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _laid(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of large strings or binaries laid end to end, and the length of each."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
 class Encoder:
-    """Encodes blocks of texts to ids; distinct chunks are found by sorting hashes and checked byte by byte."""
+    """Encodes blocks of texts to ids; each distinct chunk of a block is encoded once.
+
+    A unit of text is cut before each space that follows no white space, or that is the last of its run and stands before a
+    word: the pre-tokens of both sides don't depend on each other there.
+    """
 
     _pretoken = regex.compile(PRETOKEN)
-    #: White space other than that of ASCII; a text with any is split by the pattern alone.
-    _odd_space = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    _space = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    #: Units with a space inside a run of white space or at its end: they are not cut at every space.
+    _uneven = rf"{_space} (?:{_space}|\z)"
+    _cut = regex.compile(r"(?<!\s) |(?<=\s) (?=\S)")
+    _nothing, _one_space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     #: Classes of bytes: 1 letter, 2 digit, 3 sign, 4 line feed, 5 space; others are left to the pattern.
     _class = np.zeros(256, dtype=np.uint8)
     _class[[*range(65, 91), *range(97, 123)]] = 1
@@ -185,24 +205,6 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.vocab = load(path)
 
-    def _chunk_starts(self, units: list[str], packed: list[bytes], data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Flags of the bytes at which a chunk begins: its pre-tokens don't depend on what is around it."""
-        flags = data == 32
-        space = flags | ((data >= 9) & (data <= 13))
-        beside = np.zeros(len(data), dtype=bool)
-        beside[1:] = space[:-1]
-        beside[:-1] |= space[1:]
-        beside[starts] = True  # at the ends of a unit a space is not alone either
-        beside[np.r_[starts[1:], len(data)] - 1] = True
-        uneven = np.add.reduceat(flags & beside, starts, dtype=np.int64) > 0
-        for i, unit in enumerate(units):
-            if uneven[i] or any(c in unit for c in self._odd_space):
-                flags[starts[i] : starts[i] + len(packed[i])] = False
-                lengths = [len(w.encode("utf-8", "replace")) for w in self._pretoken.findall(unit)]
-                flags[starts[i] + np.cumsum([0, *lengths[:-1]])] = True
-        flags[starts] = True
-        return flags
-
     def _word_starts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Flags of the bytes at which a pre-token begins, in chunks laid end to end."""
         kind = self._class[data]
@@ -230,7 +232,13 @@ class Encoder:
         """Ids of chunks laid end to end, and how many each has."""
         chunk_at = np.cumsum(lengths) - lengths
         words = np.flatnonzero(self._word_starts(data, chunk_at, lengths))
-        ids, per_word = merge_all(self.vocab, self.vocab.of_byte[data], np.diff(np.r_[words, len(data)]))
+        # Distinct pre-tokens: a word with other signs after it is merged once.
+        offsets = np.r_[words, len(data)]
+        found = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        merged, per = merge_all(self.vocab, *_laid(found.dictionary))
+        which = found.indices.to_numpy()
+        per_word = per.take(which)
+        ids = merged.take(_ragged((np.cumsum(per) - per).take(which), per_word))
         return ids.astype("<u4"), np.add.reduceat(per_word, np.searchsorted(words, chunk_at))
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,33 +248,36 @@ class Encoder:
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         return self._encode_chunks(np.frombuffer(b" " + b" ".join(words), dtype=np.uint8), lengths)
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units laid end to end (uint32), and how many each has. Units are not empty."""
-        packed = [u.encode("utf-8", "replace") for u in units]
-        data = np.frombuffer(b"".join(packed), dtype=np.uint8)
-        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
-        unit_starts = np.cumsum(sizes) - sizes
-        starts = np.flatnonzero(self._chunk_starts(units, packed, data, unit_starts))
-        lengths = np.diff(np.r_[starts, len(data)])
-        with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
-            terms = powers[_ragged(np.zeros_like(starts), lengths)]
-            terms *= data
-            hashes = np.add.reduceat(terms, starts) * np.uint64(31) + lengths.astype(np.uint64)
-            del terms
-        _, chosen, which = np.unique(hashes, return_index=True, return_inverse=True)
-        same = (lengths[chosen][which] == lengths).all() and (data[_ragged(starts[chosen][which], lengths)] == data).all()
-        if not same:  # two chunks with one hash
-            chunks = [data[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            seen: dict[bytes, int] = {}
-            which = np.array([seen.setdefault(c, len(seen)) for c in chunks])
-            chosen = np.unique(which, return_index=True)[1]
-        kept = lengths[chosen]
-        ids, per_chunk = self._encode_chunks(data[_ragged(starts[chosen], kept)], kept)
-        id_at = np.cumsum(per_chunk) - per_chunk
-        flat = ids[_ragged(id_at[which], per_chunk[which])]
-        per_unit = np.add.reduceat(per_chunk[which], np.searchsorted(starts, unit_starts))
-        return flat, per_unit
+    def encode_units(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of each unit (uint32). Units are not empty."""
+        whole = pa.array([u.encode("utf-8", "replace") for u in units], pa.large_binary()).cast(pa.large_string())
+        uneven = pc.match_substring_regex(whole, self._uneven).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(whole.filter(pa.array(~uneven)), " ")
+        counts, parts = [np.diff(parts.offsets.to_numpy())], [parts.flatten()]
+        for i in np.flatnonzero(uneven):
+            found = self._cut.split(whole[int(i)].as_py())
+            counts.append(np.array([len(found)]))
+            parts.append(pa.array(found, pa.large_string()))
+        counts, parts = np.concatenate(counts), pa.concat_arrays(parts)
+        starts = np.cumsum(counts) - counts
+        # The first chunk of a unit stands without a space, the others after one.
+        after = parts.dictionary_encode()
+        first = parts.take(pa.array(starts)).dictionary_encode()
+        which = after.indices.to_numpy().copy()
+        which[starts] = len(after.dictionary) + first.indices.to_numpy()
+        data, lengths = _laid(pc.binary_join_element_wise(self._nothing, after.dictionary, self._one_space))
+        bare, bare_lengths = _laid(first.dictionary)
+        lengths = np.concatenate([lengths, bare_lengths])
+        some = np.flatnonzero(lengths)
+        ids, found = self._encode_chunks(np.concatenate([data, bare]), lengths[some])
+        per = np.zeros(len(lengths), dtype=np.int64)
+        per[some] = found
+        flat = ids[_ragged((np.cumsum(per) - per)[which], per[which])]
+        pieces = np.split(flat, np.cumsum(np.add.reduceat(per[which], starts))[:-1])
+        out: list[np.ndarray] = [flat] * len(units)
+        for i, x in zip(np.r_[np.flatnonzero(~uneven), np.flatnonzero(uneven)].tolist(), pieces, strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[str | None], specials: bool = True) -> list[np.ndarray]:
         """Ids of each text (uint32). Without `specials` the strings of added tokens are ordinary text."""
@@ -283,8 +294,7 @@ class Encoder:
             else:
                 plan.append([-1])
                 units.append(text)
-        flat, per_unit = self.encode_units(units) if units else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
-        pieces = iter(np.split(flat, np.cumsum(per_unit)[:-1])) if units else iter(())
+        pieces = iter(self.encode_units(units) if units else ())
         out = []
         for steps in plan:
             found = [next(pieces) if x < 0 else np.array([x], dtype="<u4") for x in steps]

@@ -109,10 +109,63 @@ def test_packing_hard_rows(hard):
     assert packing.pack(hard.limit(0)).count() == 0
 
 
-def test_packing_many_sources(docs_of, monkeypatch, library):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
-    texts = [f"text {i} " * 20 for i in range(12)]
-    check_pieces(packing.pack(docs_of(texts, source=[f"s{i}" for i in range(12)])).collect(), list(enumerate(texts)), library)
+def test_packing_many_sources(docs_of, library):
+    """More sources than the closed form takes: pieces are sorted instead, with the same result."""
+    texts = [f"text {i} " * (20 + 90 * (i % 3)) for i in range(60)] + [None]
+    docs = docs_of(texts, source=[f"s{i % 23}" if i % 2 else "hot" for i in range(61)]).repartition(3)
+    for shares in (None, {"hot": 1.0, "s1": 3.0}):
+        closed, ordered = (packing.pack(docs, shares=shares, closed_queues=n).collect() for n in (100, 3))
+        places = [{(r["doc_id"], r["start"] + i): (r["sequence_id"], r["offset"] + i) for r in rows for i in range(r["length"])} for rows in (closed, ordered)]
+        assert places[0] == places[1]
+        check_pieces(ordered, list(enumerate(texts)), library)
+        assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in ordered)
+
+
+def brute_rounds(totals, weights, phases):
+    """Deficit round-robin token by token: (queue, token) in stream order."""
+    parts, credit, at, stream = sum(weights), list(phases), [0] * len(totals), []
+    earned, r = [0] * len(totals), 0
+    while sum(at) < sum(totals):
+        r += 1
+        for q, total in enumerate(totals):
+            now = r * packing.WINDOW * weights[q] // parts
+            credit[q] += now - earned[q]
+            earned[q] = now
+            rare = packing.WINDOW * weights[q] < packing.QUANTUM * parts
+            gives = credit[q] // packing.QUANTUM * packing.QUANTUM if rare else credit[q]
+            credit[q] -= gives
+            for _ in range(min(gives, total - at[q])):
+                stream.append((q, at[q]))
+                at[q] += 1
+    return stream
+
+
+def test_packing_follows_the_rounds():
+    totals = {"Sa": 9000, "Sb": 4000, "Sc": 300, "Sd": 1, "Se": 70}
+    plan = packing.Schedule(totals, totals)
+    phases = [p if packing.WINDOW * w < packing.QUANTUM * plan.parts else 0 for p, w in zip(plan.phases.tolist(), plan.weights.tolist(), strict=True)]
+    expected = {x: i for i, x in enumerate(brute_rounds(plan.totals.tolist(), plan.weights.tolist(), phases))}
+    queue = np.arange(5)
+    which, rounds, start, length = packing.pieces(np.zeros(5, dtype=np.int64), plan.totals, plan.weights, plan.phases, plan.parts)
+    place = plan.places(queue[which], rounds, start)
+    found = {(int(q), int(s) + i): int(p) + i for q, s, n, p in zip(which, start, length, place, strict=True) for i in range(n)}
+    assert found == expected
+
+
+def test_packing_long_text_of_a_rare_source():
+    """40,000 tokens of one among 1,001 sources: bounded memory, pieces of a quantum, no shredding."""
+    import tracemalloc
+
+    totals = {f"S{i}": 2_000_000 for i in range(1000)} | {"rare": 40_000}
+    plan = packing.Schedule(totals, totals)
+    at = plan.at["rare"]
+    tracemalloc.start()
+    one = lambda x: np.array([x], dtype=np.int64)
+    which, rounds, start, length = packing.pieces(one(0), one(40_000), plan.weights[[at]], plan.phases[[at]], plan.parts)
+    place = plan.places(np.full(len(which), at), rounds, start)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and length.sum() == 40_000 and (length == packing.QUANTUM).all() and (np.diff(place) > 0).all()
 
 
 CHAT = "conv_id long, turn long, role string, text string, ids string"
