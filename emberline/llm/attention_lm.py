@@ -6,7 +6,7 @@ levels, group then class in the group, and the id in its class by its corpus fre
 
     logits = direct[last class] + W . attention output,   attention output = softmax(q k' / sqrt(d)) v
 
-`direct` holds the log frequencies with which classes follow each other in the corpus; queries, keys, values
+`direct` holds the log frequencies with which classes follow each other in the texts of the corpus; queries, keys, values
 and W are trained. All probabilities are normalised, so a text's probability is that of a proper model.
 
 A text is cut into windows of CONTEXT + STEP places that overlap by CONTEXT: each token is scored once, with
@@ -28,11 +28,11 @@ START = CLASSES - 1
 WIDTH = 16
 CONTEXT, STEP = 8, 24
 LENGTH = CONTEXT + STEP
-#: Weight of the plain class frequencies in the follow-up frequencies.
-BACKOFF = 30.0
+#: Taken off each follow-up count.
+DISCOUNT = 0.75
 BATCH = 1024
-#: Windows in a training step.
-TRAIN_BATCH = 96
+#: Windows in a training step, and steps after which the rate has fallen to 1/sqrt(2).
+TRAIN_BATCH, FALL = 192, 100
 
 Params = dict[str, np.ndarray]
 
@@ -58,19 +58,18 @@ def class_tables(counts: np.ndarray, begins: np.ndarray, end_id: int) -> tuple[n
     return of, np.log(weight / mass[of]).astype(np.float32)
 
 
-def direct_tables(pairs: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Params:
-    """Log frequencies of the next group and of the class in it, after each class.
+def direct_tables(pairs: np.ndarray) -> Params:
+    """Log frequencies of the next group and of the class in it, after each class, by absolute discounting.
 
-    `pairs[a, b]`: how often b follows a inside words; `firsts`: how often a class begins a word (or ends a text);
-    `lasts`: how often it ends one. What begins a word follows what ends one by plain frequency here.
+    `pairs[a, b]`: how often b follows a in texts; START stands before one. What is discounted goes half to classes by their frequency, half by
+    the number of classes that they follow.
     """
-    begin = (firsts + 1e-3) / (firsts + 1e-3).sum()
-    n = pairs + lasts[:, None] * begin[None, :]
-    plain = n.sum(axis=0)
-    plain = (plain + 0.1) / (plain + 0.1).sum()
-    n[START] = n[0] = 0  # a text begins as a word does
-    n[START] += 1e6 * begin
-    p = (n + BACKOFF * plain) / (n.sum(axis=1, keepdims=True) + BACKOFF)
+    follows = pairs > 0
+    plain, wide = pairs.sum(axis=0) + 0.1, follows.sum(axis=0) + 0.5
+    other = plain / plain.sum() / 2 + wide / wide.sum() / 2
+    cut = np.maximum(pairs - DISCOUNT, 0)
+    left = DISCOUNT * follows.sum(axis=1, keepdims=True) + 1
+    p = (cut + left * other) / (cut.sum(axis=1, keepdims=True) + left)
     p = p.reshape(CLASSES, SIDE, SIDE)
     group = p.sum(axis=2)
     return {"group": np.log(group).astype(np.float32), "inner": np.log(p / group[:, :, None]).astype(np.float32)}
@@ -85,152 +84,208 @@ def new_params(seed: int = 7) -> Params:
     }
 
 
-#: A place sees itself and what is before it; the first CONTEXT places ask nothing.
-MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None], 0, -1e9).astype(np.float32)
+#: 1 where a place may look: at itself and at what is before it. The first CONTEXT places ask nothing.
+SEEN = (np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]).astype(np.float32)
 
 
-def windows(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (n, LENGTH) and targets (n, STEP, -1 where there is none) for texts laid end to end; sizes are positive.
+def windows(classes: np.ndarray, sizes: np.ndarray, every: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, int]:
+    """Inputs (n, LENGTH) and targets (n, STEP, -1 where there is none) for texts laid end to end, and how many windows they have in all.
 
-    The input at a place is the class before its target; START stands before a text.
+    Sizes are positive. The input at a place is the class before its target; START stands before a text. `every`: the windows wanted.
     """
     per = -(-sizes // STEP)
-    text_at = np.cumsum(sizes) - sizes
-    which = np.repeat(np.arange(len(sizes)), per)
-    first = (np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)) * STEP
-    place = first[:, None] + np.arange(-CONTEXT, STEP)[None, :]
-    inside = place - 1
-    flat = text_at[which][:, None] + inside
-    inputs = np.where(inside >= 0, classes[np.clip(flat, 0, len(classes) - 1)], START)
-    target_place = place[:, CONTEXT:]
-    ok = target_place < sizes[which][:, None]
-    inputs[:, CONTEXT:][~ok] = START
-    targets = np.where(ok, classes[np.minimum(text_at[which][:, None] + target_place, len(classes) - 1)], -1)
-    return inputs, targets
-
-
-def _project(p: Params, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return p["q"][c[:, CONTEXT:]] + p["pq"][CONTEXT:], p["k"][c] + p["pk"], p["v"][c]
-
-
-#: 1 where a place may look.
-SEEN = (MASK == 0).astype(np.float32)
-
-
-def _outputs(p: Params, c: np.ndarray) -> np.ndarray:
-    """Attention outputs alone, in fewer passes than _attend: the mask is a factor, the sums ride along in the product with the values.
-
-    Scores are a few units at most, so they need no shift before exp.
-    """
-    q, k, v = _project(p, c)
-    q *= np.float32(1 / math.sqrt(WIDTH))
+    count = int(per.sum())
+    first = (np.arange(count) - np.repeat(np.cumsum(per) - per, per))[every] * STEP
+    text_at, size = (np.repeat(x, per)[every] for x in (np.cumsum(sizes) - sizes, sizes))
+    # Classes with STARTs before and after, so that places outside a text need no care until they are overwritten.
+    padded = np.concatenate([np.full(CONTEXT + 1, START, dtype=classes.dtype), classes, np.full(STEP, START, dtype=classes.dtype)])
+    span = np.lib.stride_tricks.sliding_window_view(padded, LENGTH + 1)[text_at + first]
+    inputs, targets = span[:, :-1].copy(), span[:, CONTEXT + 1 :].copy()
+    begins = np.flatnonzero(first == 0)
+    inputs[begins, : CONTEXT + 1] = START
+    cut = np.flatnonzero(size - first < STEP)
+    beyond = np.arange(STEP)[None, :] >= (size - first)[cut, None]
+    inputs[cut, CONTEXT:] = np.where(beyond, START, inputs[cut, CONTEXT:])
+    targets[cut] = np.where(beyond, -1, targets[cut])
+    return inputs, targets, count
+
+
+def _bounded(p: Params) -> bool:
+    """Whether attention scores and what is added to log frequencies are under 60 whatever the input, so that exp can't overflow."""
+    size = lambda x: float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=-1).max()))
+    scores = (size(p["q"]) + size(p["pq"])) * (size(p["k"]) + size(p["pk"])) / math.sqrt(WIDTH)
+    added = size(p["v"]) * max(size(p["wg"].T) + float(np.abs(p["bg"]).max()), size(p["wi"].transpose(0, 2, 1).reshape(-1, WIDTH)))
+    return scores < 60 and added < 60
+
+
+def _tables(p: Params) -> Params:
+    """Keys and values of a class beside each other, and a one for the sums; queries scaled."""
+    scale = np.float32(1 / math.sqrt(WIDTH))
+    return {"q": p["q"] * scale, "pq": p["pq"][CONTEXT:] * scale, "kv": np.concatenate([p["k"], p["v"], np.ones((CLASSES, 1), np.float32)], axis=1), "pk": p["pk"]}
+
+
+#: 1 where a place may look: at itself and at what is before it. The first CONTEXT places ask nothing.
+SEEN = (np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]).astype(np.float32)
+
+
+def _attend(t: Params, c: np.ndarray, safe: bool) -> tuple[np.ndarray, ...]:
+    """Scaled queries, keys and values (with a one), weights before they are divided by their sums, outputs, sums."""
+    q = t["q"].take(c[:, CONTEXT:], axis=0)
+    q += t["pq"]
+    kv = t["kv"].take(c, axis=0)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    k += t["pk"]
     a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
+    if not safe:
+        np.minimum(a, 60, out=a)
     np.exp(a, out=a)
     a *= SEEN
-    o = a @ np.concatenate([v, np.ones((*v.shape[:2], 1), np.float32)], axis=2)
-    return o[:, :, :WIDTH] / o[:, :, WIDTH:]
+    o = a @ v
+    total = o[:, :, WIDTH:].copy()
+    return q, k, v, a, o[:, :, :WIDTH] / total, total
 
 
-def _attend(p: Params, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    q, k, v = _project(p, c)
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / math.sqrt(WIDTH))
-    a += MASK
-    a -= a.max(axis=-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=-1, keepdims=True)
-    return q, k, v, a, a @ v
+#: Sums over a last axis of 32 are products with this.
+_ONES = np.ones(SIDE, dtype=np.float32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=-1, keepdims=True)
+def _softmax(z: np.ndarray, safe: bool) -> np.ndarray:
+    """Overwrites z."""
+    if not safe:
+        np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=-1, keepdims=True)
+    z /= (z @ _ONES)[:, None]
     return z
 
 
-def _log_p(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log softmax(z)[at] by rows; overwrites z. Logits are log frequencies plus a little, so exp can't overflow."""
-    chosen = z[np.arange(len(z)), at]
+def _log_p(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """log softmax(z)[at] by rows; overwrites z."""
+    if not safe:
+        np.minimum(z, 60, out=z)
+    chosen = z.ravel().take(np.arange(0, z.size, SIDE) + at)
     np.exp(z, out=z)
-    return chosen - np.log(z.sum(axis=1))
+    return chosen - np.log(z @ _ONES)
+
+
+def _by_group(p: Params, direct: Params, o: np.ndarray, last: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by target group, ends of the groups in it, outputs in it, and logits of the classes in the group."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.searchsorted(group.take(order), np.arange(SIDE + 1))
+    z = direct["inner"].reshape(-1, SIDE).take((last * SIDE + group).take(order), axis=0)
+    o = o.take(order, axis=0)
+    for g in range(SIDE):
+        if ends[g + 1] > ends[g]:
+            z[ends[g] : ends[g + 1]] += o[ends[g] : ends[g + 1]] @ p["wi"][g]
+    return order, ends, o, z
 
 
 def log_probs(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, 0 where there is none."""
     out = np.zeros(targets.shape, dtype=np.float32)
+    t, safe, begin = _tables(p), _bounded(p), direct["group"] + p["bg"]
     for i in range(0, len(inputs), BATCH):
         c, y = inputs[i : i + BATCH], targets[i : i + BATCH]
-        o = _outputs(p, c)
-        some = y >= 0
-        o, last, goal = o[some], c[:, CONTEXT:][some], y[some]
+        some = np.flatnonzero(y.ravel() >= 0)
+        o = _attend(t, c, safe)[4].reshape(-1, WIDTH).take(some, axis=0)
+        last, goal = c[:, CONTEXT:].ravel().take(some).astype(np.int64), y.ravel().take(some)
         group, inner = goal // SIDE, goal % SIDE
-        z = direct["group"][last]
-        z += o @ p["wg"] + p["bg"]
-        found = _log_p(z, group)
-        # Rows by target group: one product with each group's weights.
-        order = np.argsort(group, kind="stable")
-        z = direct["inner"][last[order], group[order]]
-        o = o[order]
-        ends = np.searchsorted(group[order], np.arange(SIDE + 1))
-        for g in range(SIDE):
-            a, b = ends[g], ends[g + 1]
-            if b > a:
-                z[a:b] += o[a:b] @ p["wi"][g]
-        found[order] += _log_p(z, inner[order])
-        out[i : i + BATCH][some] = found
+        z = o @ p["wg"]
+        z += begin.take(last, axis=0)
+        found = _log_p(z, group, safe)
+        order, _, _, z = _by_group(p, direct, o, last, group)
+        found[order] += _log_p(z, inner.take(order), safe)
+        out[i : i + BATCH].ravel()[some] = found
     return out
 
 
-def gradients(p: Params, direct: Params, c: np.ndarray, y: np.ndarray) -> Params:
+def _scattered(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sums of the rows of d by class."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    found = at.take(order)
+    cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    out = np.zeros((CLASSES, d.shape[1]), dtype=np.float32)
+    out[found.take(cuts)] = np.add.reduceat(d.take(order, axis=0), cuts, axis=0)
+    return out
+
+
+def gradients(p: Params, direct: Params, c: np.ndarray, y: np.ndarray, safe: bool = False) -> Params:
     """Gradient of the mean negative log probability of the targets (y >= 0)."""
-    q, k, v, a, o = _attend(p, c)
-    some = y >= 0
-    n = max(1, int(some.sum()))
-    o_, last, goal = o[some], c[:, CONTEXT:][some], y[some]
+    q, k, v, a, o, total = _attend(_tables(p), c, safe)
+    v = v[:, :, :WIDTH]
+    some = np.flatnonzero(y.ravel() >= 0)
+    n = np.float32(1 / max(1, len(some)))
+    o_, last, goal = o.reshape(-1, WIDTH).take(some, axis=0), c[:, CONTEXT:].ravel().take(some).astype(np.int64), y.ravel().take(some)
     group, inner = goal // SIDE, goal % SIDE
-    rows = np.arange(len(goal))
-    z = _softmax(direct["group"][last] + o_ @ p["wg"] + p["bg"])
-    z[rows, group] -= 1
-    z /= n
+    z = o_ @ p["wg"]
+    z += p["bg"]
+    z += direct["group"].take(last, axis=0)
+    z = _softmax(z, safe)
+    flat = np.arange(0, z.size, SIDE)
+    z.ravel()[flat + group] -= 1
+    z *= n
     grads: Params = {"wg": o_.T @ z, "bg": z.sum(axis=0), "wi": np.zeros_like(p["wi"])}
     d_o = z @ p["wg"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(SIDE + 1))
+    order, ends, sorted_o, w = _by_group(p, direct, o_, last, group)
+    w = _softmax(w, safe)
+    w.ravel()[flat + inner.take(order)] -= 1
+    w *= n
+    d_inner = np.empty_like(sorted_o)
     for g in range(SIDE):
-        at = order[ends[g] : ends[g + 1]]
-        if len(at):
-            w = _softmax(direct["inner"][last[at], g] + o_[at] @ p["wi"][g])
-            w[np.arange(len(at)), inner[at]] -= 1
-            w /= n
-            grads["wi"][g] = o_[at].T @ w
-            d_o[at] += w @ p["wi"][g].T
+        at = slice(ends[g], ends[g + 1])
+        if ends[g + 1] > ends[g]:
+            grads["wi"][g] = sorted_o[at].T @ w[at]
+            np.matmul(w[at], p["wi"][g].T, out=d_inner[at])
+    d_o[order] += d_inner
     full = np.zeros_like(o)
-    full[some] = d_o
-    d_a = full @ v.transpose(0, 2, 1)
-    d_v = a.transpose(0, 2, 1) @ full
-    d_s = a * (d_a - (d_a * a).sum(axis=-1, keepdims=True)) * np.float32(1 / math.sqrt(WIDTH))
-    d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+    full.reshape(-1, WIDTH)[some] = d_o
+    # Through the softmax: each weight times (what its value gets less what the place gets in all).
+    part = full / total
+    d_s = part @ v.transpose(0, 2, 1)
+    d_s -= np.einsum("bij,bij->bi", part, o)[:, :, None]
+    d_s *= a
+    d_kv = np.concatenate([d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ part], axis=2)
+    d_q = d_s @ k
+    d_q *= np.float32(1 / math.sqrt(WIDTH))
     grads["pq"] = np.zeros_like(p["pq"])
     grads["pq"][CONTEXT:] = d_q.sum(axis=0)
-    grads["pk"] = d_k.sum(axis=0)
-    for name, d, at in (("q", d_q, c[:, CONTEXT:]), ("k", d_k, c), ("v", d_v, c)):
-        keys = (at.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-        grads[name] = np.bincount(keys, d.ravel(), CLASSES * WIDTH).reshape(CLASSES, WIDTH).astype(np.float32)
+    grads["pk"] = d_kv[:, :, :WIDTH].sum(axis=0)
+    grads["q"] = _scattered(c[:, CONTEXT:].ravel(), d_q.reshape(-1, WIDTH))
+    both = _scattered(c.ravel(), d_kv.reshape(-1, 2 * WIDTH))
+    grads["k"], grads["v"] = both[:, :WIDTH], both[:, WIDTH:]
     return grads
 
 
-def train(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray, steps: int, batch: int = TRAIN_BATCH, rate: float = 0.02, seed: int | list[int] = 1) -> Params:
-    """Adam over random windows, with a falling rate."""
-    p = {k: v.copy() for k, v in p.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
-    for t in range(1, steps + 1):
-        at = rng.integers(0, len(inputs), batch)
-        for name, g in gradients(p, direct, inputs[at], targets[at]).items():
-            mean[name] = 0.9 * mean[name] + 0.1 * g
-            square[name] = 0.99 * square[name] + 0.01 * g * g
-            step = mean[name] / (1 - 0.9**t) / (np.sqrt(square[name] / (1 - 0.99**t)) + 1e-8)
-            p[name] -= np.float32(rate * (1 - (t - 1) / steps)) * step.astype(np.float32)
-    return p
+class Trainer:
+    """Adam steps over a stream of windows with a falling rate; every window is used once."""
+
+    def __init__(self, p: Params, direct: Params, seed: int | list[int] = 1, rate: float = 0.04) -> None:
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.direct, self.rate, self.t = direct, rate, 0
+        self._rng = np.random.default_rng(seed)
+        self._mean, self._square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def see(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+        order = self._rng.permutation(len(inputs))
+        for i in range(0, len(order), TRAIN_BATCH):
+            self._step(inputs[order[i : i + TRAIN_BATCH]], targets[order[i : i + TRAIN_BATCH]])
+
+    def _step(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+        self.t += 1
+        # A batch that is not full weighs less.
+        rate = self.rate / math.sqrt(1 + self.t / FALL) * len(inputs) / TRAIN_BATCH
+        rate *= math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        if self.t % 32 == 1:  # weights move little in 32 steps: 60 is far under what exp takes
+            self._safe = _bounded(self.p)
+        for name, g in gradients(self.p, self.direct, inputs, targets, self._safe).items():
+            mean, square = self._mean[name], self._square[name]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * g
+            square *= np.float32(0.99)
+            g = g * g
+            g *= np.float32(0.01)
+            square += g
+            step = np.sqrt(square)
+            step += np.float32(1e-8)
+            np.divide(mean, step, out=step)
+            step *= np.float32(rate)
+            self.p[name] -= step

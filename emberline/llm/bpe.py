@@ -241,12 +241,11 @@ class Encoder:
         ids = merged.take(_ragged((np.cumsum(per) - per).take(which), per_word))
         return ids.astype("<u4"), np.add.reduceat(per_word, np.searchsorted(words, chunk_at))
 
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct words, each as after a space in a text, and how many each has."""
-        if not words:
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (large strings without white space), each as after a space in a text, and how many each has."""
+        if not len(words):
             return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        return self._encode_chunks(np.frombuffer(b" " + b" ".join(words), dtype=np.uint8), lengths)
+        return self._encode_chunks(*_laid(pc.binary_join_element_wise(self._nothing, words, self._one_space)))
 
     def encode_units(self, units: list[str]) -> list[np.ndarray]:
         """Ids of each unit (uint32). Units are not empty."""

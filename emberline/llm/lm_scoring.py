@@ -1,29 +1,33 @@
 """Language-model scores of whole texts: a numpy self-attention model over subword ids, and a word-count base.
 
 What is gathered from the corpus covers all training documents and grows with it:
-1. Documents are dealt into chunks of about `CHUNK_BYTES` of text where they lie. Each chunk sends its distinct words
-   with their training counts (a map-side combine); a window over each word adds up the counts of all chunks and
-   the result is written to the shared folder. A word has one row a chunk, however frequent it is.
-2. The distinct words with their corpus counts give counts of subword ids, then of class follow-ups.
-3. Queries, keys, values and output weights are trained data-parallel: in each of `ROUNDS` rounds every partition streams
-   its share (one in `SHARE`) of the training documents in blocks of at most about `BLOCK_WINDOWS` windows. Each block takes steps
-   in proportion to its windows, starting from the weights of the round, and the weights are averaged by the
-   number of windows. Sums are combined by tasks before the driver sees them.
-4. Chunks meet their words with corpus counts (cogroup); each token of each text is scored once in overlapping
-   windows, and the base is summed.
+1. One scan deals the documents into chunks of about `CHUNK_BYTES` of text where they lie and writes them to the
+   shared folder once: each text as subword ids and as word numbers of its chunk, each chunk's distinct words with their
+   training counts. All later steps read these rows, so chunks can't change between steps or after a lost executor.
+2. A window over each word adds up its counts of all chunks. A word has at most one row a chunk, and a chunk has far more
+   distinct words than any one, so no word is more than a small share of these rows.
+3. Counts of subword ids, then of class follow-ups, are summed over all training texts.
+4. Queries, keys, values and output weights are trained data-parallel in `ROUNDS` rounds: every partition streams its
+   training texts in blocks of windows, starts from the weights of the round before and takes a step for each batch; the
+   weights are averaged by the number of windows. Each window of each training text is trained on in exactly one round.
+   Steps follow the windows alone, at every size. Sums meet in levels of `FAN_IN`, so no task gets them all.
+5. Each token of each text is scored once in overlapping windows, where the text lies.
+6. Chunks meet the corpus counts of their words (cogroup), and the base is summed.
 
 Texts are lower-cased in A-Z; tokens are words `[^\\x20\\x09-\\x0D]+` and one end. A word's subword ids are those it has
 after a space, the end is an id of its own, so the model's probability is over texts as token sequences.
 
 Defined results: null and empty texts have the end token alone; without training documents N and V are 0 and the model
 is its untrained start; a null doc_id hashes as the empty text; rows may repeat; an empty table gives an empty
-result; extra columns are ignored. A group in a cogroup is one chunk: bounded, but for a text that is longer.
+result; extra columns are ignored. A group in a cogroup is one chunk: bounded, but for a text that is longer. Weights, and
+so scores, depend on how the input is partitioned; counts and base do not.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,23 +37,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import attention_lm as model
-from emberline.llm.bpe import Encoder, _ragged, load, vocabulary_path
+from emberline.llm.bpe import Encoder, _laid, _ragged, load, vocabulary_path
 from emberline.llm.common import table, written
 
-CHUNK_BYTES = 10_000_000
-#: One in so many training documents feeds the steps of a round; more where there are fewer than SHARE * FEW of them.
-SHARE, FEW = 16, 2000
+CHUNK_BYTES = 32_000_000
 ROUNDS = 2
-#: A block takes one step for each TRAIN_BATCH of its windows, and STEPS at least; more where there are few partitions, so that
-#: a round has ALL_STEPS at least, but these never more than EPOCHS times through its windows.
-EPOCHS = 3
-STEPS, ALL_STEPS = 60, 1000
-#: Windows that are held at once, up to those of BLOCK_TEXTS texts more; all windows of the share are trained on.
-BLOCK_WINDOWS, BLOCK_TEXTS = 40_000, 200
-#: Rows of words encoded at once.
-ENCODED_ROWS = 400_000
-#: Tokens scored at once.
-SCORED = 1_000_000
+#: Windows that are shuffled and trained on at once.
+BLOCK_WINDOWS = 30_000
+#: Bytes of ids that are turned into windows at once.
+SLICE_BYTES = 1_000_000
+#: Bytes of numbers and ids, and words, in a batch of rows.
+ROW_BYTES, ROW_WORDS = 8_000_000, 200_000
+#: Rows of sums that one task adds up.
+FAN_IN = 32
+LM_ROWS = "chunk long, doc_id long, held_out boolean, numbers binary, ids binary, number int, word binary, k long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -57,301 +58,295 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(chunk, rows) pieces; a chunk is closed when its texts reach CHUNK_BYTES. Depends on the partition's rows alone."""
-    part, number, size = TaskContext.get().partitionId(), 0, 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(chunk, its rows): a chunk is closed when its texts reach CHUNK_BYTES."""
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
-        start = 0
-        for i, n in enumerate(lengths.tolist()):
-            size += n
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(batch):
+            to = min(len(batch), int(np.searchsorted(ends, done + CHUNK_BYTES - size)) + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - done
+            at, done = to, int(ends[to - 1])
             if size >= CHUNK_BYTES:
-                yield part << 24 | number, batch.slice(start, i + 1 - start)
-                start, number, size = i + 1, number + 1, 0
-        if start < len(batch):
-            yield part << 24 | number, batch.slice(start)
+                yield part << 24 | number, pa.Table.from_batches(held)
+                number, held, size = number + 1, [], 0
+    if held:
+        yield part << 24 | number, pa.Table.from_batches(held)
 
 
-def count_words(docs: DataFrame, path: str) -> DataFrame:
-    """chunk, word, c (its count in all training documents), one (true in one row of each word with c > 0), ids; in the shared folder.
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts laid end to end, A-Z lower-cased, and how many each text has."""
+    plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    parts = pc.ascii_split_whitespace(plain)
+    words = parts.flatten()
+    some = pc.greater(pc.binary_length(words), 0)
+    seen = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return words.filter(some), np.diff(seen[offsets])
 
-    Rows come out of the window sorted by word, so each word is encoded once, where all its rows are.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            words, counts = list(seen), np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-            for i in range(0, len(words), 100_000):
-                part = words[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([now] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(counts[i : i + 100_000])], names=["chunk", "word", "k"]
-                )
-
-        for chunk, rows in _chunks(batches, 1):
-            if now != chunk:
-                yield from out()
-                now, seen = chunk, Counter()
-            for train, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                found = tokens(text.as_py())
-                if train:
-                    seen.update(found)
-                else:
-                    for word in set(found):
-                        seen[word] += 0
-        yield from out()
-
-    rows = docs.select((~held_out(F.col("doc_id"))).alias("train"), "text").mapInArrow(run, "chunk long, word binary, k long")
-    alike = Window.partitionBy("word").orderBy("chunk")
-    whole = alike.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = rows.select("chunk", "word", F.sum("k").over(whole).alias("c"), F.row_number().over(alike).alias("row"))
-    counted = counted.select("chunk", "word", "c", ((F.col("row") == 1) & (F.col("c") > 0)).alias("one"))
-
-    def with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = Encoder(path), []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            found = pa.Table.from_batches(held)
-            words = found.column("word").combine_chunks()
-            starts = np.flatnonzero(np.r_[True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])
-            ids, per = encoder.encode_words(words.take(pa.array(starts)).to_pylist())
-            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(words)]))
-            packed = _packed(ids, per, encoder.vocab.size).take(pa.array(which))
-            yield from found.append_column("ids", packed).to_batches(max_chunksize=50_000)
+def with_ends(numbers: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of texts with `end` after each text, and the new sizes."""
+    out = np.empty(len(numbers) + len(counts), dtype=numbers.dtype)
+    last = np.cumsum(counts + 1) - 1
+    inside = np.ones(len(out), dtype=bool)
+    inside[last] = False
+    out[inside] = numbers
+    out[last] = end
+    return out, counts + 1
 
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= ENCODED_ROWS:
-                yield from out()
-                held = []
-        if sum(map(len, held)):
-            yield from out()
 
-    return written(counted.mapInArrow(with_ids, "chunk long, word binary, c long, one boolean, ids binary"), "lm-words")
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary column of pieces of an array."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _kind(size: int) -> np.dtype:
-    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """What _binary packed: all pieces laid end to end, and the size of each."""
+    data, lengths = _laid(column.cast(pa.large_binary()))
+    return data.view(kind), lengths // np.dtype(kind).itemsize
 
 
-def _packed(ids: np.ndarray, per: np.ndarray, size: int) -> pa.Array:
-    """Ids of words as a binary column."""
-    kind = _kind(size)
-    offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32) * kind.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype(kind).tobytes())])
+def _kind(size: int) -> str:
+    """Type of subword ids, the end's included."""
+    return "<u2" if size < 1 << 16 else "<u4"
 
 
-def _unpacked(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids laid end to end (int64) and how many each word has."""
-    if not len(column):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    kind = _kind(size)
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    flat = np.frombuffer(data, dtype=kind)[ends[0] // kind.itemsize : ends[-1] // kind.itemsize] if ends[-1] > ends[0] else np.zeros(0, dtype=kind)
-    return flat.astype(np.int64), np.diff(ends).astype(np.int64) // kind.itemsize
+def prepare(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (chunk, doc_id, held_out, numbers, ids) and words (chunk, number, word, k: count in training texts), in the shared folder."""
+    kind = _kind(load(path).size)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        end_id = encoder.vocab.size
+        schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("ids", pa.binary()),
+                            ("number", pa.int32()), ("word", pa.binary()), ("k", pa.int64())])
+
+        def out(n: int, chunk: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["chunk"] = pa.array(np.full(n, chunk))
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        for chunk, rows in _chunks(batches):
+            words, counts = split_words(rows.column("text").combine_chunks())
+            found = words.dictionary_encode()
+            numbers, distinct = found.indices.to_numpy(), found.dictionary
+            train = ~rows.column("held_out").to_numpy(zero_copy_only=False)
+            k = np.bincount(numbers[np.repeat(train, counts)], minlength=len(distinct))
+            ids, per = encoder.encode_words(distinct)
+            for at in range(0, len(distinct), ROW_WORDS):
+                part = distinct.slice(at, ROW_WORDS)
+                yield out(len(part), chunk, number=pa.array(np.arange(at, at + len(part))), word=part.cast(pa.large_binary()), k=pa.array(k[at : at + len(part)]))
+            starts = np.cumsum(per) - per
+            ends = np.cumsum(counts)
+            at = 0
+            while at < len(rows):  # texts of some megabytes at a time
+                first = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, first + ROW_BYTES // 4)))
+                own, sizes = numbers[first : int(ends[to - 1])], counts[at:to]
+                n_ids = np.add.reduceat(np.append(per[own], 0), np.minimum(np.cumsum(sizes) - sizes, len(own))) * (sizes > 0)
+                flat, id_sizes = with_ends(ids[_ragged(starts[own], per[own])], n_ids, end_id)
+                piece = rows.slice(at, to - at)
+                yield out(to - at, chunk, doc_id=piece.column("doc_id").combine_chunks(), held_out=piece.column("held_out").combine_chunks(),
+                          numbers=_binary(own.astype("<i4"), sizes), ids=_binary(flat.astype(kind), id_sizes))
+                at = to
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, LM_ROWS)
+    rows = written(rows, "lm-rows")
+    texts = rows.filter("number is null").select("chunk", "doc_id", "held_out", "numbers", "ids")
+    return texts, rows.filter("number is not null").select("chunk", "number", "word", "k")
+
+
+def corpus_counts(words: DataFrame) -> DataFrame:
+    """chunk, number, c (the word's count in all training texts), first (true in one row of each word); in the shared folder."""
+    alike = Window.partitionBy("word")
+    counted = words.select("chunk", "number", F.sum("k").over(alike).alias("c"), (F.min("chunk").over(alike) == F.col("chunk")).alias("first"))
+    return written(counted, "lm-counts")
+
+
+def _met(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, last: int = 4) -> list:
+    """Rows of sums, one a partition, added up in levels of FAN_IN until `last` are left for the driver."""
+    parts = df.rdd.getNumPartitions()
+    while parts > last:
+        parts = max(last, -(-parts // FAN_IN))
+        df = df.repartition(parts).mapInArrow(add, schema)
+    return df.collect()
+
+
+def summed(rows: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all batches of an array of `size` numbers; tasks send one row each."""
+
+    def row(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["sums"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            total += count(batch)
+        yield row(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype="<i8")
+        yield row(total)
 
-def _summed(words: DataFrame, run, size: int) -> np.ndarray:
-    """Array of sums over the (key, n) rows that tasks make of distinct words; `size` bounds what the driver gets."""
-    sums = words.filter("one").select("ids", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
-    out[sums.column("key").to_numpy()] = sums.column("n").to_numpy()
+    for r in _met(rows.mapInArrow(run, "sums binary"), add, "sums binary"):
+        out += np.frombuffer(r["sums"], dtype="<i8")
     return out
 
 
-def subword_counts(words: DataFrame, path: str) -> np.ndarray:
-    """Corpus count of each subword id."""
-    size = load(path).size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(size)
-        for batch in batches:
-            ids, per = _unpacked(batch.column(0), size)
-            sums += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), per), size)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some].astype(np.int64))], names=["key", "n"])
+def class_pairs(training: DataFrame, of: np.ndarray, kind: str) -> np.ndarray:
+    """How often class b follows class a in training texts; START stands before a text."""
+    n, small = model.CLASSES, of.astype(np.int32)
 
-    return _summed(words, run, size)
+    def count(batch: pa.RecordBatch) -> np.ndarray:
+        ids, sizes = _numbers(batch.column(0), kind)
+        after = small.take(ids)
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[np.cumsum(sizes) - sizes] = model.START
+        return np.bincount(before * n + after, minlength=n * n)
 
+    return summed(training, count, n * n).reshape(n, n)
 
-def class_counts(words: DataFrame, path: str, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often class b follows a inside words, begins words, ends words."""
-    n, size = model.CLASSES, load(path).size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(n * n + 2 * n)
-        for batch in batches:
-            ids, per = _unpacked(batch.column(0), size)
-            if not len(ids):
-                continue
-            count = batch.column(1).to_numpy()
-            classes, weight = of[ids], np.repeat(count, per)
-            ends = np.cumsum(per)
-            inside = np.ones(len(ids), dtype=bool)
-            inside[ends - 1] = False
-            at = np.flatnonzero(inside)
-            np.add.at(sums, classes[at] * n + classes[at + 1], weight[at])
-            sums[n * n : n * n + n] += np.bincount(classes[ends - per], count, n)
-            sums[n * n + n :] += np.bincount(classes[ends - 1], count, n)
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some].astype(np.int64))], names=["key", "n"])
-
-    sums = _summed(words, run, n * n + 2 * n)
-    return sums[: n * n].reshape(n, n), sums[n * n : n * n + n], sums[n * n + n :]
-
-
-def _text_ids(encoder: Encoder, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of texts laid end to end, each with its end, and their numbers."""
-    number: dict[bytes, int] = {}
-    found = [[number.setdefault(w, len(number)) for w in tokens(t)] for t in texts]
-    ids, per = encoder.encode_words(list(number))
-    return _laid_out(np.r_[ids, end_id].astype(np.int64), np.r_[per, 1], [np.array([*x, len(number)]) for x in found])
-
-
-def _laid_out(ids: np.ndarray, per: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    words = np.concatenate(texts)
-    starts = np.cumsum([0, *map(len, texts[:-1])])
-    at = np.cumsum(per) - per
-    return ids[_ragged(at[words], per[words])], np.add.reduceat(per[words], starts)
-
-
-def blocks(batches: Iterator[pa.RecordBatch], encoder: Encoder, classes: np.ndarray, end_id: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Inputs and targets of all texts, cut where `size` windows are reached."""
-    inputs, targets, held = [], [], 0
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about SLICE_BYTES in a binary column, or one row."""
     for batch in batches:
-        for i in range(0, len(batch), BLOCK_TEXTS):
-            ids, sizes = _text_ids(encoder, batch.column(0).slice(i, BLOCK_TEXTS).to_pylist(), end_id)
-            c, y = model.windows(classes[ids], sizes)
-            inputs.append(c.astype(np.int16))
-            targets.append(y.astype(np.int16))
-            held += len(c)
-            if held >= size:
-                yield np.concatenate(inputs).astype(np.int64), np.concatenate(targets).astype(np.int64)
-                inputs, targets, held = [], [], 0
-    if held:
-        yield np.concatenate(inputs).astype(np.int64), np.concatenate(targets).astype(np.int64)
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + SLICE_BYTES)))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def steps_of(held: int, least: int) -> int:
-    """Steps of a block of so many windows."""
-    return max(-(-held // model.TRAIN_BATCH), min(least, 1 + EPOCHS * held // model.TRAIN_BATCH))
-
-
-def train(docs: DataFrame, path: str, of: np.ndarray, direct: model.Params, end_id: int, texts: int) -> model.Params:
-    """Local steps on every block of every partition, averaged, ROUNDS times. `texts`: how many training documents there are."""
-    share = max(1, min(SHARE, texts // FEW))
-    count = max(STEPS, ALL_STEPS // max(1, docs.select("doc_id").rdd.getNumPartitions()))
+def train(training: DataFrame, of: np.ndarray, direct: model.Params, kind: str, rounds: int = ROUNDS) -> model.Params:
+    """Local steps over all windows of every partition, averaged, in rounds that take turns at the windows. `training` has ids."""
     weights = model.new_params()
-    names = list(weights)
-    shapes = {k: v.shape for k, v in weights.items()}
+    names, shapes = list(weights), {k: v.shape for k, v in weights.items()}
     small = of.astype(np.int16)
-    for number in range(ROUNDS):
-        start = weights
-
-        def steps(batches: Iterator[pa.RecordBatch], start=start, number=number) -> Iterator[pa.RecordBatch]:
-            classes, total, flat = small.astype(np.int64), 0, None
-            for block, (inputs, targets) in enumerate(blocks(batches, Encoder(path), classes, end_id, BLOCK_WINDOWS)):
-                seed = [TaskContext.get().partitionId(), number, block]
-                got = model.train(start, direct, inputs, targets, steps_of(len(inputs), count), seed=seed)
-                part = np.concatenate([got[k].ravel() for k in names]).astype(np.float64) * len(inputs)
-                total, flat = total + len(inputs), part if flat is None else flat + part
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, flat = 0, None
-            for batch in batches:
-                for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    part = np.frombuffer(x.as_buffer(), dtype=np.float64)
-                    n, flat = n + k, part if flat is None else flat + part
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
-
-        mine = docs.filter(~held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", F.lit(number)), F.lit(share)) == 0)).select("text")
-        sums = mine.mapInArrow(steps, "n long, flat binary").repartition(8).mapInArrow(add, "n long, flat binary").collect()
+
+    def row(n: int, flat: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, flat = 0, None
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(x.as_buffer(), dtype=np.float64)
+                n, flat = n + k, part if flat is None else flat + part
+        yield from row(n, flat)
+
+    for number in range(rounds):
+
+        def steps(batches: Iterator[pa.RecordBatch], start=weights, number=number) -> Iterator[pa.RecordBatch]:
+            trainer, total, seen = model.Trainer(start, direct, [TaskContext.get().partitionId(), number]), 0, 0
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def see(last: bool) -> None:
+                nonlocal held, total
+                c, y = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = len(c) if last else len(c) // model.TRAIN_BATCH * model.TRAIN_BATCH
+                trainer.see(c[:whole], y[:whole])
+                total += whole
+                held = [(c[whole:], y[whole:])]
+
+            for batch in _slices(batches, "ids"):
+                ids, sizes = _numbers(batch.column(0), kind)
+                c, y, count = model.windows(small.take(ids), sizes, slice((number - seen) % rounds, None, rounds))
+                seen += count
+                held.append((c, y))
+                if sum(len(x) for x, _ in held) >= BLOCK_WINDOWS:
+                    see(False)
+            if sum(len(x) for x, _ in held):
+                see(True)
+            yield from row(total, np.concatenate([trainer.p[k].ravel() for k in names]).astype(np.float64) * total)
+
+        sums = _met(training.mapInArrow(steps, "n long, flat binary"), add, "n long, flat binary")
         total = sum(r["n"] for r in sums)
         if not total:
             return {k: np.zeros_like(v) for k, v in weights.items()}
         flat = sum(np.frombuffer(r["flat"], dtype=np.float64) for r in sums) / total
-        cuts = np.cumsum([int(np.prod(shapes[k])) for k in names])[:-1]
+        cuts = np.cumsum([math.prod(shapes[k]) for k in names])[:-1]
         weights = {k: x.reshape(shapes[k]).astype(np.float32) for k, x in zip(names, np.split(flat, cuts), strict=True)}
     return weights
 
 
+@dataclass
+class Fitted:
+    """What scoring needs: class of each subword id (the end's is the last), log probability in its class, tables, weights."""
+
+    of: np.ndarray
+    in_class: np.ndarray
+    direct: model.Params
+    weights: model.Params
+    kind: str
+
+    def log10_probs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of texts laid end to end; sizes are positive."""
+        c, y, _ = model.windows(self.of.astype(np.int16).take(ids), sizes)
+        rows = model.log_probs(self.weights, self.direct, c, y).sum(axis=1, dtype=np.float64)
+        per = -(-sizes // model.STEP)
+        total = np.add.reduceat(rows, np.cumsum(per) - per) + np.add.reduceat(self.in_class.take(ids), np.cumsum(sizes) - sizes, dtype=np.float64)
+        return total / math.log(10)
+
+
+def fit(texts: DataFrame, path: str) -> Fitted:
+    """The model of the texts that are not held out (`texts` as prepare makes them)."""
+    vocab = load(path)
+    kind, size = _kind(vocab.size), vocab.size + 1
+    training = texts.filter(~F.col("held_out")).select("ids")
+    counts = summed(training, lambda batch: np.bincount(_numbers(batch.column(0), kind)[0], minlength=size), size)
+    begins = np.array([vocab.bytes_of.get(i, b"")[:1] == b" " for i in range(vocab.size)] + [False])
+    of, in_class = model.class_tables(counts, begins, vocab.size)
+    direct = model.direct_tables(class_pairs(training, of, kind))
+    return Fitted(of, in_class, direct, train(training, of, direct, kind), kind)
+
+
 def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Scores of every row of documents."""
     path = path or vocabulary_path()
-    vocab = load(path)
-    end_id = vocab.size
-    words = count_words(docs, path)
-    ends = docs.filter(~held_out(F.col("doc_id"))).count()
-    totals = words.filter("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n, v = totals[0] + ends, totals[1] + (1 if ends else 0)
-    counts = np.r_[subword_counts(words, path), ends]
-    begins = np.array([vocab.bytes_of.get(i, b"")[:1] == b" " for i in range(vocab.size)] + [False])
-    of, in_class = model.class_tables(counts, begins, end_id)
-    pairs, firsts, lasts = class_counts(words, path, of)
-    firsts[of[end_id]] += ends
-    direct = model.direct_tables(pairs, firsts, lasts)
-    weights = train(docs, path, of, direct, end_id, ends)
-    small = of.astype(np.int16)
-    floor, size = float(n + v + 1), vocab.size
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _chunks(batches, 2):
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows), pa.int64()), *rows.columns], names=["chunk", "doc_id", "held_out", "text"])
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        classes = small.astype(np.int64)
-        found = right.column("word").to_pylist()
-        number = dict(zip(found, range(len(found)), strict=True))
-        corpus = np.r_[right.column("c").to_numpy(), ends].astype(np.float64)
-        log_base = np.log10((corpus + 1) / floor)
-        known = corpus > 0
-        ids, per = _unpacked(pa.concat_arrays(right.column("ids").chunks) if len(right) else pa.array([], pa.binary()), size)
-        ids, per = np.r_[ids, end_id], np.r_[per, 1]
-        columns: list[list] = [[], [], [], []]
-        texts: list[np.ndarray] = []
-
-        def flush() -> None:
-            if not texts:
-                return
-            at, sizes = _laid_out(ids, per, texts)
-            starts = np.cumsum(sizes) - sizes
-            c, y = model.windows(classes[at], sizes)
-            rows = model.log_probs(weights, direct, c, y).sum(axis=1, dtype=np.float64)
-            per_text = -(-sizes // model.STEP)
-            total = np.add.reduceat(rows, np.cumsum(per_text) - per_text) + np.add.reduceat(in_class[at], starts, dtype=np.float64)
-            columns[3].extend((total / np.log(10)).tolist())
-            texts.clear()
-
-        held = 0
-        for text in left.column("text"):
-            at = np.array([*map(number.__getitem__, tokens(text.as_py())), len(found)])
-            columns[0].append(len(at))
-            columns[1].append(int(known[at].sum()))
-            columns[2].append(float(log_base[at].sum()))
-            texts.append(at)
-            held += len(at)
-            if held >= SCORED // 3:
-                flush()
-                held = 0
-        flush()
+    texts, words = prepare(docs, path)
+    counted = corpus_counts(words)
+    # The row of a training text's end is no word's: ends are counted apart.
+    sizes = texts.filter(~F.col("held_out")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("numbers")), F.lit(0))).first()
+    ends = sizes[0]
+    n, v = sizes[1] // 4 + ends, counted.filter("first and c > 0").count() + (1 if ends else 0)
+    fitted = fit(texts, path)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, "ids"):
+            found = fitted.log10_probs(*_numbers(batch.column(4), fitted.kind))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found)], names=["chunk", "doc_id", "held_out", "numbers", "score"])
+
+    scored = texts.mapInArrow(score, "chunk long, doc_id long, held_out boolean, numbers binary, score double")
+    floor = math.log10(n + v + 1)
+
+    def base(left: pa.Table, right: pa.Table) -> pa.Table:
+        corpus = np.empty(len(right) + 1)
+        corpus[right.column("number").to_numpy()] = right.column("c").to_numpy()
+        corpus[-1] = ends
+        numbers, counts = _numbers(left.column("numbers").combine_chunks(), "<i4")
+        at, counts = with_ends(numbers, counts, len(right))
+        starts = np.cumsum(counts) - counts
+        known = np.add.reduceat(corpus.take(at) > 0, starts, dtype=np.int64)
+        logs = np.add.reduceat((np.log10(corpus + 1) - floor).take(at), starts)
         return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(columns[0], pa.int64()),
-            "n_known": pa.array(columns[1], pa.int64()), "train_tokens": pa.array([n] * len(left), pa.int64()),
-            "base_score": pa.array(columns[2], pa.float64()), "score": pa.array(columns[3], pa.float64()),
+            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(counts), "n_known": pa.array(known),
+            "train_tokens": pa.array(np.full(len(left), n)), "base_score": pa.array(logs), "score": left.column("score"),
         })
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    rows = rows.mapInArrow(dealt, "chunk long, doc_id long, held_out boolean, text string")
-    return rows.groupBy("chunk").cogroup(words.select("chunk", "word", "c", "ids").groupBy("chunk")).applyInArrow(score, SCORES)
+    # Twice as many partitions as chunks, which are alike: few chunks meet in one task, at every size.
+    number = max(1, 2 * texts.select("chunk").distinct().count())
+    left, right = (df.repartition(number, "chunk").groupBy("chunk") for df in (scored, counted.select("chunk", "number", "c")))
+    return left.cogroup(right).applyInArrow(base, SCORES)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

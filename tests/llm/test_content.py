@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,31 +187,97 @@ def test_lm_base_and_order(docs_of, hard):
     assert lm_scoring.score_texts(hard.limit(0)).count() == 0
 
 
-def test_lm_steps_of_a_partition():
-    assert lm_scoring.STEPS >= 60
-
-
 def test_lm_trains_on_the_end_of_a_sorted_table(spark):
-    """A class that comes only after 40,000 windows of the one partition has its weights trained; steps grow with windows."""
+    """A class that comes only after 40,000 windows of the one partition has its weights trained."""
     docs = spark.createDataFrame([(i, "a " * 4800 if i < 600 else "zz " * 480) for i in range(620)], "doc_id long, text string").coalesce(1)
     path = lm_scoring.vocabulary_path()
     vocab = lm_scoring.load(path)
-    encoder = lm_scoring.Encoder(path)
     of = np.ones(vocab.size + 1, dtype=np.int64)
-    late = np.setdiff1d(encoder.encode_words([b"zz"])[0], encoder.encode_words([b"a"])[0])
+    ids = lambda w: lm_scoring.Encoder(path).encode_words(pa.array([w], pa.large_string()))[0]
+    late = np.setdiff1d(ids("zz"), ids("a"))
     of[late], of[vocab.size] = 2, 0
-    ones = np.ones(attention_lm.CLASSES)
-    direct = attention_lm.direct_tables(np.zeros((attention_lm.CLASSES,) * 2), ones, ones)
-    weights = lm_scoring.train(docs, path, of, direct, vocab.size, 620)
-    assert len(late) and (weights["k"][1] != attention_lm.new_params()["k"][1]).any() and (weights["k"][2] != attention_lm.new_params()["k"][2]).any()
-    assert lm_scoring.steps_of(960_000, 60) == 10_000 and lm_scoring.steps_of(960, 60) == 31 and lm_scoring.steps_of(4000, 60) == 60
+    direct = attention_lm.direct_tables(np.ones((attention_lm.CLASSES,) * 2))
+    texts, _ = lm_scoring.prepare(docs, path)
+    weights = lm_scoring.train(texts.filter("not held_out").select("ids"), of, direct, "<u2")
+    start = attention_lm.new_params()
+    assert len(late) and (weights["k"][1] != start["k"][1]).any() and (weights["k"][2] != start["k"][2]).any()
+
+
+def test_lm_every_window_is_trained_on_once(spark, monkeypatch):
+    """Over all rounds the trainer sees each window of each training text once, whatever the batches."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(3 + 17 * i)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    path = lm_scoring.vocabulary_path()
+    prepared, _ = lm_scoring.prepare(docs, path)
+    training = prepared.filter("not held_out").select("ids")
+    of = np.arange(lm_scoring.load(path).size + 1) % 1000
+    batches = [b for r in training.collect() for b in [pa.RecordBatch.from_arrays([pa.array([r["ids"]], pa.binary())], names=["ids"])]]
+    seen = []
+
+    class Recorder:
+        def __init__(self, start, direct, seed):
+            self.p = start
+
+        def see(self, c, y):
+            seen.extend(map(tuple, c.tolist()))
+
+    class One:
+        """A DataFrame of one partition, run here."""
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(attention_lm, "Trainer", Recorder)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    monkeypatch.setattr(lm_scoring, "_met", lambda run, add, schema: [dict(zip(("n", "flat"), (x.as_py() for x in b.columns[0:0] or (b.column(0)[0], b.column(1)[0])), strict=True)) for b in run(iter(batches))])
+    lm_scoring.train(One(), of, {}, "<u2")
+    expected = []
+    for b in batches:
+        ids, sizes = lm_scoring._numbers(b.column(0), "<u2")
+        expected.extend(map(tuple, attention_lm.windows(of[ids], sizes)[0].tolist()))
+    assert sorted(seen) == sorted(expected) and len(seen) > 100
+
+
+def test_lm_score_by_brute_force(spark, docs_of):
+    """A text's score token by token, from the fitted tables alone."""
+    texts = ["the cat sat on the mat", "the dog sat on a log and the cat sat too", None, "zebra quux " * 30, "The CAT"] * 8
+    path = lm_scoring.vocabulary_path()
+    prepared, _ = lm_scoring.prepare(docs_of(texts), path)
+    fitted = lm_scoring.fit(prepared, path)
+    p, direct = fitted.weights, fitted.direct
+    encoder = lm_scoring.Encoder(path)
+    for text in texts[:5]:
+        words = [encoder.encode_words(pa.array([w], pa.large_string()))[0].tolist() for w in (text or "").lower().split()]
+        ids = [i for w in words for i in w] + [encoder.vocab.size]
+        classes = [int(fitted.of[i]) for i in ids]
+        total = 0.0
+        for n, (i, goal) in enumerate(zip(ids, classes, strict=True)):
+            # Inputs of the window up to this token: the class before each place.
+            window_start = n // attention_lm.STEP * attention_lm.STEP - attention_lm.CONTEXT
+            before = [classes[x - 1] if x >= 1 else attention_lm.START for x in range(window_start, n + 1)]
+            place = n - window_start
+            q = p["q"][before[-1]] + p["pq"][place]
+            a = [math.exp(float(q @ (p["k"][c] + p["pk"][x])) / 4) for x, c in enumerate(before)]
+            o = sum(w * p["v"][c].astype(float) for w, c in zip(a, before, strict=True)) / sum(a)
+            g, inner = divmod(goal, attention_lm.SIDE)
+            for z, at in ((direct["group"][before[-1]] + o @ p["wg"] + p["bg"], g), (direct["inner"][before[-1], g] + o @ p["wi"][g], inner)):
+                total += z[at] - math.log(np.exp(z.astype(float)).sum())
+            total += float(fitted.in_class[i])
+        found = fitted.log10_probs(np.array(ids), np.array([len(ids)]))[0]
+        assert abs(found - total / math.log(10)) < 1e-3 * abs(found)
+
+
+def test_lm_held_out(spark):
+    """On held-out documents the model is better than word counts."""
+    got = lm_scoring.op8_lm_scoring(spark, "/root/testdata/sf0.1").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.1
 
 
 def test_lm_is_a_distribution():
     """Class probabilities after any context add up to one."""
     rng = np.random.default_rng(2)
     pairs = rng.integers(0, 50, (attention_lm.CLASSES, attention_lm.CLASSES)).astype(float)
-    direct = attention_lm.direct_tables(pairs, pairs.sum(axis=0), pairs.sum(axis=1))
+    direct = attention_lm.direct_tables(pairs)
     p = attention_lm.new_params()
     context = rng.integers(0, attention_lm.CLASSES, (1, attention_lm.LENGTH))
     targets = np.full((attention_lm.CLASSES, attention_lm.STEP), -1)
@@ -222,7 +289,7 @@ def test_lm_is_a_distribution():
 def test_lm_gradients():
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 5, (attention_lm.CLASSES, attention_lm.CLASSES)).astype(float)
-    direct = attention_lm.direct_tables(pairs, pairs.sum(axis=0), pairs.sum(axis=1))
+    direct = attention_lm.direct_tables(pairs)
     p = {k: v.astype(np.float64) for k, v in attention_lm.new_params().items()}
     c = rng.integers(0, attention_lm.CLASSES, (4, attention_lm.LENGTH))
     y = rng.integers(-1, attention_lm.CLASSES, (4, attention_lm.STEP))
@@ -242,7 +309,7 @@ def test_lm_gradients():
 def test_lm_windows_score_each_token_once():
     sizes = np.array([1, 24, 25, 100])
     classes = np.arange(sizes.sum())
-    inputs, targets = attention_lm.windows(classes, sizes)
+    inputs, targets, _ = attention_lm.windows(classes, sizes)
     assert sorted(targets[targets >= 0]) == classes.tolist()
     for row, goal in zip(inputs, targets, strict=True):
         for j in range(1, attention_lm.STEP):
@@ -256,11 +323,14 @@ def test_lm_learns():
     language = rng.integers(0, 2, 300)  # two vocabularies; the one of the text so far tells which comes
     classes = (rng.integers(0, 5, (300, 48)) + language[:, None] * 100).ravel()
     counts = np.bincount(classes, minlength=attention_lm.CLASSES).astype(float)
-    direct = attention_lm.direct_tables(np.zeros((attention_lm.CLASSES,) * 2), counts, counts)
-    inputs, targets = attention_lm.windows(classes, sizes)
+    direct = attention_lm.direct_tables(np.tile(counts, (attention_lm.CLASSES, 1)))
+    inputs, targets, _ = attention_lm.windows(classes, sizes)
     start = attention_lm.new_params()
     before = attention_lm.log_probs(start, direct, inputs, targets).sum()
-    after = attention_lm.log_probs(attention_lm.train(start, direct, inputs, targets, 80), direct, inputs, targets).sum()
+    trainer = attention_lm.Trainer(start, direct)
+    for _ in range(17):
+        trainer.see(inputs, targets)
+    after = attention_lm.log_probs(trainer.p, direct, inputs, targets).sum()
     assert after > 0.85 * before
 
 
