@@ -1,18 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with its root-to-leaf tag path. Elements that are never part of
-an article (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, reader comments: by
-element, role, or a word of class or id) take their blocks out. For each path that is left, the text length and
-the punctuation of its nodes are added up; the ratios per node are smoothed over neighbouring paths in page
-order, fused (geometric mean of length and punctuation), and paths at or over the mean are content paths. Blocks of those
-that are over the mean before smoothing too carry the page's score, each by the length of its own text. An article with most of it is the main text, with any other of at least half its own score; a main
-element with most of it is narrowed to its articles only where they hold most of the main's score, and is else taken
-without articles that score nothing (teasers). Without such a landmark the root is the deepest
-element that holds all content paths. All blocks in the root that were not taken out are the main text; where the
-root is the body itself, only those of content paths, the headings beside them and the articles that score.
+A page is read once into blocks of text, each with its root-to-leaf tag path (element and class or id). For each path the text length
+and the punctuation of its blocks are added up; the ratios per block are smoothed over neighbouring paths in page order and fused
+(geometric mean of length and punctuation). What a path says about its place is a feature of the score: a menu, header, footer, sidebar,
+notice, advert, form or reader comment (by element, role, or a word of class or id) weighs `CUE`, an article or main element `LANDMARK`.
+Paths that score at or over the mean are content paths; nothing else decides where the main text is.
+
+The page is then entered from its root, into an element that holds nearly all of the length of content blocks. Where that ends in an element of its own, all its blocks
+are the main text, but those of marked paths that are no content paths, and articles in it that have no content or less than half of the
+one with most (teasers). Where it ends at the body itself, the main text is the blocks of content paths, headings
+beside them, and what stands in articles with content.
 
 Broken markup is read as browsers do: a block closes an open paragraph, list items and cells close their
-like, unknown end tags are ignored, raw text runs to its end tag, what is open at the end is closed.
+like, unknown end tags are ignored, raw text runs to its end tag, what is open at the end is closed. Reading and scoring take time
+in proportion to the page, however deep it is nested and whatever is left open.
 
 Defined results: null or empty html, or a page without content, gives the empty text; a URL may be null; rows
 may repeat; a page is never cut; an empty table gives an empty result; extra columns are ignored.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,10 +47,9 @@ CLOSES_LIKE = {
     "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)), "tbody": (("tbody", "thead", "tfoot"), ("table",)), "tfoot": (("tbody", "thead"), ("table",)),
 }
-NEVER = frozenset(
-    "head script style noscript template nav header footer aside form button select textarea input iframe object embed svg canvas "
-    "menu dialog noframes xmp audio video map fieldset".split()
-)
+#: Elements whose text is no text of the page.
+NO_TEXT = frozenset("head script style noscript template button select textarea input iframe object embed svg canvas noframes xmp audio video map".split())
+NEVER = frozenset("nav header footer aside form menu dialog fieldset".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 NEVER_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promos promotion banner banners menu menus nav "
@@ -62,33 +62,35 @@ LANDMARKS = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？¿¡]")
 
-_TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>", re.S
-)
+#: Weights of a path with a mark of what is no article, and of one in an article or main element.
+CUE, LANDMARK = 1 / 32, 2
+#: Share of the content that an element must hold to be entered.
+MOST = 0.9
+CONTAINERS = frozenset("html body div section center table tbody tr td".split())
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    """An open or closed element."""
+    """An open or closed element. `path`: number of its tag path; `marked`: it, or one around it, is marked as no article; `gone`: its text is none."""
 
-    __slots__ = ("tag", "key", "parent", "out", "depth")
+    __slots__ = ("tag", "parent", "block", "number", "path", "marked", "landmark", "gone")
 
-    def __init__(self, tag: str, key: str, parent: Node | None, out: bool) -> None:
-        self.tag, self.key, self.parent, self.out = tag, key, parent, out
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag: str, parent: Node | None, number: int, path: int, marked: bool, gone: bool) -> None:
+        self.tag, self.parent, self.number, self.path, self.marked, self.gone = tag, parent, number, path, marked, gone
+        self.block = parent.block if parent and tag in INLINE else self
+        self.landmark = tag in LANDMARKS or bool(parent and parent.landmark)
 
-    def path(self) -> str:
-        return f"{self.parent.path()}/{self.key}" if self.parent else self.key
 
-    def line(self) -> list[Node]:
-        return [*(self.parent.line() if self.parent else ()), self]
+def _no_text(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in NO_TEXT or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
-def _left_out(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in NEVER or "hidden" in attributes or attributes.get("role", "").lower() in NEVER_ROLES:
-        return True
-    if attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+def _marked(tag: str, attributes: dict[str, str]) -> bool:
+    if tag in NEVER or attributes.get("role", "").lower() in NEVER_ROLES:
         return True
     if tag in ("html", "body"):
         return False
@@ -99,22 +101,52 @@ def _left_out(tag: str, attributes: dict[str, str]) -> bool:
 
 
 class Page:
-    """Blocks of a page: (element that holds the block, text)."""
+    """Elements in order of their start, and blocks: (element that holds the block, text)."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[Node, str]] = []
-        self._open: list[Node] = [Node("", "", None, False)]
+        root = Node("", None, 0, 0, False, False)
+        self.nodes, self.blocks = [root], []
+        self._paths: dict[tuple[int, str], int] = {}
+        self._open: list[Node] = [root]
+        #: Places in _open by element, and of those that are not inline.
+        self._where: dict[str, list[int]] = {}
+        self._solid: list[int] = [0]
         self._text: list[str] = []
-        at = 0
-        while m := _TOKEN.search(source, at):
-            self._say(source[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
-                if m[0].startswith("<![CDATA["):
-                    self._text.append(m[0][9:-3])
+        self._read(source)
+        self._flush()
+
+    def _read(self, source: str) -> None:
+        at, tag, cdata = 0, _TAG, True
+        while (start := source.find("<", at)) >= 0:
+            self._say(source[at:start])
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(source)
                 continue
-            name = name.lower()
+            if cdata and source.startswith("<![CDATA[", start):
+                end = source.find("]]>", start)
+                if end >= 0:
+                    self._text.append(source[start + 9 : end])
+                    at = end + 3
+                    continue
+                cdata = False
+            if source[start + 1 : start + 2] in ("!", "?"):
+                end = source.find(">", start)
+                at = end + 1 if end >= 0 else len(source)
+                continue
+            m = tag.match(source, start)
+            if m is None and source[start + 1 : start + 3].lstrip("/")[:1].isalpha() and source[start + 1].isascii():
+                if source.find(">", start) < 0:  # no tag ends any more
+                    at = len(source)
+                    break
+                if tag is _TAG:  # a quote is open to the end of the page: from here on quotes count as other signs do
+                    tag = _PLAIN_TAG
+                    m = tag.match(source, start)
+            if m is None:
+                self._say("<")
+                at = start + 1
+                continue
+            at, name = m.end(), m[2].lower()
             if m[1]:
                 self._end(name)
                 continue
@@ -124,7 +156,6 @@ class Page:
                 at = end.end() if end else len(source)
                 self._end(name)
         self._say(source[at:])
-        self._flush()
 
     def _say(self, text: str) -> None:
         if text:
@@ -135,14 +166,23 @@ class Page:
             text = " ".join("".join(self._text).split())
             self._text = []
             if text:
-                holder = self._open[-1]
-                while holder.tag in INLINE and holder.parent:
-                    holder = holder.parent
-                self.blocks.append((holder, text))
+                self.blocks.append((self._open[-1].block, text))
+
+    def _cut(self, index: int) -> None:
+        """Close all from this place on."""
+        for node in self._open[index:]:
+            self._where[node.tag].pop()
+            if node.tag not in INLINE:
+                self._solid.pop()
+        del self._open[index:]
 
     def _close_to(self, index: int) -> None:
         self._flush()
-        del self._open[index:]
+        self._cut(index)
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these."""
+        return max((self._where[t][-1] for t in tags if self._where.get(t)), default=-1)
 
     def _start(self, tag: str, rest: str) -> bool:
         attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
@@ -151,128 +191,125 @@ class Page:
             return True
         if tag not in INLINE:
             self._flush()
-        if tag in CLOSES_P:
-            for i in range(len(self._open) - 1, 0, -1):
-                if self._open[i].tag == "p":
-                    self._close_to(i)
-                    break
-                if self._open[i].tag in ("button", "td", "th", "table"):
-                    break
+        if tag in CLOSES_P and (at := self._last(("p",))) > self._last(("button", "td", "th", "table")):
+            self._close_to(at)
         if tag in HEADINGS and self._open[-1].tag in HEADINGS:
             self._close_to(len(self._open) - 1)
         if tag in CLOSES_LIKE:
             like, bounds = CLOSES_LIKE[tag]
-            for i in range(len(self._open) - 1, 0, -1):
-                if self._open[i].tag in like:
-                    self._close_to(i)
-                    break
-                if self._open[i].tag in bounds:
-                    break
+            if (at := self._last(like)) > self._last(bounds):
+                self._close_to(at)
+        if tag in LANDMARKS and self._where.get("nav"):  # a menu that was never closed doesn't swallow the article
+            self._close_to(self._where["nav"][0])
         parent = self._open[-1]
-        if tag in LANDMARKS:  # a menu that was never closed doesn't swallow the article
-            for i, node in enumerate(self._open):
-                if node.tag == "nav":
-                    self._close_to(i)
-                    parent = self._open[-1]
-                    break
-        mark = attributes.get("class") or attributes.get("id") or ""
-        if tag in INLINE and not mark:
-            out = parent.out or "hidden" in attributes
-        else:
-            out = parent.out or _left_out(tag, attributes)
+        inline = tag in INLINE
+        gone = parent.gone or _no_text(tag, attributes) or (inline and bool(attributes) and _marked(tag, attributes))
         if tag in VOID or (rest.rstrip().endswith("/") and tag in ("svg", "path", "iframe", "script")):
             return True
-        if out and not parent.out and tag in INLINE:
+        if gone and not parent.gone and inline:
             self._flush()
-        self._open.append(Node(tag, f"{tag}.{mark}" if mark else tag, parent, out))
+        path, marked = parent.path, parent.marked
+        if not inline:
+            mark = attributes.get("class") or attributes.get("id") or ""
+            path = self._paths.setdefault((path, f"{tag}.{mark}" if mark else tag), len(self._paths) + 1)
+            marked = marked or _marked(tag, attributes)
+        node = Node(tag, parent, len(self.nodes), path, marked, gone)
+        self.nodes.append(node)
+        self._where.setdefault(tag, []).append(len(self._open))
+        if not inline:
+            self._solid.append(len(self._open))
+        self._open.append(node)
         return False
 
     def _end(self, tag: str) -> None:
         if tag == "br":
             self._text.append(" ")
             return
-        for i in range(len(self._open) - 1, 0, -1):
-            node = self._open[i]
-            if node.tag == tag:
-                if tag not in INLINE:
-                    self._close_to(i)
-                elif all(n.tag in INLINE for n in self._open[i:]):
-                    if node.out and not self._open[i - 1].out:  # text left out inside a line
-                        self._text = []
-                    del self._open[i:]
-                return
-            if tag in INLINE and node.tag not in INLINE:
-                return
-
-
-def content_blocks(page: Page) -> list[str]:
-    """Texts of the selected blocks, in page order."""
-    kept = [(node, text, node.path()) for node, text in page.blocks if not node.out]
-    if not kept:
-        return []
-    # Sums for each path, in order of first appearance.
-    sums: dict[str, list[float]] = {}
-    for _, text, path in kept:
-        total = sums.setdefault(path, [0, 0, 0])
+        i = self._last((tag,))
+        if i < 1:
+            return
+        if tag not in INLINE:
+            self._close_to(i)
+        elif self._solid[-1] < i:  # no block is open in it
+            if self._open[i].gone and not self._open[i - 1].gone:  # text left out inside a line
+                self._text = []
+            self._cut(i)
+
+
+def path_scores(blocks: list[tuple[Node, str]]) -> tuple[list[float], list[float], list[int]]:
+    """Weighted fused ratios of each path after and before smoothing, in order of first appearance, and the place in it of each block's path."""
+    at: dict[int, int] = {}
+    sums: list[list[float]] = []
+    which = []
+    for node, text in blocks:
+        n = at.setdefault(node.path, len(at))
+        if n == len(sums):
+            sums.append([0, 0, 0, (CUE if node.marked else 1) * (LANDMARK if node.landmark else 1)])
+        total = sums[n]
         total[0] += len(text)
         total[1] += len(PUNCTUATION.findall(text))
         total[2] += 1
-    paths = list(sums)
-    ratios = [(sums[p][0] / sums[p][2], sums[p][1] / sums[p][2]) for p in paths]
+        which.append(n)
+    lengths, signs = ([total[k] / total[2] for total in sums] for k in (0, 1))
 
     def smooth(values: list[float]) -> list[float]:
         padded = [values[0], *values, values[-1]]
         return [padded[i] / 4 + padded[i + 1] / 2 + padded[i + 2] / 4 for i in range(len(values))]
 
-    lengths, signs = smooth([r[0] for r in ratios]), smooth([r[1] for r in ratios])
-    fused = {p: (a * (1 + b)) ** 0.5 for p, a, b in zip(paths, lengths, signs, strict=True)}
-    bound = sum(fused.values()) / len(fused)
-    chosen = {p for p in paths if fused[p] >= bound}
-    # Core paths are over the mean of the ratios before smoothing too, which lifts what stands beside long texts.
-    own = {p: (a * (1 + b)) ** 0.5 for p, (a, b) in zip(paths, ratios, strict=True)}
-    core = {p for p in chosen if own[p] >= sum(own.values()) / len(own)} or chosen
-    # Score of each article and main element: the text of core paths in it.
-    marks: dict[int, int] = {}
-    found: dict[int, Node] = {}
-    total = 0
-    for node, text, path in kept:
-        score = len(text) if path in core else 0
-        total += score
-        for up in node.line():
-            if up.tag in LANDMARKS:
-                marks[id(up)] = marks.get(id(up), 0) + score
-                found[id(up)] = up
-
-    def within(node: Node, roots: set[int]) -> bool:
-        return any(id(up) in roots for up in node.line())
-
-    # Outermost articles: one in another is a part of it.
-    articles = {k for k, n in found.items() if n.tag == "article" and not any(up.tag == "article" for up in n.line()[:-1])}
-    main = next((k for k, n in found.items() if n.tag == "main" and marks[k] > total / 2 and not within(n, articles)), None)
-    whole = total if main is None else marks[main]
-    inner = {k for k in articles if main is None or within(found[k], {main})}
-    best = max((marks[k] for k in inner), default=0)
-    if best > whole / 2:  # one of half its score stands beside it as its like, a smaller one is a teaser
-        taken = {k for k in inner if marks[k] >= best / 2}
-        return [text for node, text, _ in kept if within(node, taken)]
-    content = {k for k in inner if marks[k] > 0}
-    if main is not None:
-        if sum(marks[k] for k in inner) > whole / 2:
-            return [text for node, text, _ in kept if within(node, content)]
-        return [text for node, text, _ in kept if within(node, {main}) and not within(node, inner - content)]
-    # No landmark has most: content paths, without the teasers.
-    kept = [(node, text, path) for node, text, path in kept if not within(node, inner - content)]
-    lines = [node.line() for node, _, path in kept if path in chosen]
-    shared = 0
-    while all(len(x) > shared for x in lines) and len({id(x[shared]) for x in lines}) == 1:
-        shared += 1
-    root = lines[0][shared - 1]
-    if root.tag in ("p", "li", "td", *HEADINGS) and root.parent:
+    def fused(a: list[float], b: list[float]) -> list[float]:
+        return [total[3] * (x * (1 + y)) ** 0.5 for total, x, y in zip(sums, a, b, strict=True)]
+
+    return fused(smooth(lengths), smooth(signs)), fused(lengths, signs), which
+
+
+def content_blocks(page: Page, threshold: float = 1.0) -> list[str]:
+    """Texts of the selected blocks, in page order. Content paths score `threshold` times the mean at least (0: all paths do)."""
+    blocks = [(node, text) for node, text in page.blocks if not node.gone]
+    if not blocks:
+        return []
+    smoothed, own, which = path_scores(blocks)
+    # What smoothing alone lifts, because it stands beside long texts, is no content.
+    bound, own_bound = (threshold * sum(x) / len(x) for x in (smoothed, own))
+    chosen = [a >= bound and b >= own_bound / 2 for a, b in zip(smoothed, own, strict=True)]
+    # Length of content blocks in each element, from the leaves up, and the child with most of it.
+    n = len(page.nodes)
+    mass, best = [0] * n, [0] * n
+    for (node, text), path in zip(blocks, which, strict=True):
+        if chosen[path]:
+            mass[node.number] += len(text)
+    for node in reversed(page.nodes[1:]):
+        up = node.parent.number
+        mass[up] += mass[node.number]
+        if best[up] == 0 or mass[node.number] >= mass[best[up]]:
+            best[up] = node.number
+    root = page.nodes[0]
+    while (child := best[root.number]) and root.tag != "article":
+        found = page.nodes[child]
+        if not mass[child] > MOST * mass[root.number] or not (found.tag in LANDMARKS or found.tag in CONTAINERS or found.tag not in CLOSES_P):
+            break
+        root = found
+    while root.tag in INLINE and root.parent:
         root = root.parent
-    if root.tag in ("", "html", "body"):
-        beside = {p.rpartition("/")[0] for p in chosen}
-        return [t for n, t, p in kept if p in chosen or within(n, content) or (n.tag in HEADINGS and p.rpartition("/")[0] in beside)]
-    return [text for node, text, _ in kept if within(node, {id(root)})]
+    # From the root down: what is in the main element, and in which outermost article of it.
+    inside, article = [False] * n, [0] * n
+    for node in page.nodes:
+        up = node.parent.number if node.parent else 0
+        inside[node.number] = node is root or (node.parent is not None and inside[up])
+        if inside[node.number] and node is not root:
+            article[node.number] = article[up] or (node.number if node.tag == "article" else 0)
+    most = max((mass[k] for k in set(article) if k), default=0)
+    whole = root.tag not in ("", "html", "body")
+    beside = {node.parent.number for (node, _), path in zip(blocks, which, strict=True) if chosen[path] and node.parent}
+    out = []
+    for (node, text), path in zip(blocks, which, strict=True):
+        if not inside[node.number] or (node.marked and not chosen[path]):
+            continue
+        of = article[node.number]
+        if of and (mass[of] == 0 or mass[of] < most / 2):
+            continue
+        if chosen[path] or whole or of or (node.tag in HEADINGS and node.parent and node.parent.number in beside):
+            out.append(text)
+    return out
 
 
 def main_text(source: str | None) -> str:

@@ -138,6 +138,29 @@ def test_html_landmarks_without_the_text():
         assert html_extract.main_text(source) == "\n".join(f"A{j}\n{text[j]}\nx{j}" for j in range(4))
 
 
+def test_html_threshold_decides(spark, sf):
+    """Without the threshold on path scores, menus, adverts and footers come through."""
+    pages = [r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
+    changed = [html_extract.content_blocks(html_extract.Page(p), 0) != html_extract.content_blocks(html_extract.Page(p)) for p in pages]
+    assert sum(changed) > len(pages) / 4
+    long = "A long paragraph of the story, with commas, and more. It goes on, and on. " * 3
+    source = f"<body><div class=menu><a>Home</a></div><p>{long}<p>{long}<div class=x7><a>One</a></div></body>"
+    assert html_extract.main_text(source) == f"{long.strip()}\n{long.strip()}"
+    assert "Home" in html_extract.content_blocks(html_extract.Page(source), 0) and "One" in html_extract.content_blocks(html_extract.Page(source), 0)
+    assert html_extract.main_text(f"<body><article>x</article><p>{long}<p>{long}</body>") == f"{long.strip()}\n{long.strip()}"
+
+
+def test_html_deep_and_broken_pages_take_linear_time():
+    import time
+
+    begun = time.perf_counter()
+    for source in ("<div>" * 100_000 + "text", "<div><p>a.</p>" * 50_000, "<b>x" * 100_000, "<a " * 350_000, "<![CDATA[" * 100_000, '<a x="' * 200_001 + '>"', "<" * 1_000_000,
+                   "<ul><li>" * 100_000, "</div>" * 100_000 + "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<p><b>" * 100_000 + "</i>" * 100_000):
+        html_extract.main_text(source)
+    assert time.perf_counter() - begun < 120
+    assert html_extract.main_text("<div>" * 100_000 + "text") == "text"
+
+
 def test_isotonic_and_trees():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 4))
