@@ -78,6 +78,12 @@ class Vocabulary:
         self._keys = keys[self._order]
         #: Rank of each pair of bytes, -1 where it doesn't merge.
         self.byte_ranks = self.ranks(np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)).astype(np.int32)
+        lengths = np.zeros(self.size, dtype=np.int64)
+        for i, token in self.bytes_of.items():
+            lengths[i] = len(token)
+        #: Bytes of all ids laid end to end, where each begins, and how many it has.
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(self.size)), dtype=np.uint8)
+        self.at, self.lengths = np.cumsum(lengths) - lengths, lengths
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -313,7 +319,8 @@ class Encoder:
 
 
 def decode_bytes(vocab: Vocabulary, ids: Iterable[int]) -> bytes:
-    return b"".join(map(vocab.bytes_of.__getitem__, ids))
+    ids = np.asarray(ids, dtype=np.int64)
+    return vocab.flat[_ragged(vocab.at[ids], vocab.lengths[ids])].tobytes()
 
 
 def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
@@ -329,7 +336,7 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None) ->
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             texts = batch.column(1).to_pylist()
             for start, packed in encoder.blocks(texts):
-                plain = [decode(encoder.vocab, x.tolist()) for x in packed]
+                plain = [decode(encoder.vocab, x) for x in packed]
                 keys = batch.column(0).slice(start, len(packed))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(plain, pa.string())], names=[key, "ids", "decoded"])
 
@@ -349,7 +356,7 @@ def op9_digests(df: DataFrame, path: str | None = None) -> DataFrame:
                 rows = []
                 for x in packed:
                     ids = x.tolist()
-                    rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(decode(encoder.vocab, ids).encode())))
+                    rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(decode(encoder.vocab, x).encode())))
                 n, ids_sha, text_sha = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, len(packed)), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],

@@ -7,11 +7,12 @@ the first character of each control string and of each control string that was a
 back removes exactly one. The loss mask is the prefix sum of +1 where an assistant's text begins and -1
 where it ends. Places in the conversation are running sums over its turns.
 
-Turns are formatted one by one where they lie; then one shuffle brings the turns of a conversation together,
-sorted, and they are read back as a stream: digests are updated turn by turn, so a conversation with a third of all
-rows needs the memory of one batch. (Its digest is one hash over all turns in order, which has to be one stream.)
+Turns are formatted where they lie, whole batches at once, and read back (decoded and unescaped) where they lie. Then one shuffle of what was read,
+without ids, masks and formatted texts, brings the turns of a conversation together, sorted, and digests are updated turn by turn: a
+conversation with a third of all rows needs the memory of one batch. (Its digest is one hash over all turns in order, which has to be
+one stream; nothing but hashing is left in it.)
 
-Defined results: turns go by turn (nulls first), those of one turn by their formatted text; repeated rows are repeated turns; a null
+Defined results: turns go by turn (nulls first), those of one turn by role, then text; repeated rows are repeated turns; a null
 role or text is empty; rows with a null conv_id are one conversation; an empty table gives conversation -1
 only in the query and no rows from the operators; extra columns are ignored. A surrogate that UTF-8 can't
 hold becomes "?".
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.bpe import Encoder, decode_bytes, load, vocabulary_path
+from emberline.llm.bpe import ROWS, Encoder, Vocabulary, _laid, _ragged, load, vocabulary_path
 from emberline.llm.common import table
 
 #: Reserved ids count up from the size of the vocabulary; each has its string in the formatted text.
@@ -48,38 +50,49 @@ _TO_UNESCAPE = _control(r"\\+")
 
 
 def escape(text: str) -> str:
-    return _TO_ESCAPE.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
+    # All control strings begin with one of these.
+    return _TO_ESCAPE.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text) if "<" in text or "[" in text else text
 
 
 def unescape(text: str) -> str:
-    return _TO_UNESCAPE.sub(lambda m: m[0][0] + m[0][2:], text)
-
-
-def assemble(segments: list[tuple[int | None, np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and loss mask from (reserved id or None, text ids, trained on) in order."""
-    sizes = np.array([1 if mark is not None else len(ids) for mark, ids, _ in segments])
-    ids = np.concatenate([np.array([mark], dtype="<u4") if mark is not None else x for mark, x, _ in segments])
-    edges = np.zeros(len(ids) + 1, dtype=np.int64)
-    at = np.cumsum(sizes) - sizes
-    for start, size, (_, _, trained) in zip(at, sizes, segments, strict=True):
-        if trained and size:
-            edges[start] += 1
-            edges[start + size] -= 1
-    return ids, np.cumsum(edges[:-1]).astype(bool)
-
-
-def render(path: str, ids: np.ndarray) -> str:
-    """The formatted text of ids."""
-    vocab = load(path)
-    out: list[str] = []
-    cuts = np.flatnonzero(ids >= vocab.size)
-    start = 0
-    for cut in [*cuts.tolist(), len(ids)]:
-        out.append(decode_bytes(vocab, ids[start:cut].tolist()).decode("utf-8", "replace"))
-        if cut < len(ids):
-            out.append(MARKS[int(ids[cut]) - vocab.size])
-        start = cut + 1
-    return "".join(out)
+    return _TO_UNESCAPE.sub(lambda m: m[0][0] + m[0][2:], text) if ESCAPE in text else text
+
+
+def assemble(base: int, roles: list[np.ndarray], texts: list[np.ndarray], trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of turns laid end to end, their loss mask, and the size of each turn. `base`: the first reserved id; `trained`: turns with their text under the mask."""
+    n_role, n_text = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (roles, texts))
+    sizes = n_role + n_text + 3
+    start = np.cumsum(sizes) - sizes
+    text_at = start + n_role + 2
+    ids = np.empty(int(sizes.sum()), dtype="<u4")
+    ids[start], ids[text_at - 1], ids[start + sizes - 1] = base + ROLE, base + TEXT, base + END
+    ids[_ragged(start + 1, n_role)] = np.concatenate(roles)
+    ids[_ragged(text_at, n_text)] = np.concatenate(texts)
+    # The mask is the prefix sum of +1 where a trained text begins and -1 behind its end.
+    edges = np.zeros(len(ids) + 1, dtype=np.int32)
+    edges[text_at[trained]] += 1
+    edges[(text_at + n_text)[trained]] -= 1
+    return ids, np.cumsum(edges[:-1]).astype(bool), sizes
+
+
+def _bytes(vocab: Vocabulary, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of ids with reserved ones laid end to end, and where each id's begin (one more at the end)."""
+    marks = [m.encode() for m in MARKS]
+    flat = np.concatenate([vocab.flat, np.frombuffer(b"".join(marks), dtype=np.uint8)])
+    lengths = np.concatenate([vocab.lengths, [len(m) for m in marks]])
+    at = np.cumsum(lengths) - lengths
+    own = lengths.take(ids)
+    return flat.take(_ragged(at.take(ids), own)), np.concatenate([[0], np.cumsum(own)])
+
+
+def _strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[str]:
+    whole = data.tobytes()
+    return [whole[a:b].decode("utf-8", "replace") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def _pieces(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
 
 
 def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
@@ -89,25 +102,21 @@ def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         base = encoder.vocab.size
-        nothing = np.zeros(0, dtype="<u4")
         clean = lambda s: (s or "").encode("utf-8", "replace").decode()
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             roles = [clean(r) for r in batch.column(2).to_pylist()]
-            texts = [clean(t) for t in batch.column(3).to_pylist()]
-            role_ids = encoder.encode([escape(r) for r in roles], specials=False)
-            for at, text_ids in encoder.blocks([escape(t) for t in texts], specials=False):
+            distinct = list(dict.fromkeys(roles))
+            of_role = dict(zip(distinct, encoder.encode([escape(r) for r in distinct], specials=False), strict=True))
+            texts = [escape(clean(t)) for t in batch.column(3).to_pylist()]
+            for at, text_ids in encoder.blocks(texts, specials=False):
                 n = len(text_ids)
-                packed, masks, plain = [], [], []
-                for role, of_role, of_text in zip(roles[at : at + n], role_ids[at : at + n], text_ids, strict=True):
-                    ids, mask = assemble([
-                        (base + ROLE, nothing, False), (None, of_role, False), (base + TEXT, nothing, False),
-                        (None, of_text, role == "assistant"), (base + END, nothing, False),
-                    ])
-                    packed.append(ids.tobytes())
-                    masks.append(mask.tobytes())
-                    plain.append(render(path, ids))
+                own = roles[at : at + n]
+                ids, mask, sizes = assemble(base, [of_role[r] for r in own], text_ids, np.array([r == "assistant" for r in own]))
+                data, place = _bytes(encoder.vocab, ids)
+                ends = np.cumsum(sizes)
+                plain = _strings(data, place[ends - sizes], place[ends])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(packed, pa.binary()), pa.array(masks, pa.binary()), pa.array(plain)],
+                    [batch.column(0).slice(at, n), batch.column(1).slice(at, n), _pieces(ids, sizes), _pieces(mask, sizes), pa.array(plain)],
                     names=["conv_id", "turn", "ids", "mask", "formatted"],
                 )
 
@@ -116,12 +125,40 @@ def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
-def split_turn(path: str, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
-    """(role, text, text under the loss mask) of a turn's ids, unescaped."""
-    vocab = load(path)
-    text_at = int(np.flatnonzero(ids == vocab.size + TEXT)[0])
-    plain = lambda x: unescape(decode_bytes(vocab, x[x < vocab.size].tolist()).decode("utf-8", "replace"))
-    return plain(ids[1:text_at]), plain(ids[text_at + 1 : -1]), plain(ids[mask])
+def split_turns(formatted: DataFrame, path: str | None = None) -> DataFrame:
+    """conv_id, turn, role, said, loss (text under the mask; null where it is all that was said), chars, tokens, read from ids and masks; nothing is shuffled."""
+    path = path or vocabulary_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = load(path)
+        for batch in batches:
+            packed, tokens = _laid(batch.column(2).cast(pa.large_binary()))
+            ids, tokens = packed.view("<u4"), tokens // 4
+            mask = _laid(batch.column(3).cast(pa.large_binary()))[0].astype(bool)
+            data, place = _bytes(vocab, ids)
+            ends = np.cumsum(tokens)
+            starts = ends - tokens
+            text_at = np.flatnonzero(ids == vocab.size + TEXT)
+            roles = list(map(unescape, _strings(data, place[starts + 1], place[text_at])))
+            said = list(map(unescape, _strings(data, place[text_at + 1], place[ends - 1])))
+            # A turn's masked tokens are one run: from its first to its last.
+            under = np.concatenate([[0], np.cumsum(mask)])
+            count = under[ends] - under[starts]
+            some = np.flatnonzero(count)
+            loss: list[str | None] = [""] * len(batch)
+            masked = np.flatnonzero(mask)
+            for k, text in zip(some.tolist(), _strings(data, place[masked[under[starts[some]]]], place[masked[under[ends[some]] - 1] + 1]), strict=True):
+                text = unescape(text)
+                loss[k] = None if text == said[k] else text
+            chars = pc.utf8_length(batch.column(4)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(roles), pa.array(said), pa.array(loss, pa.string()), chars, pa.array(tokens)],
+                names=["conv_id", "turn", "role", "said", "loss", "chars", "tokens"],
+            )
+
+    return formatted.select("conv_id", "turn", "ids", "mask", "formatted").mapInArrow(
+        run, "conv_id long, turn long, role string, said string, loss string, chars long, tokens long"
+    )
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
@@ -145,7 +182,6 @@ def conversations(formatted: DataFrame) -> DataFrame:
 
 def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
     """One digest row for each conversation, read from the formatted turns."""
-    path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
@@ -160,19 +196,18 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            for conv, packed, mask, text in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+            for conv, role, said, loss, chars, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:
                         rows.append(done())
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                ids = np.frombuffer(packed.as_buffer(), dtype="<u4")
-                role, said, loss = split_turn(path, ids, np.frombuffer(mask.as_buffer(), dtype=bool))
+                under = said if loss is None else loss
                 state[1] += 1
                 state[2].update(f"{role}\n{said}\n".encode())
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-                state[5] += len(text.as_py())
-                state[6] += len(ids)
+                state[3] += len(under)
+                state[4].update(under.encode())
+                state[5] += chars
+                state[6] += tokens
             if len(rows) >= 1000:
                 yield out()
                 rows = []
@@ -180,7 +215,8 @@ def read_back(formatted: DataFrame, path: str | None = None) -> DataFrame:
             rows.append(done())
             yield out()
 
-    return conversations(formatted).mapInArrow(
+    ordered = split_turns(formatted, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "said")
+    return ordered.mapInArrow(
         run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
     )
 

@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir.
 
-    Where the cluster names none (tests, a laptop) a temporary folder is set once.
+    Where none is named a local master (tests, a laptop) has a temporary folder set once; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="emberline-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
@@ -49,14 +51,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as compressed Parquet to the shared folder and read it back."""
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back.
+
+    The files are part of the result's lineage, so they can't go before the result does; whoever runs the job clears the folder after it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with signs added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take lower(), which is the same there and faster."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -6,6 +6,7 @@ differences, deflates the lines and splits the stream into IDAT chunks of at mos
 its CRC-32. Reading tests the signature and every chunk's checksum, inflates, and undoes all five filters
 in numpy (lines of sub at once, runs of up by cumulative sums, average and Paeth line by line). The hash:
 block means on 32 x 32, a cosine transform, the 8 x 8 lowest frequencies against their median: 64 bits.
+The query writes the media column to the shared folder and computes all features from the stored bytes.
 
 Defined results: null counts as empty: one line of 64 zero bytes; a surrogate that UTF-8 can't hold is
 written as "?"; texts are never cut; equal texts give equal bytes; repeated rows and null ids stay; an
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm.common import table
+from emberline.llm.common import table, written
 
 WIDTH = 64
 CHUNK = 1 << 16
@@ -150,41 +151,43 @@ def image_hash(lines: np.ndarray) -> str:
     return np.packbits(low > np.median(low)).tobytes().hex()
 
 
-def media_columns(docs: DataFrame, keep_media: bool = True) -> DataFrame:
-    """doc_id, media (PNG bytes; null unless kept) and what reading them back gives."""
+def media_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text), media (PNG bytes) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+        for batch in batches:
+            start, held, sizes, media = 0, 0, [], []
+            for i, text in enumerate(batch.column(1)):
+                n, samples = payload(text.as_py())
+                sizes.append(n)
+                media.append(write_png(samples))
+                held += len(media[-1])
+                if held >= BATCH_BYTES or i == len(batch) - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                    start, held, sizes, media = i + 1, 0, [], []
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
 
-        def out(ids: list, rows: list) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+def media_features(stored: DataFrame) -> DataFrame:
+    """What reading a media column back gives, for every row of doc_id, n_bytes, media."""
+    kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows, held = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n, samples = payload(text.as_py())
-                media = write_png(samples)
+            rows = []
+            for x in batch.column(2):
+                media = x.as_buffer().to_pybytes()
                 lines = read_png(media)
                 back = lines.tobytes()
-                ids.append(doc_id)
-                rows.append((
-                    n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-                    image_hash(lines), media if keep_media else None,
-                ))
-                held += len(media)
-                if held >= BATCH_BYTES:
-                    yield out(ids, rows)
-                    ids, rows, held = [], [], 0
-            if ids:
-                yield out(ids, rows)
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, media binary",
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), image_hash(lines)))
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True))], names=["doc_id", "n_bytes", *kinds])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(
+        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    return media_features(written(media_columns(table(spark, sf_dir, "documents")), "media", "uncompressed"))

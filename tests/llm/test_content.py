@@ -58,16 +58,41 @@ def test_nested_rules(spark):
     assert {r["page_id"]: r["rule"] for r in url_filter.match_rules(df, rules).collect()} == {0: "b.a.org/", 1: "a.org/", 2: "org/x/", 3: None, 4: "org/x/" if len("org/x/") > len("c.org/") else "c.org/"}
 
 
+def brute_hash(lines):
+    """The cosine hash by plain sums."""
+    tall, wide = lines.shape
+    edge = lambda n, i: (i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1))
+    small = [[np.mean([[float(v) for v in row[slice(*edge(wide, j))]] for row in lines[slice(*edge(tall, i))]]) for j in range(32)] for i in range(32)]
+    cosine = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    low = [round(sum(cosine[u][i] * small[i][j] * cosine[v][j] for i in range(32) for j in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low)[31:33]
+    return f"{int(''.join('1' if x > sum(middle) / 2 else '0' for x in low), 2):016x}"
+
+
 def test_png_round_trip(hard):
-    rows = {r["doc_id"]: r for r in media.media_columns(hard).collect()}
+    stored = media.media_columns(hard)
+    kept = {r["doc_id"]: r for r in stored.collect()}
+    rows = {r["doc_id"]: r for r in media.media_features(stored).collect()}
     for r in hard.collect():
         raw = (r["text"] or "").encode()
         padded = raw + b"\0" * (-len(raw) % 64) if raw else bytes(64)
-        got = rows[r["doc_id"]]
+        got, png = rows[r["doc_id"]], bytes(kept[r["doc_id"]]["media"])
         assert (got["n_bytes"], got["payload_bytes"]) == (len(raw), len(padded))
         assert got["payload_sha256"] == hashlib.sha256(padded).hexdigest() and got["tail_crc32"] == zlib.crc32(padded[-64:])
-        assert media.read_png(bytes(got["media"])).tobytes() == padded and hashlib.sha256(got["media"]).hexdigest() == got["media_sha256"]
+        assert media.read_png(png).tobytes() == padded and hashlib.sha256(png).hexdigest() == got["media_sha256"] and got["media_bytes"] == len(png)
+        if len(raw) < 3000:
+            assert got["feature"] == brute_hash(np.frombuffer(padded, dtype=np.uint8).reshape(-1, 64))
     assert rows[16]["feature"] == rows[13]["feature"] and media.media_columns(hard.limit(0)).count() == 0
+    assert media.media_features(media.media_columns(hard.limit(0))).count() == 0
+
+
+def test_media_query(spark, sf):
+    """The registered query, from stored bytes, against the texts."""
+    found = {r["doc_id"]: r for r in media.op6_media(spark, sf).collect()}
+    for r in table(spark, sf, "documents").collect():
+        raw = (r["text"] or "").encode()
+        padded = raw + b"\0" * (-len(raw) % 64) if raw else bytes(64)
+        assert found[r["doc_id"]]["payload_sha256"] == hashlib.sha256(padded).hexdigest() and found[r["doc_id"]]["n_bytes"] == len(raw)
 
 
 def test_png_all_filters_and_faults():
