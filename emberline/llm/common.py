@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that the rows of one key are dealt to.
+SALTS = 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -75,6 +77,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_spread(rows: DataFrame, values: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """`rows` with the columns of `values` (one row a key), so that a key with very many rows is dealt to `salts` tasks by a hash of the column `by`.
+
+    The keys and salts that occur are combined before they are shuffled: a key meets its value in `salts` rows at most.
+    """
+    salt = unused(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
+    met = salted.select(key, salt).distinct().join(values, key)
+    return salted.join(met, [key, salt]).drop(salt)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. Texts of one byte a character take lower(), which is the same there and faster."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import checkpointed
+from emberline.llm.common import checkpointed, join_spread
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: every node hands its smallest neighbour to its other neighbours.
 
-    `edges` has columns u, v. The minimum is combined before the shuffle and joined back, so the
-    neighbours of a hub are never gathered in one row.
+    `edges` has columns u, v. The minimum is combined before the shuffle and joined back with the edges
+    of a hub spread over many tasks.
     """
     if large:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    out = seen.join(least, "u")
+    out = join_spread(seen, least, "u", "v")
     if large:
         out = out.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,11 +2,12 @@
 
 Pass one counts, for every text hash, `HASHES` slots of a fixed-size counting Bloom filter:
 a map-side combined aggregation over slot numbers. Slots that were hit twice or more become
-a bitmap whose size has a fixed bound (`FILTER_BITS` / 8 bytes), so it may be broadcast.
+a bitmap whose size follows the number of rows up to a fixed bound (`FILTER_BITS` / 8 bytes), so it may be broadcast.
 Pass two tests each row against the bitmap: a row with a slot that was hit once has no equal
 and passes straight through; only possibly repeated rows are shuffled and compared by SHA-256.
 A Bloom filter has no false negatives, so the result is exact at any load; beyond about
-`FILTER_BITS` / 4 rows more unique rows take the shuffle as well.
+`FILTER_BITS` / 4 rows more unique rows take the shuffle as well. A group of copies is combined before the shuffle and meets its rows
+again spread over many tasks.
 
 Defined results: a null text counts as the empty text; equal means identical after
 lower-casing A-Z; a null doc_id loses to any other, and a group of only null ids has keep_id
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import ascii_lower, checkpointed, table
+from emberline.llm.common import ascii_lower, checkpointed, join_spread, quoted, table, unused
 
 #: Bits of the broadcast filter: 16 MiB at most, whatever the input.
 FILTER_BITS = 1 << 27
@@ -38,6 +39,11 @@ def _slots(h: Column, bits: int) -> list[Column]:
     return [F.pmod(h if k == 0 else F.xxhash64(h, F.lit(k)), F.lit(bits)) + 1 for k in range(HASHES)]
 
 
+def filter_bits(rows: int) -> int:
+    """Eight bits a row and more, in whole bitmap rows, up to FILTER_BITS."""
+    return min(FILTER_BITS, max(CHUNK_BITS, 1 << max(0, 8 * rows - 1).bit_length()))
+
+
 def repeat_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """Bitmap rows (chunk, bitmap) of the slots that more than one row hit."""
     slot = F.col("slot")
@@ -57,66 +63,59 @@ def _bit(bitmap: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
-def flag_possible_repeats(df: DataFrame, column: str, flag: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Add boolean `flag`: false means that no other row has this value of the bigint `column`."""
-    chunks = repeat_filter(df, column, bits)
-    out, hit = df, F.lit(True)
-    for k, slot in enumerate(_slots(F.col(column), bits)):
-        part = chunks.select(F.col("chunk").alias(f"__chunk{k}"), F.col("bitmap").alias(f"__bitmap{k}"))
-        out = out.join(F.broadcast(part), F.bitmap_bucket_number(slot) == F.col(f"__chunk{k}"), "left")
-        hit = hit & _bit(F.col(f"__bitmap{k}"), slot)
-    return out.select(*[df[c] for c in df.columns], hit.alias(flag))
+def flag_possible_repeats(df: DataFrame, hashed: Column, chunks: DataFrame, flag: str, bits: int) -> DataFrame:
+    """Add boolean `flag`: false means that no other row has this hash. `chunks`: repeat_filter of the same hashes."""
+    out, hit, columns = df, F.lit(True), df.columns
+    for k, slot in enumerate(_slots(hashed, bits)):
+        chunk, bitmap = unused(out, f"chunk{k}"), unused(out, f"bitmap{k}")
+        part = chunks.select(F.col("chunk").alias(chunk), F.col("bitmap").alias(bitmap))
+        out = out.join(F.broadcast(part), F.bitmap_bucket_number(slot) == F.col(chunk), "left")
+        hit = hit & _bit(F.col(bitmap), slot)
+    return out.select(*map(quoted, columns), hit.alias(flag))
 
 
-def annotate_duplicates(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def annotate_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of documents."""
     digests = checkpointed(
         docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256")).withColumn(
             "h", F.xxhash64("text_sha256")
         )
     )
-    flagged = flag_possible_repeats(digests, "h", "maybe", bits)
+    bits = bits or filter_bits(digests.count())
+    flagged = flag_possible_repeats(digests, F.col("h"), repeat_filter(digests, "h", bits), "maybe", bits)
     alone = flagged.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = flagged.filter("maybe").select("doc_id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    compared = maybe.join(groups, "text_sha256").select(
+    compared = join_spread(maybe, groups, "text_sha256", "doc_id").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
     return alone.unionByName(compared)
 
 
-def drop_duplicates(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def drop_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """`docs` with one row for each distinct text: of equal texts the row with the largest doc_id.
 
-    Ties on doc_id go to the row that sorts last by its other columns. Unique rows are not
+    Ties on doc_id go to the row that sorts last by its other columns as JSON. Unique rows are not
     shuffled; of the others each task sends one row a group.
     """
-    h, flag, digest = (_unused(docs, n) for n in ("__h", "__maybe", "__digest"))
-    hashed = docs.withColumn(h, F.xxhash64(F.sha2(normalised(F.col("text")), 256)))
-    chunks = checkpointed(repeat_filter(docs.select(F.xxhash64(F.sha2(normalised(F.col("text")), 256)).alias("h")), "h", bits))
-    out, hit = hashed, F.lit(True)
-    for k, slot in enumerate(_slots(F.col(h), bits)):
-        part = chunks.select(F.col("chunk").alias(f"__chunk{k}"), F.col("bitmap").alias(f"__bitmap{k}"))
-        out = out.join(F.broadcast(part), F.bitmap_bucket_number(slot) == F.col(f"__chunk{k}"), "left")
-        hit = hit & _bit(F.col(f"__bitmap{k}"), slot)
-    out = out.withColumn(flag, hit)
-    rest = [c for c in docs.columns if c != "doc_id"]
+    bits = bits or filter_bits(docs.count())
+    h, flag, digest = (unused(docs, n) for n in ("h", "maybe", "digest"))
+    sha = F.sha2(normalised(F.col("text")), 256)
+    chunks = checkpointed(repeat_filter(docs.select(F.xxhash64(sha).alias("h")), "h", bits))
+    out = flag_possible_repeats(docs.withColumn(h, F.xxhash64(sha)), F.col(h), chunks, flag, bits)
+    # Fields by number: names of columns may hold any sign, and types any that has no order.
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rest = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "doc_id"])
     largest = (
         out.filter(F.col(flag))
-        .withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+        .select(sha.alias(digest), row.alias("row"), F.struct("doc_id", F.to_json(rest)).alias("place"))
         .groupBy(digest)
-        .agg(F.max(F.struct("doc_id", *rest)).alias("row"))
-        .select("row.*")
+        .agg(F.max_by("row", "place").alias("row"))
+        .select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
     )
-    return out.filter(~F.col(flag)).select(docs.columns).unionByName(largest.select(docs.columns))
+    return out.filter(~F.col(flag)).select(*map(quoted, docs.columns)).unionByName(largest)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

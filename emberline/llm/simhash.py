@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import checkpointed, find_package, table
+from emberline.llm.common import checkpointed, find_package, join_spread, table, unused
 from emberline.llm.components import connected_components
 
 RADIUS = 4
@@ -122,7 +122,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, bands: int = 3) -> DataFram
         for i, (mask, r) in enumerate(looks) for x in ball(mask, r)
     ])
     masks = np.array([m for m, _ in looks], dtype=np.uint64)
-    variants = distinct.select("fp", F.explode(flips).alias("f")).select(
+    # Dealt out first: few small partitions of fingerprints would make all variants.
+    dealt = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    variants = dealt.select("fp", F.explode(flips).alias("f")).select(
         F.col("f.view").alias("view"), F.col("fp").bitwiseAND(F.col("f.mask")).bitwiseXOR(F.col("f.flip")).alias("key"), "fp"
     )
 
@@ -186,8 +188,8 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, words: int = SH
     found = connected_components(links(distinct.select("fp"), radius, bands))
     member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = member.join(least, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    of_print = join_spread(member, least, "component", "fp").select("fp", "component_id")
+    return join_spread(prints, of_print, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
@@ -196,10 +198,11 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay; rows that repeat the kept doc_id stay with it.
     """
     find_package(docs.sparkSession)
-    dropped = checkpointed(near_duplicate_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = unused(docs, "gone")
+    dropped = checkpointed(near_duplicate_groups(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

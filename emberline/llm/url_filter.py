@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import LOWER, UPPER, checkpointed, table
+from emberline.llm.common import LOWER, UPPER, checkpointed, quoted, table
 
 #: (host, path prefix, verdict)
 RULES = [
@@ -79,10 +79,11 @@ def match_rules(
     """`urls` with host, path, rule and verdict added (columns of these names are replaced)."""
     spark = urls.sparkSession
     rules = [tuple(r) for r in rules]
-    host, path = url_host(F.col(url)), url_path(F.col(url))
-    held = F.struct(*[F.col(c) for c in urls.columns], host.alias("__host"), path.alias("__path"))
+    host, path = url_host(quoted(url)), url_path(quoted(url))
+    # Fields by number: names of columns may hold any sign.
+    held = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(urls.columns)], host.alias("host"), path.alias("path"))
     rows = urls.select(
-        host_key(host).alias("key"), F.lit(1).alias("kind"), F.xxhash64(*[F.col(url), F.monotonically_increasing_id()]).alias("salt"), held.alias("held")
+        host_key(host).alias("key"), F.lit(1).alias("kind"), F.xxhash64(*[quoted(url), F.monotonically_increasing_id()]).alias("salt"), held.alias("held")
     )
     marks = _segment_rows(spark, rules).select(F.col("start").alias("key"), F.lit(0).alias("kind"), F.lit(-(1 << 63)).alias("salt"), "stack")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -103,7 +104,7 @@ def match_rules(
     )
     joined = swept.filter("kind = 1").join(carried, "part", "left")
     fits = F.filter(
-        F.coalesce("own", "from_stack"), lambda r: F.startswith(F.col("held.__path"), r["path"])
+        F.coalesce("own", "from_stack"), lambda r: F.startswith(F.col("held.path"), r["path"])
     )
     best = F.array_max(
         F.transform(fits, lambda r: F.struct(
@@ -113,8 +114,8 @@ def match_rules(
     )
     taken = {"host", "path", "rule", "verdict"}
     return joined.withColumn("best", best).select(
-        *[F.col("held").getField(c).alias(c) for c in urls.columns if c not in taken],
-        F.col("held.__host").alias("host"), F.col("held.__path").alias("path"),
+        *[F.col("held").getField(f"c{i}").alias(c) for i, c in enumerate(urls.columns) if c not in taken],
+        F.col("held.host").alias("host"), F.col("held.path").alias("path"),
         F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 

@@ -7,7 +7,8 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from emberline.llm import exact_dedup, simhash
+from emberline.llm import exact_dedup, simhash, url_filter
+from emberline.llm.common import join_spread
 from emberline.llm.components import connected_components
 
 
@@ -42,10 +43,36 @@ def test_exact_drop_keeps_columns_and_one_of_each(hard):
 
 def test_exact_unique_rows_do_not_shuffle(docs_of):
     digests = docs_of([f"text {i}" for i in range(50)] + ["text 1"]).select("doc_id", F.xxhash64("text").alias("h"))
-    flagged = exact_dedup.flag_possible_repeats(digests, "h", "maybe")
+    bits = exact_dedup.filter_bits(51)
+    flagged = exact_dedup.flag_possible_repeats(digests, F.col("h"), exact_dedup.repeat_filter(digests, "h", bits), "maybe", bits)
     assert flagged.filter("maybe").count() == 2
 
 
+def test_columns_of_any_name_and_type(docs_of):
+    """Helper names, dots, backquotes and a map column stay as they are."""
+    docs = docs_of(["a b", "A b", "c", None, "a b"], ids=[1, 2, 3, 4, 2]).withColumns({n: F.lit(n) for n in ("__chunk0", "chunk0", "__gone", "gone", "__host", "salt", "maybe")})
+    docs = docs.withColumn("a.b", F.col("doc_id") * 2).withColumn("q`r", F.lit(1)).withColumn("m", F.create_map(F.lit("k"), "text")).withColumn("url", F.concat(F.lit("http://x.org/"), "text"))
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert all(r["a.b"] == 2 * r["doc_id"] and r["m"] == {"k": r["text"]} for r in kept.collect())
+    near = simhash.keep_representatives(docs)
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {1, 3, 4}
+    judged = url_filter.match_rules(docs)
+    assert judged.columns == [*docs.columns, "host", "path", "rule", "verdict"] and {r["a.b"] for r in judged.collect()} == {2, 4, 6, 8}
+
+
+def test_filter_follows_the_rows():
+    assert [exact_dedup.filter_bits(n) for n in (0, 1, 5000, 10**6, 10**12)] == [1 << 15, 1 << 15, 1 << 16, 1 << 23, exact_dedup.FILTER_BITS]
+
+
+def test_one_group_meets_its_value_in_many_tasks(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("salt"))
+    values = rows.groupBy("k").agg(F.count("*").alias("n"))
+    found = join_spread(rows, values, "k", "id", salts=16)
+    assert found.columns == ["k", "id", "salt", "n"] and found.count() == 4000
+    assert found.filter("k = 7").select("n").distinct().collect()[0][0] == 1335  # every third id, and 7 itself
+
+
 def reference(text):
     words = regex.findall("[^\x20\x09-\x0D]+", lowered(text))
     if not words:
