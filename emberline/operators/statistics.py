@@ -9,48 +9,52 @@ from pyspark.sql import functions as F
 MIN_PEERS, MIN_PERCENTILE, MIN_RATIO, MIN_Z = 20, 95.0, 1.25, 3.5
 
 
-def _median_at(a: Column, n: Column) -> Column:
-    """Median of the sorted array `a` of length n >= 1."""
-    low, high = F.element_at(a, ((n + 1) / 2).cast("int")), F.element_at(a, (n / 2).cast("int") + 1)
-    return (low + high) / 2
+def running_counts(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of each key with `c` (how often), `upto` (how many are at most as large) and `size` (how many in all).
+
+    Rows are combined by value before the shuffle; a window then runs over distinct values in order, and holds none of them.
+    """
+    counted = values.groupBy(*keys, value).agg(F.sum("c").alias("c"))
+    sizes = counted.groupBy(keys).agg(F.sum("c").alias("size"))
+    order = Window.partitionBy(keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("upto", F.sum("c").over(order)).join(sizes, keys)
+
+
+def value_at(place: Column, value: str) -> Column:
+    """Aggregate over running counts: the value at a place (from 1) in sorted order."""
+    return F.max(F.when((F.col("upto") - F.col("c") < place) & (place <= F.col("upto")), F.col(value)))
+
+
+def _without_one(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """For each key the four values from which the median without any one value follows (see _median_without)."""
+    n = F.col("size") - 1
+    low, high = F.floor((n + 1) / 2), F.floor(n / 2) + 1
+    return counts.groupBy(keys).agg(*[value_at(place, value).alias(f"{name}{i}") for i, place in enumerate((low, low + 1, high, high + 1))])
+
+
+def _median_without(x: Column, name: str) -> Column:
+    """Median of the others. What lies below x keeps its place when x goes, what doesn't moves up one."""
+    part = lambda i: F.when(F.col(f"{name}{i}") < x, F.col(f"{name}{i}")).otherwise(F.col(f"{name}{i + 1}"))
+    return F.when(F.col("peer_count") > 0, (part(0) + part(2)) / 2)
 
 
 def peer_baselines(operations: DataFrame, cohort: str = "cohort", value: str = "duration") -> DataFrame:
     """Leave-one-out baseline of every operation in its cohort: median, MAD, ratio, percentile rank, robust z.
 
-    Rows with equal durations have equal peers, so the work is by distinct duration: a cohort is reduced to its
-    (duration, count) pairs, a sorted histogram that is far smaller than its rows, and medians are found in running
-    counts. The MAD of the peers needs a sort of the pairs by distance for each distinct duration.
+    Rows with equal durations have equal peers, so the work is by distinct duration. The median of the others is one of three
+    neighbours in the whole cohort's order (or a mean of two), so a cohort has few centres; for each of them the cohort is sorted by distance once,
+    and the MAD follows in the same way. Work is a few sorts of the distinct durations, however large the cohort.
     """
-    per_value = operations.groupBy(cohort, value).agg(F.count(F.lit(1)).alias("c"))
-    cohorts = per_value.groupBy(cohort).agg(F.sum("c").alias("size"), F.array_sort(F.collect_list(F.struct(F.col(value).alias("x"), "c"))).alias("pairs"))
-    rows = per_value.join(cohorts, cohort)
-    n = F.col("size") - 1
-    # The histogram without this row.
-    peers = F.transform("pairs", lambda p: F.struct(p["x"].alias("x"), (p["c"] - F.when(p["x"] == F.col(value), 1).otherwise(0)).alias("c")))
-    rows = rows.withColumn("peers", F.filter(peers, lambda p: p["c"] > 0)).withColumn("peer_count", n)
-
-    def weighted_median(pairs: Column) -> Column:
-        """Median of sorted (x, c) pairs with `peer_count` in all."""
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-        lower, upper = F.floor((F.col("peer_count") + 1) / 2), F.floor(F.col("peer_count") / 2) + 1
-
-        def step(s: Column, p: Column) -> Column:
-            seen = s["seen"] + p["c"]
-            return F.struct(
-                seen.alias("seen"), F.when(s["low"].isNull() & (seen >= lower), p["x"]).otherwise(s["low"]).alias("low"),
-                F.when(s["high"].isNull() & (seen >= upper), p["x"]).otherwise(s["high"]).alias("high"),
-            )
-
-        return F.aggregate(pairs, start, step, lambda s: (s["low"] + s["high"]) / 2)
-
-    rows = rows.withColumn("center", weighted_median(F.col("peers")))
-    distances = F.array_sort(F.transform("peers", lambda p: F.struct(F.abs(p["x"] - F.col("center")).alias("x"), p["c"].alias("c"))))
-    rows = rows.withColumn("mad", weighted_median(distances))
-    below = F.aggregate("peers", F.lit(0).cast("long"), lambda s, p: s + F.when(p["x"] <= F.col(value), p["c"]).otherwise(0))
+    counts = running_counts(operations.select(cohort, F.col(value), F.lit(1).alias("c")), [cohort], value)
+    rows = counts.join(_without_one(counts, [cohort], value, "m"), cohort).withColumn("peer_count", F.col("size") - 1)
+    rows = rows.withColumn("center", _median_without(F.col(value), "m")).drop("m0", "m1", "m2", "m3")
+    centers = rows.filter("center IS NOT NULL").select(cohort, "center").distinct()
+    distances = counts.select(cohort, value, "c").join(centers, cohort).select(cohort, "center", F.abs(F.col(value) - F.col("center")).alias("distance"), "c")
+    spread = _without_one(running_counts(distances, [cohort, "center"], "distance"), [cohort, "center"], "distance", "d")
+    rows = rows.join(spread, [cohort, "center"], "left").withColumn("mad", _median_without(F.abs(F.col(value) - F.col("center")), "d"))
     rows = rows.withColumns({
         "ratio": F.when(F.col("center") > 0, F.col(value) / F.col("center")),
-        "percentile_rank": F.when(F.col("peer_count") > 0, 100.0 * below / F.col("peer_count")),
+        "percentile_rank": F.when(F.col("peer_count") > 0, 100.0 * (F.col("upto") - 1) / F.col("peer_count")),
         "robust_z": F.when(F.col("mad") > 0, 0.6745 * (F.col(value) - F.col("center")) / F.col("mad")),
     })
     sufficient = (F.col("peer_count") >= MIN_PEERS) & F.coalesce(F.col("mad") > 0, F.lit(False))
@@ -61,15 +65,17 @@ def peer_baselines(operations: DataFrame, cohort: str = "cohort", value: str = "
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, min, median, p90 (the lower of the two, not interpolated), max and MAD of each group."""
-    sorted_ = df.filter(F.col(value).isNotNull()).groupBy(keys).agg(F.array_sort(F.collect_list(value)).alias("a")).withColumn("n", F.size("a"))
-    rows = sorted_.withColumn("median", _median_at(F.col("a"), F.col("n")))
-    distance = F.array_sort(F.transform("a", lambda x: F.abs(x - F.col("median"))))
-    return rows.withColumn("d", distance).select(
-        *keys, F.col("n").cast("long").alias("n"), F.element_at("a", 1).alias("least"), "median",
-        F.element_at("a", (F.floor(0.9 * (F.col("n") - 1)) + 1).cast("int")).alias("p90"), F.element_at("a", -1).alias("most"), _median_at(F.col("d"), F.col("n")).alias("mad"),
-        F.element_at("a", (F.col("n") / 2).cast("int") + 1).alias("upper_median"),
+    """count, min, median, p90 (the lower of the two, not interpolated), max and MAD of each group, from running counts of distinct values."""
+    counts = running_counts(df.filter(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("c")), keys, value)
+    n = F.col("size")
+    half = lambda name: (value_at(F.floor((n + 1) / 2), name) + value_at(F.floor(n / 2) + 1, name)) / 2
+    found = counts.groupBy(keys).agg(
+        F.max("size").alias("n"), F.min(value).alias("least"), half(value).alias("median"), value_at(F.floor(0.9 * (n - 1)) + 1, value).alias("p90"),
+        F.max(value).alias("most"), value_at(F.floor(n / 2) + 1, value).alias("upper_median"),
     )
+    distances = counts.select(*keys, value, "c").join(found.select(*keys, "median"), keys).select(*keys, F.abs(F.col(value) - F.col("median")).alias("distance"), "c")
+    mads = running_counts(distances, keys, "distance").groupBy(keys).agg(half("distance").alias("mad"))
+    return found.join(mads, keys).select(*keys, "n", "least", "median", "p90", "most", "mad", "upper_median")
 
 
 def series_summary(points: DataFrame, keys: list[str], time: str = "ts", value: str = "value") -> DataFrame:

@@ -124,7 +124,7 @@ def lifecycle_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RELATED = SIGNALLED + """, jobs AS (SELECT strftime(ts, '%Y-%m-%d') AS incident, CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'succeeded' ELSE 'resumed' END AS l_status, host,
-    min(ts) AS l_first, max(ts) AS l_last, 'job-' || min(ordinal) AS l_event_id FROM logs WHERE event_name = 'purchase' AND k % 10 = 1 GROUP BY ALL),
+    min(ts) AS l_first, max(ts) AS l_last, 'job-' || min(ordinal) AS l_event_id FROM logs WHERE event_name = 'purchase' GROUP BY ALL),
   lefts AS (SELECT DISTINCT g.incident, g.event_id, g.first_seen, g.last_seen, g.hosts, CASE WHEN len(g.hosts) = 1 THEN ['x' || g.hosts[1]] ELSE ['other'] END AS xs
     FROM signals s JOIN grouped g USING (event_id) WHERE signal_family <> 'unclassified_error'),
   r0 AS (SELECT l.*, j.l_event_id, j.l_status, list_contains(xs, 'x' || j.host) AS same_x, list_contains(hosts, j.host) AS same_host,
