@@ -262,6 +262,29 @@ def canonical(*parts: Column) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON with every character beyond ASCII as \\u and four hex digits (two of them beyond U+FFFF)."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        high = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return F.when(n < 128, c).when(n < 0x10000, unit(n)).otherwise(high)
+
+    plain = F.octet_length(json) == F.char_length(json)
+    return F.when(plain, json).otherwise(F.array_join(F.transform(F.split(json, ""), one), ""))
+
+
+def canonical_json(value: Column) -> Column:
+    """A struct with its fields in alphabetical order, or a map from sorted_map, as compact JSON in ASCII; nulls are written."""
+    return ascii_json(F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def sorted_map(values: Column) -> Column:
+    """The entries of a map that are not null, by key."""
+    return F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(values, lambda k, v: v.isNotNull()))))
+
+
 def action_class(text: Column) -> Column:
     """read_only, execution_claim, proposal or unknown by precedence of wording."""
     claims = r"(?i)\b(?:restarted|rolled back|deployed|deleted|scaled|patched|executed)\b"

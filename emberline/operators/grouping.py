@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from emberline.functions import text
 
 GROUP_KEYS = ["service", "level", "error_type", "event_name", "status_code", "signature"]
-DIMENSIONS = ["pod", "host", "trace_id", "user_id"]
+#: Fixed values.
+DIMENSIONS = ["route", "dependency", "region", "pod", "host", "status_code", "workload_id", "execution_id"]
+#: What a record says of its origin, and the set of it that a group has.
+LINEAGE_SETS = {
+    "source": "sources", "query_id": "source_query_ids", "source_schema_id": "source_schema_ids", "connector_version": "connector_versions", "clock_quality": "clock_qualities",
+    "source_timestamp_quality": "source_timestamp_qualities", "timestamp_ordering_scope": "timestamp_ordering_scopes",
+}
 BURST_SCHEMA = "event-burst/v1"
 
 
@@ -53,7 +59,7 @@ def label_groups(logs: DataFrame) -> DataFrame:
 
 def honesty(groups: DataFrame, total_of: DataFrame, truncated: bool) -> DataFrame:
     """Say what a group's count stands for: exact, or the part of a sample. `total_of`: (incident, total)."""
-    return groups.join(F.broadcast(total_of), "incident", "left").select(
+    return groups.join(total_of, "incident", "left").select(
         groups["*"],
         F.lit(not truncated).alias("count_is_exact"),
         F.lit("sampled" if truncated else "window").alias("count_scope"),
@@ -118,12 +124,13 @@ def dimension_top(logs: DataFrame, dimensions: list[str] = DIMENSIONS, keep: int
 
 
 def lineage(logs: DataFrame) -> DataFrame:
-    """Sorted distinct sets of what a group was seen in."""
+    """Sorted distinct sets of what a group was seen in, and of the origins that its records name (columns of LINEAGE_SETS, where there are any)."""
     keys = ["incident", *GROUP_KEYS]
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(c).cast("string"), F.lit("")))), ",")
+    origins = {name: found for name, found in LINEAGE_SETS.items() if name in logs.columns}
     return (
-        with_signature(logs).groupBy(keys).agg(joined("pod").alias("pods"), joined("host").alias("hosts"), F.count_distinct("user_id").alias("users"))
-        .select("incident", event_id([F.col(k) for k in keys]).alias("event_id"), "pods", "hosts", "users")
+        with_signature(logs).groupBy(keys).agg(joined("pod").alias("pods"), joined("host").alias("hosts"), F.count_distinct("user_id").alias("users"), *[joined(c).alias(f) for c, f in origins.items()])
+        .select("incident", event_id([F.col(k) for k in keys]).alias("event_id"), "pods", "hosts", "users", *origins.values())
     )
 
 

@@ -57,11 +57,11 @@ def normalize_time(raw: Column, received: Column) -> tuple[Column, Column]:
     return F.when(quality.isin("verified", "assumed_utc"), parsed), quality
 
 
-def normalize_logs(raw: DataFrame) -> DataFrame:
+def normalize_logs(raw: DataFrame, source: str = "loki") -> DataFrame:
     """Raw records (timestamp, message, labels map, received, ordinal) to canonical ones with evidence ids.
 
     Labels are redacted, the schema is detected, each canonical field is picked by preference, levels are mapped
-    to one vocabulary, and the record gets a content hash and an id from it.
+    to one vocabulary, and the record gets a content hash and an id, both of the canonical JSON of what was kept (for the id with source and type).
     """
     labels = text.redact_labels(F.col("labels"))
     when, quality = normalize_time(F.col("timestamp"), F.col("received"))
@@ -75,8 +75,12 @@ def normalize_logs(raw: DataFrame) -> DataFrame:
         fields.append((text.normalize_level(value) if field == "level" else value).alias(field))
     base = raw.withColumns({"schema": schema, "clean": labels, "event_time": when, "time_quality": quality, "clean_message": text.redact_message(F.col("message"))})
     canonical = base.select("ordinal", "schema", "event_time", "time_quality", F.col("timestamp").alias("original_time"), F.col("clean_message").alias("message"), *fields)
-    content = text.canonical(F.col("event_time").cast("string"), F.col("service"), F.col("level"), F.col("message"))
-    return canonical.withColumn("integrity_hash", F.sha2(content, 256)).withColumn("evidence_id", text.scoped_id("evd-log-", content, 20))
+    fields = F.create_map(*[x for name in SCHEMAS["loki_default"] for x in (F.lit(name), F.col(name))])
+    payload = F.struct(
+        text.redact_data(text.sorted_map(fields)).alias("labels"), "message", F.lit(None).cast("string").alias("operation_feature"), "schema", F.col("original_time").alias("timestamp"))
+    record = F.struct(payload.alias("payload"), F.lit(source).alias("source"), F.lit("log").alias("type"))
+    return canonical.withColumn("integrity_hash", F.concat(F.lit("sha256:"), F.sha2(text.canonical_json(payload), 256))).withColumn(
+        "evidence_id", text.scoped_id("evd-log-", text.canonical_json(record), 20))
 
 
 def assess(records: DataFrame, required: list[str], identity: list[str], quarantine_missing_time: bool = False) -> DataFrame:

@@ -49,15 +49,16 @@ def round_robin(df: DataFrame, stratum: str, order: list[str], keep: int) -> Dat
 
 
 def family_cover(groups: DataFrame, keep: int = 5) -> DataFrame:
-    """Groups that add a signal family not seen in a better one, in order, at most `keep` an incident.
+    """Groups that add a signal family not seen in an earlier one, at most `keep` an incident: those with a direct signal first, then by first time.
 
-    A group is taken by the greedy choice exactly if it is the best group of one of its families.
+    A group is taken by the greedy choice exactly if it is the first group of one of its families. `groups` has families (array) and direct.
     """
-    best = groups.select("incident", "event_id", "n", "ordinal", F.explode("families").alias("family")).groupBy("incident", "family").agg(
-        F.min_by("event_id", F.struct(-F.col("n"), F.col("ordinal"))).alias("event_id")
+    order = [~F.col("direct"), F.col("first_seen"), F.col("ordinal")]
+    best = groups.select("incident", "event_id", "direct", "first_seen", "ordinal", F.explode("families").alias("family")).groupBy("incident", "family").agg(
+        F.min_by("event_id", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("event_id")
     )
     kept = groups.join(best.select("incident", "event_id").distinct(), ["incident", "event_id"], "left_semi")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("incident").orderBy(F.desc("n"), "ordinal"))).filter(F.col("rank") <= keep)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("incident").orderBy(*order))).filter(F.col("rank") <= keep)
 
 
 def rarest(groups: DataFrame, keep: int = 3) -> DataFrame:

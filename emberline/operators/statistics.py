@@ -94,7 +94,7 @@ def series_summary(points: DataFrame, keys: list[str], time: str = "ts", value:
 
 def rates(logs: DataFrame, window: str = "5 minutes", step: str = "1 minute") -> DataFrame:
     """Error rate and requests a second by service over sliding windows."""
-    seconds = 300
+    seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")
     return logs.groupBy("service", F.window("ts", window, step).alias("w")).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.startswith("status_code", F.lit("5"))).alias("errors")
     ).select(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 BUCKET_SECONDS = 300
 
@@ -28,7 +32,7 @@ def incident_buckets(alerts: DataFrame, tenant: str = "default") -> DataFrame:
 
     Numbers come from ranks within hours and the hours' running totals, so no task ranks all incidents.
     """
-    key = F.sha2(F.concat_ws("|", "fingerprint", "service", F.unix_seconds(bucket_start(F.col("ts"))).cast("string"), F.lit(tenant)), 256)
+    key = F.sha2(F.concat_ws("|", "fingerprint", "service", F.date_format(bucket_start(F.col("ts")), "yyyy-MM-dd'T'HH:mm:ssxxx"), F.lit(tenant)), 256)
     found = alerts.withColumn("bucket_key", key).groupBy("bucket_key").agg(
         F.min(F.struct("ts", "ordinal")).alias("first"), F.count(F.lit(1)).alias("events"), F.first("service").alias("service"), F.max("ts").alias("last_at")
     )
@@ -70,11 +74,26 @@ def revision_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 
 def coalesced_jobs(events: DataFrame, wait_seconds: int = 5, most_seconds: int = 30) -> DataFrame:
-    """One job for each run of an incident's events: an event within the wait of the one before joins its job; the payload
-    of the last event counts, and the job is due `wait` after it but never later than `most` after its first."""
-    order = Window.partitionBy("incident").orderBy("ts", "ordinal")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    rows = events.withColumn("starts", F.when(gap.isNull() | (gap > wait_seconds * 1_000_000), 1).otherwise(0)).withColumn("job", F.sum("starts").over(order))
+    """Jobs that collect an incident's events while they wait: a job is due `wait` after its last event but never later than `most` after its first,
+    and an event that comes after that opens a new one. The payload of the last event counts.
+
+    Where a job ends depends on where it began, so each incident's events are gone through in order, as a stream of sorted batches.
+    """
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, job, first, last = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for incident, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if job == 0 or incident != now:
+                    now, job, first = incident, 1, at
+                elif at > min(last + wait_seconds * 1_000_000, first + most_seconds * 1_000_000):
+                    job, first = job + 1, at
+                last = at
+                out.append(job)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=["incident", "ts", "ordinal", "job"])
+
+    ordered = events.select("incident", "ts", "ordinal", F.unix_micros("ts").alias("at")).repartition("incident").sortWithinPartitions("incident", "at", "ordinal")
+    rows = ordered.mapInArrow(numbered, StructType([*(ordered.schema[c] for c in ("incident", "ts", "ordinal")), StructField("job", LongType())]))
     jobs = rows.groupBy("incident", "job").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("created"), F.max("ts").alias("last"), F.max_by("ordinal", F.struct("ts", "ordinal")).alias("payload"))
     due = F.least(F.unix_seconds("last") + wait_seconds, F.unix_seconds("created") + most_seconds)
     return jobs.withColumn("available_at", due)

@@ -209,7 +209,8 @@ def q_severity_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_family_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(spark, sf_dir).withColumn("families", F.array_distinct(F.transform(text.detect_signals(F.col("example_message"), F.col("level")), lambda s: s["signal_family"])))
+    seen = groups(spark, sf_dir).withColumn("signals", text.detect_signals(F.col("example_message"), F.col("level")))
+    found = seen.withColumn("families", F.array_distinct(F.transform("signals", lambda s: s["signal_family"]))).withColumn("direct", F.exists("signals", lambda s: s["directness"] == "direct"))
     return sampling.family_cover(found, keep=5).select("incident", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -273,8 +274,10 @@ QUERIES = {
     "severity_matrix": (q_severity_matrix, with_groups("SELECT incident, service, alert, severity, CASE severity WHEN 'SEV2' THEN 1500 ELSE 500 END AS fetch_limit FROM severed", _WORST)),
     "severity_escalation": (q_severity_escalation, duck(f"""WITH {_REGISTRY}, rate AS (SELECT strftime(ts, '%Y-%m-%d') AS incident, service, count(*) FILTER (level = 'error') / count(*) AS e FROM logs GROUP BY ALL)
       SELECT incident, service, round(e, 4) AS error_rate, CASE WHEN tier = 0 AND e >= 0.5 THEN 'SEV1' WHEN e >= 0.1 THEN 'SEV2' ELSE 'SEV4' END AS severity FROM rate LEFT JOIN registry USING (service)""")),
-    "family_cover": (q_family_cover, with_groups("""SELECT incident, event_id, rank FROM (SELECT incident, event_id, row_number() OVER (PARTITION BY incident ORDER BY n DESC, ordinal) AS rank FROM grouped WHERE event_id IN (
-      SELECT event_id FROM signals JOIN grouped USING (event_id) QUALIFY row_number() OVER (PARTITION BY grouped.incident, signal_family ORDER BY n DESC, ordinal) = 1)) WHERE rank <= 5""", SIGNALLED)),
+    "family_cover": (q_family_cover, with_groups("""SELECT incident, event_id, rank FROM (SELECT incident, event_id, row_number() OVER (PARTITION BY incident ORDER BY NOT direct, first_seen, ordinal) AS rank FROM
+      (SELECT g.*, (SELECT bool_or(s.directness = 'direct') FROM signals s WHERE s.event_id = g.event_id) AS direct FROM grouped g) WHERE event_id IN (
+      SELECT event_id FROM (SELECT grouped.incident, grouped.event_id, first_seen, ordinal, signal_family, bool_or(directness = 'direct') OVER (PARTITION BY grouped.event_id) AS direct FROM signals JOIN grouped ON signals.event_id = grouped.event_id)
+      QUALIFY row_number() OVER (PARTITION BY incident, signal_family ORDER BY NOT direct, first_seen, ordinal) = 1)) WHERE rank <= 5""", SIGNALLED)),
     "rare_groups": (q_rare_groups, with_groups("SELECT incident, event_id, n, row_number() OVER (PARTITION BY incident ORDER BY n, first_seen, ordinal) AS rank FROM grouped WHERE level IN ('error', 'warn') QUALIFY rank <= 3")),
     "review_gate": (q_review_gate, D_REVIEW_GATE),
     "claim_grounding": (q_claim_grounding, with_groups("""SELECT incident, 'claim-' || event_id AS claim_id, CASE WHEN n % 3 = 2 THEN '' ELSE event_id END AS grounded_ids, CASE n % 3 WHEN 0 THEN 'downgraded' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS verdict,

@@ -93,8 +93,20 @@ def q_dimension_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.dimension_top(logs(spark, sf_dir))
 
 
+#: Where records come from, in both engines.
+LINEAGE = {
+    "source": "CASE WHEN k % 2 = 0 THEN 'loki' ELSE 'cloudwatch' END", "query_id": "concat('qry-', k % 3)", "source_schema_id": "CASE WHEN k % 2 = 0 THEN 'loki_default' END", "connector_version": "concat('v', user_id % 2)",
+    "clock_quality": "CASE WHEN k % 4 = 0 THEN 'assumed_utc' ELSE 'verified' END", "source_timestamp_quality": "CASE WHEN k % 5 = 0 THEN 'inferred' ELSE '' END", "timestamp_ordering_scope": "CASE WHEN k % 6 = 0 THEN 'source_relative' ELSE 'global' END",
+}
+_D_LINEAGE = ", ".join(f"coalesce(string_agg(DISTINCT nullif({made}, ''), ',' ORDER BY nullif({made}, '')), '') AS {grouping.LINEAGE_SETS[name]}" for name, made in LINEAGE.items())
+
+
 def q_lineage_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.lineage(logs(spark, sf_dir))
+    """What groups were seen in: dimensions, and sources as connectors would name them."""
+    rows = logs(spark, sf_dir)
+    for name, made in LINEAGE.items():
+        rows = rows.withColumn(name, F.expr(made))
+    return grouping.lineage(rows)
 
 
 def q_first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +127,12 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.normalize_logs(raw_records(spark, sf_dir).drop("service", "k"))
-    return found.select("ordinal", "schema", "service", "level", "error_type", "user_id", "host", "time_quality", F.date_format("event_time", SHOW).alias("event_time"), F.length("evidence_id").alias("id_length"))
+    return found.select("ordinal", "schema", "service", "level", "error_type", "user_id", "host", "time_quality", F.date_format("event_time", SHOW).alias("event_time"), "evidence_id", "integrity_hash")
+
 
+#: What redaction makes of the messages of the logs relation, in RE2.
+_D_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, 'token=[^\s,]+', 'token=[REDACTED]', 'g'), '\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b', '[EMAIL_REDACTED]', 'g'),
+  '\bhost=[^\s,;]+', 'host=[HOST_REDACTED]', 'g'), '(?:\d{1,3}\.){3}\d{1,3}', '[IP_REDACTED]', 'g')"""
 
 D_NORMALIZE_RECORDS = duck("""SELECT ordinal, CASE WHEN k % 2 = 0 THEN 'loki_default' ELSE 'cloudwatch' END AS schema, service,
   CASE WHEN k % 2 = 0 THEN CASE event_name WHEN 'error' THEN 'error' WHEN 'view' THEN 'warn' WHEN 'click' THEN 'info' ELSE 'debug' END
@@ -125,7 +141,13 @@ D_NORMALIZE_RECORDS = duck("""SELECT ordinal, CASE WHEN k % 2 = 0 THEN 'loki_def
   CASE WHEN k % 2 = 0 THEN 'redacted-' || substr(sha256(':' || CAST(user_id AS VARCHAR)), 1, 12) END AS user_id,
   CASE WHEN k % 2 = 0 THEN host END AS host,
   CASE ordinal % 11 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid' WHEN 2 THEN 'assumed_utc' WHEN 3 THEN 'future' ELSE 'verified' END AS time_quality,
-  CASE WHEN ordinal % 11 IN (0, 1, 3) THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS event_time, 28 AS id_length FROM logs""")
+  CASE WHEN ordinal % 11 IN (0, 1, 3) THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS event_time,
+  'evd-log-' || substr(sha256('{"payload":' || payload || ',"source":"loki","type":"log"}'), 1, 20) AS evidence_id, 'sha256:' || sha256(payload) AS integrity_hash
+  FROM (SELECT *, '{"labels":{' || CASE WHEN k % 2 = 0 THEN CASE WHEN error_type IS NULL THEN '' ELSE '"error_type":"' || error_type || '",' END || '"host":"' || host || '","level":"'
+      || CASE event_name WHEN 'error' THEN 'error' WHEN 'view' THEN 'warn' WHEN 'click' THEN 'info' ELSE 'debug' END || '","service":"' || service || '","user_id":"redacted-' || substr(sha256(':' || CAST(user_id AS VARCHAR)), 1, 12) || '"'
+      ELSE '"level":"' || CASE event_name WHEN 'error' THEN 'error' ELSE 'custom' END || '","service":"' || service || '"' END
+    || '},"message":"' || """ + _D_REDACTED + r""" || '","operation_feature":null,"schema":"' || CASE WHEN k % 2 = 0 THEN 'loki_default' ELSE 'cloudwatch' END || '","timestamp":"'
+    || CASE ordinal % 11 WHEN 0 THEN '' WHEN 1 THEN 'yesterday' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(ts + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END || '"}' AS payload FROM logs)""")
 
 
 def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,8 +308,9 @@ QUERIES = {
     "dimension_top5": (q_dimension_top5, with_signed(f"""SELECT incident, event_id, dimension, count(*) AS unique_values, string_agg(value || '=' || n, ',' ORDER BY rank) FILTER (rank <= 5) AS top_values
       FROM (SELECT *, row_number() OVER (PARTITION BY incident, event_id, dimension ORDER BY n DESC, value) AS rank FROM (
         SELECT incident, event_id, dimension, value, count(*) AS n FROM (
-          SELECT incident, {_ID} AS event_id, unnest(['pod', 'host', 'trace_id', 'user_id']) AS dimension, unnest([pod, host, trace_id, CAST(user_id AS VARCHAR)]) AS value FROM signed) GROUP BY ALL)) GROUP BY ALL""")),
-    "lineage_sets": (q_lineage_sets, with_signed(f"""SELECT incident, {_ID} AS event_id, string_agg(DISTINCT pod, ',' ORDER BY pod) AS pods, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, count(DISTINCT user_id) AS users
+          SELECT incident, {_ID} AS event_id, unnest(['route', 'dependency', 'region', 'pod', 'host', 'status_code', 'workload_id', 'execution_id']) AS dimension,
+            unnest([route, dependency, region, pod, host, status_code, workload_id, execution_id]) AS value FROM signed) WHERE value <> '' GROUP BY ALL)) GROUP BY ALL""")),
+    "lineage_sets": (q_lineage_sets, with_signed(f"""SELECT incident, {_ID} AS event_id, string_agg(DISTINCT pod, ',' ORDER BY pod) AS pods, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, count(DISTINCT user_id) AS users, {_D_LINEAGE}
       FROM signed GROUP BY incident, service, level, error_type, event_name, status_code, signature""")),
     "first_messages": (q_first_messages, with_signed(f"""SELECT incident, event_id, rank, message FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY o) AS rank FROM (
       SELECT incident, {_ID} AS event_id, message, min(ordinal) AS o FROM signed GROUP BY incident, service, level, error_type, event_name, status_code, signature, message)) WHERE rank <= 3""")),

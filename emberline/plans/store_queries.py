@@ -156,7 +156,7 @@ def q_document_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "incident_bucketing": (q_incident_bucketing, duck("""WITH a AS (SELECT ordinal, ts, service, sha256(error_type || '|' || service || '|' || CAST(CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS VARCHAR) || '|default') AS bucket_key FROM logs WHERE event_name = 'error')
+    "incident_bucketing": (q_incident_bucketing, duck("""WITH a AS (SELECT ordinal, ts, service, sha256(error_type || '|' || service || '|' || strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%dT%H:%M:%S+00:00') || '|default') AS bucket_key FROM logs WHERE event_name = 'error')
       SELECT bucket_key, any_value(service) AS service, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at, 100000 + row_number() OVER (ORDER BY min(ts), min(ordinal)) AS incident_number FROM a GROUP BY bucket_key""")),
     "idempotent_admission": (q_idempotent_admission, duck("""WITH a AS (SELECT ordinal, ts, service, service || '|' || error_type || '|' || floor(epoch(ts) / 600) AS k2 FROM logs WHERE event_name = 'error'),
       b AS (SELECT *, row_number() OVER (PARTITION BY k2 ORDER BY ts, ordinal) = 1 AND k2 NOT IN (SELECT k2 FROM a WHERE ts < TIMESTAMP '2024-01-03') AS ok FROM a) SELECT service, count(*) AS sent, count(*) FILTER (ok) AS admitted FROM b GROUP BY service""")),
@@ -167,8 +167,10 @@ QUERIES = {
     "revision_diff": (q_revision_diff, """WITH a AS (SELECT o_custkey, arg_max(o_orderstatus || '|' || o_orderpriority, (o_orderdate, o_orderkey)) AS d FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
       b AS (SELECT o_custkey, arg_max(o_orderstatus || '|' || o_orderpriority, (o_orderdate, o_orderkey)) AS d FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
       SELECT CASE WHEN a.d IS NULL THEN 'added' WHEN b.d IS NULL THEN 'removed' WHEN a.d = b.d THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS keys, min(o_custkey) AS first_key FROM a FULL JOIN b USING (o_custkey) GROUP BY 1"""),
-    "coalesced_jobs": (q_coalesced_jobs, duck("""WITH g AS (SELECT service, ts, ordinal, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 240000000 THEN 0 ELSE 1 END AS s FROM logs WINDOW w AS (PARTITION BY service ORDER BY ts, ordinal)),
-      j AS (SELECT *, CAST(sum(s) OVER (PARTITION BY service ORDER BY ts, ordinal) AS BIGINT) AS job FROM g)
+    "coalesced_jobs": (q_coalesced_jobs, duck("""WITH RECURSIVE g AS (SELECT service, ts, ordinal, row_number() OVER w AS i, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 240000000 THEN 0 ELSE 1 END AS s FROM logs WINDOW w AS (PARTITION BY service ORDER BY ts, ordinal)),
+      n AS (SELECT *, least(coalesce(min(CASE WHEN s = 1 THEN i END) OVER (PARTITION BY service ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1000000000), 1 + count(*) OVER (PARTITION BY service ORDER BY epoch_us(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 600000000 FOLLOWING)) AS nxt FROM g),
+      b(service, i, job) AS (SELECT service, CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM n WHERE i = 1 UNION ALL SELECT b.service, n.nxt, b.job + 1 FROM b JOIN n ON n.service = b.service AND n.i = b.i WHERE EXISTS (SELECT 1 FROM n m WHERE m.service = b.service AND m.i = n.nxt)),
+      j AS (SELECT g.*, b.job FROM g ASOF JOIN b ON g.service = b.service AND g.i >= b.i)
       SELECT service AS incident, job, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS created, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "last", arg_max(ordinal, (ts, ordinal)) AS payload,
         least(CAST(floor(epoch(max(ts))) AS BIGINT) + 240, CAST(floor(epoch(min(ts))) AS BIGINT) + 600) AS available_at FROM j GROUP BY service, job""")),
     "lifecycle_replay": (q_lifecycle_replay, duck(f"""WITH h AS (SELECT ['received', 'collecting', 'analyzing', 'awaiting_review', 'approved', 'failed'][k % 6 + 1] AS state, user_id, ordinal FROM logs),

@@ -29,8 +29,11 @@ SPARK = LineFormat("spark", r"^(\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (\w+) ([^:]
 HADOOP = LineFormat("hadoop", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) (\w+) \[([^\]]*)\] (.*)$", ("time", "millis", "level", "thread", "body"), "yyyy-MM-dd HH:mm:ss")
 OPENSTACK = LineFormat("openstack", r"^(\S+) (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\d+) (\w+) (\S+) (.*)$", ("source", "time", "pid", "level", "component", "body"), "yyyy-MM-dd HH:mm:ss.SSS")
 ZOOKEEPER = LineFormat("zookeeper", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (\w+)\s+\[(.*):([^:@]+)@(\d+)\] - (.*)$", ("time", "level", "thread", "component", "at", "body"), "yyyy-MM-dd HH:mm:ss,SSS")
-BGL = LineFormat("bgl", r"^(\S+) (\d+) (\d{4}\.\d{2}\.\d{2}) (\S+) (\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}\.\d{6}) (\S+) (\S+) (\S+) (\w+) ?(.*)$", ("truth", "epoch", "date", "node", "time", "node_again", "source", "component", "level", "body"), "yyyy-MM-dd-HH.mm.ss.SSSSSS")
-EXCEPTION_LINE = r"^(?:[\w.$]+(?:Exception|Error)\b|Caused by: |\s+at )"
+BGL = LineFormat("bgl", r"^(\S+)\s+(\d+)\s+(\d{4}\.\d{2}\.\d{2})\s+(\S+)\s+(\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}\.\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*)$", ("truth", "epoch", "date", "node", "time", "node_again", "source", "component", "level", "body"), "yyyy-MM-dd-HH.mm.ss.SSSSSS")
+EXCEPTION_LINES = [
+    r"^Exception in thread \"[^\"]+\" (?:java\.lang\.Error:\s*)?(.*)$",
+    r"^(?:[A-Za-z_][\w$]*\.)*[A-Za-z_][\w$]*(?:Exception|Error):\s*(.*)$",
+]
 #: Body text of a record that continuations are added up to.
 BODY_LIMIT = 2000
 
@@ -66,15 +69,17 @@ def accounting(lines: DataFrame, form: LineFormat) -> DataFrame:
 
 
 def parse_spark(lines: DataFrame) -> DataFrame:
-    """Spark driver lines: exception lines are records of their own with the time before them; others are unparsed."""
+    """Spark driver lines: an exception line after a record is a record of its own with the time before it; others are unparsed."""
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    timed, failed = F.rlike("line", F.lit(SPARK.header)), F.rlike("line", F.lit(EXCEPTION_LINE))
-    kind = F.when(timed, "record").when(failed, "exception").otherwise("unparsed")
+    timed = F.rlike("line", F.lit(SPARK.header))
     own = F.when(timed, F.try_to_timestamp(F.regexp_extract("line", SPARK.header, 1), F.lit(SPARK.time_format)))
-    return lines.select(
-        "file", "line_no", kind.alias("kind"), F.last(own, ignorenulls=True).over(order).alias("ts"),
+    said = F.coalesce(*[F.when(F.rlike("line", F.lit(p)), F.regexp_extract("line", p, 1)) for p in EXCEPTION_LINES])
+    failed = ~timed & F.col("said").isNotNull() & F.col("ts").isNotNull()
+    rows = lines.withColumn("said", said).withColumn("ts", F.last(own, ignorenulls=True).over(order))
+    return rows.select(
+        "file", "line_no", F.when(timed, "record").when(failed, "exception").otherwise("unparsed").alias("kind"), F.when(timed | failed, F.col("ts")).alias("ts"),
         F.when(timed, F.regexp_extract("line", SPARK.header, 2)).when(failed, "ERROR").alias("level"),
-        F.when(timed, F.regexp_extract("line", SPARK.header, 4)).otherwise(F.col("line")).alias("message"),
+        F.when(timed, F.regexp_extract("line", SPARK.header, 4)).when(failed, F.col("said")).otherwise(F.substring("line", 1, 300)).alias("message"),
     )
 
 

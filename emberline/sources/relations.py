@@ -12,6 +12,8 @@ from emberline.session import pin_semantics
 #: One log record for each event: service, level, error type, dimensions and a message with codes, ids and measures.
 LOGS = """
 SELECT event_id AS ordinal, ts, service, level, error_type, event_type AS event_name, status_code, pod, host, trace_id, user_id, k, value,
+  CASE WHEN event_type = 'view' THEN concat('/item/', CAST(k % 9 AS STRING)) END AS route, CASE WHEN event_type = 'error' AND k % 6 = 1 THEN 'upstream-api' END AS dependency,
+  CASE WHEN k % 8 = 0 THEN '' ELSE concat('region-', CAST(user_id % 2 AS STRING)) END AS region, concat('w', CAST(k % 7 AS STRING)) AS workload_id, CASE WHEN event_type <> 'click' THEN concat('x', CAST(k % 4 AS STRING)) END AS execution_id,
   CASE WHEN event_type = 'error' THEN
     CASE k % 6
       WHEN 0 THEN concat('connection pool exhausted SQLSTATE[53300] user_id=', user_id, ' waited ', whole, ' ms')
@@ -90,6 +92,8 @@ def duck(query: str) -> str:
         ops = _filled(OPERATIONS, {**DUCK, "lineitem": "lineitem", "orders": "orders"})
         parts.append(f"operations AS (SELECT * FROM ({ops}) WHERE duration >= 0)")
     query = query.strip()
+    if query.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {query[15:]}"
     if query.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}, {query[5:]}"
     return f"WITH {', '.join(parts)} {query}"

@@ -45,7 +45,7 @@ def over_limit(events: DataFrame, key: str, width: str, limit: int, late: str =
 
 
 def coalesced(events: DataFrame, wait_seconds: int = 5, most_seconds: int = 30, late: str = "1 minute") -> DataFrame:
-    """One job for each run of an incident's events (event time): due `wait` after the last, `most` after the first.
+    """Jobs that collect an incident's events while they wait (event time): due `wait` after the last, but never later than `most` after the first; an event after that opens a new job.
 
     `events`: incident, ts, ordinal. State is one open job for each incident; it is closed by a later event or by the
     watermark. Groups are read in batches, so a hot incident needs no more memory than a batch.
@@ -62,7 +62,7 @@ def coalesced(events: DataFrame, wait_seconds: int = 5, most_seconds: int = 30,
         for batch in batches:
             ordered = batch.sort_values(["ts", "ordinal"])
             for ts, ordinal in zip(ordered["ts"], ordered["ordinal"], strict=True):
-                if held is not None and (ts - held[1]).total_seconds() > wait_seconds:
+                if held is not None and (ts > held[1] + pd.Timedelta(seconds=wait_seconds) or ts > held[0] + pd.Timedelta(seconds=most_seconds)):
                     done.append((key[0], *held))
                     held = None
                 if held is None:

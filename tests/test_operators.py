@@ -212,6 +212,35 @@ def test_spark_lines_carry_time(spark):
     assert found[0]["ts"] == found[1]["ts"] and found[1]["level"] == "ERROR"
 
 
+def test_spark_exceptions_of_the_reference_forms(spark):
+    lines = lines_of(spark, "java.lang.Error: before any record", "17/06/09 20:10:40 INFO x.Y: start", 'Exception in thread "main" java.lang.Error: java.io.IOException: gone', "Caused by: x.Y: no", "\tat a.b(C.java)", "org.apache.SparkException: Job aborted")
+    found = raw_logs.parse_spark(lines).orderBy("line_no").collect()
+    assert [r["kind"] for r in found] == ["unparsed", "record", "exception", "unparsed", "unparsed", "exception"]
+    assert found[2]["message"] == "java.io.IOException: gone" and found[5]["message"] == "Job aborted" and found[2]["ts"] == found[1]["ts"]
+    bgl = raw_logs.parse(lines_of(spark, "-  1117838570 2005.06.03  R02 2005-06-03-15.42.50.363779 R02  RAS KERNEL INFO   parity"), raw_logs.BGL).first()
+    assert bgl["message"] == "parity"
+
+
+def test_canonical_json_as_python_writes_it(spark):
+    import json
+
+    from emberline.functions import text
+
+    payload = {"a": {"k": "é ß 😀 \"q\" \\ /", "z": "1"}, "b": None}
+    df = spark.createDataFrame([(payload["a"], None)], "a map<string,string>, b string")
+    found = df.select(text.canonical_json(F.struct(text.sorted_map(F.col("a")).alias("a"), "b"))).first()[0]
+    assert found == json.dumps(payload, sort_keys=True, separators=(",", ":"))
+
+
+def test_jobs_end_at_their_deadline(spark):
+    from emberline.operators import store
+
+    rows = [("i", f"2024-01-01 00:00:{s:02d}", n) for n, s in enumerate((0, 4, 8, 12, 20))] + [("i", "2024-01-01 00:01:00", 9)]
+    events = spark.createDataFrame(rows, "incident string, t string, ordinal long").select("incident", F.to_timestamp("t").alias("ts"), "ordinal")
+    found = [(r["job"], r["events"], r["payload"]) for r in store.coalesced_jobs(events, 5, 10).orderBy("job").collect()]
+    assert found == [(1, 3, 2), (2, 1, 3), (3, 1, 4), (4, 1, 9)]
+
+
 def test_read_lines(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\ntwo\n")
     assert [tuple(r) for r in raw_logs.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [("a.log", 0, "one"), ("a.log", 1, "two")]
