@@ -30,9 +30,9 @@ CONTEXT, STEP = 8, 24
 LENGTH = CONTEXT + STEP
 #: Taken off each follow-up count.
 DISCOUNT = 0.75
-BATCH = 1024
+BATCH = 128
 #: Windows in a training step, and steps after which the rate has fallen to 1/sqrt(2).
-TRAIN_BATCH, FALL = 192, 100
+TRAIN_BATCH, FALL = 256, 100
 
 Params = dict[str, np.ndarray]
 
@@ -75,6 +75,11 @@ def direct_tables(pairs: np.ndarray) -> Params:
     return {"group": np.log(group).astype(np.float32), "inner": np.log(p / group[:, :, None]).astype(np.float32)}
 
 
+def keep_memory() -> None:
+    """Have the C library keep freed arrays of up to 31 MB for the next ones; it maps and clears pages anew for each until one of that size was freed."""
+    np.empty(31 << 20, dtype=np.uint8)
+
+
 def new_params(seed: int = 7) -> Params:
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.normal(size=shape) * 0.1).astype(np.float32)
@@ -167,34 +172,37 @@ def _log_p(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
     return chosen - np.log(z @ _ONES)
 
 
-def _by_group(p: Params, direct: Params, o: np.ndarray, last: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of rows by target group, ends of the groups in it, outputs in it, and logits of the classes in the group."""
+def _sorted_outputs(p: Params, direct: Params, o: np.ndarray, last: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in order of their target's group: order, ends of the groups, group and class in it, outputs, logits of the groups and of the classes in the group."""
+    group = goal // SIDE
     order = np.argsort(group.astype(np.uint8), kind="stable")
-    ends = np.searchsorted(group.take(order), np.arange(SIDE + 1))
-    z = direct["inner"].reshape(-1, SIDE).take((last * SIDE + group).take(order), axis=0)
-    o = o.take(order, axis=0)
+    group, inner, last, o = group.take(order), (goal % SIDE).take(order), last.take(order), o.take(order, axis=0)
+    ends = np.searchsorted(group, np.arange(SIDE + 1))
+    z = o @ p["wg"]
+    z += direct["group"].take(last, axis=0)
+    z += p["bg"]
+    w = direct["inner"].reshape(-1, SIDE).take(last * SIDE + group, axis=0)
     for g in range(SIDE):
         if ends[g + 1] > ends[g]:
-            z[ends[g] : ends[g + 1]] += o[ends[g] : ends[g + 1]] @ p["wi"][g]
-    return order, ends, o, z
+            w[ends[g] : ends[g + 1]] += o[ends[g] : ends[g + 1]] @ p["wi"][g]
+    return order, ends, group, inner, o, z, w
 
 
 def log_probs(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, 0 where there is none."""
     out = np.zeros(targets.shape, dtype=np.float32)
-    t, safe, begin = _tables(p), _bounded(p), direct["group"] + p["bg"]
+    t, safe = _tables(p), _bounded(p)
     for i in range(0, len(inputs), BATCH):
-        c, y = inputs[i : i + BATCH], targets[i : i + BATCH]
-        some = np.flatnonzero(y.ravel() >= 0)
-        o = _attend(t, c, safe)[4].reshape(-1, WIDTH).take(some, axis=0)
-        last, goal = c[:, CONTEXT:].ravel().take(some).astype(np.int64), y.ravel().take(some)
-        group, inner = goal // SIDE, goal % SIDE
-        z = o @ p["wg"]
-        z += begin.take(last, axis=0)
+        c, y = inputs[i : i + BATCH].astype(np.intp), targets[i : i + BATCH].ravel().astype(np.intp)
+        o = _attend(t, c, safe)[4].reshape(-1, WIDTH)
+        # Places without a target are worked out as if class 0 were theirs, and left out at the end.
+        order, _, group, inner, _, z, w = _sorted_outputs(p, direct, o, c[:, CONTEXT:].ravel(), np.maximum(y, 0))
         found = _log_p(z, group, safe)
-        order, _, _, z = _by_group(p, direct, o, last, group)
-        found[order] += _log_p(z, inner.take(order), safe)
-        out[i : i + BATCH].ravel()[some] = found
+        found += _log_p(w, inner, safe)
+        flat = np.empty_like(found)
+        flat[order] = found
+        flat[y < 0] = 0
+        out[i : i + BATCH] = flat.reshape(-1, STEP)
     return out
 
 
@@ -210,48 +218,45 @@ def _scattered(at: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def gradients(p: Params, direct: Params, c: np.ndarray, y: np.ndarray, safe: bool = False) -> Params:
     """Gradient of the mean negative log probability of the targets (y >= 0)."""
+    c, y = c.astype(np.intp), y.ravel().astype(np.intp)
     q, k, v, a, o, total = _attend(_tables(p), c, safe)
     v = v[:, :, :WIDTH]
-    some = np.flatnonzero(y.ravel() >= 0)
-    n = np.float32(1 / max(1, len(some)))
-    o_, last, goal = o.reshape(-1, WIDTH).take(some, axis=0), c[:, CONTEXT:].ravel().take(some).astype(np.int64), y.ravel().take(some)
-    group, inner = goal // SIDE, goal % SIDE
-    z = o_ @ p["wg"]
-    z += p["bg"]
-    z += direct["group"].take(last, axis=0)
-    z = _softmax(z, safe)
-    flat = np.arange(0, z.size, SIDE)
+    flat = np.arange(0, len(y) * SIDE, SIDE)
+    # Places without a target weigh nothing.
+    weight = (y >= 0).astype(np.float32)
+    weight /= max(1.0, float(weight.sum()))
+    order, ends, group, inner, so, z, w = _sorted_outputs(p, direct, o.reshape(-1, WIDTH), c[:, CONTEXT:].ravel(), np.maximum(y, 0))
+    weight = weight.take(order)[:, None]
+    z, w = _softmax(z, safe), _softmax(w, safe)
     z.ravel()[flat + group] -= 1
-    z *= n
-    grads: Params = {"wg": o_.T @ z, "bg": z.sum(axis=0), "wi": np.zeros_like(p["wi"])}
-    d_o = z @ p["wg"].T
-    order, ends, sorted_o, w = _by_group(p, direct, o_, last, group)
-    w = _softmax(w, safe)
-    w.ravel()[flat + inner.take(order)] -= 1
-    w *= n
-    d_inner = np.empty_like(sorted_o)
+    z *= weight
+    w.ravel()[flat + inner] -= 1
+    w *= weight
+    grads: Params = {"wg": so.T @ z, "bg": z.sum(axis=0), "wi": np.zeros_like(p["wi"])}
+    d_sorted = z @ p["wg"].T
     for g in range(SIDE):
         at = slice(ends[g], ends[g + 1])
         if ends[g + 1] > ends[g]:
-            grads["wi"][g] = sorted_o[at].T @ w[at]
-            np.matmul(w[at], p["wi"][g].T, out=d_inner[at])
-    d_o[order] += d_inner
-    full = np.zeros_like(o)
-    full.reshape(-1, WIDTH)[some] = d_o
+            grads["wi"][g] = so[at].T @ w[at]
+            d_sorted[at] += w[at] @ p["wi"][g].T
+    full = np.empty_like(d_sorted)
+    full[order] = d_sorted
     # Through the softmax: each weight times (what its value gets less what the place gets in all).
-    part = full / total
+    part = full.reshape(o.shape)
+    part /= total
     d_s = part @ v.transpose(0, 2, 1)
     d_s -= np.einsum("bij,bij->bi", part, o)[:, :, None]
     d_s *= a
-    d_kv = np.concatenate([d_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ part], axis=2)
-    d_q = d_s @ k
+    d_all = np.zeros((*c.shape, 3 * WIDTH), dtype=np.float32)
+    d_q = d_all[:, CONTEXT:, :WIDTH]
+    np.matmul(d_s, k, out=d_q)
     d_q *= np.float32(1 / math.sqrt(WIDTH))
-    grads["pq"] = np.zeros_like(p["pq"])
-    grads["pq"][CONTEXT:] = d_q.sum(axis=0)
-    grads["pk"] = d_kv[:, :, :WIDTH].sum(axis=0)
-    grads["q"] = _scattered(c[:, CONTEXT:].ravel(), d_q.reshape(-1, WIDTH))
-    both = _scattered(c.ravel(), d_kv.reshape(-1, 2 * WIDTH))
-    grads["k"], grads["v"] = both[:, :WIDTH], both[:, WIDTH:]
+    np.matmul(d_s.transpose(0, 2, 1), q, out=d_all[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), part, out=d_all[:, :, 2 * WIDTH :])
+    by_place = d_all.sum(axis=0)
+    grads["pq"], grads["pk"] = by_place[:, :WIDTH], by_place[:, WIDTH : 2 * WIDTH]
+    by_class = _scattered(c.ravel(), d_all.reshape(-1, 3 * WIDTH))
+    grads["q"], grads["k"], grads["v"] = (by_class[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
     return grads
 
 

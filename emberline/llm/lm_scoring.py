@@ -154,7 +154,7 @@ def prepare(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
                 at = to
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, LM_ROWS)
-    rows = written(rows, "lm-rows")
+    rows = written(rows, "lm-rows", "lz4_raw")
     texts = rows.filter("number is null").select("chunk", "doc_id", "held_out", "numbers", "ids")
     return texts, rows.filter("number is not null").select("chunk", "number", "word", "k")
 
@@ -163,7 +163,7 @@ def corpus_counts(words: DataFrame) -> DataFrame:
     """chunk, number, c (the word's count in all training texts), first (true in one row of each word); in the shared folder."""
     alike = Window.partitionBy("word")
     counted = words.select("chunk", "number", F.sum("k").over(alike).alias("c"), (F.min("chunk").over(alike) == F.col("chunk")).alias("first"))
-    return written(counted, "lm-counts")
+    return written(counted, "lm-counts", "lz4_raw")
 
 
 def _met(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, last: int = 4) -> list:
@@ -247,6 +247,7 @@ def train(training: DataFrame, of: np.ndarray, direct: model.Params, kind: str,
     for number in range(rounds):
 
         def steps(batches: Iterator[pa.RecordBatch], start=weights, number=number) -> Iterator[pa.RecordBatch]:
+            model.keep_memory()
             trainer, total, seen = model.Trainer(start, direct, [TaskContext.get().partitionId(), number]), 0, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -322,6 +323,7 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     fitted = fit(texts, path)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.keep_memory()
         for batch in _slices(batches, "ids"):
             found = fitted.log10_probs(*_numbers(batch.column(4), fitted.kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found)], names=["chunk", "doc_id", "held_out", "numbers", "score"])
