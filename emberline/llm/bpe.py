@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from emberline.llm.common import table
 
 #: Characters of text encoded against one index.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 5_000_000
 #: Rows whose texts are turned into Python strings at once.
-ROWS = 4_000
+ROWS = 2_000
 #: Pre-token pattern of byte-level BPE with use_regex.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

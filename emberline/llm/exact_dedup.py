@@ -6,7 +6,7 @@ a bitmap whose size follows the number of rows up to a fixed bound (`FILTER_BITS
 Pass two tests each row against the bitmap: a row with a slot that was hit once has no equal
 and passes straight through; only possibly repeated rows are shuffled and compared by SHA-256.
 A Bloom filter has no false negatives, so the result is exact at any load; beyond about
-`FILTER_BITS` / 4 rows more unique rows take the shuffle as well. A group of copies is combined before the shuffle and meets its rows
+`FILTER_BITS` / 32 rows more unique rows take the shuffle as well. A group of copies is combined before the shuffle and meets its rows
 again spread over many tasks.
 
 Defined results: a null text counts as the empty text; equal means identical after
@@ -40,8 +40,8 @@ def _slots(h: Column, bits: int) -> list[Column]:
 
 
 def filter_bits(rows: int) -> int:
-    """Eight bits a row and more, in whole bitmap rows, up to FILTER_BITS."""
-    return min(FILTER_BITS, max(CHUNK_BITS, 1 << max(0, 8 * rows - 1).bit_length()))
+    """32 bits a row and more, in whole bitmap rows, up to FILTER_BITS: under one in 200 unique rows takes the shuffle."""
+    return min(FILTER_BITS, max(CHUNK_BITS, 1 << max(0, 32 * rows - 1).bit_length()))
 
 
 def repeat_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
@@ -97,7 +97,7 @@ def annotate_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
 def drop_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
     """`docs` with one row for each distinct text: of equal texts the row with the largest doc_id.
 
-    Ties on doc_id go to the row that sorts last by its other columns as JSON. Unique rows are not
+    Ties on doc_id go to the row whose other columns, as JSON, have the largest SHA-256. Unique rows are not
     shuffled; of the others each task sends one row a group.
     """
     bits = bits or filter_bits(docs.count())
@@ -110,7 +110,7 @@ def drop_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
     rest = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "doc_id"])
     largest = (
         out.filter(F.col(flag))
-        .select(sha.alias(digest), row.alias("row"), F.struct("doc_id", F.to_json(rest)).alias("place"))
+        .select(sha.alias(digest), row.alias("row"), F.struct("doc_id", F.sha2(F.to_json(rest), 256)).alias("place"))
         .groupBy(digest)
         .agg(F.max_by("row", "place").alias("row"))
         .select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -62,7 +62,7 @@ def test_columns_of_any_name_and_type(docs_of):
 
 
 def test_filter_follows_the_rows():
-    assert [exact_dedup.filter_bits(n) for n in (0, 1, 5000, 10**6, 10**12)] == [1 << 15, 1 << 15, 1 << 16, 1 << 23, exact_dedup.FILTER_BITS]
+    assert [exact_dedup.filter_bits(n) for n in (0, 1, 5000, 10**6, 10**12)] == [1 << 15, 1 << 15, 1 << 18, 1 << 25, exact_dedup.FILTER_BITS]
 
 
 def test_one_group_meets_its_value_in_many_tasks(spark):
