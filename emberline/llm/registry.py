@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import bpe, chat, exact_dedup, html_extract, lm_scoring, media, packing, simhash, toxicity, url_filter
+from emberline.llm import bpe, chat, divergence, exact_dedup, html_extract, lm_scoring, media, packing, sharding, simhash, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_bpe": bpe.op9_bpe,
         "op10_html": html_extract.op10_html,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
@@ -28,4 +31,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": url_filter.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op11_divergence": divergence.ORACLE,
+        "op12_vector_codes": vector_codes.ORACLE,
+        "op13_sharding": sharding.ORACLE,
     }
