@@ -1,15 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks of text, each with its root-to-leaf tag path (element and class or id). For each path the text length
-and the punctuation of its blocks are added up; the ratios per block are smoothed over neighbouring paths in page order and fused
-(geometric mean of length and punctuation). What a path says about its place is a feature of the score: a menu, header, footer, sidebar,
-notice, advert, form or reader comment (by element, role, or a word of class or id) weighs `CUE`, an article or main element `LANDMARK`.
-Paths that score at or over the mean are content paths; nothing else decides where the main text is.
+A page is read once into blocks of text, each with its root-to-leaf tag path (element and class or id). For each path the length of text outside
+links and the punctuation of its blocks are added up; the ratios per block are smoothed over neighbouring paths in page order and fused
+(geometric mean of length and punctuation); a path in an article or main element weighs `LANDMARK`. Paths that say that they are a menu, header,
+footer, sidebar, notice, advert, form or reader comment (by element, role, or a word of class or id) are marked: they take part only on a page
+that has no other text. Paths that score at or over `BAR` of the mean are content paths; the mean is weighted by length, so many short paths don't lower it.
 
-The page is then entered from its root, into an element that holds nearly all of the length of content blocks. Where that ends in an element of its own, all its blocks
-are the main text, but those of marked paths that are no content paths, and articles in it that have no content or less than half of the
-one with most (teasers). Where it ends at the body itself, the main text is the blocks of content paths, headings
-beside them, and what stands in articles with content.
+The page is then entered from its root, into an element that holds nearly all of the length of content blocks. Where that ends in an article or main
+element, its unmarked blocks are the main text, but those of articles in it that have no content or less than half of the one with most, or of the content outside articles (teasers).
+Elsewhere the content's neighbours under one parent belong to it too, headings and short ones, but not blocks that are mostly links.
 
 Broken markup is read as browsers do: a block closes an open paragraph, list items and cells close their
 like, unknown end tags are ignored, raw text runs to its end tag, what is open at the end is closed. Reading and scoring take time
@@ -62,8 +61,8 @@ LANDMARKS = frozenset(["article", "main"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？¿¡]")
 
-#: Weights of a path with a mark of what is no article, and of one in an article or main element.
-CUE, LANDMARK = 1 / 32, 2
+#: Weight of a path in an article or main element, and share of the mean score that a content path has.
+LANDMARK, BAR = 2, 1 / 2
 #: Share of the content that an element must hold to be entered.
 MOST = 0.9
 CONTAINERS = frozenset("html body div section center table tbody tr td".split())
@@ -101,17 +100,18 @@ def _marked(tag: str, attributes: dict[str, str]) -> bool:
 
 
 class Page:
-    """Elements in order of their start, and blocks: (element that holds the block, text)."""
+    """Elements in order of their start, blocks: (element that holds the block, text), and of each block the characters in links."""
 
     def __init__(self, source: str) -> None:
         root = Node("", None, 0, 0, False, False)
-        self.nodes, self.blocks = [root], []
+        self.nodes, self.blocks, self.linked = [root], [], []
         self._paths: dict[tuple[int, str], int] = {}
         self._open: list[Node] = [root]
         #: Places in _open by element, and of those that are not inline.
         self._where: dict[str, list[int]] = {}
         self._solid: list[int] = [0]
         self._text: list[str] = []
+        self._in_links = 0
         self._read(source)
         self._flush()
 
@@ -159,7 +159,10 @@ class Page:
 
     def _say(self, text: str) -> None:
         if text:
-            self._text.append(html.unescape(text) if "&" in text else text)
+            text = html.unescape(text) if "&" in text else text
+            self._text.append(text)
+            if self._where.get("a"):
+                self._in_links += len(text)
 
     def _flush(self) -> None:
         if self._text:
@@ -167,6 +170,8 @@ class Page:
             self._text = []
             if text:
                 self.blocks.append((self._open[-1].block, text))
+                self.linked.append(min(self._in_links, len(text)))
+            self._in_links = 0
 
     def _cut(self, index: int) -> None:
         """Close all from this place on."""
@@ -232,21 +237,21 @@ class Page:
             self._close_to(i)
         elif self._solid[-1] < i:  # no block is open in it
             if self._open[i].gone and not self._open[i - 1].gone:  # text left out inside a line
-                self._text = []
+                self._text, self._in_links = [], 0
             self._cut(i)
 
 
-def path_scores(blocks: list[tuple[Node, str]]) -> tuple[list[float], list[float], list[int]]:
-    """Weighted fused ratios of each path after and before smoothing, in order of first appearance, and the place in it of each block's path."""
+def path_scores(blocks: list[tuple[Node, str, int]]) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Fused ratios of each path after and before smoothing, its length, in order of first appearance, and the place in it of each block's path."""
     at: dict[int, int] = {}
     sums: list[list[float]] = []
     which = []
-    for node, text in blocks:
+    for node, text, linked in blocks:
         n = at.setdefault(node.path, len(at))
         if n == len(sums):
-            sums.append([0, 0, 0, (CUE if node.marked else 1) * (LANDMARK if node.landmark else 1)])
+            sums.append([0, 0, 0, LANDMARK if node.landmark else 1])
         total = sums[n]
-        total[0] += len(text)
+        total[0] += len(text) - linked
         total[1] += len(PUNCTUATION.findall(text))
         total[2] += 1
         which.append(n)
@@ -259,22 +264,24 @@ def path_scores(blocks: list[tuple[Node, str]]) -> tuple[list[float], list[float
     def fused(a: list[float], b: list[float]) -> list[float]:
         return [total[3] * (x * (1 + y)) ** 0.5 for total, x, y in zip(sums, a, b, strict=True)]
 
-    return fused(smooth(lengths), smooth(signs)), fused(lengths, signs), which
+    return fused(smooth(lengths), smooth(signs)), fused(lengths, signs), [total[0] for total in sums], which
 
 
-def content_blocks(page: Page, threshold: float = 1.0) -> list[str]:
+def content_blocks(page: Page, threshold: float = BAR) -> list[str]:
     """Texts of the selected blocks, in page order. Content paths score `threshold` times the mean at least (0: all paths do)."""
-    blocks = [(node, text) for node, text in page.blocks if not node.gone]
+    blocks = [(node, text, linked) for (node, text), linked in zip(page.blocks, page.linked, strict=True) if not node.gone]
+    plain = [x for x in blocks if not x[0].marked]
+    blocks = plain if any(len(text) > linked for _, text, linked in plain) else blocks
     if not blocks:
         return []
-    smoothed, own, which = path_scores(blocks)
+    smoothed, own, lengths, which = path_scores(blocks)
     # What smoothing alone lifts, because it stands beside long texts, is no content.
-    bound, own_bound = (threshold * sum(x) / len(x) for x in (smoothed, own))
+    bound, own_bound = (threshold * sum(map(float.__mul__, x, map(float, lengths))) / max(1, sum(lengths)) for x in (smoothed, own))
     chosen = [a >= bound and b >= own_bound / 2 for a, b in zip(smoothed, own, strict=True)]
     # Length of content blocks in each element, from the leaves up, and the child with most of it.
     n = len(page.nodes)
     mass, best = [0] * n, [0] * n
-    for (node, text), path in zip(blocks, which, strict=True):
+    for (node, text, _), path in zip(blocks, which, strict=True):
         if chosen[path]:
             mass[node.number] += len(text)
     for node in reversed(page.nodes[1:]):
@@ -290,24 +297,26 @@ def content_blocks(page: Page, threshold: float = 1.0) -> list[str]:
         root = found
     while root.tag in INLINE and root.parent:
         root = root.parent
-    # From the root down: what is in the main element, and in which outermost article of it.
-    inside, article = [False] * n, [0] * n
+    core = root
+    if not root.landmark and root.tag not in ("", "html", "body"):
+        root = root.parent
+    # From the root down: what is in the main element, what is in its core, and in which outermost article.
+    inside, central, article = [False] * n, [False] * n, [0] * n
     for node in page.nodes:
         up = node.parent.number if node.parent else 0
         inside[node.number] = node is root or (node.parent is not None and inside[up])
-        if inside[node.number] and node is not root:
+        central[node.number] = node is core or (node.parent is not None and central[up])
+        if inside[node.number] and node is not root and node is not core:
             article[node.number] = article[up] or (node.number if node.tag == "article" else 0)
-    most = max((mass[k] for k in set(article) if k), default=0)
-    whole = root.tag not in ("", "html", "body")
-    beside = {node.parent.number for (node, _), path in zip(blocks, which, strict=True) if chosen[path] and node.parent}
+    outside = sum(len(text) for (node, text, _), path in zip(blocks, which, strict=True) if chosen[path] and inside[node.number] and not article[node.number])
+    most = max((mass[k] for k in set(article) if k and central[k]), default=0)
+    most = most if root.tag == "article" else max(most, outside)
     out = []
-    for (node, text), path in zip(blocks, which, strict=True):
-        if not inside[node.number] or (node.marked and not chosen[path]):
-            continue
+    for (node, text, linked), path in zip(blocks, which, strict=True):
         of = article[node.number]
-        if of and (mass[of] == 0 or mass[of] < most / 2):
+        if not inside[node.number] or (of and (not central[of] or mass[of] == 0 or mass[of] < most / 2)):
             continue
-        if chosen[path] or whole or of or (node.tag in HEADINGS and node.parent and node.parent.number in beside):
+        if chosen[path] or root.landmark or of or 2 * linked <= len(text):
             out.append(text)
     return out
 

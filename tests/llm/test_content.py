@@ -164,17 +164,39 @@ def test_html_landmarks_without_the_text():
 
 
 def test_html_threshold_decides(spark, sf):
-    """Without the threshold on path scores, menus, adverts and footers come through."""
+    """Without the threshold on path scores, menus, adverts and footers that no mark gives away come through."""
+    import re
+
     pages = [r["html"] for r in table(spark, "/root/testdata/sf0.01", "pages").select("html").collect()]
-    changed = [html_extract.content_blocks(html_extract.Page(p), 0) != html_extract.content_blocks(html_extract.Page(p)) for p in pages]
+    bare = [re.sub(r"<(/?)(nav|header|footer|aside|form|article|main|section|ul|li)\b", r"<\1div", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", p)) for p in pages]
+    changed = [html_extract.content_blocks(html_extract.Page(p), 0) != html_extract.content_blocks(html_extract.Page(p)) for p in bare]
     assert sum(changed) > len(pages) / 4
     long = "A long paragraph of the story, with commas, and more. It goes on, and on. " * 3
     source = f"<body><div class=menu><a>Home</a></div><p>{long}<p>{long}<div class=x7><a>One</a></div></body>"
     assert html_extract.main_text(source) == f"{long.strip()}\n{long.strip()}"
-    assert "Home" in html_extract.content_blocks(html_extract.Page(source), 0) and "One" in html_extract.content_blocks(html_extract.Page(source), 0)
+    assert "Home" not in html_extract.content_blocks(html_extract.Page(source), 0) and "One" in html_extract.content_blocks(html_extract.Page(source), 0)
     assert html_extract.main_text(f"<body><article>x</article><p>{long}<p>{long}</body>") == f"{long.strip()}\n{long.strip()}"
 
 
+def test_html_comments_and_short_neighbours():
+    """Many short paths don't lower the bar to comments, however many or long these are; short neighbours of the text stay."""
+    text = "".join(f"<p>Paragraph {i} says a lot of things, in a long line, that goes on for a while.</p>" for i in range(4))
+    article = "\n".join(f"Paragraph {i} says a lot of things, in a long line, that goes on for a while." for i in range(4))
+    comment = "<p>A comment is long, and it says much, quite a lot, of what a reader thinks about this matter. It really does, at length.</p>"
+    nav = "<nav>" + "".join(f"<li class=c{i}>item {i}</li>" for i in range(40)) + "</nav>"
+    side = "<ul class=sidebar>" + "".join(f"<li class=i{i}>x {i}</li>" for i in range(30)) + "</ul>"
+    plain = "".join(f"<div class=t{i}><a href=/{i}>topic {i}</a></div>" for i in range(40))
+    for n in (1, 30, 300):
+        for menu in (nav, side, plain, ""):
+            assert html_extract.main_text(f"<body>{menu}<div id=content>{text}</div><div class=comments>{comment * n}</div></body>") == article
+            assert html_extract.main_text(f"<body>{menu}<article>{text}<section class=comments>{comment * n}</section></article></body>") == article
+            assert html_extract.main_text(f"<body>{menu}<main><div id=respond>{comment * n}</div><div class=post>{text}</div></main></body>") == article
+    short = f"<div class=a><div class=b>{text}</div><div class=c><p class=note>Short one.</p></div></div>"
+    assert html_extract.main_text(f"<body>{nav}{short}<footer>end</footer></body>") == f"{article}\nShort one."
+    assert html_extract.main_text(f"<body><h1>Title</h1><div class=b>{text}</div><p>By A.</p></body>") == f"Title\n{article}\nBy A."
+    assert html_extract.main_text(f"<body><div class=comments>{comment}</div></body>") == comment[3:-4]  # a page of nothing else
+
+
 def test_html_deep_and_broken_pages_take_linear_time():
     import time
 
