@@ -1,13 +1,15 @@
 """Exact deduplication with a two-pass Bloom filter, in DataFrame functions only.
 
-Pass one counts, for every text hash, `HASHES` slots of a fixed-size counting Bloom filter:
-a map-side combined aggregation over slot numbers. Slots that were hit twice or more become
-a bitmap whose size follows the number of rows up to a fixed bound (`FILTER_BITS` / 8 bytes), so it may be broadcast.
-Pass two tests each row against the bitmap: a row with a slot that was hit once has no equal
-and passes straight through; only possibly repeated rows are shuffled and compared by SHA-256.
-A Bloom filter has no false negatives, so the result is exact at any load; beyond about
-`FILTER_BITS` / 32 rows more unique rows take the shuffle as well. A group of copies is combined before the shuffle and meets its rows
-again spread over many tasks.
+Pass one sends one number a document through a shuffle, its slot in a Bloom filter, combined on the map side; slots that were hit
+twice or more become a bitmap whose size follows the number of rows up to a fixed bound (`FILTER_BITS` / 8 bytes), so it may be broadcast.
+Pass two tests each row against the bitmap: a row whose slot was hit once has no equal and passes straight through; only
+possibly repeated rows are shuffled with their SHA-256 (and, where texts are kept, their texts) and compared.
+
+One slot a row, because a second one would cost every document another shuffled number, and saves under one in `BITS_A_ROW` documents a digest.
+Bitmaps made by each task would ship the whole filter from each task: more than a number a document as soon as there are a few tasks.
+A Bloom filter has no false negatives, so the result is exact at any load. Where there are more rows than bits, the filter would tell
+next to nothing: it is not built, and each document's digest and id take the one shuffle of a plain group-by. A group of copies is combined
+before the shuffle and meets its rows again spread over many tasks.
 
 Defined results: a null text counts as the empty text; equal means identical after
 lower-casing A-Z; a null doc_id loses to any other, and a group of only null ids has keep_id
@@ -25,7 +27,7 @@ from emberline.llm.common import ascii_lower, checkpointed, join_spread, quoted,
 
 #: Bits of the broadcast filter: 16 MiB at most, whatever the input.
 FILTER_BITS = 1 << 27
-HASHES = 2
+BITS_A_ROW = 32
 #: Bits in one bitmap row, as bitmap_construct_agg lays them out.
 CHUNK_BITS = 32768
 
@@ -34,21 +36,21 @@ def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _slots(h: Column, bits: int) -> list[Column]:
-    """Slot numbers, 1-based as bitmap_bucket_number wants them."""
-    return [F.pmod(h if k == 0 else F.xxhash64(h, F.lit(k)), F.lit(bits)) + 1 for k in range(HASHES)]
+def _slot(h: Column, bits: int) -> Column:
+    """Slot number, 1-based as bitmap_bucket_number wants it."""
+    return F.pmod(h, F.lit(bits)) + 1
 
 
 def filter_bits(rows: int) -> int:
-    """32 bits a row and more, in whole bitmap rows, up to FILTER_BITS: under one in 200 unique rows takes the shuffle."""
-    return min(FILTER_BITS, max(CHUNK_BITS, 1 << max(0, 32 * rows - 1).bit_length()))
+    """`BITS_A_ROW` bits a row and more, in whole bitmap rows, up to FILTER_BITS: under one in `BITS_A_ROW` unique rows takes the second shuffle."""
+    return min(FILTER_BITS, max(CHUNK_BITS, 1 << max(0, BITS_A_ROW * rows - 1).bit_length()))
 
 
 def repeat_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """Bitmap rows (chunk, bitmap) of the slots that more than one row hit."""
     slot = F.col("slot")
     return (
-        hashes.select(F.explode(F.array(*_slots(F.col(column), bits))).alias("slot"))
+        hashes.select(_slot(F.col(column), bits).alias("slot"))
         .groupBy("slot")
         .agg(F.count(F.lit(1)).alias("hits"))
         .filter("hits > 1")
@@ -65,13 +67,11 @@ def _bit(bitmap: Column, slot: Column) -> Column:
 
 def flag_possible_repeats(df: DataFrame, hashed: Column, chunks: DataFrame, flag: str, bits: int) -> DataFrame:
     """Add boolean `flag`: false means that no other row has this hash. `chunks`: repeat_filter of the same hashes."""
-    out, hit, columns = df, F.lit(True), df.columns
-    for k, slot in enumerate(_slots(hashed, bits)):
-        chunk, bitmap = unused(out, f"chunk{k}"), unused(out, f"bitmap{k}")
-        part = chunks.select(F.col("chunk").alias(chunk), F.col("bitmap").alias(bitmap))
-        out = out.join(F.broadcast(part), F.bitmap_bucket_number(slot) == F.col(chunk), "left")
-        hit = hit & _bit(F.col(bitmap), slot)
-    return out.select(*map(quoted, columns), hit.alias(flag))
+    chunk, bitmap, columns = unused(df, "chunk"), unused(df, "bitmap"), df.columns
+    slot = _slot(hashed, bits)
+    part = chunks.select(F.col("chunk").alias(chunk), F.col("bitmap").alias(bitmap))
+    out = df.join(F.broadcast(part), F.bitmap_bucket_number(slot) == F.col(chunk), "left")
+    return out.select(*map(quoted, columns), _bit(F.col(bitmap), slot).alias(flag))
 
 
 def annotate_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
@@ -81,8 +81,9 @@ def annotate_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
             "h", F.xxhash64("text_sha256")
         )
     )
-    bits = bits or filter_bits(digests.count())
-    flagged = flag_possible_repeats(digests, F.col("h"), repeat_filter(digests, "h", bits), "maybe", bits)
+    rows = digests.count()
+    bits, told = bits or filter_bits(rows), bits or rows <= FILTER_BITS
+    flagged = flag_possible_repeats(digests, F.col("h"), repeat_filter(digests, "h", bits), "maybe", bits) if told else digests.withColumn("maybe", F.lit(True))
     alone = flagged.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
@@ -100,11 +101,15 @@ def drop_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
     Ties on doc_id go to the row whose other columns, as JSON, have the largest SHA-256. Unique rows are not
     shuffled; of the others each task sends one row a group.
     """
-    bits = bits or filter_bits(docs.count())
+    rows = docs.count()
+    bits, told = bits or filter_bits(rows), bits or rows <= FILTER_BITS
     h, flag, digest = (unused(docs, n) for n in ("h", "maybe", "digest"))
     sha = F.sha2(normalised(F.col("text")), 256)
-    chunks = checkpointed(repeat_filter(docs.select(F.xxhash64(sha).alias("h")), "h", bits))
-    out = flag_possible_repeats(docs.withColumn(h, F.xxhash64(sha)), F.col(h), chunks, flag, bits)
+    if told:
+        chunks = checkpointed(repeat_filter(docs.select(F.xxhash64(sha).alias("h")), "h", bits))
+        out = flag_possible_repeats(docs.withColumn(h, F.xxhash64(sha)), F.col(h), chunks, flag, bits)
+    else:
+        out = docs.withColumn(flag, F.lit(True))
     # Fields by number: names of columns may hold any sign, and types any that has no order.
     row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     rest = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "doc_id"])

@@ -41,11 +41,30 @@ def test_exact_drop_keeps_columns_and_one_of_each(hard):
     assert exact_dedup.drop_duplicates(hard.limit(0)).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_unique_rows_do_not_shuffle(docs_of):
+    """Pass one shuffles slots alone, one a document and none twice a task; pass two sends no row that is alone through a shuffle."""
     digests = docs_of([f"text {i}" for i in range(50)] + ["text 1"]).select("doc_id", F.xxhash64("text").alias("h"))
     bits = exact_dedup.filter_bits(51)
-    flagged = exact_dedup.flag_possible_repeats(digests, F.col("h"), exact_dedup.repeat_filter(digests, "h", bits), "maybe", bits)
-    assert flagged.filter("maybe").count() == 2
+    chunks = exact_dedup.repeat_filter(digests, "h", bits)
+    assert "Generate" not in plan_of(chunks) and plan_of(chunks).count("Exchange hashpartitioning(slot") == 1
+    assert "doc_id" not in plan_of(chunks).split("Exchange hashpartitioning(slot")[0]
+    flagged = exact_dedup.flag_possible_repeats(digests, F.col("h"), exact_dedup.checkpointed(chunks), "maybe", bits)
+    assert "Exchange hashpartitioning" not in plan_of(flagged.filter("not maybe")) and "BroadcastExchange" in plan_of(flagged)
+    assert 2 <= flagged.filter("maybe").count() <= 6
+
+
+def test_exact_beyond_the_filter(hard, monkeypatch):
+    """More rows than bits: no filter is built, the result is the same."""
+    whole = sorted(map(tuple, exact_dedup.annotate_duplicates(hard).collect()), key=str)
+    kept = sorted(r["text"] or "" for r in exact_dedup.drop_duplicates(hard).collect())
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 8)
+    monkeypatch.setattr(exact_dedup, "repeat_filter", None)
+    assert sorted(map(tuple, exact_dedup.annotate_duplicates(hard).collect()), key=str) == whole
+    assert sorted(r["text"] or "" for r in exact_dedup.drop_duplicates(hard).collect()) == kept
 
 
 def test_columns_of_any_name_and_type(docs_of):
