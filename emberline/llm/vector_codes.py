@@ -37,7 +37,7 @@ SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
-#: Partitions that the search for the smallest ids narrows the table down to.
+#: Groups of partitions that the search for the smallest ids narrows the table down to.
 SEED_TASKS = 64
 #: Part rows that meet the codebook at once.
 BLOCK_ROWS = 16_384
@@ -74,7 +74,7 @@ def _smallest(ids: DataFrame, entries: int) -> DataFrame:
 def first_vectors(valid: DataFrame, entries: int = ENTRIES) -> list[list[int]]:
     """Vectors of the smallest ids, ascending. `entries` rows a task are shuffled, and at most `SEED_TASKS` x `entries` come out of that."""
     ids = valid.filter("vec_id is not null").select("vec_id", "ints")
-    near = _smallest(_smallest(ids, entries).repartition(SEED_TASKS, F.pmod(F.spark_partition_id(), F.lit(SEED_TASKS))), entries)
+    near = _smallest(_smallest(ids, entries).repartition(F.pmod(F.spark_partition_id(), F.lit(SEED_TASKS))), entries)
     rows = near.groupBy("vec_id").agg(F.min("ints").alias("ints")).orderBy("vec_id").limit(entries).collect()
     return [r["ints"] for r in rows]
 
