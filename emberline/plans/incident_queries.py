@@ -154,13 +154,13 @@ def q_trace_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_candidate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of error groups by signature in the first ten days of January against the rest."""
-    found = grouping.with_signature(logs(spark, sf_dir)).filter("level = 'error' OR k % 10 = 3").withColumn("candidate", F.concat_ws("|", "service", "signature"))
+    """Scores of all groups by signature in the first ten days of January against the rest."""
+    found = grouping.with_signature(logs(spark, sf_dir)).withColumn("candidate", F.concat_ws("|", "service", "signature"))
     parts = [found.filter(when).groupBy("candidate").agg(F.least(F.count(F.lit(1)), F.lit(100)).alias("score")) for when in ("incident <= '2024-01-10'", "incident > '2024-01-10'")]
     return incidents.candidate_changes(*parts, "candidate").groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("new_score", F.lit(0)) - F.coalesce("old_score", F.lit(0))).alias("moved"))
 
 
-D_CHANGES = duck(f"""WITH {SIGNED}, c AS (SELECT service || '|' || signature AS candidate, least(count(*) FILTER (incident <= '2024-01-10'), 100) AS a, least(count(*) FILTER (incident > '2024-01-10'), 100) AS b FROM signed WHERE level = 'error' OR k % 10 = 3 GROUP BY 1)
+D_CHANGES = duck(f"""WITH {SIGNED}, c AS (SELECT service || '|' || signature AS candidate, least(count(*) FILTER (incident <= '2024-01-10'), 100) AS a, least(count(*) FILTER (incident > '2024-01-10'), 100) AS b FROM signed GROUP BY 1)
   SELECT CASE WHEN a = 0 THEN 'added' WHEN b = 0 THEN 'removed' WHEN a = b THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS moved FROM c GROUP BY 1""")
 
 
