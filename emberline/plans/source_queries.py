@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from emberline.functions import sanitize
 from emberline.operators import counters, scans
 from emberline.plans.log_queries import d_shown, shown
-from emberline.sources import paged
+from emberline.plans.store_queries import raw_lines
+from emberline.sources import paged, raw_logs, split_logs
 from emberline.sources.relations import deploys, duck, logs
 from emberline.storage import shared_path
 
@@ -146,7 +147,32 @@ D_HISTOGRAM = duck(f"""WITH {_LIVES}, b AS (SELECT c.*, le, CAST(value <= le AS
   FROM (SELECT service, point, q FROM (SELECT DISTINCT service, point FROM h) LEFT JOIN q USING (service, point)) GROUP BY ALL""")
 
 
+def printed_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Records and accounting of the logs printed as text files: a service's lines lie in parts that may begin within a record."""
+    path = shared_path(spark, "printed")
+    lines = raw_lines(spark, sf_dir)
+    lines.repartitionByRange(8, "file", "line_no").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).cast("long")
+    read = split_logs.read_splits(spark, path).withColumn("split", F.shiftleft(part, 40) + F.col("split")).withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+    return split_logs.assemble(read, raw_logs.HADOOP)
+
+
+def q_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = printed_records(spark, sf_dir)
+    events = split_logs.hadoop_events(split_logs.parsed(records, raw_logs.HADOOP), F.col("file"))
+    return events.groupBy("file", "level", "thread", "component", "error_type", "workload_id").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("continuations").alias("continuations"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+
+
+def q_split_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return printed_records(spark, sf_dir)[1]
+
+
 QUERIES = {
+    "split_records": (q_split_records, duck("""SELECT service AS file, level, pod AS thread, CASE WHEN contains(message, ': ') THEN split_part(message, ': ', 1) ELSE 'unknown' END AS component,
+      CASE WHEN level = 'error' THEN 'java.io.IOException' END AS error_type, 'workload-' || substr(sha256(service), 1, 12) AS workload_id, count(*) AS records,
+      CAST(sum(CASE WHEN level = 'error' THEN 2 ELSE 0 END) AS BIGINT) AS continuations, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM logs GROUP BY ALL""")),
+    "split_accounting": (q_split_accounting, duck("""SELECT service AS file, count(*) + 2 * count(*) FILTER (level = 'error') + 1 AS physical, count(*) AS "primary", 2 * count(*) FILTER (level = 'error') AS continuation, CAST(1 AS BIGINT) AS orphan FROM logs GROUP BY service""")),
     "budgeted_scan": (q_budgeted_scan, D_BUDGETED),
     "page_status": (q_page_status, D_PAGE_STATUS),
     "metric_results": (q_metric_results, D_METRIC_RESULTS),

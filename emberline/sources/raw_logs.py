@@ -26,7 +26,7 @@ class LineFormat:
 # Header patterns.
 HDFS = LineFormat("hdfs", r"^(\d{6}) (\d{1,6}) (\d+) (\w+) ([^:]+): (.*)$", ("date", "clock", "pid", "level", "component", "body"), "yyMMddHHmmss", ("date", "clock"))
 SPARK = LineFormat("spark", r"^(\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) (\w+) ([^:]+): (.*)$", ("time", "level", "component", "body"), "yy/MM/dd HH:mm:ss")
-HADOOP = LineFormat("hadoop", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) (\w+) \[([^\]]*)\] (.*)$", ("time", "millis", "level", "thread", "body"), "yyyy-MM-dd HH:mm:ss")
+HADOOP = LineFormat("hadoop", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) (\w+) (?:\[([^\]]*)\] )?(.*)$", ("time", "millis", "level", "thread", "body"), "yyyy-MM-dd HH:mm:ss")
 OPENSTACK = LineFormat("openstack", r"^(\S+) (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) (\d+) (\w+) (\S+) (.*)$", ("source", "time", "pid", "level", "component", "body"), "yyyy-MM-dd HH:mm:ss.SSS")
 ZOOKEEPER = LineFormat("zookeeper", r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3}) - (\w+)\s+\[(.*):([^:@]+)@(\d+)\] - (.*)$", ("time", "level", "thread", "component", "at", "body"), "yyyy-MM-dd HH:mm:ss,SSS")
 BGL = LineFormat("bgl", r"^(\S+)\s+(\d+)\s+(\d{4}\.\d{2}\.\d{2})\s+(\S+)\s+(\d{4}-\d{2}-\d{2}-\d{2}\.\d{2}\.\d{2}\.\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*)$", ("truth", "epoch", "date", "node", "time", "node_again", "source", "component", "level", "body"), "yyyy-MM-dd-HH.mm.ss.SSSSSS")
@@ -38,7 +38,7 @@ EXCEPTION_LINES = [
 BODY_LIMIT = 2000
 
 
-def _padded(part: str, column: Column) -> Column:
+def padded(part: str, column: Column) -> Column:
     return F.lpad(column, 6, "0") if part == "clock" else column
 
 
@@ -53,7 +53,7 @@ def parse(lines: DataFrame, form: LineFormat) -> DataFrame:
         F.count(F.lit(1)).alias("physical_lines"), F.array_join(F.transform(F.filter(texts, lambda x: ~F.rlike(x["line"], F.lit(form.header))), lambda x: x["line"]), "\n").alias("rest"),
     )
     parts = {p: F.regexp_extract("head", form.header, i + 1) for i, p in enumerate(form.parts)}
-    stamp = F.concat(*[_padded(p, parts[p]) for p in form.time_parts])
+    stamp = F.concat(*[padded(p, parts[p]) for p in form.time_parts])
     body = F.when(F.col("rest") == "", parts["body"]).otherwise(F.substring(F.concat_ws("\n", parts["body"], F.col("rest")), 1, BODY_LIMIT))
     kept = [parts[p].alias(p) for p in form.parts if p not in (*form.time_parts, "body")]
     return grouped.filter("record > 0").select("file", "line_no", F.try_to_timestamp(stamp, F.lit(form.time_format)).alias("ts"), *kept, body.alias("message"), (F.col("physical_lines") - 1).alias("continuations"))
