@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize
-from emberline.operators import counters, scans
+from emberline.operators import correlation, counters, grouping, rule_matcher, rules, scans
+from emberline.plans import log_queries
 from emberline.plans.log_queries import d_shown, shown
 from emberline.plans.store_queries import raw_lines
-from emberline.sources import paged, raw_logs, split_logs
+from emberline.sources import paged, raw_logs, rule_files, split_logs
 from emberline.sources.relations import deploys, duck, logs
 from emberline.storage import shared_path
 
@@ -168,7 +171,37 @@ def q_split_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed_records(spark, sf_dir)[1]
 
 
+def rule_texts(spark: SparkSession) -> DataFrame:
+    """The built-in rules as files with a front matter."""
+
+    def text(rule: dict) -> str:
+        chosen = [f"  {k}: {v}" for k, v in (("message_regex", json.dumps(rule.get("message_regex"))), ("level", rule.get("levels")), ("first_seen_within_minutes_after_deploy", rule.get("minutes_after_deploy"))) if v not in (None, "null")]
+        return "\n".join(["---", f"id: {rule['id']}", f"level: {rule['level']}", f"category: {rule['category']}", "selection:", *chosen, "condition: selection", "---", "", f"# {rule['id']}", "", "Look at it."]).replace("'", "")
+
+    return spark.createDataFrame([(f"{r['id']}.md", text(r)) for r in rules.DETECTIONS], "name string, text string")
+
+
+def q_rule_file_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules read from files, matched against all messages of a group."""
+    found = rule_files.read_rules(spark, rule_files.write_rules(rule_texts(spark), shared_path(spark, "rules")))
+    keys = ["incident", *grouping.GROUP_KEYS]
+    patterns = [r["message_regex"] for r in found if r["message_regex"]]
+    signed = grouping.with_signature(logs(spark, sf_dir))
+    matched = rule_matcher.group_matches(signed, keys, patterns).select(grouping.event_id([F.col(k) for k in keys]).alias("event_id"), "rules")
+    grouped = log_queries.groups(spark, sf_dir)
+    nearest = correlation.deploys_before(grouped.select("event_id", "service", "first_seen"), deploys(spark, sf_dir)).groupBy("event_id").agg(F.min("minutes_before").alias("after_deploy"))
+    return rule_matcher.detections(grouped.join(nearest, "event_id", "left"), matched, ["event_id"], found).select("incident", "event_id", "rule_id", "rule_level", "category", "rule_rank", "n")
+
+
+def _any_message(rule: dict) -> str:
+    inside = f" AND event_id IN (SELECT {log_queries._ID} FROM signed WHERE regexp_matches(message, '(?i){rule['message_regex']}'))" if "message_regex" in rule else ""
+    inside += f" AND level IN ({', '.join(repr(x) for x in rule['levels'])})" if "levels" in rule else ""
+    inside += f" AND after_deploy BETWEEN 0 AND {rule['minutes_after_deploy']}" if "minutes_after_deploy" in rule else ""
+    return f"SELECT incident, event_id, '{rule['id']}' AS rule_id, '{rule['level']}' AS rule_level, '{rule['category']}' AS category, {rules.RULE_LEVELS[rule['level']]} AS rule_rank, n FROM grouped LEFT JOIN near USING (event_id) WHERE true{inside}"
+
+
 QUERIES = {
+    "rule_file_matches": (q_rule_file_matches, log_queries.with_groups(" UNION ALL ".join(_any_message(r) for r in rules.DETECTIONS), log_queries.DEPLOYED)),
     "split_records": (q_split_records, duck("""SELECT service AS file, level, pod AS thread, CASE WHEN contains(message, ': ') THEN split_part(message, ': ', 1) ELSE 'unknown' END AS component,
       CASE WHEN level = 'error' THEN 'java.io.IOException' END AS error_type, 'workload-' || substr(sha256(service), 1, 12) AS workload_id, count(*) AS records,
       CAST(sum(CASE WHEN level = 'error' THEN 2 ELSE 0 END) AS BIGINT) AS continuations, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM logs GROUP BY ALL""")),
