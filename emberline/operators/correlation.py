@@ -125,6 +125,10 @@ def comparable_scopes(left: Column, right: Column, left_sources: Column, right_s
         relative, F.coalesce(F.arrays_overlap(left_sources, right_sources), F.lit(False))).otherwise(True)
 
 
+def outcome_role(status: Column) -> Column:
+    return F.when(status == "failed", "adverse").when(status == "succeeded", "successful_completion").when(status.isin("started", "resumed"), "recovery").otherwise("neutral")
+
+
 def lifecycle_relations(signals: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """Signal groups against the lifecycle groups of their incident, accepted or with the reason of rejection.
 
@@ -135,11 +139,9 @@ def lifecycle_relations(signals: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """
     r = lifecycles.select("incident", *[F.col(c).alias(f"l_{c}") for c in lifecycles.columns if c != "incident"])
     joined = signals.join(r, "incident")
-    names = {"execution_id": "execution_ids", "workload_id": "workload_ids", "host": "hosts", "pod": "pods"}
-    match = entity_match({k: F.col(v) for k, v in names.items()}, {k: F.col(f"l_{v}") for k, v in names.items()})
+    match = entity_match({k: F.col(v) for k, v in ENTITIES.items()}, {k: F.col(f"l_{v}") for k, v in ENTITIES.items()})
     relation = time_relation(F.col("first_seen"), F.col("last_seen"), F.col("l_first_seen"), F.col("l_last_seen"), F.lit(True))
-    adverse = F.col("l_status") == "failed"
-    role = F.when(adverse, "adverse").when(F.col("l_status") == "succeeded", "successful_completion").when(F.col("l_status").isin("started", "resumed"), "recovery").otherwise("neutral")
+    role = outcome_role(F.col("l_status"))
     conflict = execution_conflict(F.col("execution_ids"), F.col("l_execution_ids"))
     rows = joined.withColumns({"entity_match": match, "time_relation": relation, "outcome_role": role, "conflict": conflict})
     accepted = F.col("entity_match").isin("exact", "workload_only") & F.col("time_relation").isin("during", "after") & ~((F.col("outcome_role") == "adverse") & F.col("conflict"))
@@ -153,22 +155,84 @@ def lifecycle_relations(signals: DataFrame, lifecycles: DataFrame) -> DataFrame:
     )
 
 
-def impact_assessment(signals: DataFrame, relations: DataFrame) -> DataFrame:
-    """Whether a signal's impact is established, contradicted or neither, and whether it may be a cause.
+ENTITIES = {"execution_id": "execution_ids", "workload_id": "workload_ids", "host": "hosts", "pod": "pods"}
+
+
+def _entity_keys(prefix: str = "") -> Column:
+    """Ids of all kinds as one set of texts."""
+
+    def named(kind: str, ids: Column) -> Column:
+        return F.coalesce(F.transform(F.array_compact(ids), lambda v: F.concat(F.lit(f"{kind}="), v)), F.array().cast("array<string>"))
 
-    `signals`: incident, event_id, signal_family, status, effect (of the operation, or null).
+    return F.array_distinct(F.flatten(F.array(*[named(kind, F.col(prefix + c)) for kind, c in ENTITIES.items()])))
+
+
+def accepted_relations(signals: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """The rows of `lifecycle_relations` that are accepted, without forming others.
+
+    Only groups that share an id can match, so each side goes under its ids, and the join on incident and id carries the conditions of time and
+    conflict; of the ids that two groups share only the least one makes the pair, so each comes once.
     """
+    left = signals.withColumn("keys", _entity_keys()).withColumn("key", F.explode("keys"))
+    right = lifecycles.select(*[F.col(c).alias("incident" if c == "incident" else f"l_{c}") for c in lifecycles.columns])
+    right = right.withColumn("l_keys", _entity_keys("l_")).withColumn("key", F.explode("l_keys"))
+    times = ["first_seen", "last_seen", "l_first_seen", "l_last_seen"]
+    left, right = left.dropna(subset=times[:2]), right.dropna(subset=times[2:])
+    conflict = execution_conflict(F.col("execution_ids"), F.col("l_execution_ids"))
+    fits = (F.col("l_last_seen") >= F.col("first_seen")) & (F.array_min(F.array_intersect("keys", "l_keys")) == F.col("a.key")) & ~(F.coalesce(F.col("l_status") == "failed", F.lit(False)) & conflict)
+    same = (F.col("a.incident") == F.col("b.incident")) & (F.col("a.key") == F.col("b.key"))
+    rows = left.alias("a").join(right.alias("b"), same & fits).select("a.*", *[F.col(f"b.{c}") for c in right.columns if c.startswith("l_")]).drop("key", "keys", "l_keys")
+    match = entity_match({k: F.col(v) for k, v in ENTITIES.items()}, {k: F.col(f"l_{v}") for k, v in ENTITIES.items()})
+    return rows.withColumns({
+        "entity_match": match, "time_relation": time_relation(*map(F.col, times), F.lit(True)), "outcome_role": outcome_role(F.col("l_status")), "accepted": F.lit(True),
+    }).withColumn("confidence", F.when(F.col("entity_match") == "exact", 90).otherwise(70))
+
+
+def relation_summary(signals: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """What `lifecycle_relations` says of each signal group, with no row for a rejected pair.
+
+    incident, event_id, adverse, recovery, completion, accepted_links, rejected_links, all_miss (no pair but mismatches), all_before. Rejected
+    pairs are those of the incident that aren't accepted; the others follow from totals of the incident's lifecycle groups and shared ids.
+    """
+    whole = lifecycles.groupBy("incident").agg(
+        F.count(F.lit(1)).alias("lifecycles"), F.max("last_seen").alias("latest"), F.bool_and(F.col("first_seen").isNotNull() & F.col("last_seen").isNotNull()).alias("dated"),
+        F.bool_and(F.coalesce(F.size("execution_ids") > 0, F.lit(False))).alias("all_executed"),
+    )
+    known = lifecycles.select("incident", F.explode(_entity_keys()).alias("key")).distinct()
+    touched = signals.select("incident", "event_id", F.explode(_entity_keys()).alias("key")).join(known, ["incident", "key"], "left_semi").select("incident", "event_id").distinct().withColumn("touched", F.lit(True))
+    has = lambda role: F.bool_or(F.col("outcome_role") == role)
+    links = accepted_relations(signals, lifecycles).groupBy("incident", "event_id").agg(
+        has("adverse").alias("adverse"), has("recovery").alias("recovery"), has("successful_completion").alias("completion"), F.count(F.lit(1)).alias("accepted_links"))
+    rows = signals.join(whole, "incident").join(links, ["incident", "event_id"], "left").join(touched, ["incident", "event_id"], "left")
+    no, none = F.lit(False), F.lit(0)
+    accepted = F.coalesce("accepted_links", none)
+    return rows.select(
+        "incident", "event_id", *[F.coalesce(c, no).alias(c) for c in ("adverse", "recovery", "completion")], accepted.alias("accepted_links"), (F.col("lifecycles") - accepted).alias("rejected_links"),
+        (F.col("touched").isNull() & F.coalesce(F.size("execution_ids") > 0, no) & F.col("all_executed")).alias("all_miss"),
+        F.coalesce(F.col("dated") & F.col("last_seen").isNotNull() & (F.col("latest") < F.col("first_seen")), no).alias("all_before"),
+    )
+
+
+def impact_assessment(signals: DataFrame, relations: DataFrame) -> DataFrame:
+    """`assessed_impacts` from the rows of `lifecycle_relations`."""
     has = lambda role: F.coalesce(F.bool_or(F.col("accepted") & (F.col("outcome_role") == role)), F.lit(False))
-    per = relations.groupBy("incident", "event_id").agg(
+    return assessed_impacts(signals, relations.groupBy("incident", "event_id").agg(
         has("adverse").alias("adverse"), has("recovery").alias("recovery"), has("successful_completion").alias("completion"),
         F.count_if("accepted").alias("accepted_links"), F.count_if(~F.col("accepted")).alias("rejected_links"),
-    )
+    ))
+
+
+def assessed_impacts(signals: DataFrame, summary: DataFrame) -> DataFrame:
+    """Whether a signal's impact is established, contradicted or neither, and whether it may be a cause.
+
+    `signals`: incident, event_id, signal_family, status, effect (of the operation, or null); `summary`: relation_summary.
+    """
     family = F.col("signal_family")
     condition = (
         F.when(family == "network_transport", "transport_failure").when(family == "storage_capacity", "capacity_failure")
         .when(family == "operation_latency", "operation_latency_deviation")
     )
-    rows = signals.join(per, ["incident", "event_id"], "left").fillna(False, ["adverse", "recovery", "completion"]).fillna(0, ["accepted_links", "rejected_links"])
+    rows = signals.join(summary, ["incident", "event_id"], "left").fillna(False, ["adverse", "recovery", "completion"]).fillna(0, ["accepted_links", "rejected_links"])
     same_event = F.col("effect").isNotNull() | condition.isNotNull()
     contradicted = (F.col("recovery") | F.col("completion")) & (family != "operation_latency")
     established = F.col("adverse") | (same_event & ~contradicted)

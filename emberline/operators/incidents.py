@@ -70,15 +70,20 @@ def candidate_violations(candidates: DataFrame) -> DataFrame:
 
 
 def impact_audit(impacts: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`audited_impacts` from rows of relations. `links`: incident, event_id, entity_match, time_relation."""
+    worst = links.groupBy("incident", "event_id").agg(F.bool_and(F.col("entity_match") == "mismatch").alias("all_miss"), F.bool_and(F.col("time_relation") == "before").alias("all_before"))
+    return audited_impacts(impacts.join(worst, ["incident", "event_id"], "left"), nodes)
+
+
+def audited_impacts(impacts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Counters of each incident's impact records: statuses, eligible ones whose links all miss or all come before, cited ids that the graph has not.
 
-    `impacts`: incident, event_id, impact_status, cause_candidate_eligible; `links`: incident, event_id, entity_match, time_relation; `nodes`: event_id.
+    `impacts`: incident, event_id, impact_status, cause_candidate_eligible, all_miss, all_before; `nodes`: event_id.
     """
-    worst = links.groupBy("incident", "event_id").agg(F.bool_and(F.col("entity_match") == "mismatch").alias("all_miss"), F.bool_and(F.col("time_relation") == "before").alias("all_before"))
     known = nodes.select("event_id").distinct()
     unknown = impacts.select("incident", "event_id").distinct().join(known, "event_id", "left_anti").groupBy("incident").agg(F.count(F.lit(1)).alias("unknown_ids"))
     yes = lambda c: F.count_if(F.col("cause_candidate_eligible") & F.coalesce(F.col(c), F.lit(False)))
-    found = impacts.join(worst, ["incident", "event_id"], "left").groupBy("incident").agg(
+    found = impacts.groupBy("incident").agg(
         *[F.count_if(F.col("impact_status") == s).alias(s) for s in ("established", "not_established", "contradicted")],
         yes("all_miss").alias("mismatch_candidates"), yes("all_before").alias("pre_signal_candidates"),
     )

@@ -10,6 +10,7 @@ from emberline.operators import correlation, sampling, scoring
 from emberline.plans.log_queries import DEPLOYED, DETECTED, SIGNALLED, d_shown, detected, groups, shown, with_groups
 from emberline.sources import relations
 from emberline.sources.relations import duck, logs
+from emberline.storage import written
 
 # Services as a registry: tier and customer-facing by name, each depending on the two before it.
 REGISTRY = [("payments", 0, True, ["auth"]), ("checkout", 1, True, ["payments", "auth"]), ("auth", 1, False, ["catalog"]), ("search", 2, True, ["catalog"])]
@@ -47,9 +48,14 @@ def q_latest_deploy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "deploy_id", "commit")
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups, deployments and hourly metric peaks as events of their day."""
-    g = groups(spark, sf_dir).select("incident", "event_id", F.lit("log_group").alias("kind"), "service", "level", F.col("first_seen").alias("at"), "ordinal")
+def kept_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, written once for queries that use them several times."""
+    return written(groups(spark, sf_dir), "groups")
+
+
+def timeline(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Groups (`found`, if they are at hand) and deployments as events of their day."""
+    g = (found or groups(spark, sf_dir)).select("incident", "event_id", F.lit("log_group").alias("kind"), "service", "level", F.col("first_seen").alias("at"), "ordinal")
     d = relations.deploys(spark, sf_dir).select(
         F.date_format("deployed_at", "yyyy-MM-dd").alias("incident"), F.concat(F.lit("dep-"), F.col("deploy_id").cast("string")).alias("event_id"), F.lit("deploy").alias("kind"),
         "service", F.lit(None).cast("string").alias("level"), F.col("deployed_at").alias("at"), F.col("deploy_id").alias("ordinal"))
@@ -98,8 +104,8 @@ def q_scope_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("incident", "service", "step", F.col("position").cast("long").alias("position"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(spark, sf_dir)
+def signals(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    found = found or groups(spark, sf_dir)
     return found.select(
         "incident", "event_id", "service", "n", "hosts", "first_seen", "last_seen", text.operation_effect(F.col("example_message")).alias("effect"),
         F.explode(text.detect_signals(F.col("example_message"), F.col("level"))).alias("s"),
@@ -116,11 +122,15 @@ def lifecycles(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.array().cast("array<string>").alias("workload_ids"), F.array("host").alias("hosts"), F.array().cast("array<string>").alias("pods"))
 
 
-def lifecycle_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = signals(spark, sf_dir).filter("signal_family <> 'unclassified_error'").select(
+def _related(found: DataFrame) -> DataFrame:
+    """Groups with a classified signal, one row each. `found`: signals."""
+    return found.filter("signal_family <> 'unclassified_error'").select(
         "incident", "event_id", "first_seen", "last_seen", F.when(F.size("hosts") == 1, F.transform("hosts", lambda h: F.concat(F.lit("x"), h))).otherwise(F.array(F.lit("other"))).alias("execution_ids"),
         F.array().cast("array<string>").alias("workload_ids"), "hosts", F.array().cast("array<string>").alias("pods")).distinct()
-    return correlation.lifecycle_relations(left, lifecycles(spark, sf_dir))
+
+
+def lifecycle_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlation.lifecycle_relations(_related(signals(spark, sf_dir)), lifecycles(spark, sf_dir))
 
 
 _RELATED = SIGNALLED + """, jobs AS (SELECT strftime(ts, '%Y-%m-%d') AS incident, CASE k % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'succeeded' ELSE 'resumed' END AS l_status, host,
@@ -138,8 +148,10 @@ def q_lifecycle_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle_relations(spark, sf_dir).select("incident", "event_id", "l_event_id", "entity_match", "time_relation", "outcome_role", "accepted", "rejection_reason", "confidence")
 
 
-def impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlation.impact_assessment(signals(spark, sf_dir), lifecycle_relations(spark, sf_dir))
+def impacts(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Signals with their impact; no pair of a signal and a lifecycle group is formed that is rejected."""
+    seen = signals(spark, sf_dir, found or kept_groups(spark, sf_dir))
+    return correlation.assessed_impacts(seen, correlation.relation_summary(_related(seen), written(lifecycles(spark, sf_dir), "lifecycles")))
 
 
 _IMPACTS = _RELATED + """, per AS (SELECT event_id, bool_or(accepted AND outcome_role = 'adverse') AS adverse, bool_or(accepted AND outcome_role = 'recovery') AS recovery,
@@ -162,10 +174,15 @@ def q_observation_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("incident", "service", "signal_family", "status", "scope", "impact_status", "cause_candidate_eligible", "occurrences", "groups", shown("first_seen"), shown("last_seen"), "entity_unique", "entity_sample")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = timeline(spark, sf_dir)
-    rows = detected(spark, sf_dir).join(correlation.pick_anchor(events).select("incident", "anchor_at"), "incident", "left")
-    return scoring.detection_candidates(rows).unionByName(scoring.signal_candidates(impacts(spark, sf_dir)))
+def anchored(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Detections with the anchor of their day."""
+    anchors = correlation.pick_anchor(timeline(spark, sf_dir, found)).select("incident", "anchor_at")
+    return detected(spark, sf_dir, found).join(anchors, "incident", "left")
+
+
+def candidates(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    found = found or kept_groups(spark, sf_dir)
+    return scoring.detection_candidates(anchored(spark, sf_dir, found)).unionByName(scoring.signal_candidates(impacts(spark, sf_dir, found)))
 
 
 _CANDIDATES = f"""{DETECTED}, {_TIMELINE}, {_IMPACTS},

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize, text
-from emberline.operators import grouping, incidents, queue, scoring, statistics
-from emberline.plans.evidence_queries import _CANDIDATES, _IMPACTS, _TIMELINE, candidates, impacts, lifecycle_relations, timeline
-from emberline.plans.log_queries import SIGNED, d_shown, groups, shown, with_groups
+from emberline.operators import grouping, incidents, queue, ranking, scoring, statistics
+from emberline.plans.evidence_queries import _CANDIDATES, _IMPACTS, _TIMELINE, anchored, candidates, impacts, kept_groups, timeline
+from emberline.plans.log_queries import DETECTED, SIGNED, d_shown, groups, shown, with_groups
 from emberline.plans.statistics_queries import _TRACES, traces
 from emberline.sources import relations
 from emberline.sources.relations import duck, logs, read
+from emberline.storage import written
 
 # Messages in both engines: each names what its sanitizer takes out.
 PUBLIC_MESSAGE = "concat('Receiving block blk_-', ordinal, ' src: /10.', k * 4, '.', ordinal % 256, '.1:50010 dest: /user/u', user_id, '/part')"
@@ -93,9 +96,10 @@ def q_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons to abstain of every day; days whose last digit is 5 lack a source."""
-    ranked = scoring.rank_candidates(scoring.merge_candidates(candidates(spark, sf_dir)), F.lit(False), keep=1 << 20)
+    found = kept_groups(spark, sf_dir)
+    ranked = scoring.rank_candidates(scoring.merge_candidates(candidates(spark, sf_dir, found)), F.lit(False), keep=1 << 20)
     per = ranked.groupBy("incident").agg(F.count(F.lit(1)).alias("candidates"), F.max("top_gap").alias("top_gap"))
-    seen = impacts(spark, sf_dir).withColumn("category", incidents.direct_category(F.col("signal_family"), F.col("status"))).groupBy("incident").agg(
+    seen = impacts(spark, sf_dir, found).withColumn("category", incidents.direct_category(F.col("signal_family"), F.col("status"))).groupBy("incident").agg(
         F.count(F.lit(1)).alias("observations"), F.count_if("cause_candidate_eligible").alias("eligible"), F.collect_set("category").alias("categories"))
     days = logs(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("incident")).distinct()
     rows = days.join(per, "incident", "left").join(seen, "incident", "left").withColumns({
@@ -115,6 +119,67 @@ D_ABSTENTION = with_groups("""SELECT incident, len(r) > 0 AS abstain, array_to_s
       WHEN 'network_transport/disconnected' THEN 'network_disconnection' WHEN 'storage_capacity/exhausted' THEN 'disk_full' END) AS cats FROM impacts GROUP BY incident) USING (incident)))""", _CANDIDATES)
 
 
+def q_incident_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections, signals, dependency and traffic in one ranking of each day; a day without deployments lacks that source, gateway timeouts are its error rate."""
+    found = kept_groups(spark, sf_dir)
+    seen = written(impacts(spark, sf_dir, found).drop("s"), "impacts")
+    rows = logs(spark, sf_dir).withColumn("incident", F.date_format("ts", "yyyy-MM-dd"))
+    hourly = rows.groupBy("incident", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).cast("double").alias("value"), F.count_if(F.col("status_code") == "504").alias("bad"), F.count_if(F.col("event_name") == "signup").alias("deploys"))
+    hourly = written(hourly, "hourly")
+    features = statistics.series_summary(hourly.withColumnRenamed("hour", "ts"), ["incident"]).select("incident", "change_ratio")
+    kinds = [ranking.from_detections(anchored(spark, sf_dir, found)), ranking.from_signals(seen), ranking.from_dependencies(found), ranking.from_traffic(features)]
+    category = incidents.direct_category(F.col("signal_family"), F.col("status"))
+    observed = seen.groupBy("incident").agg(F.count(F.lit(1)).alias("observations"), F.count_if("cause_candidate_eligible").alias("eligible"), F.collect_set(category).alias("observed_categories"))
+    loud = found.groupBy("incident").agg(F.bool_or(F.col("level").isin("error", "fatal")).alias("loud"))
+    none = F.array().cast("array<string>")
+    context = hourly.groupBy("incident").agg(F.sum("bad").alias("bad"), F.sum("deploys").alias("deploys")).join(observed, "incident", "left").join(loud, "incident", "left").select(
+        "incident", F.when(F.col("deploys") == 0, F.array(F.lit("deploys"))).otherwise(none).alias("failed_sources"), ((F.col("bad") == 0) & F.coalesce("loud", F.lit(False))).alias("contradicted"),
+        F.coalesce("observations", F.lit(0)).alias("observations"), F.coalesce("eligible", F.lit(0)).alias("eligible"), F.coalesce("observed_categories", none).alias("observed_categories"))
+    out = ranking.ranked(reduce(DataFrame.unionByName, kinds), context)
+    return out.select("incident", "rank", "candidate_id", "category", F.array_join("categories", ",").alias("categories"), "score", "label", F.array_join("reasons", "; ").alias("reasons"),
+                      F.array_join("weaknesses", "; ").alias("weaknesses"), "top_gap", "abstain", F.array_join("abstain_reasons", "; ").alias("abstain_reasons"), "expansion_recommended")
+
+
+_CASES = f"""{DETECTED}, {_TIMELINE}, {_IMPACTS},
+  parts AS (SELECT d.incident, 0 AS kind, ordinal AS place, 'candidate-' || event_id AS id, event_id AS key, category,
+      least(100, CASE rule_level WHEN 'critical' THEN 35 WHEN 'high' THEN 30 WHEN 'medium' THEN 18 WHEN 'low' THEN 8 ELSE 10 END + CASE WHEN level IN ('error', 'fatal') THEN 12 ELSE 0 END
+      + CASE WHEN epoch_us(anchor_at) - epoch_us(first_seen) BETWEEN 0 AND 900000000 THEN 14 ELSE 0 END + CASE WHEN deploys > 0 THEN 16 ELSE 0 END + CASE WHEN pods >= 2 THEN 5 ELSE 0 END) AS score,
+      list_filter(['{ranking.RULE_MATCHED}', CASE WHEN level IN ('error', 'fatal') THEN '{ranking.ERROR_LEVEL}' END, CASE WHEN epoch_us(anchor_at) - epoch_us(first_seen) BETWEEN 0 AND 900000000 THEN '{ranking.BEFORE_ANCHOR}' END,
+        CASE WHEN deploys > 0 THEN '{ranking.AFTER_DEPLOY}' END], lambda x: x IS NOT NULL) AS reasons, CAST([] AS VARCHAR[]) AS weaknesses FROM detected d LEFT JOIN anchors USING (incident)
+    UNION ALL SELECT incident, 1, 0, 'candidate-signal-' || category, array_to_string(list_sort(list_distinct(list(event_id)))[1:12], ','), category, max(score), ['{ranking.DIRECT}'], [] FROM (
+      SELECT *, CASE WHEN recovery THEN least(b, 60) ELSE b END AS score FROM (
+        SELECT *, CASE WHEN adverse THEN 78 WHEN category = 'disk_full' THEN 68 ELSE 60 END AS b FROM (
+          SELECT *, CASE signal_family WHEN 'machine_availability' THEN 'machine_down' WHEN 'network_transport' THEN 'network_disconnection' ELSE 'disk_full' END AS category FROM impacts WHERE cause_candidate_eligible)))
+    GROUP BY incident, category
+    UNION ALL SELECT incident, 2, 0, 'candidate-dependency-' || e, e, 'dependency_failure', 42, ['{ranking.NAMED}'], ['{ranking.UNCONFIRMED}'] FROM (SELECT incident, arg_min(event_id, (-n, ordinal)) AS e FROM grouped
+      WHERE contains(lower(concat_ws(' ', coalesce(error_type, ''), signature)), 'upstream') OR contains(lower(concat_ws(' ', coalesce(error_type, ''), signature)), 'dependency') GROUP BY incident)
+    UNION ALL SELECT incident, 3, 0, 'candidate-traffic-change', 'traffic_change|candidate-traffic-change', 'traffic_change', CAST(least(55, 15 + floor(ratio * 10)) AS INTEGER), ['request rate rose ' || ratio || 'x from first sample'], ['{ranking.NO_BASELINE}']
+      FROM (SELECT incident, round(max(v) / arg_min(v, h), 2) AS ratio FROM (SELECT strftime(ts, '%Y-%m-%d') AS incident, date_trunc('hour', ts) AS h, CAST(count(*) AS DOUBLE) AS v FROM logs GROUP BY ALL) GROUP BY incident) WHERE ratio >= 1.5),
+  merged_parts AS (SELECT incident, key, min((kind, place, id, category)) AS first_at, max(score) AS score, list(category ORDER BY (kind, place, id, category)) AS cats, flatten(list(reasons ORDER BY (kind, place, id, category))) AS reasons,
+    flatten(list(weaknesses ORDER BY (kind, place, id, category))) AS weaknesses FROM parts GROUP BY ALL),
+  context AS (SELECT d.incident, deploys = 0 AS failed, bad = 0 AND loud AS contradicted, coalesce(o, 0) AS o, coalesce(e, 0) AS e, coalesce(rivals, 0) AS rivals
+    FROM (SELECT strftime(ts, '%Y-%m-%d') AS incident, count(*) FILTER (status_code = '504') AS bad, count(*) FILTER (event_name = 'signup') AS deploys, bool_or(level = 'error') AS loud FROM logs GROUP BY 1) d
+    LEFT JOIN (SELECT incident, count(*) AS o, count(*) FILTER (cause_candidate_eligible) AS e, count(DISTINCT CASE signal_family || '/' || status WHEN 'machine_availability/unavailable' THEN 'machine_down' WHEN 'network_transport/unreachable' THEN 'network_disconnection'
+      WHEN 'network_transport/disconnected' THEN 'network_disconnection' WHEN 'storage_capacity/exhausted' THEN 'disk_full' END) AS rivals FROM impacts GROUP BY incident) USING (incident)),
+  capped AS (SELECT * REPLACE (least(score, CASE WHEN failed THEN 60 ELSE 100 END) AS score) FROM context LEFT JOIN merged_parts USING (incident)),
+  placed AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nxt, count(key) OVER (PARTITION BY incident) AS c FROM capped WINDOW w AS (PARTITION BY incident ORDER BY score DESC, first_at)),
+  gaps AS (SELECT *, max(CASE WHEN rank = 1 THEN score - nxt END) OVER (PARTITION BY incident) AS gap FROM placed)"""
+
+
+def _distinct_sql(values: str) -> str:
+    return f"list_filter({values}, lambda x, i: list_position({values}, x) = i)"
+
+
+D_INCIDENT_RANKING = with_groups(f"""SELECT incident, CASE WHEN c > 0 THEN rank END AS rank, first_at[3] AS candidate_id, first_at[4] AS category, array_to_string({_distinct_sql('cats')}, ',') AS categories, score,
+    CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score IS NOT NULL THEN 'low' END AS label, array_to_string({_distinct_sql('reasons')}, '; ') AS reasons,
+    CASE WHEN key IS NOT NULL THEN array_to_string(list_filter(list_concat({_distinct_sql('weaknesses')}, [CASE WHEN failed THEN 'Missing source data: deploys' END, CASE WHEN contradicted THEN '{ranking.CONFLICT}' END]), lambda x: x IS NOT NULL), '; ') END AS weaknesses,
+    gap AS top_gap, failed OR c = 0 OR coalesce(gap < 15, false) OR rivals > 1 AS abstain, array_to_string(list_filter([
+    CASE WHEN c = 0 THEN 'no deterministic candidate has supporting evidence' END, CASE WHEN c = 0 AND o > 0 AND e = 0 THEN 'direct signals were observed without an incident-impact link' END,
+    CASE WHEN failed THEN 'required evidence source failed: deploys' END, CASE WHEN gap < 15 THEN 'top deterministic candidates are materially tied' END,
+    CASE WHEN rivals > 1 THEN 'direct observations span competing failure categories' END], lambda x: x IS NOT NULL), '; ') AS abstain_reasons, failed OR c = 0 OR coalesce(gap < 15, false) OR rivals > 1 AS expansion_recommended
+  FROM gaps WHERE rank <= 3""", _CASES)
+
+
 def q_candidate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates made of logs, with broken fields, by broken rule."""
     rows = logs(spark, sf_dir).select(
@@ -124,7 +189,8 @@ def q_candidate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_impact_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.impact_audit(impacts(spark, sf_dir), lifecycle_relations(spark, sf_dir), timeline(spark, sf_dir))
+    found = kept_groups(spark, sf_dir)
+    return incidents.audited_impacts(impacts(spark, sf_dir, found), timeline(spark, sf_dir, found))
 
 
 D_IMPACT_AUDIT = with_groups("""SELECT incident, count(*) FILTER (impact_status = 'established') AS established, count(*) FILTER (impact_status = 'not_established') AS not_established, count(*) FILTER (impact_status = 'contradicted') AS contradicted,
@@ -267,6 +333,7 @@ QUERIES = {
         (r'/tmp/hadoop-[^/\s,:]+', '/tmp/hadoop-[USER]'), (r'\bMSRA-SA-\d+\b', '[HOST]'), (r'\bContainer_\d+(?:_\d+)+\b', 'container_[ID]'), (r'\bjob_\d+(?:_\d+)+Job\b', 'job_[ID]Job')])} AS message FROM logs""")),
     "sanitized_instance": (_sanitized(INSTANCE_MESSAGE, sanitize.instance_message), duck("SELECT ordinal, '[instance: [UUID]] from [IP] up' AS message FROM logs")),
     "stated_confidence": (q_confidence, duck("SELECT CASE k % 5 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' END AS label, CASE k % 5 WHEN 2 THEN '' WHEN 4 THEN NULL ELSE CAST(k AS VARCHAR) END AS percent, count(*) AS n FROM logs GROUP BY ALL")),
+    "incident_ranking": (q_incident_ranking, D_INCIDENT_RANKING),
     "high_signal": (q_high_signal, duck("SELECT service, level IN ('error', 'warn') OR regexp_matches(message, '(?i)(error|exception|timeout|failed|lost|refused|exhausted|oomkilled|no space left|disk full|exit code|killed)') AS high_signal, count(*) AS n FROM logs GROUP BY ALL")),
     "shortened_texts": (q_shortened, "SELECT doc_id, CASE WHEN length(t) <= 70 THEN t ELSE substr(t, 1, 67) || '...' END AS short FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)"),
     "hour_cohorts": (q_hour_cohorts, duck("SELECT service, strftime(ts, '%Y-%m-%dT%H:00Z') AS cohort, count(*) AS n, CASE WHEN bool_or(level = 'error') THEN 'error' WHEN bool_or(level = 'warn') THEN 'warn' ELSE 'info' END AS status FROM logs GROUP BY 1, 2")),

@@ -9,6 +9,7 @@ from emberline.functions import text
 from emberline.operators import grouping, quality, rules
 from emberline.sources import relations
 from emberline.sources.relations import duck, logs, read
+from emberline.storage import written
 
 #: Text of a timestamp in both engines.
 SHOW = "yyyy-MM-dd HH:mm:ss"
@@ -245,10 +246,10 @@ def q_detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(spark, sf_dir).select("incident", "event_id", "rule_id", "rule_level", "category", "rule_rank", "n")
 
 
-def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
     from emberline.operators import correlation
 
-    found = groups(spark, sf_dir)
+    found = found or written(groups(spark, sf_dir), "groups")
     nearest = correlation.deploys_before(found.select("event_id", "service", "first_seen"), relations.deploys(spark, sf_dir)).groupBy("event_id").agg(
         F.min("minutes_before").alias("after_deploy"), F.count(F.lit(1)).alias("deploys"))
     return rules.detections(found.join(nearest, "event_id", "left"))
