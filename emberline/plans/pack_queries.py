@@ -11,6 +11,7 @@ from emberline.plans.evidence_queries import kept_groups
 from emberline.plans.log_queries import DETECTED, SIGNALLED, detected, with_groups
 from emberline.sources.relations import deploys, duck, logs, read
 from emberline.storage import written
+from emberline.streaming import revisions
 
 SECTIONS = {"Top Detection Rules": 2, "Log Groups": 8, "Deployments": 2}
 PACK_BYTES = 900
@@ -109,7 +110,35 @@ def q_objects_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("f.method", F.try_variant_get("f.object", "$.k", "long").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
+REVISION_EVENTS = """concat(service, '/', {day}) AS incident, ts, ordinal, CASE WHEN event_name = 'purchase' THEN 'decision' ELSE 'evidence' END AS kind,
+  CASE WHEN event_name <> 'purchase' THEN concat(event_name, '-', k % 12) END AS evidence_id, CAST(k % 3 AS INT) + 1 AS expected,
+  CASE k % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'request_more_evidence' ELSE 'maybe' END AS decision, CASE WHEN user_id % 2 = 0 THEN '1' END AS selected, CAST(NULL AS STRING) AS request_id"""
+
+
+def q_revision_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as evidence of their service and day, purchases as review decisions."""
+    spark_sql = REVISION_EVENTS.replace("{day}", "date_format(ts, 'yyyy-MM-dd')")
+    return revisions.replayed(spark.sql(f"SELECT {spark_sql} FROM {{rows}}", rows=logs(spark, sf_dir)))
+
+
+D_REVISIONS = duck(f"""WITH RECURSIVE e0 AS (SELECT {REVISION_EVENTS.replace("{day}", "strftime(ts, '%Y-%m-%d')")} FROM logs),
+  e AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY ts, ordinal) AS i, row_number() OVER (PARTITION BY incident, kind, evidence_id ORDER BY ts, ordinal) > 1 AS dup,
+    expected || '|' || decision || '|' || coalesce(selected, '') || '|' AS key FROM e0),
+  s AS (SELECT DISTINCT incident, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS ordinal, '' AS kind, 0 AS revision, false AS frozen, '' AS last_decision, '' AS decided, '' AS outcome, CAST(NULL AS VARCHAR) AS reason FROM e
+    UNION ALL SELECT incident, i, ordinal, kind, CASE WHEN outcome = 'opened' THEN revision + 1 ELSE revision END, CASE WHEN outcome = 'opened' THEN false WHEN outcome = 'decided' THEN true ELSE frozen END,
+      CASE WHEN outcome = 'opened' THEN '' WHEN outcome = 'decided' THEN decision ELSE last_decision END, CASE WHEN outcome = 'opened' THEN '' WHEN outcome = 'decided' THEN key ELSE decided END, outcome,
+      CASE WHEN outcome = 'opened' THEN CASE last_decision WHEN '' THEN 'first_evidence' WHEN 'request_more_evidence' THEN 'requested_evidence' ELSE 'late_evidence' END
+        WHEN outcome = 'refused' THEN CASE WHEN revision = 0 THEN 'no_revision' WHEN expected <> revision THEN 'stale_revision' WHEN decision = 'maybe' THEN 'invalid_decision' WHEN decision = 'approved' AND selected IS NULL THEN 'no_selection' ELSE 'already_decided' END END
+    FROM (SELECT s.incident, e.i, e.ordinal, e.kind, s.revision, s.frozen, s.last_decision, s.decided, e.expected, e.decision, e.selected, e.key,
+      CASE WHEN e.kind = 'evidence' THEN CASE WHEN dup THEN 'duplicate' WHEN s.revision > 0 AND NOT s.frozen THEN 'added' ELSE 'opened' END
+        WHEN s.revision = 0 OR e.expected <> s.revision OR e.decision = 'maybe' OR (e.decision = 'approved' AND e.selected IS NULL) THEN 'refused'
+        WHEN s.frozen THEN CASE WHEN s.decided = e.key THEN 'repeated' ELSE 'refused' END ELSE 'decided' END AS outcome
+      FROM s JOIN e ON e.incident = s.incident AND e.i = s.i + 1))
+  SELECT incident, ordinal, kind, revision, outcome, reason FROM s WHERE i > 0""")
+
+
 QUERIES = {
+    "revision_outcomes": (q_revision_outcomes, D_REVISIONS),
     "evidence_packs": (q_evidence_packs, D_PACKS),
     "stage_retention": (q_stage_retention, D_RETENTION),
     "decision_parts": (q_decision_parts, D_PARTS),
