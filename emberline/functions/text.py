@@ -36,6 +36,14 @@ VOLATILE = [
     (r"(?:blk_\[(?:id|ID)\](?:\s+|$))+", "blk_[id] "),
     (r"\s+", " "),
 ]
+#: The same for shapes that the sampler compares: no measures, times or blocks, numbers without sign, UUIDs.
+SAMPLED_VOLATILE = [
+    *VOLATILE[:6],
+    (r"\b[0-9a-f]{8}-[0-9a-f-]{27,}\b", "<uuid>"),
+    VOLATILE[7],
+    (r"\d+(?:\.\d+)?", "<num>"),
+    VOLATILE[11],
+]
 FINGERPRINT_LENGTH, HEAD, TAIL = 180, 120, 56
 MAX_CODES = 26
 
@@ -169,11 +177,21 @@ def fingerprint(message: Column) -> Column:
     Codes are taken out as array elements first and put back last, so the number rules don't see them; a
     token ends in a letter and has underscores round it, so word rules don't either.
     """
+    return _shape(message, VOLATILE)
+
+
+def sampling_shape(message: Column, labels: list[Column], level: Column) -> Column:
+    """What the sampler takes for one kind of record: service and other labels, level in lower case, and the message's shape, as one text."""
+    first, *others = [F.coalesce(c.cast("string"), F.lit("")) for c in labels]
+    return F.concat_ws("\x1f", first, F.lower(F.coalesce(level, F.lit(""))), *others, _shape(message, SAMPLED_VOLATILE))
+
+
+def _shape(message: Column, rules: list[tuple[str, str]]) -> Column:
     taken = F.array().cast("array<struct<token:string,value:string>>")
     state = F.struct(F.lower(F.coalesce(message, F.lit(""))).alias("text"), taken.alias("codes"))
     for pattern, label in SEMANTIC_CODES:
         state = _protect_all(state, pattern, label)
-    back = let(state, lambda s: F.aggregate(s["codes"], F.trim(_rewrite(s["text"], VOLATILE)), lambda t, c: F.replace(t, c["token"], c["value"])))
+    back = let(state, lambda s: F.aggregate(s["codes"], F.trim(_rewrite(s["text"], rules)), lambda t, c: F.replace(t, c["token"], c["value"])))
     return let(back, lambda b: F.when(F.length(b) <= FINGERPRINT_LENGTH, b).otherwise(
         F.concat(F.substring(b, 1, HEAD), F.lit(" … "), F.substring(b, -TAIL, TAIL))
     ))

@@ -1,36 +1,9 @@
-"""Evaluation reports: stage scorecards, grouping gates, fuzzy pair candidates, unsupported numbers, provenance, timelines."""
+"""Evaluation reports: stage scorecards, grouping gates, unsupported numbers, provenance, timelines."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-#: Similarity from which two shapes of one block are a pair to be reviewed.
-NEAR = 0.55
-
-
-@F.pandas_udf(DoubleType())
-def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, which no built-in function has; runs on candidate pairs only."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def near_pairs(groups: DataFrame, block: list[str], shape: str = "signature") -> DataFrame:
-    """For each group the most similar later one of its block, where similar enough.
-
-    Groups are one row for each shape, so a block holds shapes, not records; the join is on the block's keys.
-    """
-    left = groups.select(*block, F.col("event_id").alias("left_id"), F.col(shape).alias("a"))
-    right = groups.select(*block, F.col("event_id").alias("right_id"), F.col(shape).alias("b"))
-    scored = left.join(right, block).filter("left_id < right_id").withColumn("ratio", matching_ratio("a", "b")).filter(F.col("ratio") >= NEAR)
-    best = Window.partitionBy("left_id").orderBy(F.desc("ratio"), "right_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select(
-        *block, "left_id", "right_id", F.round("ratio", 4).alias("ratio"), F.substring(F.sha2(F.concat_ws("|", "left_id", "right_id"), 256), 1, 16).alias("pair_id"))
-
 
 def stage_scorecard(raw: DataFrame, sampled: DataFrame, family: str = "signal_family") -> DataFrame:
     """Signal families of each incident before and after sampling, and which were lost."""

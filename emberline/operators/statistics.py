@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,20 +122,50 @@ def pairwise_grouping(assigned: DataFrame, truth: DataFrame, row: str = "ordinal
     cells = assigned.join(truth, row).groupBy("case", "predicted", "label").agg(F.count(F.lit(1)).alias("c"))
     by_group = cells.groupBy("case", "predicted").agg(F.sum("c").alias("c"), F.max("c").alias("most"), F.count(F.lit(1)).alias("labels"))
     by_label = cells.groupBy("case", "label").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups"))
-    tp = cells.groupBy("case").agg(F.sum(_pairs(F.col("c"))).cast("long").alias("tp"))
-    groups = by_group.groupBy("case").agg(
-        F.sum(_pairs(F.col("c"))).cast("long").alias("predicted_pairs"), F.sum("c").alias("rows"), F.sum("most").alias("dominant"),
-        F.count_if(F.col("labels") > 1).alias("collisions"), F.count(F.lit(1)).alias("groups"),
-    )
-    labels = by_label.groupBy("case").agg(F.sum(_pairs(F.col("c"))).cast("long").alias("truth_pairs"), F.count_if(F.col("groups") > 1).alias("fragmented"), F.count(F.lit(1)).alias("labels"))
+    # The three roll-ups are laid under each other and meet in one aggregate: as joins they would be cross joins where there is one case only.
+    parts = [
+        cells.select("case", _pairs(F.col("c")).cast("long").alias("tp")),
+        by_group.select("case", _pairs(F.col("c")).cast("long").alias("predicted_pairs"), F.col("c").alias("rows"), F.col("most").alias("dominant"), (F.col("labels") > 1).cast("int").alias("collisions"), F.lit(1).alias("groups")),
+        by_label.select("case", _pairs(F.col("c")).cast("long").alias("truth_pairs"), (F.col("groups") > 1).cast("int").alias("fragmented"), F.lit(1).alias("labels")),
+    ]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = whole.groupBy("case").agg(*[F.sum(c).alias(c) for c in whole.columns if c != "case"])
     precision, recall = ratio(F.col("tp"), F.col("predicted_pairs"), 1.0), ratio(F.col("tp"), F.col("truth_pairs"), 1.0)
-    return tp.join(groups, "case").join(labels, "case").withColumn("precision", precision).withColumn("recall", recall).select(
+    return sums.withColumn("precision", precision).withColumn("recall", recall).select(
         "case", "rows", "groups", "labels", "tp", (F.col("predicted_pairs") - F.col("tp")).alias("fp"), (F.col("truth_pairs") - F.col("tp")).alias("fn"),
         "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 1.0).alias("f1"),
         ratio(F.col("dominant"), F.col("rows"), 1.0).alias("purity"), "collisions", "fragmented",
     )
 
 
+RARE_LABEL = 10
+
+
+def label_coverage(rows: DataFrame) -> DataFrame:
+    """How many of a case's labels its sample has: of all, of those with a high-signal row, of rare ones (at most RARE_LABEL rows); empty sets are covered.
+
+    `rows`: case, label, sampled, high_signal (booleans). A high-signal label counts as sampled if one of its high-signal rows is.
+    """
+    per = rows.groupBy("case", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or("sampled").alias("seen"), F.bool_or("high_signal").alias("loud"), F.bool_or(F.col("sampled") & F.col("high_signal")).alias("loud_seen"))
+    yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    rare = F.col("n") <= RARE_LABEL
+    found = per.groupBy("case").agg(
+        F.count(F.lit(1)).alias("labels"), yes(F.col("seen")).alias("sampled_labels"), yes(F.col("loud")).alias("high_signal_labels"), yes(F.col("loud_seen")).alias("sampled_high_signal"),
+        yes(rare).alias("rare_labels"), yes(rare & F.col("seen")).alias("sampled_rare"), F.sum("n").alias("rows"),
+    )
+    covered = [("sampled_labels", "labels", "coverage"), ("sampled_high_signal", "high_signal_labels", "high_signal_coverage"), ("sampled_rare", "rare_labels", "rare_coverage")]
+    return found.select("*", *[ratio(F.col(a), F.col(b), 1.0).alias(name) for a, b, name in covered])
+
+
+def interpolated(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """keys, quantile: straight line between the two values next to the place, from running counts of distinct values."""
+    counts = running_counts(df.filter(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("c")), keys, value)
+    place = F.lit(share) * (F.col("size") - 1)
+    found = counts.groupBy(keys).agg(F.max("size").alias("size"), value_at(F.floor(place) + 1, value).alias("low"), value_at(F.ceil(place) + 1, value).alias("high"))
+    return found.select(*keys, (F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))).alias("quantile"))
+
+
 def confusion(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and rates of boolean predictions against boolean truth."""
     p, t = F.col("predicted"), F.col("truth")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions import sanitize, text
 from emberline.operators import grouping, sampling, statistics
-from emberline.plans.log_queries import shown, with_signed
+from emberline.plans.log_queries import FINGERPRINT, shown, with_signed
 from emberline.sources import relations
 from emberline.sources.relations import duck, logs, read
 
@@ -27,7 +28,8 @@ def q_error_rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact 95th percentile of values (as latencies) by service and day, in thousandths."""
-    return logs(spark, sf_dir).groupBy("service", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.percentile("value", 0.95) * 1000, 3).alias("p95_ms"))
+    rows = logs(spark, sf_dir).select("service", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    return statistics.interpolated(rows, ["service", "day"], "value", 0.95).select("service", "day", F.round(F.col("quantile") * 1000, 3).alias("p95_ms"))
 
 
 def q_peer_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +134,38 @@ def q_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("incident").agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("signature").alias("shapes"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
 
 
+def q_label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each day's labels (service, event and error type), those that a sample by smallest hashes has."""
+    rows = logs(spark, sf_dir).withColumn("case", F.date_format("ts", "yyyy-MM-dd"))
+    sample = sampling.lowest_hash(rows, "case", "ordinal", 60).select("ordinal", F.lit(True).alias("sampled"))
+    label = F.concat_ws("/", "service", "event_name", F.coalesce("error_type", F.lit("-")))
+    loud = sanitize.is_high_signal(F.col("level"), F.col("message"))
+    return statistics.label_coverage(rows.join(sample, "ordinal", "left").select("case", label.alias("label"), F.coalesce("sampled", F.lit(False)).alias("sampled"), loud.alias("high_signal")))
+
+
+D_COVERAGE = duck("""WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS "case", service || '/' || event_name || '/' || coalesce(error_type, '-') AS label, ordinal,
+    level IN ('error', 'warn') OR regexp_matches(message, '(?i)(error|exception|timeout|failed|lost|refused|exhausted|oomkilled|no space left|disk full|exit code|killed)') AS loud FROM logs),
+  s AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY sha256("case" || '|' || ordinal), ordinal) <= 60 AS sampled FROM r),
+  p AS (SELECT "case", label, count(*) AS n, bool_or(sampled) AS seen, bool_or(loud) AS loud, bool_or(sampled AND loud) AS loud_seen FROM s GROUP BY ALL),
+  c AS (SELECT "case", count(*) AS labels, count(*) FILTER (seen) AS sampled_labels, count(*) FILTER (loud) AS high_signal_labels, count(*) FILTER (loud_seen) AS sampled_high_signal, count(*) FILTER (n <= 10) AS rare_labels,
+    count(*) FILTER (n <= 10 AND seen) AS sampled_rare, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY ALL)
+  SELECT *, CASE WHEN labels = 0 THEN 1.0 ELSE round(sampled_labels / labels, 4) END AS coverage, CASE WHEN high_signal_labels = 0 THEN 1.0 ELSE round(sampled_high_signal / high_signal_labels, 4) END AS high_signal_coverage,
+    CASE WHEN rare_labels = 0 THEN 1.0 ELSE round(sampled_rare / rare_labels, 4) END AS rare_coverage FROM c""")
+
+
+def q_sampling_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the sampler's shape: how many, and the first."""
+    shape = text.sampling_shape(F.col("message"), [F.col(c) for c in ("service", "error_type", "event_name", "status_code")], F.col("level"))
+    return logs(spark, sf_dir).groupBy(F.replace(shape, F.lit("\x1f"), F.lit("|")).alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first"))
+
+
+_SAMPLED = FINGERPRINT.replace("(^|[^a-z0-9])[-+]?\\d+(?:\\.\\d+)?\\s*(?:bytes?|[kmgt]?i?b|milliseconds?|ms|seconds?|secs?)\\b', '\\1<measure>'", "~never~', ''").replace("'[-+]?\\d+(?:\\.\\d+)?'", "'\\d+(?:\\.\\d+)?'")
+D_SAMPLING_SHAPES = duck(f"SELECT concat(service, '|', level, '|', coalesce(error_type, ''), '|', event_name, '|', coalesce(status_code, ''), '|', {_SAMPLED}) AS shape, count(*) AS n, min(ordinal) AS first FROM logs GROUP BY 1")
+
+
 QUERIES = {
+    "label_coverage": (q_label_coverage, D_COVERAGE),
+    "sampling_shapes": (q_sampling_shapes, D_SAMPLING_SHAPES),
     "metric_series_summary": (q_metric_series, duck("""WITH p AS (SELECT DISTINCT service, strftime(ts, '%Y-%m-%d') AS day, ts, value FROM logs),
       s AS (SELECT service, day, arg_min(value, ts) AS first_value, arg_max(value, ts) AS last_value, max(value) AS peak_value, count(*) AS samples FROM p GROUP BY ALL)
       SELECT s.*, strftime((SELECT min(ts) FROM p WHERE p.service = s.service AND p.day = s.day AND p.value = s.peak_value), '%Y-%m-%d %H:%M:%S') AS peak_time,
