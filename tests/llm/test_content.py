@@ -406,6 +406,7 @@ def test_lm_learns():
 
 def test_registry_names():
     assert sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0])) == [
-        "op1_chat", "op2_simhash", "op3_packing", "op4_url_filter", "op5_exact_dedup", "op6_media", "op7_toxicity", "op8_lm_scoring", "op9_bpe", "op10_html"]
+        "op1_chat", "op2_simhash", "op3_packing", "op4_url_filter", "op5_exact_dedup", "op6_media", "op7_toxicity", "op8_lm_scoring", "op9_bpe", "op10_html",
+        "op11_divergence", "op12_vector_codes", "op13_sharding"]
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(HARD) == 16
