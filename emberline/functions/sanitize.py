@@ -22,7 +22,7 @@ SPARK = [
     (r"(?<=/usercache/)[^/\s]+", "[USER]"),
     (r"(hdfs://(?:\[IP\]|[^/\s:]+)(?::\d+)?)/[^/\s]+", "$1/[USER]"),
     (r"Set\([^)]*\)", "Set([USER_SET])"),
-    (r"(?im)(Changing (?:view|modify) acls to: ).*$", "$1[USER_SET]"),
+    (r"(?id)(Changing (?:view|modify) acls to: ).*$", "$1[USER_SET]"),  # to the end of the text, not of a line
 ]
 HADOOP = [
     (r"(?i)/tmp/hadoop-[^/\s,:]+", "/tmp/hadoop-[USER]"),

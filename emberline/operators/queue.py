@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text
+from emberline.storage import unused
 
 MAX_ATTEMPTS, RETRY_SECONDS = 3, 30
 
 
 def capacity_gate(arrivals: DataFrame, active: DataFrame, key: str, most: int) -> DataFrame:
-    """Arrivals with `accepted`: those that fit, in order of arrival, beside the key's active jobs. `active`: key, n.
+    """Arrivals with `accepted`: those that fit, in order of arrival, beside the key's active jobs. `active`: key, n. `ordinal` is unique in a key.
 
-    Ranks end at the room that is left, so only the first arrivals of a key are kept in order.
+    Each task ranks and sends the first `most` arrivals of a key only; the others need no place to be refused.
     """
-    room = F.greatest(F.lit(most) - F.coalesce("n", F.lit(0)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(key).orderBy("ts", "ordinal"))
-    return arrivals.withColumn("place", place).join(active, key, "left").withColumn("accepted", F.col("place") <= room).drop("place", "n")
+    place, n, fits = (unused(arrivals, c) for c in ("place", "n", "fits"))
+    first = arrivals.select(key, "ordinal", F.row_number().over(Window.partitionBy(key).orderBy("ts", "ordinal")).alias(place)).filter(F.col(place) <= most)
+    taken = first.join(active.select(key, F.col("n").alias(n)), key, "left").filter(F.col(place) <= most - F.coalesce(n, F.lit(0))).select(key, "ordinal", F.lit(True).alias(fits))
+    same = F.col(f"a.{key}").eqNullSafe(F.col(f"t.{key}")) & (F.col("a.ordinal") == F.col("t.ordinal"))
+    return arrivals.alias("a").join(taken.alias("t"), same, "left").select("a.*", F.coalesce(F.col(f"t.{fits}"), F.lit(False)).alias("accepted"))
 
 
 def job_outcomes(history: DataFrame, attempts: int = MAX_ATTEMPTS, delay: int = RETRY_SECONDS) -> DataFrame:
@@ -59,10 +62,13 @@ def nonce_guard(calls: DataFrame, window_seconds: int) -> DataFrame:
     """Calls (nonce, signed_at, ts, ordinal) with `verdict`: a missing or long nonce, a time outside the window, a nonce used before, or accepted."""
     bounded = F.coalesce(F.length("nonce").between(1, 128), F.lit(False))
     near = F.abs(F.unix_micros("ts") - F.unix_micros("signed_at")) <= window_seconds * 1_000_000
-    rows = calls.withColumn("usable", bounded & F.coalesce(near, F.lit(False)))
-    first = F.row_number().over(Window.partitionBy("nonce", "usable").orderBy("ts", "ordinal")) == 1
-    verdict = F.when(~bounded, "invalid_signature_nonce").when(~F.col("usable"), "signature_timestamp_outside_window").when(~first, "replayed_signature_nonce").otherwise("accepted")
-    return rows.withColumn("verdict", verdict).drop("usable")
+    usable = unused(calls, "usable")
+    rows = calls.withColumn(usable, bounded & F.coalesce(near, F.lit(False)))
+    # Only usable calls are ranked by nonce; the others, however many share one, are spread by their ordinals.
+    key = F.when(F.col(usable), F.col("nonce")).otherwise(F.col("ordinal").cast("string"))
+    first = F.row_number().over(Window.partitionBy(F.col(usable), key).orderBy("ts", "ordinal")) == 1
+    verdict = F.when(~bounded, "invalid_signature_nonce").when(~F.col(usable), "signature_timestamp_outside_window").when(~first, "replayed_signature_nonce").otherwise("accepted")
+    return rows.withColumn("verdict", verdict).drop(usable)
 
 
 def _first(*values: Column) -> Column:
