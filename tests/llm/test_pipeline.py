@@ -48,7 +48,7 @@ def test_run_is_the_stages(spark, sf):
 
 def test_sql_of_operators(spark, sf):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         result = con.execute(sql)
