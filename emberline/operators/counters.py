@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions.text import let
+
 STEP, RANGE = 60, 300
 INFINITY = float("inf")
 
@@ -59,17 +61,26 @@ def quantile(share: float, bounds: Column, counts: Column) -> Column:
     before it. Counts that fall are lifted to the ones before. Null without an infinite bound, with fewer than two buckets or without counts.
     """
     n = F.size(bounds)
-    lifted = F.transform(counts, lambda _, i: F.array_max(F.slice(counts, 1, i + 1)))
-    total = F.element_at(lifted, n)
-    rank = share * total
-    at = F.array_position(F.transform(lifted, lambda c: c >= rank), True).cast("int")
-    high = F.element_at(bounds, at)
-    low = F.when(at > 1, F.element_at(bounds, F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0.0))
-    under = F.when(at > 1, F.element_at(lifted, F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0.0))
-    inside = low + (high - low) * (rank - under) / F.nullif(F.element_at(lifted, at) - under, F.lit(0.0))
-    usable = (n > 1) & (F.element_at(bounds, -1) == INFINITY) & (total > 0)
-    value = F.when(at == n, F.element_at(bounds, F.greatest(n - 1, F.lit(1)))).when((at == 1) & (high <= 0), high).otherwise(inside)
-    return F.when(F.coalesce(usable, F.lit(False)), value)
+
+    def read(s: Column) -> Column:
+        lifted, at = s["lifted"], s["at"]
+        total = F.element_at(lifted, n)
+        rank = share * total
+        before = F.greatest(at - 1, F.lit(1))
+        low, under = (F.when(at > 1, F.element_at(c, before)).otherwise(F.lit(0.0)) for c in (bounds, lifted))
+        high = F.element_at(bounds, at)
+        inside = low + (high - low) * (rank - under) / F.nullif(F.element_at(lifted, at) - under, F.lit(0.0))
+        usable = (n > 1) & (F.element_at(bounds, -1) == INFINITY) & (total > 0)
+        value = F.when(at == n, F.element_at(bounds, F.greatest(n - 1, F.lit(1)))).when((at == 1) & (high <= 0), high).otherwise(inside)
+        return F.when(F.coalesce(usable, F.lit(False)), value)
+
+    def placed(lifted: Column) -> Column:
+        at = F.array_position(F.transform(lifted, lambda c: c >= share * F.element_at(lifted, n)), True).cast("int")
+        return let(F.struct(lifted.alias("lifted"), at.alias("at")), read)
+
+    start = F.array().cast("array<double>")
+    lifted = F.aggregate(counts, start, lambda done, c: F.concat(done, F.array(F.greatest(c, F.coalesce(F.try_element_at(done, F.lit(-1)), c)))))
+    return let(lifted, placed)
 
 
 def histogram_quantile(rates: DataFrame, keys: list[str], share: float, value: str = "rate") -> DataFrame:

@@ -21,6 +21,8 @@ PAGE_ROWS = 200
 PAGE_FIELDS = "ordinal long, ts timestamp, service string, level string, message string"
 SCAN_LIMIT = 40
 METRIC_PAGE_ROWS, METRIC_PAGES = 50, 20
+#: Seconds over which rates are taken: the events are sparse.
+SPAN = 1800
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0]
 
 
@@ -104,7 +106,7 @@ def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests a second and share of server errors by service at every minute that has them, summed up by day."""
     samples = counted(spark, sf_dir).select("service", "pod", "code", "ts", F.col("value_of").alias("value"))
-    rates = counters.rate_on_grid(samples, ["service", "pod", "code"], span=7200)
+    rates = counters.rate_on_grid(samples, ["service", "pod", "code"], span=SPAN)
     at = rates.groupBy("service", "at").agg(F.sum("rate").alias("all"), F.sum(F.when(F.col("code") == "5", F.col("rate")).otherwise(0.0)).alias("bad"))
     day = F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd").alias("day")
     share = F.when(F.col("all") > 0, F.col("bad") / F.col("all"))
@@ -122,7 +124,7 @@ _LIVES = """c AS (SELECT *, coalesce(substr(status_code, 1, 1), '-') AS code, da
 D_COUNTER_RATES = duck(f"""WITH {_LIVES}, o AS (SELECT service, pod, code AS series, 0.0 AS le, epoch_us(ts) / 1000000.0 AS t, CAST(row_number() OVER (PARTITION BY service, pod, code, day, life ORDER BY ts, ordinal) AS DOUBLE) AS v FROM c),
   u AS (SELECT service, pod, series, le, t, max(v) AS v FROM o GROUP BY ALL),
   s AS (SELECT *, CASE WHEN v < lag(v) OVER w THEN lag(v) OVER w ELSE 0 END AS lost FROM u WINDOW w AS (PARTITION BY service, pod, series ORDER BY t)),
-  {_RATES.format(span=7200)}, p AS (SELECT service, point, sum(rate) AS r, coalesce(sum(rate) FILTER (series = '5'), 0) AS bad FROM rates GROUP BY ALL)
+  {_RATES.format(span=SPAN)}, p AS (SELECT service, point, sum(rate) AS r, coalesce(sum(rate) FILTER (series = '5'), 0) AS bad FROM rates GROUP BY ALL)
   SELECT service, strftime(make_timestamp(point * 1000000), '%Y-%m-%d') AS day, count(*) AS points, round(max(r), 8) AS peak_rate, round(avg(r), 8) AS mean_rate, round(avg(CASE WHEN r > 0 THEN bad / r END), 6) AS error_rate FROM p GROUP BY ALL""")
 
 
@@ -133,7 +135,7 @@ def q_histogram_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     under = rows.select("service", "pod", "day", "life", "ts", "ordinal", F.explode(F.transform(bounds, lambda b: F.struct(b.alias("le"), (F.col("value") <= b).cast("double").alias("c")))).alias("b"))
     so_far = Window.partitionBy("service", "pod", "day", "life", "b.le").orderBy("ts", "ordinal").rowsBetween(Window.unboundedPreceding, 0)
     samples = under.select("service", "pod", "b.le", "ts", F.sum("b.c").over(so_far).alias("value"))
-    found = counters.histogram_quantile(counters.rate_on_grid(samples, ["service", "pod", "le"], span=7200), ["service", "at"], 0.95)
+    found = counters.histogram_quantile(counters.rate_on_grid(samples, ["service", "pod", "le"], span=SPAN), ["service", "at"], 0.95)
     day = F.date_format(F.timestamp_seconds("at"), "yyyy-MM-dd").alias("day")
     return found.groupBy("service", day).agg(F.count("quantile").alias("points"), F.round(F.max("quantile") * 1000, 3).alias("most_ms"), F.round(F.avg("quantile") * 1000, 3).alias("mean_ms"))
 
@@ -142,7 +144,7 @@ D_HISTOGRAM = duck(f"""WITH {_LIVES}, b AS (SELECT c.*, le, CAST(value <= le AS
   o AS (SELECT service, pod, '' AS series, le, epoch_us(ts) / 1000000.0 AS t, sum(i) OVER (PARTITION BY service, pod, day, life, le ORDER BY ts, ordinal ROWS UNBOUNDED PRECEDING) AS v FROM b),
   u AS (SELECT service, pod, series, le, t, max(v) AS v FROM o GROUP BY ALL),
   s AS (SELECT *, CASE WHEN v < lag(v) OVER w THEN lag(v) OVER w ELSE 0 END AS lost FROM u WINDOW w AS (PARTITION BY service, pod, le ORDER BY t)),
-  {_RATES.format(span=7200)}, h AS (SELECT service, point, le, sum(rate) AS r FROM rates GROUP BY ALL),
+  {_RATES.format(span=SPAN)}, h AS (SELECT service, point, le, sum(rate) AS r FROM rates GROUP BY ALL),
   x AS (SELECT *, max(r) OVER w AS c, max(r) OVER (PARTITION BY service, point) AS n, row_number() OVER w AS i, count(*) OVER (PARTITION BY service, point) AS k FROM h WINDOW w AS (PARTITION BY service, point ORDER BY le)),
   y AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(c) OVER w, 0) AS before FROM x WINDOW w AS (PARTITION BY service, point ORDER BY le)),
   q AS (SELECT service, point, arg_min(CASE WHEN isinf(le) THEN lo ELSE lo + (le - lo) * (0.95 * n - before) / (c - before) END, i) AS q FROM y WHERE c >= 0.95 * n AND n > 0 AND k > 1 GROUP BY ALL)
