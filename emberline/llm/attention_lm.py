@@ -264,10 +264,14 @@ class Trainer:
     """Adam steps over a stream of windows with a falling rate; every window is used once."""
 
     def __init__(self, p: Params, direct: Params, seed: int | list[int] = 1, rate: float = 0.04) -> None:
-        self.p = {k: v.copy() for k, v in p.items()}
+        # All weights lie in one array, and p has views of it: a step is a few operations over all of them.
+        self._flat = np.concatenate([v.ravel() for v in p.values()])
+        self._gradient, self._scratch, self._mean, self._square = (np.zeros_like(self._flat) for _ in range(4))
+        ends = np.cumsum([v.size for v in p.values()])
+        self._at = {k: slice(end - v.size, end) for (k, v), end in zip(p.items(), ends, strict=True)}
+        self.p = {k: self._flat[self._at[k]].reshape(v.shape) for k, v in p.items()}
         self.direct, self.rate, self.t = direct, rate, 0
         self._rng = np.random.default_rng(seed)
-        self._mean, self._square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
     def see(self, inputs: np.ndarray, targets: np.ndarray) -> None:
         order = self._rng.permutation(len(inputs))
@@ -281,16 +285,17 @@ class Trainer:
         rate *= math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         if self.t % 32 == 1:  # weights move little in 32 steps: 60 is far under what exp takes
             self._safe = _bounded(self.p)
-        for name, g in gradients(self.p, self.direct, inputs, targets, self._safe).items():
-            mean, square = self._mean[name], self._square[name]
-            mean *= np.float32(0.9)
-            mean += np.float32(0.1) * g
-            square *= np.float32(0.99)
-            g = g * g
-            g *= np.float32(0.01)
-            square += g
-            step = np.sqrt(square)
-            step += np.float32(1e-8)
-            np.divide(mean, step, out=step)
-            step *= np.float32(rate)
-            self.p[name] -= step
+        g, scratch = self._gradient, self._scratch
+        for name, found in gradients(self.p, self.direct, inputs, targets, self._safe).items():
+            g[self._at[name]] = found.ravel()
+        self._mean *= np.float32(0.9)
+        self._mean += np.multiply(g, np.float32(0.1), out=scratch)
+        self._square *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        self._square += g
+        np.sqrt(self._square, out=scratch)
+        scratch += np.float32(1e-8)
+        np.divide(self._mean, scratch, out=scratch)
+        scratch *= np.float32(rate)
+        self._flat -= scratch

@@ -40,7 +40,7 @@ from emberline.llm import attention_lm as model
 from emberline.llm.bpe import Encoder, _laid, _ragged, load, vocabulary_path
 from emberline.llm.common import table, written
 
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 48_000_000
 ROUNDS = 2
 #: Windows that are shuffled and trained on at once.
 BLOCK_WINDOWS = 30_000
