@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import nested, sanitize, text
-from emberline.operators import packs, sampling
+from emberline.operators import grounding, packs, sampling
 from emberline.plans.evidence_queries import kept_groups
 from emberline.plans.log_queries import DETECTED, SIGNALLED, detected, with_groups
 from emberline.sources.relations import deploys, duck, logs, read
@@ -137,7 +137,36 @@ D_REVISIONS = duck(f"""WITH RECURSIVE e0 AS (SELECT {REVISION_EVENTS.replace("{d
   SELECT incident, ordinal, kind, revision, outcome, reason FROM s WHERE i > 0""")
 
 
+def q_grounded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on the three largest error groups of a day: the first is linked with the day's largest warning, the third cites what nobody knows."""
+    found = kept_groups(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("incident", "level").orderBy(F.desc("n"), "event_id"))
+    ranked = found.withColumn("rank", place)
+    warning = ranked.filter("level = 'warn' AND rank = 1").select("incident", F.col("event_id").alias("w"))
+    top = written(ranked.filter("level = 'error' AND rank <= 3").select("incident", "rank", F.col("event_id").alias("e")).join(warning, "incident"), "claimed")
+    candidates = top.select("incident", "rank", F.array("e").alias("event_ids"), F.array("w").alias("impact_event_ids"))
+    links = top.filter("rank = 1").select("incident", F.lit(1).alias("link_id"), F.array("e", "w").alias("supporting_event_ids"))
+    said = F.array(
+        F.struct(F.lit("cause").alias("field"), F.when(F.col("rank") < 3, F.array("e")).otherwise(F.array("e", F.lit("log-none"))).alias("ids")),
+        F.struct(F.lit("mechanism").alias("field"), F.array("e", "w").alias("ids")), F.struct(F.lit("impact").alias("field"), F.when(F.col("rank") < 3, F.array("w")).otherwise(F.array("e")).alias("ids")))
+    claims = top.withColumn("c", F.explode(said)).select("incident", "rank", "c.field", F.lit("said").alias("text"), F.when(F.col("rank") == 1, "observed").otherwise("inferred").alias("status"), F.col("c.ids").alias("evidence_ids"))
+    known = found.select("incident", "event_id")
+    judged = grounding.grounded_claims(claims, grounding.evidence_roles(candidates, links, known), links, known)
+    return judged.select("incident", "rank", "field", "status", "decision", "reason", F.array_join("valid_ids", ",").alias("valid"), F.array_join("unknown_ids", ",").alias("unknown"), F.array_join("incompatible_ids", ",").alias("incompatible"))
+
+
+_R = grounding.REASONS
+D_GROUNDED = with_groups(f"""SELECT incident, rank, field, CASE WHEN d = 'rejected' THEN 'unknown' WHEN rank = 1 AND field = 'cause' THEN 'hypothesis' ELSE 'inferred' END AS status, d AS decision,
+    CASE WHEN d = 'supported' THEN '{_R["supported"]}' WHEN d = 'rejected' THEN CASE WHEN field = 'cause' THEN '{_R["unknown"]}' ELSE '{_R["incompatible"]}' END WHEN field = 'cause' THEN '{_R["cause"]}' WHEN field = 'mechanism' THEN '{_R["linked"]}' ELSE '{_R["impact"]}' END AS reason,
+    CASE field WHEN 'cause' THEN e WHEN 'mechanism' THEN CASE WHEN rank = 1 THEN e || ',' || w ELSE '' END ELSE CASE WHEN rank < 3 THEN w ELSE '' END END AS valid,
+    CASE WHEN field = 'cause' AND rank = 3 THEN 'log-none' ELSE '' END AS unknown, CASE WHEN field = 'mechanism' AND rank > 1 THEN e || ',' || w WHEN field = 'impact' AND rank = 3 THEN e ELSE '' END AS incompatible
+  FROM (SELECT *, CASE WHEN (field = 'cause' AND rank = 3) OR (field = 'mechanism' AND rank > 1) OR (field = 'impact' AND rank = 3) THEN 'rejected' WHEN rank = 1 THEN 'downgraded' ELSE 'supported' END AS d
+    FROM (SELECT incident, event_id AS e, row_number() OVER (PARTITION BY incident ORDER BY n DESC, event_id) AS rank FROM grouped WHERE level = 'error' QUALIFY rank <= 3)
+    JOIN (SELECT incident, event_id AS w FROM grouped WHERE level = 'warn' QUALIFY row_number() OVER (PARTITION BY incident ORDER BY n DESC, event_id) = 1) USING (incident), (VALUES ('cause'), ('mechanism'), ('impact')) f(field))""")
+
+
 QUERIES = {
+    "grounded_claims": (q_grounded_claims, D_GROUNDED),
     "revision_outcomes": (q_revision_outcomes, D_REVISIONS),
     "evidence_packs": (q_evidence_packs, D_PACKS),
     "stage_retention": (q_stage_retention, D_RETENTION),
