@@ -12,7 +12,7 @@ from emberline.operators import correlation, counters, grouping, rule_matcher, r
 from emberline.plans import log_queries
 from emberline.plans.log_queries import d_shown, shown
 from emberline.plans.store_queries import raw_lines
-from emberline.sources import paged, raw_logs, rule_files, split_logs
+from emberline.sources import paged, raw_logs, rule_files, split_logs, tabular_logs
 from emberline.sources.relations import deploys, duck, logs
 from emberline.storage import shared_path
 
@@ -202,7 +202,32 @@ def _any_message(rule: dict) -> str:
     return f"SELECT incident, event_id, '{rule['id']}' AS rule_id, '{rule['level']}' AS rule_level, '{rule['category']}' AS category, {rules.RULE_LEVELS[rule['level']]} AS rule_rank, n FROM grouped LEFT JOIN near USING (event_id) WHERE true{inside}"
 
 
+def q_csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written as a structured corpus and read back; the event id is joined to the records at the end."""
+    path = shared_path(spark, "corpus")
+    rows = logs(spark, sf_dir)
+    rows.select(F.col("ordinal").cast("string").alias("LineId"), F.date_format("ts", "yyMMdd").alias("Date"), F.date_format("ts", "HHmmss").alias("Time"), F.upper("level").alias("Level"), F.col("service").alias("Component"),
+                F.concat(F.lit('said "'), "message", F.lit('", blk_1')).alias("Content"), F.concat(F.lit("E"), (F.col("k") % 7).cast("string")).alias("EventId")).write.options(header=True, escape='"').csv(path)
+    found, truth = tabular_logs.records(tabular_logs.read_csv(spark, path), "hdfs")
+    return found.join(truth, "line_id").groupBy("component", "level", "event_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.endswith("message", F.lit('", blk_[ID]'))).alias("cleaned"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+
+
+def q_trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trace for each user and day, one chosen for each day."""
+    rows = logs(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "MMdd")).alias("TaskID"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("FirstSeen"),
+                                      F.col("event_name").alias("OpName"), F.col("message").alias("Description"), F.col("host").alias("Agent"))
+    chosen = tabular_logs.chosen_traces(rows.groupBy("day", "TaskID").agg(F.min("FirstSeen").alias("FirstSeen")), "day")
+    found = tabular_logs.trace_records(rows.drop("FirstSeen"), chosen, "day")
+    return found.groupBy("day", "execution_id", "level", "component", "event_name").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
 QUERIES = {
+    "csv_records": (q_csv_records, duck("SELECT service AS component, level, 'E' || (k % 7) AS event_id, count(*) AS n, count(*) AS cleaned, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM logs GROUP BY ALL")),
+    "trace_records": (q_trace_records, duck("""WITH r AS (SELECT *, strftime(ts, '%Y-%m-%d') AS day, user_id || '-' || strftime(ts, '%m%d') AS task FROM logs),
+      c AS (SELECT * FROM (SELECT day, task, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY day ORDER BY sha256(task)) = 1)
+      SELECT day, 'trace-' || substr(sha256(task), 1, 16) AS execution_id, CASE WHEN regexp_matches(event_name || ': ' || message, '(?i)(connection\\s+(?:reset|refused)|broken\\s+pipe|\\b(?:error|failed|failure)\\b)') THEN 'error' ELSE 'info' END AS level,
+        host AS component, event_name, count(*) AS n, max(first_seen) AS first_seen FROM r JOIN c USING (day, task) GROUP BY ALL""")),
     "rule_file_matches": (q_rule_file_matches, log_queries.with_groups(" UNION ALL ".join(_any_message(r) for r in rules.DETECTIONS), log_queries.DEPLOYED)),
     "split_records": (q_split_records, duck("""SELECT service AS file, level, pod AS thread, CASE WHEN contains(message, ': ') THEN split_part(message, ': ', 1) ELSE 'unknown' END AS component,
       CASE WHEN level = 'error' THEN 'java.io.IOException' END AS error_type, 'workload-' || substr(sha256(service), 1, 12) AS workload_id, count(*) AS records,
