@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from emberline.functions import sanitize
 from emberline.operators.scoring import SIGNAL_CATEGORIES, lookup
+from emberline.storage import unused
 
 
 def dedup_union(sources: list[DataFrame], keys: list[str], order: str) -> DataFrame:
     """Rows of all sources, one for each key: that of the last source, and in it the last by `order`. Combined before the one shuffle."""
-    whole = reduce(DataFrame.unionByName, [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources)])
-    rest = [c for c in whole.columns if c not in keys]
-    last = whole.groupBy(keys).agg(F.max_by(F.struct(*rest), F.struct("source_no", order)).alias("row"))
-    return last.select(*keys, *[F.col("row").getField(c).alias(c) for c in rest])
+    number, row = unused(sources[0], "source_no"), unused(sources[0], "row")
+    whole = reduce(DataFrame.unionByName, [s.withColumn(number, F.lit(i)) for i, s in enumerate(sources)])
+    rest = [c for c in sources[0].columns if c not in keys]
+    last = whole.groupBy(keys).agg(F.max_by(F.struct(*rest), F.struct(number, order)).alias(row))
+    return last.select(*keys, *[F.col(row).getField(c).alias(c) for c in rest])
 
 
 def traffic_candidates(features: DataFrame, least_ratio: float = 1.5) -> DataFrame:
     """A candidate where the request rate rose. `features`: incident, change_ratio."""
+    # Points of a change of traffic.
     score = F.least(F.lit(55), F.lit(15) + F.floor(F.col("change_ratio") * 10)).cast("int")
     return features.filter(F.col("change_ratio") >= least_ratio).select("incident", F.lit("candidate-traffic-change").alias("candidate_id"), F.lit("traffic_change").alias("category"), score.alias("score"))
 
@@ -41,6 +44,7 @@ def contradictions(groups: DataFrame, metrics: DataFrame, keys: list[str]) -> Da
 def abstention_reasons(incidents: DataFrame) -> DataFrame:
     """incident, reasons (array in a fixed order) from incident, candidates (count), top_gap, observations, eligible (counts), failed_sources (array), categories (array)."""
     none = F.col("candidates") == 0
+    # Sentences of reasons, in order.
     said = [
         (none, F.lit("no deterministic candidate has supporting evidence")),
         (none & (F.col("observations") > 0) & (F.col("eligible") == 0), F.lit("direct signals were observed without an incident-impact link")),

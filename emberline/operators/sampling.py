@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text
+from emberline.storage import unused
 
 
 def lowest_hash(df: DataFrame, stratum: str, key: str, keep: int) -> DataFrame:
@@ -20,16 +21,18 @@ def time_slices(df: DataFrame, keys: list[str], slices: int, total: int) -> Data
 
     The first slices get what the division leaves over; the last slice is closed at the end.
     """
-    whole = Window.partitionBy(keys)
-    low, high = F.min(F.unix_micros("ts")).over(whole), F.max(F.unix_micros("ts")).over(whole)
-    rows = df.withColumn("low", low).withColumn("span", F.greatest(high - low, F.lit(1)))
-    rows = rows.withColumn("slice", F.least(F.floor((F.unix_micros("ts") - F.col("low")) * slices / F.col("span")), F.lit(slices - 1)).cast("int"))
+    low, span, from_start, from_end = (unused(df, c) for c in ("low", "span", "from_start", "from_end"))
+    # The ends of a key are aggregates; only its rows by slice are windows.
+    ends = df.groupBy(keys).agg(F.min(F.unix_micros("ts")).alias(low), F.max(F.unix_micros("ts")).alias(span))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
+    rows = df.alias("a").join(ends.alias("e"), same).select("a.*", low, F.greatest(F.col(span) - F.col(low), F.lit(1)).alias(span))
+    rows = rows.withColumn("slice", F.least(F.floor((F.unix_micros("ts") - F.col(low)) * slices / F.col(span)), F.lit(slices - 1)).cast("int"))
     quota = F.lit(total // slices) + F.when(F.col("slice") < total % slices, 1).otherwise(0)
     first = Window.partitionBy(*keys, "slice").orderBy("ts", "ordinal")
     last = Window.partitionBy(*keys, "slice").orderBy(F.desc("ts"), F.desc("ordinal"))
-    rows = rows.withColumn("quota", quota).withColumn("from_start", F.row_number().over(first)).withColumn("from_end", F.row_number().over(last))
+    rows = rows.withColumn("quota", quota).withColumn(from_start, F.row_number().over(first)).withColumn(from_end, F.row_number().over(last))
     half = F.ceil(F.col("quota") / 2)
-    return rows.filter((F.col("from_start") <= half) | (F.col("from_end") <= F.col("quota") - half)).drop("low", "span", "from_start", "from_end")
+    return rows.filter((F.col(from_start) <= half) | (F.col(from_end) <= F.col("quota") - half)).drop(low, span, from_start, from_end)
 
 
 def even(df: DataFrame, keys: list[str], order: list[str], keep: int) -> DataFrame:

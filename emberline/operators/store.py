@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from emberline.storage import unused
+
 BUCKET_SECONDS = 300
 
 
@@ -19,8 +21,9 @@ def admit(events: DataFrame, key: Column, order: list[str], known: DataFrame | N
     rows = rows.withColumn("admitted", first)
     if known is None:
         return rows
-    seen = known.select("idempotency_key").distinct().withColumn("__seen", F.lit(True))
-    return rows.join(seen, "idempotency_key", "left").withColumn("admitted", F.col("admitted") & F.col("__seen").isNull()).drop("__seen")
+    before = unused(rows, "seen")
+    seen = known.select("idempotency_key").distinct().withColumn(before, F.lit(True))
+    return rows.join(seen, "idempotency_key", "left").withColumn("admitted", F.col("admitted") & F.col(before).isNull()).drop(before)
 
 
 def bucket_start(time: Column, seconds: int = BUCKET_SECONDS) -> Column:
