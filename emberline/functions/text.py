@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.literals import literals
+from emberline.storage import quoted, unused
+
 # ---------------------------------------------------------------------------------------------
 # Patterns and names that results depend on.
 
@@ -17,6 +20,8 @@ SEMANTIC_CODES = [
     (r"(?i)\b(?:http(?:\s+status)?|status(?:_code)?)[=:\s]+([1-5][0-9]{2})\b", "http_status"),
     (r"(?i)\b(?:errno|error_code)[=:\s\[]+([0-9a-z_-]{2,16})\]?", "error_code"),
 ]
+#: Words one of which every code has in it, in lower case.
+CODE_WORDS = ["sqlstate", "http", "status", "errno", "error_code"]
 #: Volatile parts of a lower-cased message, in order, and what stands for them.
 VOLATILE = [
     (r'trace[_-]?id[=:\s"]+[a-z0-9-]+', "trace_id=?"),
@@ -141,6 +146,10 @@ def _rewrite(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
 
 
+def _has_any(text: Column, words: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in sorted(words)])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once, however often the body reads it."""
     return F.transform(F.array(value), body)[0]
@@ -187,14 +196,49 @@ def sampling_shape(message: Column, labels: list[Column], level: Column) -> Colu
 
 
 def _shape(message: Column, rules: list[tuple[str, str]]) -> Column:
+    return let(_shape_of_many(F.lower(F.coalesce(message, F.lit(""))), rules), _cut)
+
+
+def _shape_of_many(lowered: Column, rules: list[tuple[str, str]]) -> Column:
+    """The shape before it is cut, of a text with any number of codes."""
     taken = F.array().cast("array<struct<token:string,value:string>>")
-    state = F.struct(F.lower(F.coalesce(message, F.lit(""))).alias("text"), taken.alias("codes"))
+    state = F.struct(lowered.alias("text"), taken.alias("codes"))
     for pattern, label in SEMANTIC_CODES:
         state = _protect_all(state, pattern, label)
-    back = let(state, lambda s: F.aggregate(s["codes"], F.trim(_rewrite(s["text"], rules)), lambda t, c: F.replace(t, c["token"], c["value"])))
-    return let(back, lambda b: F.when(F.length(b) <= FINGERPRINT_LENGTH, b).otherwise(
-        F.concat(F.substring(b, 1, HEAD), F.lit(" … "), F.substring(b, -TAIL, TAIL))
-    ))
+    return let(state, lambda s: F.aggregate(s["codes"], F.trim(_rewrite(s["text"], rules)), lambda t, c: F.replace(t, c["token"], c["value"])))
+
+
+def _cut(shape: Column) -> Column:
+    return F.when(F.length(shape) <= FINGERPRINT_LENGTH, shape).otherwise(
+        F.concat(F.substring(shape, 1, HEAD), F.lit(" … "), F.substring(shape, -TAIL, TAIL))
+    )
+
+
+def with_fingerprint(df: DataFrame, name: str, message: str) -> DataFrame:
+    """`df` with the fingerprint of the column `message`, in steps of plain columns, each of which is computed once a row.
+
+    A text with one word of CODE_WORDS at most has one code at most, so that plain replacements do; others go through their matches one by one.
+    An expression is tried only where the text has a literal that every match has.
+    """
+    lowered, words, code, work = (unused(df, c) for c in ("lowered", "words", "code", "work"))
+    token = F.lit("__semanticcodea__")
+    rows = df.withColumn(lowered, F.lower(F.coalesce(quoted(message), F.lit(""))))
+    rows = rows.withColumn(words, F.when(_has_any(F.col(lowered), CODE_WORDS), F.regexp_count(lowered, F.lit("|".join(CODE_WORDS)))).otherwise(0))
+    one = F.col(words) == 1
+    found = [F.when(one, F.regexp_extract(lowered, pattern, 1)).alias(label) for pattern, label in SEMANTIC_CODES]
+    rows = rows.withColumn(code, F.struct(*found))
+    values = [F.when(F.col(code)[label] != "", F.concat(F.lit(f"{label}="), F.col(code)[label])) for _, label in SEMANTIC_CODES]
+    rows = rows.withColumn(code, F.coalesce(*values))
+    taken = reduce(lambda t, c: F.regexp_replace(t, F.lit(c[0]), token), SEMANTIC_CODES, F.col(lowered))
+    rows = rows.withColumn(work, F.when(F.col(code).isNull(), F.col(lowered)).otherwise(taken))
+    for pattern, instead in VOLATILE:
+        known = literals(pattern)
+        replaced = F.regexp_replace(work, pattern, instead)
+        rows = rows.withColumn(work, F.when(_has_any(F.col(work), known), replaced).otherwise(F.col(work)) if known else replaced)
+    rows = rows.withColumn(work, F.trim(work))
+    rows = rows.withColumn(work, F.when(F.col(code).isNull(), F.col(work)).otherwise(F.replace(F.col(work), token, F.col(code))))
+    rows = rows.withColumn(work, F.when(F.col(words) <= 1, F.col(work)).otherwise(_shape_of_many(F.col(lowered), VOLATILE)))
+    return rows.select(*[quoted(c) for c in df.columns], _cut(F.col(work)).alias(name))
 
 
 def redact_message(message: Column) -> Column:
@@ -261,14 +305,20 @@ def detect_signals(message: Column, level: Column | None = None) -> Column:
         values = {"rule_id": rule, "signal_family": family, "directness": directness, "status": status, "scope": scope, "match_method": method}
         return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
 
+    def hit(text: Column, lowered: Column, pattern: str) -> Column:
+        known = literals(pattern)
+        found = F.rlike(text, F.lit(pattern))
+        return _has_any(lowered, known) & found if known else found
+
+    def of(t: Column) -> Column:
+        return F.filter(F.array(*[F.when(hit(t["text"], t["lowered"], p), one(r, f, d, s, c, "versioned_regex")) for r, f, d, s, c, p in SIGNALS]), lambda x: x.isNotNull())
+
     text = F.coalesce(message, F.lit(""))
-    matched = F.filter(
-        F.array(*[F.when(F.rlike(text, F.lit(p)), one(r, f, d, s, c, "versioned_regex")) for r, f, d, s, c, p in SIGNALS]), lambda x: x.isNotNull()
-    )
+    matched = let(F.struct(text.alias("text"), F.lower(text).alias("lowered")), of)
     if level is None:
         return matched
     fallback = F.array(one("source-level-unclassified-error", "unclassified_error", "direct", "error_logged", "service", "structured_source_level"))
-    return F.when(F.lower(level).isin("error", "fatal", "critical") & (F.size(matched) == 0), fallback).otherwise(matched)
+    return let(matched, lambda m: F.when(F.lower(level).isin("error", "fatal", "critical") & (F.size(m) == 0), fallback).otherwise(m))
 
 
 def operation_effect(message: Column) -> Column:

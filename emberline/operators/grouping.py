@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text
+from emberline.storage import unused
 
 GROUP_KEYS = ["service", "level", "error_type", "event_name", "status_code", "signature"]
 #: Fixed values.
@@ -25,8 +26,10 @@ def with_signature(logs: DataFrame) -> DataFrame:
     """Add `incident` (the UTC day, where the input has none) and `signature`, the message's fingerprint."""
     if "incident" not in logs.columns:
         logs = logs.withColumn("incident", F.date_format("ts", "yyyy-MM-dd"))
+    shape = unused(logs, "shape")
     own = F.col("error_fingerprint") if "error_fingerprint" in logs.columns else F.lit(None).cast("string")
-    return logs.withColumn("signature", F.coalesce(F.nullif(own, F.lit("")), text.fingerprint(F.col("message"))))
+    shaped = text.with_fingerprint(logs, shape, "message")
+    return shaped.withColumn("signature", F.coalesce(F.nullif(own, F.lit("")), F.col(shape))).drop(shape)
 
 
 def event_id(keys: list[Column]) -> Column:
@@ -38,11 +41,15 @@ def label_groups(logs: DataFrame) -> DataFrame:
 
     One shuffle: everything is an aggregate over the group keys, combined before it.
     """
+    return signed_groups(with_signature(logs))
+
+
+def signed_groups(signed: DataFrame) -> DataFrame:
+    """label_groups of records that have their signature."""
     keys = ["incident", *GROUP_KEYS]
     order = F.struct("ts", "ordinal")
     return (
-        with_signature(logs)
-        .groupBy(keys)
+        signed.groupBy(keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("ts").alias("first_seen"),

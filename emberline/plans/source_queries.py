@@ -14,7 +14,7 @@ from emberline.plans.log_queries import d_shown, shown
 from emberline.plans.store_queries import raw_lines
 from emberline.sources import paged, raw_logs, rule_files, split_logs, tabular_logs
 from emberline.sources.relations import deploys, duck, logs
-from emberline.storage import shared_path
+from emberline.storage import shared_path, written
 
 DAY = 86_400
 PAGE_ROWS = 200
@@ -188,9 +188,9 @@ def q_rule_file_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rule_files.read_rules(spark, rule_files.write_rules(rule_texts(spark), shared_path(spark, "rules")))
     keys = ["incident", *grouping.GROUP_KEYS]
     patterns = [r["message_regex"] for r in found if r["message_regex"]]
-    signed = grouping.with_signature(logs(spark, sf_dir))
+    signed = written(grouping.with_signature(logs(spark, sf_dir)).select(*keys, "ts", "ordinal", "message", "pod", "host"), "signed")
     matched = rule_matcher.group_matches(signed, keys, patterns).select(grouping.event_id([F.col(k) for k in keys]).alias("event_id"), "rules")
-    grouped = log_queries.groups(spark, sf_dir)
+    grouped = written(grouping.signed_groups(signed), "groups")
     nearest = correlation.deploys_before(grouped.select("event_id", "service", "first_seen"), deploys(spark, sf_dir)).groupBy("event_id").agg(F.min("minutes_before").alias("after_deploy"))
     return rule_matcher.detections(grouped.join(nearest, "event_id", "left"), matched, ["event_id"], found).select("incident", "event_id", "rule_id", "rule_level", "category", "rule_rank", "n")
 
