@@ -39,11 +39,17 @@ def rate_on_grid(samples: DataFrame, series: list[str], step: int = STEP, span:
     """
     t = F.unix_micros("ts") / 1e6
     first = (F.ceil(t / step) * step).cast("long")
-    last = (F.ceil((t + span) / step) * step).cast("long") - step
-    times = F.when(last >= first, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
-    on_grid = with_resets(samples, series).select(*series, t.alias("t"), "value", "lost", F.explode(times).alias("at"))
-    sample = F.struct("t", "value", "lost")
-    found = on_grid.groupBy(*series, "at").agg(F.min(sample).alias("a"), F.max(sample).alias("z"), F.count(F.lit(1)).alias("n"), F.sum("lost").alias("lost")).filter("n > 1")
+    sample = F.struct(t.alias("t"), "value", "lost")
+    once = with_resets(samples, series).select(*series, first.alias("first"), "lost", sample.alias("sample"), t.alias("t"))
+    if span % step == 0:  # samples between two evaluation times are in the same windows: they are summed up before they are dealt to these
+        last = F.col("first") + (span - step)
+        cells = once.groupBy(*series, "first").agg(F.min("sample").alias("a"), F.max("sample").alias("z"), F.count(F.lit(1)).alias("n"), F.sum("lost").alias("lost"))
+    else:
+        last = (F.ceil((F.col("t") + span) / step) * step).cast("long") - step
+        cells = once.withColumns({"a": F.col("sample"), "z": F.col("sample"), "n": F.lit(1).cast("long")})
+    times = F.when(last >= F.col("first"), F.sequence("first", last, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
+    on_grid = cells.select(*series, "a", "z", "n", "lost", F.explode(times).alias("at"))
+    found = on_grid.groupBy(*series, "at").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("n"), F.sum("lost").alias("lost")).filter("n > 1")
     increase = F.col("z.value") - F.col("a.value") + F.col("lost") - F.col("a.lost")
     sampled = F.col("z.t") - F.col("a.t")
     mean = sampled / (F.col("n") - 1)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import text
+from emberline.operators import counters
 from emberline.plans import catalogue
 
 
@@ -34,3 +35,14 @@ def test_signals_only_tried_where_they_may_match(spark):
     rows = spark.createDataFrame([("Connection REFUSED", "info"), (None, "error"), ("KERNEL  Panic", "info"), ("fine", "info")], "m string, l string")
     found = [r[0] for r in rows.select(text.detect_signals(F.col("m"), F.col("l"))["rule_id"]).collect()]
     assert found == [["network-disconnect"], ["source-level-unclassified-error"], ["process-failure"], []]
+
+
+def test_samples_are_summed_before_the_grid(spark):
+    rows = spark.range(6000).select(F.lit("a").alias("s"), F.timestamp_micros(F.col("id") * 100_000 + 1_700_000_000_000_000).alias("ts"), F.col("id").cast("double").alias("value"))
+    once = counters.rate_on_grid(rows, ["s"], step=60, span=300)
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("Generate explode"):]
+    assert dealt.index("Aggregate") < dealt.index("Window")
+    odd = counters.rate_on_grid(rows, ["s"], step=60, span=310)  # by sample
+    assert once.count() == odd.count() == 15
+    assert {round(r["rate"], 6) for r in once.filter("at >= 1700000340 AND at <= 1700000580").collect()} == {10.0}
