@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from emberline.functions import text
 from emberline.operators import grouping, reports, sampling, similarity
 from emberline.plans import statistics_queries
-from emberline.plans.evidence_queries import kept_groups
 from emberline.plans.log_queries import d_shown, groups, shown, with_groups
 from emberline.sources.relations import duck, logs, read
+from emberline.storage import written
 
 
 def q_pair_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First messages of different groups of a day, service, level and event that are alike, and the first and last variant of each group."""
     block = ["incident", "service", "level", "event_name"]
-    near = similarity.near_pairs(kept_groups(spark, sf_dir), block, "example_message").select("pair_id", F.lit("nearby_different_group").alias("candidate_type"), "left_id", "right_id", "ratio")
     keys = ["incident", *grouping.GROUP_KEYS]
-    records = grouping.with_signature(logs(spark, sf_dir)).select(*keys, F.col("ordinal").alias("id"), "message")
+    signed = written(grouping.with_signature(logs(spark, sf_dir)).select(*keys, "ts", "ordinal", "message", "pod", "host"), "signed")
+    grouped = written(grouping.signed_groups(signed), "groups")
+    near = similarity.near_pairs(grouped, block, "example_message").select("pair_id", F.lit("nearby_different_group").alias("candidate_type"), "left_id", "right_id", "ratio")
+    records = signed.select(*keys, F.col("ordinal").alias("id"), "message")
     return near.unionByName(similarity.variant_pairs(records, keys).select("pair_id", F.lit("same_group_variant").alias("candidate_type"), "left_id", "right_id", "ratio"))
 
 
