@@ -226,7 +226,7 @@ def q_severity_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_family_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = groups(spark, sf_dir).withColumn("signals", text.detect_signals(F.col("example_message"), F.col("level")))
+    seen = kept_groups(spark, sf_dir).withColumn("signals", text.detect_signals(F.col("example_message"), F.col("level")))
     found = seen.withColumn("families", F.array_distinct(F.transform("signals", lambda s: s["signal_family"]))).withColumn("direct", F.exists("signals", lambda s: s["directness"] == "direct"))
     return sampling.family_cover(found, keep=5).select("incident", "event_id", F.col("rank").cast("long").alias("rank"))
 

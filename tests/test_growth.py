@@ -12,7 +12,7 @@ def scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id")
 
 
-@pytest.mark.parametrize("name", ["rule_file_matches", "deploy_window_semi", "pair_candidates"])
+@pytest.mark.parametrize("name", ["rule_file_matches", "deploy_window_semi", "pair_candidates", "family_cover"])
 def test_records_are_grouped_once(spark, sf, name):
     assert scans(catalogue.queries()[name](spark, sf)) <= 1  # deployments only
 
