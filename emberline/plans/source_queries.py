@@ -18,6 +18,8 @@ from emberline.storage import shared_path, written
 
 DAY = 86_400
 PAGE_ROWS = 200
+#: Pages that are written to one file.
+FILE_PAGES = 500
 PAGE_FIELDS = "ordinal long, ts timestamp, service string, level string, message string"
 SCAN_LIMIT = 40
 METRIC_PAGE_ROWS, METRIC_PAGES = 50, 20
@@ -29,7 +31,7 @@ BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0]
 def q_budgeted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs as pages of a range API, read with the range pushed down, and sampled by service and day."""
     fields = [f.split()[0] for f in PAGE_FIELDS.split(", ")]
-    path = paged.write_pages(logs(spark, sf_dir).select(*fields), shared_path(spark, "log-pages"), DAY, PAGE_ROWS)
+    path = paged.write_pages(logs(spark, sf_dir).select(*fields), shared_path(spark, "log-pages"), DAY, PAGE_ROWS, file_pages=FILE_PAGES)
     rows = paged.read_pages(spark, path, PAGE_FIELDS, DAY).filter((F.col("ts") >= "1970-01-02") & (F.col("ts") < "2100-01-01"))
     day = F.date_trunc("day", "ts")
     rows = rows.withColumns({"start": day, "end": day + F.expr("INTERVAL 1 DAY"), "incident": F.date_format("ts", "yyyy-MM-dd")})
@@ -53,7 +55,7 @@ D_BUDGETED = duck(f"""WITH r AS (SELECT service, strftime(ts, '%Y-%m-%d') AS inc
 
 def q_page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader with a page limit read of each day: a day with unread pages is partial."""
-    path = paged.write_pages(logs(spark, sf_dir).select("ordinal", "ts", "message"), shared_path(spark, "status-pages"), DAY, 100)
+    path = paged.write_pages(logs(spark, sf_dir).select("ordinal", "ts", "message"), shared_path(spark, "status-pages"), DAY, 100, file_pages=FILE_PAGES)
     return paged.read_status(spark, path, DAY, max_pages=3).select("slice", "pages", "pages_read", "rows_read", "partial")
 
 

@@ -1,7 +1,9 @@
 """Pages of a range API as a data source: files `slice=<epoch second>/page=<number>/*.json` of JSON lines.
 
 A slice is a span of time of fixed length, and a page a bounded part of its records in time order, as a paging API returns them;
-`write_pages` lays a DataFrame out so. `paged_ranges` reads them with a task a slice:
+`write_pages` lays a DataFrame out so. Where a slice has many pages, a file holds several: `slice=<epoch second>/pages=<first>-<count>-<rows>/*.json`
+has the lines of `count` pages one after the other, `rows` a page (the last may have fewer), so that files are as many as there are blocks of records
+and no page is opened to be counted. `paged_ranges` reads them with a task a slice, or several where it has many pages:
 
 * comparisons with `ts` are pushed to the source: slices outside the range are not listed as tasks, and rows are tested as pages are read;
 * `max_pages` bounds the pages read of each slice; a page that is not read, or can't be parsed, makes its slice `partial` and is
@@ -14,11 +16,13 @@ a field have null there. An empty or absent folder has no rows.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -38,21 +42,32 @@ from pyspark.sql.datasource import (
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, TimestampType
 
-from emberline.storage import find_package
+from emberline.storage import find_package, unused
 
 TIME = "ts"
 STATUS = "slice long, pages int, pages_read int, rows_read long, partial boolean"
-_PLACE = re.compile(r"slice=(-?\d+)/page=(\d+)/[^/]+\.json$")
+_PLACE = re.compile(r"slice=(-?\d+)/(?:page=(\d+)|pages=(\d+)-(\d+)-(\d+))/[^/]+\.json$")
 #: Rows that are turned into one Arrow batch.
 BATCH_ROWS = 10_000
+#: Pages of a slice that are read by one task, or those of one file.
+TASK_PAGES = 500
 
 
-def write_pages(df: DataFrame, path: str, seconds: int, page_rows: int, order: str = "ordinal") -> str:
-    """Lay rows with a `ts` out as pages of `page_rows` rows in slices of `seconds` seconds; returns `path`."""
+def write_pages(df: DataFrame, path: str, seconds: int, page_rows: int, order: str = "ordinal", file_pages: int = 1) -> str:
+    """Lay rows with a `ts` out as pages of `page_rows` rows in slices of `seconds` seconds, `file_pages` pages a file; returns `path`."""
+    place, size = unused(df, "place"), unused(df, "size")
     first = F.floor(F.unix_seconds(TIME) / seconds) * seconds
-    rank = F.row_number().over(Window.partitionBy("slice").orderBy(TIME, order)) - 1
-    paged = df.withColumn("slice", first).withColumn("page", F.floor(rank / page_rows).cast("int")).withColumn(TIME, F.unix_micros(TIME))
-    paged.repartition("slice", "page").sortWithinPartitions("slice", "page", TIME, order).write.partitionBy("slice", "page").json(path)
+    by_slice = Window.partitionBy("slice")
+    rows = df.withColumn("slice", first).withColumn(place, F.row_number().over(by_slice.orderBy(TIME, order)) - 1)
+    if file_pages == 1:
+        paged = rows.withColumn("page", F.floor(F.col(place) / page_rows).cast("int")).withColumn(TIME, F.unix_micros(TIME)).drop(place)
+        paged.repartition("slice", "page").sortWithinPartitions("slice", "page", TIME, order).write.partitionBy("slice", "page").json(path)
+        return path
+    begin = F.floor(F.col(place) / (page_rows * file_pages)) * file_pages
+    count = F.least(F.lit(file_pages), F.ceil(F.col(size) / page_rows) - begin)
+    rows = rows.withColumn(size, F.count(F.lit(1)).over(by_slice)).withColumn("pages", F.concat_ws("-", begin, count, F.lit(page_rows)))
+    paged = rows.withColumn(TIME, F.unix_micros(TIME)).drop(place, size)
+    paged.sortWithinPartitions("slice", "pages", TIME, order).write.partitionBy("slice", "pages").json(path)
     return path
 
 
@@ -62,34 +77,60 @@ def _micros(value: datetime) -> int:
     return (whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds
 
 
+@dataclass(frozen=True, order=True)
+class Block:
+    """Pages of a slice that lie together: the first one's number, how many, and rows a page (0: one page, however many rows)."""
+
+    first: int
+    count: int
+    rows: int
+
+
 @dataclass
 class SlicePages(InputPartition):
-    """Files of one slice by page number."""
+    """Files of blocks of one slice, in order; `before`: its pages in blocks before these."""
 
     slice: int
-    files: list[tuple[int, str]]
+    blocks: list[tuple[Block, list[str]]]
+    before: int = 0
 
 
-def _listed(path: str) -> dict[int, dict[int, list[str]]]:
-    """Files by slice and page."""
+def _listed(path: str) -> dict[int, dict[Block, list[str]]]:
+    """Files by slice and block."""
     fs, root = pafs.FileSystem.from_uri(path)
-    found: dict[int, dict[int, list[str]]] = {}
+    found: dict[int, dict[Block, list[str]]] = {}
     for info in fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)):
         if m := _PLACE.search(info.path):
-            found.setdefault(int(m[1]), {}).setdefault(int(m[2]), []).append(info.path)
+            block = Block(int(m[2]), 1, 0) if m[2] else Block(int(m[3]), int(m[4]), int(m[5]))
+            found.setdefault(int(m[1]), {}).setdefault(block, []).append(info.path)
     return found
 
 
-def _page(fs: pafs.FileSystem, files: Sequence[str]) -> list[dict] | None:
-    """Records of a page; None where it can't be read as JSON lines."""
-    rows = []
+def _records(lines: Sequence[bytes]) -> list[dict] | None:
+    """Records of a page's lines; None where they aren't JSON objects."""
+    try:
+        rows = [json.loads(line.decode("utf-8")) for line in lines if line.strip()]
+    except ValueError:
+        return None
+    return rows if all(isinstance(r, dict) for r in rows) else None
+
+
+def _lines(fs: pafs.FileSystem, files: Sequence[str]) -> Iterator[bytes]:
     for name in sorted(files):
+        with fs.open_input_stream(name, buffer_size=1 << 20) as stream, io.BufferedReader(stream) as lines:
+            yield from lines
+
+
+def _pages_of(fs: pafs.FileSystem, block: Block, files: Sequence[str], wanted: int) -> Iterator[list[dict] | None]:
+    """Records of each of a block's first `wanted` pages; None for one that can't be read as JSON lines."""
+    lines = _lines(fs, files)
+    for done in range(min(wanted, block.count)):
         try:
-            with fs.open_input_stream(name) as stream:
-                rows += [json.loads(line) for line in stream.read().decode("utf-8").splitlines() if line.strip()]
-        except (OSError, ValueError):
-            return None
-    return rows if all(isinstance(r, dict) for r in rows) else None
+            page = list(islice(lines, block.rows or None))
+        except OSError:  # nor can what comes after it
+            yield from [None] * (min(wanted, block.count) - done)
+            return
+        yield _records(page) if page or not block.rows else None
 
 
 class _Range:
@@ -144,24 +185,35 @@ class _Pages:
         if partition is None:  # what Spark reads where there is no partition
             return
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        pages: dict[int, list[str]] = {}
-        for page, name in partition.files:
-            pages.setdefault(page, []).append(name)
+        here = sum(block.count for block, _ in partition.blocks)
+        left = max(0, self.max_pages - partition.before) if self.max_pages else here
         done = seen = 0
-        for number, page in enumerate(sorted(pages)):
-            if self.max_pages and number >= self.max_pages:
+        for block, files in partition.blocks:
+            if left <= 0:
                 break
-            rows = _page(fs, pages[page])
-            if rows is None:
-                continue
-            rows = self._wanted(rows)
-            done, seen = done + 1, seen + len(rows)
-            if not self.status:
-                yield from self._batches(rows)
+            for rows in _pages_of(fs, block, files, left):
+                left -= 1
+                if rows is None:
+                    continue
+                rows = self._wanted(rows)
+                done, seen = done + 1, seen + len(rows)
+                if not self.status:
+                    yield from self._batches(rows)
         if self.status:
-            row = {"slice": partition.slice, "pages": len(pages), "pages_read": done, "rows_read": seen, "partial": done < len(pages)}
+            row = {"slice": partition.slice, "pages": here, "pages_read": done, "rows_read": seen, "partial": done < here}
             yield from self._batches([row])
 
+    def _tasks(self, at: int, blocks: dict[Block, list[str]]) -> Iterator[SlicePages]:
+        """A slice's blocks by tasks: all in one where there is one row a slice."""
+        held, here, before = [], 0, 0
+        for block, files in sorted(blocks.items()):
+            if held and not self.status and here + block.count > TASK_PAGES:
+                yield SlicePages(at, held, before)
+                held, here, before = [], 0, before + here
+            held.append((block, files))
+            here += block.count
+        yield SlicePages(at, held, before)
+
 
 class RangeReader(_Pages, DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -171,11 +223,7 @@ class RangeReader(_Pages, DataSourceReader):
 
     def partitions(self) -> list[SlicePages]:
         low, high = self.range.low // 1_000_000 - self.seconds, self.range.high // 1_000_000
-        return [
-            SlicePages(at, [(n, name) for n, names in sorted(pages.items()) for name in names])
-            for at, pages in sorted(_listed(self.path).items())
-            if low < at <= high
-        ]
+        return [task for at, blocks in sorted(_listed(self.path).items()) if low < at <= high for task in self._tasks(at, blocks)]
 
 
 class PageStream(_Pages, DataSourceStreamReader):
@@ -185,15 +233,15 @@ class PageStream(_Pages, DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return {str(at): max(pages) + 1 for at, pages in _listed(self.path).items()}
+        return {str(at): max(b.first + b.count for b in blocks) for at, blocks in _listed(self.path).items()}
 
     def partitions(self, start: dict, end: dict) -> list[SlicePages]:
         listed = _listed(self.path)
         found = []
         for at, last in end.items():
-            files = [(n, name) for n, names in sorted(listed.get(int(at), {}).items()) if start.get(at, 0) <= n < last for name in names]
-            if files:
-                found.append(SlicePages(int(at), files))
+            blocks = {b: files for b, files in listed.get(int(at), {}).items() if start.get(at, 0) <= b.first < last}
+            if blocks:
+                found.extend(self._tasks(int(at), blocks))
         return found
 
     def commit(self, end: dict) -> None:

@@ -2,6 +2,7 @@
 
 import bisect
 import datetime as dt
+import glob
 import json
 import math
 import os
@@ -11,7 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.operators import counters, scans
+from emberline.plans import catalogue
 from emberline.sources import paged
+from emberline.storage import shared_dir
 
 FIELDS = "ordinal long, ts timestamp, message string"
 T0 = dt.datetime(2024, 1, 1)
@@ -63,6 +66,43 @@ def test_unread_and_broken_pages_are_partial(spark, pages):
     assert paged.read_pages(spark, path, FIELDS, 3600, max_pages=1).count() == 80
 
 
+def test_files_are_fewer_than_pages(spark, tmp_path, monkeypatch):
+    """Several pages a file: the same records and status as a file a page; a broken line breaks its own page only; tasks and batches read blocks."""
+    rows = [(i, at(i * 40), None if i % 9 == 0 else f"m{i}\u2028x") for i in range(300)]
+    df = spark.createDataFrame(rows, FIELDS)
+    plain = paged.write_pages(df, str(tmp_path / "plain"), 3600, 20)
+    path = paged.write_pages(df, str(tmp_path / "blocks"), 3600, 20, file_pages=2)
+    files = sorted(glob.glob(f"{path}/*/*/*.json"))
+    assert sorted(f.split("/")[-2] for f in files) == ["pages=0-2-20"] * 4 + ["pages=2-2-20"] * 3 + ["pages=4-1-20"] * 3
+    assert sorted(map(tuple, paged.read_pages(spark, path, FIELDS, 3600).collect()), key=lambda r: r[0]) == rows
+    for most in (0, 1, 3):
+        both = [sorted(map(tuple, paged.read_status(spark, p, 3600, most).collect())) for p in (plain, path)]
+        assert both[0] == both[1] and len(both[0]) == 4
+        assert paged.read_pages(spark, plain, FIELDS, 3600, most).exceptAll(paged.read_pages(spark, path, FIELDS, 3600, most)).count() == 0
+    blocks = paged._listed(path)[1704067200]
+    monkeypatch.setattr(paged, "TASK_PAGES", 2)
+    reader = paged.RangeReader({"path": path, "max_pages": "3"}, df.schema)
+    tasks = list(reader._tasks(1704067200, blocks))
+    assert [t.before for t in tasks] == [0, 2, 4] and [sum(len(b) for b in reader.read(t)) for t in tasks] == [40, 20, 0]
+    stream = paged.PageStream({"path": path}, df.schema)
+    assert stream.latestOffset()["1704067200"] == 5
+    assert [b.first for t in stream.partitions({"1704067200": 2}, {"1704067200": 5}) for b, _ in t.blocks] == [2, 4]
+    name = next(f for f in files if "slice=1704067200/pages=2-2-20" in f)
+    with open(name, encoding="utf-8") as f:
+        lines = f.read().split("\n")
+    with open(name, "w", encoding="utf-8") as f:
+        f.write("\n".join([*lines[:5], "{", *lines[6:]]))
+    broken = {r["slice"]: r for r in paged.read_status(spark, path, 3600).collect()}[1704067200]
+    assert (broken["pages"], broken["pages_read"], broken["rows_read"], broken["partial"]) == (5, 4, 70, True)
+
+
+def test_queries_write_few_files(spark):
+    """A day of these tables has several pages; the queries wrote a file for each of them."""
+    found = catalogue.queries()["page_status"](spark, "/root/testdata/sf0.01").collect()
+    folder = max(glob.glob(f"{shared_dir(spark)}/status-pages-*"), key=os.path.getmtime)
+    assert len(glob.glob(f"{folder}/**/*.json", recursive=True)) == len(found) < sum(r["pages"] for r in found)
+
+
 def test_stream_reads_each_page_once(spark, pages, tmp_path):
     path, rows = pages
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
