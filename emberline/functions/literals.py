@@ -13,8 +13,8 @@ FLAGS = re.IGNORECASE | re.ASCII
 LEAST = 3
 
 
-def literals(pattern: str) -> frozenset[str] | None:
-    """Literals in lower case, at least one of which is in the lower-cased text of any match; None if none are known."""
+def literals(pattern: str, least: int = LEAST) -> frozenset[str] | None:
+    """Literals in lower case, at least one of which is in the lower-cased text of any match; None if none of `least` characters are known."""
 
     def better(a: frozenset[str] | None, b: frozenset[str] | None) -> frozenset[str] | None:
         worth = lambda x: (min(map(len, x)), -len(x)) if x else (0, 0)
@@ -48,4 +48,4 @@ def literals(pattern: str) -> frozenset[str] | None:
         return closed()
 
     found = of(syntax.parse(pattern, FLAGS))
-    return found if found and min(map(len, found)) >= LEAST else None
+    return found if found and min(map(len, found)) >= least else None

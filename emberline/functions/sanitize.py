@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.text import HIGH_SIGNAL_LEVELS, redact_message
+from emberline.functions.text import HIGH_SIGNAL_LEVELS, SECRETS, redact_message, with_rewritten
+from emberline.storage import quoted
 
 # ---------------------------------------------------------------------------------------------
 # Patterns and their replacements.
@@ -69,6 +70,11 @@ def hadoop_message(message: Column) -> Column:
     return redact_message(_rewritten(public_message(message), HADOOP))
 
 
+def with_hadoop_message(df: DataFrame, name: str) -> DataFrame:
+    """`df` with the column `name` as hadoop_message has it, in steps."""
+    return with_rewritten(df.withColumn(name, F.coalesce(quoted(name), F.lit(""))), name, [*PUBLIC, *HADOOP, *SECRETS])
+
+
 def instance_message(message: Column) -> Column:
     """UUIDs and addresses of any form taken out."""
     return _rewritten(message, INSTANCE)

@@ -241,6 +241,19 @@ def with_fingerprint(df: DataFrame, name: str, message: str) -> DataFrame:
     return rows.select(*[quoted(c) for c in df.columns], _cut(F.col(work)).alias(name))
 
 
+def with_rewritten(df: DataFrame, name: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """`df` with the column `name` rewritten by the rules in order, in steps, each of which is computed once a row.
+
+    An expression is tried only where the text has a literal that every match has.
+    """
+    text = quoted(name)
+    for pattern, instead in rules:
+        known = literals(pattern, 1)
+        replaced = F.regexp_replace(text, pattern, instead)
+        df = df.withColumn(name, F.when(_has_any(F.lower(text), known), replaced).otherwise(text) if known else replaced)
+    return df
+
+
 def redact_message(message: Column) -> Column:
     return _rewrite(F.coalesce(message, F.lit("")), SECRETS)
 

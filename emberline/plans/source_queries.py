@@ -158,9 +158,10 @@ def printed_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Records and accounting of the logs printed as text files: a service's lines lie in parts that may begin within a record."""
     path = shared_path(spark, "printed")
     lines = raw_lines(spark, sf_dir)
-    lines.repartitionByRange(8, "file", "line_no").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
-    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).cast("long")
-    read = split_logs.read_splits(spark, path).withColumn("split", F.shiftleft(part, 40) + F.col("split")).withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(parts, "file", "line_no").sortWithinPartitions("file", "line_no").select("file", "line").write.partitionBy("file").text(path)
+    within = lambda before, after: F.substring_index(F.substring_index("file", before, -1), after, 1)
+    read = split_logs.read_splits(spark, path).withColumn("split", F.shiftleft(within("/part-", "-").cast("long"), 40) + F.col("split")).withColumn("file", within("/file=", "/"))
     return split_logs.assemble(read, raw_logs.HADOOP)
 
 

@@ -38,7 +38,7 @@ ID_DIGITS = 12
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """(file, split, line) of text files; `split` is the byte at which the part of the file begins (spark.sql.files.maxPartitionBytes)."""
     lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r$", "")).otherwise(F.col("value")).alias("line"))
 
 
 class _Open:
@@ -154,9 +154,11 @@ def hadoop_events(records: DataFrame, application: Column) -> DataFrame:
     cut = F.contains(F.substring_index("message", "\n", 1), F.lit(": "))
     rows = records.withColumn("component", F.when(cut, F.substring_index("message", ": ", 1)).otherwise("unknown"))
     message = F.when(cut, F.expr("substring(message, length(component) + 3)")).otherwise(F.col("message"))
-    rows = rows.withColumn("message", F.substring(sanitize.hadoop_message(message), 1, BODY_LIMIT)).withColumn("level", F.lower("level"))
-    error = F.regexp_extract("message", ERROR_TYPE, 1)
-    return rows.select("*", F.when(error != "", error).alias("error_type"), scoped_id("workload", application).alias("workload_id"), scoped_id("execution", container).alias("execution_id"))
+    rows = sanitize.with_hadoop_message(rows.withColumn("message", message), "message")
+    rows = rows.withColumn("message", F.substring("message", 1, BODY_LIMIT)).withColumn("level", F.lower("level"))
+    named = F.contains("message", F.lit("Exception")) | F.contains("message", F.lit("Error"))
+    rows = rows.withColumn("error_type", F.when(named, F.regexp_extract("message", ERROR_TYPE, 1)))
+    return rows.select(*records.columns, "component", F.nullif("error_type", F.lit("")).alias("error_type"), scoped_id("workload", application).alias("workload_id"), scoped_id("execution", container).alias("execution_id"))
 
 
 def openstack_events(records: DataFrame) -> DataFrame:

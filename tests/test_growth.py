@@ -1,11 +1,16 @@
 """Steps that are done once, or whose work is bounded, however many records there are."""
 
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.functions import text
+from emberline.functions import sanitize, text
 from emberline.operators import counters
-from emberline.plans import catalogue
+from emberline.plans import catalogue, source_queries
+from emberline.sources import split_logs
+from emberline.storage import shared_dir
 
 
 def scans(df):
@@ -46,3 +51,29 @@ def test_samples_are_summed_before_the_grid(spark):
     odd = counters.rate_on_grid(rows, ["s"], step=60, span=310)  # by sample
     assert once.count() == odd.count() == 15
     assert {round(r["rate"], 6) for r in once.filter("at >= 1700000340 AND at <= 1700000580").collect()} == {10.0}
+
+
+def test_messages_are_rewritten_once_and_alike(spark):
+    messages = [
+        None, "", "plain", "from 10.1.2.3 (host.example) blk_-12 /user/bob/x", "Application_1_2 JOB_3_4Job attempt_1_2_3 msra-SA-12 /tmp/hadoop-root/x", "TOKEN=abc Bearer xyz sk-abcdefghijklmnop1 ghp_abcdefghijklmnop1",
+        "mail Bob@Example.COM card 4111 1111 1111 1111 user=u host=h", "java.io.IOException: token: Error", "XOXB-abcdefghijklmnop1 x\\n java.lang.NoError a: b", "1.2.3.4", "api-key='k' secret = s",
+    ]
+    rows = spark.createDataFrame([(m, i) for i, m in enumerate(messages)], "`a.m` string, i long")
+    found = sanitize.with_hadoop_message(rows, "a.m")
+    assert found.columns == rows.columns
+    assert found.exceptAll(rows.select(sanitize.hadoop_message(F.col("`a.m`")), "i")).count() == 0
+    records = spark.range(3).select(F.lit("f").alias("file"), F.lit("INFO").alias("level"), F.concat(F.lit("a.B: no Exceptions "), F.col("id").cast("string")).alias("message"))
+    events = split_logs.hadoop_events(records, F.col("file"))
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("bmsra-sa-") == 1
+    assert {r["error_type"] for r in events.collect()} == {None}
+
+
+def test_printed_parts_follow_the_session(spark, sf):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        source_queries.printed_records(spark, sf)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    folder = max(glob.glob(f"{shared_dir(spark)}/printed-*"), key=os.path.getmtime)
+    assert len({f.split("/part-")[1][:5] for f in glob.glob(f"{folder}/*/part-*.txt")}) > 8
