@@ -130,6 +130,7 @@ def q_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grouping.with_signature(logs(spark, sf_dir)).withColumn("important", F.col("level").isin("error", "warn"))
+    rows = rows.select("incident", "ordinal", "ts", "level", "message", "signature", "important")
     found = sampling.representative_sample(rows, "signature", 60, "important")
     return found.groupBy("incident").agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("signature").alias("shapes"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize, text
-from emberline.operators import counters
+from emberline.operators import counters, sampling
 from emberline.plans import catalogue, source_queries
 from emberline.sources import split_logs
 from emberline.storage import shared_dir
@@ -77,3 +77,17 @@ def test_printed_parts_follow_the_session(spark, sf):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     folder = max(glob.glob(f"{shared_dir(spark)}/printed-*"), key=os.path.getmtime)
     assert len({f.split("/part-")[1][:5] for f in glob.glob(f"{folder}/*/part-*.txt")}) > 8
+
+
+def test_representative_sample_ranks_few_records(spark):
+    """Windows are over ends of signals and shapes, counts of minutes, and the records of minutes that are sampled: not over all records."""
+    rows = spark.range(20_000).selectExpr("id AS ordinal", "timestamp_seconds(id * 4) AS ts", "concat('s', id % 3) AS signature", "'error' AS level", "IF(id = 7, 'disk full', NULL) AS message", "id % 2 = 0 AS important", "'i' AS incident")
+    found = sampling.representative_sample(rows, "signature", 60, "important")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if ": Window [" in line or "- Window [" in line]
+    assert windows and all("minute" in line for line in windows if "ordinal" in line)
+    got = sorted(r["ordinal"] for r in found.collect())
+    rest = [i for i in range(20_000) if i not in {r["ordinal"] for r in found.filter("stage < 4").collect()}]
+    room = 60 - (20_000 - len(rest))
+    assert len(got) == 60 and {0, 7, 19_999} <= set(got)
+    assert {rest[round(i * (len(rest) - 1) / (room - 1))] for i in range(room)} <= set(got)
