@@ -87,7 +87,8 @@ def test_representative_sample_ranks_few_records(spark):
     windows = [line for line in plan.splitlines() if ": Window [" in line or "- Window [" in line]
     assert windows and all("minute" in line for line in windows if "ordinal" in line)
     got = sorted(r["ordinal"] for r in found.collect())
-    rest = [i for i in range(20_000) if i not in {r["ordinal"] for r in found.filter("stage < 4").collect()}]
+    taken = {r["ordinal"] for r in found.filter("stage < 4").collect()}
+    rest = [i for i in range(20_000) if i not in taken]
     room = 60 - (20_000 - len(rest))
     assert len(got) == 60 and {0, 7, 19_999} <= set(got)
     assert {rest[round(i * (len(rest) - 1) / (room - 1))] for i in range(room)} <= set(got)
