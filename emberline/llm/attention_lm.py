@@ -30,7 +30,7 @@ CONTEXT, STEP = 8, 24
 LENGTH = CONTEXT + STEP
 #: Taken off each follow-up count.
 DISCOUNT = 0.75
-BATCH = 128
+BATCH = 256
 #: Windows in a training step, and steps after which the rate has fallen to 1/sqrt(2).
 TRAIN_BATCH, FALL = 256, 100
 
@@ -89,10 +89,6 @@ def new_params(seed: int = 7) -> Params:
     }
 
 
-#: 1 where a place may look: at itself and at what is before it. The first CONTEXT places ask nothing.
-SEEN = (np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]).astype(np.float32)
-
-
 def windows(classes: np.ndarray, sizes: np.ndarray, every: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, int]:
     """Inputs (n, LENGTH) and targets (n, STEP, -1 where there is none) for texts laid end to end, and how many windows they have in all.
 
@@ -123,10 +119,22 @@ def _bounded(p: Params) -> bool:
     return scores < 60 and added < 60
 
 
+#: Columns of a place's attention output: values and a one, so that the groups' bias is one more row of weights.
+OUT = WIDTH + 1
+
+
 def _tables(p: Params) -> Params:
-    """Keys and values of a class beside each other, and a one for the sums; queries scaled."""
+    """Queries scaled; values with a one for the sums; for each group the weights (OUT, 2 * SIDE) of the logits of all groups and of its classes."""
     scale = np.float32(1 / math.sqrt(WIDTH))
-    return {"q": p["q"] * scale, "pq": p["pq"][CONTEXT:] * scale, "kv": np.concatenate([p["k"], p["v"], np.ones((CLASSES, 1), np.float32)], axis=1), "pk": p["pk"]}
+    weights = np.zeros((SIDE, OUT, 2 * SIDE), dtype=p["wi"].dtype)
+    weights[:, :WIDTH, :SIDE], weights[:, WIDTH, :SIDE], weights[:, :WIDTH, SIDE:] = p["wg"], p["bg"], p["wi"]
+    ones = np.ones((CLASSES, 1), dtype=p["v"].dtype)
+    return {"q": p["q"] * scale, "pq": p["pq"][CONTEXT:] * scale, "k": p["k"], "pk": p["pk"], "v": np.concatenate([p["v"], ones], axis=1), "out": weights}
+
+
+def direct_rows(direct: Params) -> np.ndarray:
+    """Rows of SIDE log frequencies: of the groups after each class, then of the classes in each group after each class."""
+    return np.concatenate([direct["group"], direct["inner"].reshape(-1, SIDE)])
 
 
 #: 1 where a place may look: at itself and at what is before it. The first CONTEXT places ask nothing.
@@ -134,12 +142,12 @@ SEEN = (np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]).astyp
 
 
 def _attend(t: Params, c: np.ndarray, safe: bool) -> tuple[np.ndarray, ...]:
-    """Scaled queries, keys and values (with a one), weights before they are divided by their sums, outputs, sums."""
+    """Scaled queries, keys, values (with a one), weights before they are divided by their sums, outputs (with a one), sums."""
     q = t["q"].take(c[:, CONTEXT:], axis=0)
     q += t["pq"]
-    kv = t["kv"].take(c, axis=0)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    k = t["k"].take(c, axis=0)
     k += t["pk"]
+    v = t["v"].take(c, axis=0)
     a = q @ k.transpose(0, 2, 1)
     if not safe:
         np.minimum(a, 60, out=a)
@@ -147,58 +155,58 @@ def _attend(t: Params, c: np.ndarray, safe: bool) -> tuple[np.ndarray, ...]:
     a *= SEEN
     o = a @ v
     total = o[:, :, WIDTH:].copy()
-    return q, k, v, a, o[:, :, :WIDTH] / total, total
+    o /= total
+    return q, k, v, a, o, total
 
 
 #: Sums over a last axis of 32 are products with this.
 _ONES = np.ones(SIDE, dtype=np.float32)
 
 
-def _softmax(z: np.ndarray, safe: bool) -> np.ndarray:
-    """Overwrites z."""
-    if not safe:
-        np.minimum(z, 60, out=z)
-    np.exp(z, out=z)
-    z /= (z @ _ONES)[:, None]
-    return z
+def _sorted_outputs(t: Params, rows: np.ndarray, o: np.ndarray, last: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places in order of their target's group: order, ends of the groups, where the logits of the target's group and class lie, outputs, logits (groups, then classes in the group)."""
+    group = (goal // SIDE).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    group, last, o = group.take(order), last.take(order), o.take(order, axis=0)
+    ends = np.searchsorted(group, np.arange(SIDE + 1, dtype=np.uint8)).tolist()
+    group = group.astype(np.intp)
+    at = np.empty((2, len(order)), dtype=np.intp)
+    at[:] = np.arange(0, len(order) * 2 * SIDE, 2 * SIDE)
+    at[0] += group
+    at[1] += (goal % SIDE).take(order) + SIDE
+    picked = np.empty((len(order), 2), dtype=np.intp)
+    picked[:, 0] = last
+    np.add(last * SIDE, group + CLASSES, out=picked[:, 1])
+    z = np.empty((len(order), 2 * SIDE), dtype=o.dtype)
+    for g in range(SIDE):
+        if ends[g + 1] > ends[g]:
+            np.matmul(o[ends[g] : ends[g + 1]], t["out"][g], out=z[ends[g] : ends[g + 1]])
+    z += rows.take(picked.ravel(), axis=0).reshape(z.shape)
+    return order, ends, at, o, z
 
 
-def _log_p(z: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
-    """log softmax(z)[at] by rows; overwrites z."""
+def _exp_sums(z: np.ndarray, safe: bool) -> np.ndarray:
+    """Overwrites logits (n, 2 * SIDE) by their exponentials; sums of the halves (n, 2)."""
     if not safe:
         np.minimum(z, 60, out=z)
-    chosen = z.ravel().take(np.arange(0, z.size, SIDE) + at)
     np.exp(z, out=z)
-    return chosen - np.log(z @ _ONES)
-
-
-def _sorted_outputs(p: Params, direct: Params, o: np.ndarray, last: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Places in order of their target's group: order, ends of the groups, group and class in it, outputs, logits of the groups and of the classes in the group."""
-    group = goal // SIDE
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    group, inner, last, o = group.take(order), (goal % SIDE).take(order), last.take(order), o.take(order, axis=0)
-    ends = np.searchsorted(group, np.arange(SIDE + 1))
-    z = o @ p["wg"]
-    z += direct["group"].take(last, axis=0)
-    z += p["bg"]
-    w = direct["inner"].reshape(-1, SIDE).take(last * SIDE + group, axis=0)
-    for g in range(SIDE):
-        if ends[g + 1] > ends[g]:
-            w[ends[g] : ends[g + 1]] += o[ends[g] : ends[g + 1]] @ p["wi"][g]
-    return order, ends, group, inner, o, z, w
+    return (z.reshape(-1, SIDE) @ _ONES).reshape(-1, 2)
 
 
 def log_probs(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class, 0 where there is none."""
     out = np.zeros(targets.shape, dtype=np.float32)
-    t, safe = _tables(p), _bounded(p)
+    t, rows, safe = _tables(p), direct_rows(direct), _bounded(p)
     for i in range(0, len(inputs), BATCH):
         c, y = inputs[i : i + BATCH].astype(np.intp), targets[i : i + BATCH].ravel().astype(np.intp)
-        o = _attend(t, c, safe)[4].reshape(-1, WIDTH)
+        o = _attend(t, c, safe)[4].reshape(-1, OUT)
         # Places without a target are worked out as if class 0 were theirs, and left out at the end.
-        order, _, group, inner, _, z, w = _sorted_outputs(p, direct, o, c[:, CONTEXT:].ravel(), np.maximum(y, 0))
-        found = _log_p(z, group, safe)
-        found += _log_p(w, inner, safe)
+        order, _, at, _, z = _sorted_outputs(t, rows, o, c[:, CONTEXT:].ravel(), np.maximum(y, 0))
+        if not safe:
+            np.minimum(z, 60, out=z)
+        chosen = z.ravel().take(at)
+        logs = np.log(_exp_sums(z, True))
+        found = chosen[0] + chosen[1] - logs[:, 0] - logs[:, 1]
         flat = np.empty_like(found)
         flat[order] = found
         flat[y < 0] = 0
@@ -207,56 +215,57 @@ def log_probs(p: Params, direct: Params, inputs: np.ndarray, targets: np.ndarray
 
 
 def _scattered(at: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Sums of the rows of d by class."""
+    """Sums of the rows of d (an even number of float32) by class."""
     order = np.argsort(at.astype(np.uint16), kind="stable")
     found = at.take(order)
     cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
     out = np.zeros((CLASSES, d.shape[1]), dtype=np.float32)
-    out[found.take(cuts)] = np.add.reduceat(d.take(order, axis=0), cuts, axis=0)
+    # A sum of complex numbers is two sums: reduceat goes through half as many columns.
+    out[found.take(cuts)] = np.add.reduceat(d.take(order, axis=0).view(np.complex64), cuts, axis=0).view(np.float32)
     return out
 
 
-def gradients(p: Params, direct: Params, c: np.ndarray, y: np.ndarray, safe: bool = False) -> Params:
-    """Gradient of the mean negative log probability of the targets (y >= 0)."""
+def gradients(p: Params, rows: np.ndarray | Params, c: np.ndarray, y: np.ndarray, safe: bool = False) -> Params:
+    """Gradient of the mean negative log probability of the targets (y >= 0). `rows`: direct_rows, or the tables themselves."""
     c, y = c.astype(np.intp), y.ravel().astype(np.intp)
-    q, k, v, a, o, total = _attend(_tables(p), c, safe)
-    v = v[:, :, :WIDTH]
-    flat = np.arange(0, len(y) * SIDE, SIDE)
+    rows = direct_rows(rows) if isinstance(rows, dict) else rows
+    t = _tables(p)
+    q, k, v, a, o, total = _attend(t, c, safe)
     # Places without a target weigh nothing.
     weight = (y >= 0).astype(np.float32)
     weight /= max(1.0, float(weight.sum()))
-    order, ends, group, inner, so, z, w = _sorted_outputs(p, direct, o.reshape(-1, WIDTH), c[:, CONTEXT:].ravel(), np.maximum(y, 0))
-    weight = weight.take(order)[:, None]
-    z, w = _softmax(z, safe), _softmax(w, safe)
-    z.ravel()[flat + group] -= 1
-    z *= weight
-    w.ravel()[flat + inner] -= 1
-    w *= weight
-    grads: Params = {"wg": so.T @ z, "bg": z.sum(axis=0), "wi": np.zeros_like(p["wi"])}
-    d_sorted = z @ p["wg"].T
+    order, ends, at, so, z = _sorted_outputs(t, rows, o.reshape(-1, OUT), c[:, CONTEXT:].ravel(), np.maximum(y, 0))
+    weight = weight.take(order)
+    halves = z.reshape(-1, SIDE)
+    halves *= (weight[:, None] / _exp_sums(z, safe)).reshape(-1, 1)
+    z.ravel()[at] -= weight
+    by_group, d_sorted = np.zeros((SIDE, 2 * SIDE, OUT), dtype=np.float32), np.empty_like(so)
     for g in range(SIDE):
-        at = slice(ends[g], ends[g + 1])
         if ends[g + 1] > ends[g]:
-            grads["wi"][g] = so[at].T @ w[at]
-            d_sorted[at] += w[at] @ p["wi"][g].T
-    full = np.empty_like(d_sorted)
-    full[order] = d_sorted
-    # Through the softmax: each weight times (what its value gets less what the place gets in all).
-    part = full.reshape(o.shape)
+            own = z[ends[g] : ends[g + 1]]
+            np.matmul(own.T, so[ends[g] : ends[g + 1]], out=by_group[g])
+            np.matmul(own, t["out"][g].T, out=d_sorted[ends[g] : ends[g + 1]])
+    to_groups = by_group[:, :SIDE].sum(axis=0).T
+    grads: Params = {"wg": to_groups[:WIDTH], "bg": to_groups[WIDTH], "wi": by_group[:, SIDE:, :WIDTH].transpose(0, 2, 1)}
+    # Through the softmax: each weight times (what its value gets less what the place gets in all, which meets the values' one).
+    d_sorted[:, WIDTH] = 0
+    d_sorted[:, WIDTH] = (d_sorted * so) @ np.full(OUT, -1, dtype=np.float32)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    part = d_sorted.take(back, axis=0).reshape(o.shape)
     part /= total
     d_s = part @ v.transpose(0, 2, 1)
-    d_s -= np.einsum("bij,bij->bi", part, o)[:, :, None]
     d_s *= a
-    d_all = np.zeros((*c.shape, 3 * WIDTH), dtype=np.float32)
-    d_q = d_all[:, CONTEXT:, :WIDTH]
-    np.matmul(d_s, k, out=d_q)
-    d_q *= np.float32(1 / math.sqrt(WIDTH))
+    d_all = np.empty((*c.shape, 3 * WIDTH), dtype=np.float32)
+    d_all[:, :CONTEXT, :WIDTH] = 0
+    np.matmul(d_s, k, out=d_all[:, CONTEXT:, :WIDTH])
     np.matmul(d_s.transpose(0, 2, 1), q, out=d_all[:, :, WIDTH : 2 * WIDTH])
-    np.matmul(a.transpose(0, 2, 1), part, out=d_all[:, :, 2 * WIDTH :])
-    by_place = d_all.sum(axis=0)
-    grads["pq"], grads["pk"] = by_place[:, :WIDTH], by_place[:, WIDTH : 2 * WIDTH]
+    np.matmul(a.transpose(0, 2, 1), part[:, :, :WIDTH], out=d_all[:, :, 2 * WIDTH :])
+    by_place = (np.ones(len(c), dtype=np.float32) @ d_all.reshape(len(c), -1)).reshape(LENGTH, -1)
     by_class = _scattered(c.ravel(), d_all.reshape(-1, 3 * WIDTH))
-    grads["q"], grads["k"], grads["v"] = (by_class[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    scale = np.float32(1 / math.sqrt(WIDTH))
+    grads["pq"], grads["pk"] = by_place[:, :WIDTH] * scale, by_place[:, WIDTH : 2 * WIDTH]
+    grads["q"], grads["k"], grads["v"] = by_class[:, :WIDTH] * scale, by_class[:, WIDTH : 2 * WIDTH], by_class[:, 2 * WIDTH :]
     return grads
 
 
@@ -270,7 +279,7 @@ class Trainer:
         ends = np.cumsum([v.size for v in p.values()])
         self._at = {k: slice(end - v.size, end) for (k, v), end in zip(p.items(), ends, strict=True)}
         self.p = {k: self._flat[self._at[k]].reshape(v.shape) for k, v in p.items()}
-        self.direct, self.rate, self.t = direct, rate, 0
+        self._rows, self.rate, self.t = direct_rows(direct), rate, 0
         self._rng = np.random.default_rng(seed)
 
     def see(self, inputs: np.ndarray, targets: np.ndarray) -> None:
@@ -286,7 +295,7 @@ class Trainer:
         if self.t % 32 == 1:  # weights move little in 32 steps: 60 is far under what exp takes
             self._safe = _bounded(self.p)
         g, scratch = self._gradient, self._scratch
-        for name, found in gradients(self.p, self.direct, inputs, targets, self._safe).items():
+        for name, found in gradients(self.p, self._rows, inputs, targets, self._safe).items():
             g[self._at[name]] = found.ravel()
         self._mean *= np.float32(0.9)
         self._mean += np.multiply(g, np.float32(0.1), out=scratch)

@@ -3,9 +3,11 @@
 What is gathered from the corpus covers all training documents and grows with it:
 1. One scan deals the documents into chunks of about `CHUNK_BYTES` of text where they lie and writes them to the
    shared folder once: each text as subword ids and as word numbers of its chunk, each chunk's distinct words with their
-   training counts. All later steps read these rows, so chunks can't change between steps or after a lost executor.
-2. A window over each word adds up its counts of all chunks. A word has at most one row a chunk, and a chunk has far more
-   distinct words than any one, so no word is more than a small share of these rows.
+   training counts, packed by `PARTS` parts of a hash. All later steps read these rows, so chunks can't change between
+   steps or after a lost executor.
+2. The rows of a part meet in one of twice as many tasks as there are chunks (or as many as there are parts), which adds
+   up each word's counts and gives them back by chunk. A word occurs at most once a chunk, and a chunk has far more
+   distinct words than any one, so no word is more than a small share of its part.
 3. Counts of subword ids, then of class follow-ups, are summed over all training texts.
 4. Queries, keys, values and output weights are trained data-parallel in `ROUNDS` rounds: every partition streams its
    training texts in blocks of windows, starts from the weights of the round before and takes a step for each batch; the
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import attention_lm as model
@@ -46,11 +48,13 @@ ROUNDS = 2
 BLOCK_WINDOWS = 30_000
 #: Bytes of ids that are turned into windows at once.
 SLICE_BYTES = 1_000_000
+#: Parts that words are dealt to by a hash. The words of a part meet in one task: a corpus of many terabytes takes more.
+PARTS = 4096
 #: Bytes of numbers and ids, and words, in a batch of rows.
 ROW_BYTES, ROW_WORDS = 8_000_000, 200_000
 #: Rows of sums that one task adds up.
 FAN_IN = 32
-LM_ROWS = "chunk long, doc_id long, held_out boolean, numbers binary, ids binary, number int, word binary, k long"
+LM_ROWS = "chunk long, doc_id long, held_out boolean, numbers binary, ids binary, part int, words binary, lengths binary, k binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -104,6 +108,17 @@ def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def word_parts(words: pa.Array, parts: int) -> np.ndarray:
+    """The part of each word (not empty), by a hash of its bytes alone."""
+    data, lengths = _laid(words)
+    starts = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+    found = np.add.reduceat(powers.take(_ragged(np.zeros_like(lengths), lengths)) * (data + np.uint64(1)), starts)
+    found ^= found >> np.uint64(29)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((found >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """What _binary packed: all pieces laid end to end, and the size of each."""
     data, lengths = _laid(column.cast(pa.large_binary()))
@@ -116,14 +131,17 @@ def _kind(size: int) -> str:
 
 
 def prepare(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Texts (chunk, doc_id, held_out, numbers, ids) and words (chunk, number, word, k: count in training texts), in the shared folder."""
+    """Texts (chunk, doc_id, held_out, numbers, ids) and words, in the shared folder.
+
+    Words have one row for a chunk and part: chunk, part, numbers, words laid end to end, their lengths, k (their counts in training texts).
+    """
     kind = _kind(load(path).size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         end_id = encoder.vocab.size
         schema = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("numbers", pa.binary()), ("ids", pa.binary()),
-                            ("number", pa.int32()), ("word", pa.binary()), ("k", pa.int64())])
+                            ("part", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("k", pa.binary())])
 
         def out(n: int, chunk: int, **columns: pa.Array) -> pa.RecordBatch:
             columns["chunk"] = pa.array(np.full(n, chunk))
@@ -136,9 +154,20 @@ def prepare(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             train = ~rows.column("held_out").to_numpy(zero_copy_only=False)
             k = np.bincount(numbers[np.repeat(train, counts)], minlength=len(distinct))
             ids, per = encoder.encode_words(distinct)
-            for at in range(0, len(distinct), ROW_WORDS):
-                part = distinct.slice(at, ROW_WORDS)
-                yield out(len(part), chunk, number=pa.array(np.arange(at, at + len(part))), word=part.cast(pa.large_binary()), k=pa.array(k[at : at + len(part)]))
+            if len(distinct):
+                part = word_parts(distinct, PARTS)
+                order = np.argsort(part, kind="stable")
+                part, laid = part.take(order), distinct.take(pa.array(order))
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+                at = 0
+                while at < len(cuts) - 1:
+                    to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + ROW_WORDS, side="right")) - 1)
+                    first, end, sizes = int(cuts[at]), int(cuts[to]), np.diff(cuts[at : to + 1])
+                    data, lengths = _laid(laid.slice(first, end - first))
+                    yield out(to - at, chunk, part=pa.array(part[cuts[at:to]]), numbers=_binary(order[first:end].astype("<i4"), sizes),
+                              words=_binary(data, np.add.reduceat(lengths, np.cumsum(sizes) - sizes)), lengths=_binary(lengths.astype("<i4"), sizes),
+                              k=_binary(k.take(order[first:end]).astype("<i8"), sizes))
+                    at = to
             starts = np.cumsum(per) - per
             ends = np.cumsum(counts)
             at = 0
@@ -155,15 +184,39 @@ def prepare(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, LM_ROWS)
     rows = written(rows, "lm-rows")
-    texts = rows.filter("number is null").select("chunk", "doc_id", "held_out", "numbers", "ids")
-    return texts, rows.filter("number is not null").select("chunk", "number", "word", "k")
+    texts = rows.filter("part is null").select("chunk", "doc_id", "held_out", "numbers", "ids")
+    return texts, rows.filter("part is not null").select("chunk", "part", "numbers", "words", "lengths", "k")
+
+
+def corpus_counts(words: DataFrame, tasks: int) -> DataFrame:
+    """chunk, numbers, c (counts of these words in all training texts), fresh (how many occur there and were not met in another row); in the shared folder.
 
+    The rows of a part meet in one of `tasks` tasks, which gives one row for a chunk.
+    """
 
-def corpus_counts(words: DataFrame) -> DataFrame:
-    """chunk, number, c (the word's count in all training texts), first (true in one row of each word); in the shared folder."""
-    alike = Window.partitionBy("word")
-    counted = words.select("chunk", "number", F.sum("k").over(alike).alias("c"), (F.min("chunk").over(alike) == F.col("chunk")).alias("first"))
-    return written(counted, "lm-counts")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(len(b) for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        rows = rows.cast(pa.schema([f.with_type(pa.large_binary()) if f.type == pa.binary() else f for f in rows.schema])).combine_chunks().to_batches()[0]
+        (numbers, sizes), (lengths, _), (k, _) = (_numbers(rows.column(name), kind) for name, kind in (("numbers", "<i4"), ("lengths", "<i4"), ("k", "<i8")))
+        # Words are numbered as they come: one is met first where the numbers rise.
+        which = _binary(_laid(rows.column("words"))[0], lengths.astype(np.int64)).dictionary_encode().indices.to_numpy()
+        first = np.diff(np.maximum.accumulate(which), prepend=-1) > 0
+        total = np.zeros(int(which.max()) + 1, dtype=np.int64)
+        np.add.at(total, which, k)
+        chunk = np.repeat(rows.column("chunk").to_numpy(), sizes)
+        order = np.argsort(chunk, kind="stable")
+        c, found, numbers = total.take(which), chunk.take(order), numbers.take(order)
+        cuts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+        fresh = np.add.reduceat((first & (c > 0)).take(order), cuts, dtype=np.int64)
+        sizes = np.diff(np.r_[cuts, len(found)])
+        columns = [pa.array(found.take(cuts)), _binary(numbers, sizes).cast(pa.binary()), _binary(c.take(order).astype("<i8"), sizes).cast(pa.binary()), pa.array(fresh)]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "numbers", "c", "fresh"])
+
+    packed = words.repartition(tasks, "part").mapInArrow(run, "chunk long, numbers binary, c binary, fresh long")
+    return written(packed, "lm-counts")
 
 
 def _met(df: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, last: int = 4) -> list:
@@ -315,11 +368,13 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Scores of every row of documents."""
     path = path or vocabulary_path()
     texts, words = prepare(docs, path)
-    counted = corpus_counts(words)
+    # Twice as many partitions as chunks, which are alike: few chunks meet in one task, at every size.
+    number = max(1, 2 * texts.select("chunk").distinct().count())
+    counted = corpus_counts(words, number)
     # The row of a training text's end is no word's: ends are counted apart.
     sizes = texts.filter(~F.col("held_out")).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("numbers")), F.lit(0))).first()
     ends = sizes[0]
-    n, v = sizes[1] // 4 + ends, counted.filter("first and c > 0").count() + (1 if ends else 0)
+    n, v = sizes[1] // 4 + ends, (counted.agg(F.sum("fresh")).first()[0] or 0) + (1 if ends else 0)
     fitted = fit(texts, path)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +387,13 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
     floor = math.log10(n + v + 1)
 
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        corpus = np.empty(len(right) + 1)
-        corpus[right.column("number").to_numpy()] = right.column("c").to_numpy()
-        corpus[-1] = ends
+        corpus = np.full(1, float(ends))
+        if len(right):  # none where all texts of a chunk are empty
+            own, c = (_numbers(right.column(name).combine_chunks(), kind)[0] for name, kind in (("numbers", "<i4"), ("c", "<i8")))
+            corpus = np.full(len(own) + 1, float(ends))
+            corpus[own] = c
         numbers, counts = _numbers(left.column("numbers").combine_chunks(), "<i4")
-        at, counts = with_ends(numbers, counts, len(right))
+        at, counts = with_ends(numbers, counts, len(corpus) - 1)
         starts = np.cumsum(counts) - counts
         known = np.add.reduceat(corpus.take(at) > 0, starts, dtype=np.int64)
         logs = np.add.reduceat((np.log10(corpus + 1) - floor).take(at), starts)
@@ -345,9 +402,7 @@ def score_texts(docs: DataFrame, path: str | None = None) -> DataFrame:
             "train_tokens": pa.array(np.full(len(left), n)), "base_score": pa.array(logs), "score": left.column("score"),
         })
 
-    # Twice as many partitions as chunks, which are alike: few chunks meet in one task, at every size.
-    number = max(1, 2 * texts.select("chunk").distinct().count())
-    left, right = (df.repartition(number, "chunk").groupBy("chunk") for df in (scored, counted.select("chunk", "number", "c")))
+    left, right = (df.repartition(number, "chunk").groupBy("chunk") for df in (scored, counted.select("chunk", "numbers", "c")))
     return left.cogroup(right).applyInArrow(base, SCORES)
 
 

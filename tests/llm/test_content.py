@@ -257,6 +257,30 @@ def test_lm_base_and_order(docs_of, hard):
     assert lm_scoring.score_texts(hard.limit(0)).count() == 0
 
 
+def test_lm_words_travel_packed(spark, monkeypatch):
+    """Words are shuffled in rows by chunk and part, not in a row each, and each word gets its count of all chunks."""
+    monkeypatch.setattr(lm_scoring, "PARTS", 3)
+    texts = [" ".join(f"w{i % 7}x{j % (5 + i)}é" for j in range(40)) for i in range(60)] + [None, "", "same " * 9, "word" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows, words = lm_scoring.prepare(docs, lm_scoring.vocabulary_path())
+    chunks = rows.select("chunk").distinct().count()
+    assert words.count() <= 3 * chunks
+    training = [w for r in rows.join(docs, "doc_id").filter("not held_out").collect() for w in (r["text"] or "").split()]
+    expected, found, own, fresh = Counter(training), {}, {}, 0
+    for r in words.collect():
+        at = 0
+        for number, n in zip(np.frombuffer(r["numbers"], "<i4"), np.frombuffer(r["lengths"], "<i4"), strict=True):
+            own[r["chunk"], number] = r["words"][at : at + n].decode()
+            at += n
+        assert at == len(r["words"])
+    for r in lm_scoring.corpus_counts(words, 5).collect():
+        fresh += r["fresh"]
+        for number, c in zip(np.frombuffer(r["numbers"], "<i4"), np.frombuffer(r["c"], "<i8"), strict=True):
+            found[r["chunk"], number] = c
+    assert set(found) == set(own) and all(c == expected[own[x]] for x, c in found.items())
+    assert fresh == len(expected)
+
+
 def test_lm_trains_on_the_end_of_a_sorted_table(spark):
     """A class that comes only after 40,000 windows of the one partition has its weights trained."""
     docs = spark.createDataFrame([(i, "a " * 4800 if i < 600 else "zz " * 480) for i in range(620)], "doc_id long, text string").coalesce(1)
