@@ -155,6 +155,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fixed(value: Column) -> Column:
+    """`value` as a column that the planner never puts in place of its name: one element of an array that is unnested.
+
+    A filter or join key over a column is otherwise rewritten down to the columns that it is made of, and where each step reads the one before several times
+    that expression grows as a power of the steps, until it fills the driver. Filters on other columns still pass.
+    """
+    return F.explode(F.array(value))
+
+
 def _protect(label: str) -> Callable[[Column, Column], Column]:
     """Step that swaps one match for a token and keeps its value."""
 
@@ -238,7 +247,7 @@ def with_fingerprint(df: DataFrame, name: str, message: str) -> DataFrame:
     rows = rows.withColumn(work, F.trim(work))
     rows = rows.withColumn(work, F.when(F.col(code).isNull(), F.col(work)).otherwise(F.replace(F.col(work), token, F.col(code))))
     rows = rows.withColumn(work, F.when(F.col(words) <= 1, F.col(work)).otherwise(_shape_of_many(F.col(lowered), VOLATILE)))
-    return rows.select(*[quoted(c) for c in df.columns], _cut(F.col(work)).alias(name))
+    return rows.select(*[quoted(c) for c in df.columns], fixed(_cut(F.col(work))).alias(name))
 
 
 def with_rewritten(df: DataFrame, name: str, rules: list[tuple[str, str]]) -> DataFrame:
@@ -251,7 +260,7 @@ def with_rewritten(df: DataFrame, name: str, rules: list[tuple[str, str]]) -> Da
         known = literals(pattern, 1)
         replaced = F.regexp_replace(text, pattern, instead)
         df = df.withColumn(name, F.when(_has_any(F.lower(text), known), replaced).otherwise(text) if known else replaced)
-    return df
+    return df.withColumn(name, fixed(text))
 
 
 def redact_message(message: Column) -> Column:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize, text
-from emberline.operators import counters, sampling
+from emberline.operators import counters, incidents, sampling
 from emberline.plans import catalogue, source_queries
 from emberline.sources import split_logs
 from emberline.storage import shared_dir
@@ -92,3 +92,21 @@ def test_representative_sample_ranks_few_records(spark):
     room = 60 - (20_000 - len(rest))
     assert len(got) == 60 and {0, 7, 19_999} <= set(got)
     assert {rest[round(i * (len(rest) - 1) / (room - 1))] for i in range(room)} <= set(got)
+
+
+def test_steps_are_not_put_into_filters_and_keys(spark, monkeypatch):
+    """Filters and join keys over a text that was rewritten in steps take its name, not its steps: those would grow as a power of their number. Four steps show it."""
+    monkeypatch.setattr(text, "VOLATILE", [r for r in text.VOLATILE if "id" in r[1] or "time" in r[1]][:4])
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    rows = spark.range(20).select("id", F.concat(F.lit("seen trace_id=a"), "id").alias("m"))
+    signed = text.with_fingerprint(rows.withColumn("part", F.col("id") % 2), "s", "m")
+    rewritten = sanitize.with_rewritten(rows, "m", sanitize.HADOOP[:4])
+    for found, name in ((signed, "s"), (rewritten, "m")):
+        assert size(found.filter(F.contains(F.lower(name), F.lit("trace")))) < size(found) + 2000
+        parts = [found.filter(F.col("id") % 2 == i).groupBy(F.concat(F.lit("a"), name).alias("key")).agg(F.count(F.lit(1)).alias("score")) for i in (0, 1)]
+        joined = incidents.candidate_changes(*parts, "key")
+        assert size(joined) < 2 * size(found) + 4000
+        assert "Filter" in signed.filter("part = 1")._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[1]  # other filters pass
+    assert signed.filter(F.col("s") == "seen trace_id=?").count() == 20
+    changes = incidents.candidate_changes(*[signed.filter(F.col("part") == i).groupBy("s").agg(F.count(F.lit(1)).alias("score")) for i in (0, 1)], "s")
+    assert [tuple(r) for r in changes.collect()] == [("seen trace_id=?", 10, 10, "unchanged")]
