@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize, text
-from emberline.operators import counters, incidents, sampling
+from emberline.operators import counters, grouping, incidents, sampling
 from emberline.plans import catalogue, source_queries
 from emberline.sources import split_logs
 from emberline.storage import shared_dir
@@ -110,3 +110,18 @@ def test_steps_are_not_put_into_filters_and_keys(spark, monkeypatch):
     assert signed.filter(F.col("s") == "seen trace_id=?").count() == 20
     changes = incidents.candidate_changes(*[signed.filter(F.col("part") == i).groupBy("s").agg(F.count(F.lit(1)).alias("score")) for i in (0, 1)], "s")
     assert [tuple(r) for r in changes.collect()] == [("seen trace_id=?", 10, 10, "unchanged")]
+
+
+def test_dependencies_are_sought_in_names_of_signatures(spark, monkeypatch):
+    """The filter on signatures goes below the groups, but not below the steps of the fingerprint."""
+    monkeypatch.setattr(text, "VOLATILE", [r for r in text.VOLATILE if "id" in r[1] or "time" in r[1]][:4])
+    said = [("a", "upstream gone trace_id=1"), ("a", "upstream gone trace_id=2"), ("b", "Dependency down"), ("b", "dependency DOWN"), ("c", "fine"), ("c", "fine"), ("c", "fine")]
+    rows = spark.createDataFrame([(i, s, m) for i, (s, m) in enumerate(said)], "ordinal long, service string, message string").selectExpr(
+        "*", "timestamp_seconds(ordinal) AS ts", "'error' AS level", "CAST(NULL AS STRING) AS error_type", "'e' AS event_name", "'500' AS status_code", "'p' AS pod", "'h' AS host")
+    groups = grouping.label_groups(rows)
+    found = incidents.dependency_candidates(groups)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2 * len(groups._jdf.queryExecution().optimizedPlan().toString())
+    assert plan.index("Filter") < plan.index("Generate explode")
+    first = groups.filter("service = 'a'").first()  # two of each: the one that came first
+    assert [tuple(r) for r in found.collect()] == [("1970-01-01", first["event_id"], f"candidate-dependency-{first['event_id']}", "dependency_failure", 42)]
