@@ -62,6 +62,11 @@ def timeline(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -
     return g.unionByName(d)
 
 
+def kept_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline, written once for queries that join its events with their anchors."""
+    return written(timeline(spark, sf_dir), "timeline")
+
+
 _TIMELINE = """timeline AS (SELECT incident, event_id, 'log_group' AS kind, service, level, first_seen AS happened, ordinal FROM grouped
   UNION ALL SELECT strftime(deployed_at, '%Y-%m-%d'), 'dep-' || deploy_id, 'deploy', service, NULL, deployed_at, deploy_id FROM deploys),
   anchors AS (SELECT incident, event_id AS anchor_id, service AS anchor_service, happened AS anchor_at FROM timeline
@@ -78,7 +83,7 @@ def q_temporal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = timeline(spark, sf_dir)
+    events = kept_timeline(spark, sf_dir)
     links = events.join(correlation.pick_anchor(events), "incident").filter("event_id <> anchor_id AND service = anchor_service")
     return links.groupBy("incident", "anchor_service").agg(F.count(F.lit(1)).alias("links"))
 

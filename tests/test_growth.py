@@ -125,3 +125,8 @@ def test_dependencies_are_sought_in_names_of_signatures(spark, monkeypatch):
     assert plan.index("Filter") < plan.index("Generate explode")
     first = groups.filter("service = 'a'").first()  # two of each: the one that came first
     assert [tuple(r) for r in found.collect()] == [("1970-01-01", first["event_id"], f"candidate-dependency-{first['event_id']}", "dependency_failure", 42)]
+
+
+@pytest.mark.parametrize("name", ["entity_links"])
+def test_links_read_a_written_timeline(spark, sf, name):
+    assert scans(catalogue.queries()[name](spark, sf)) == 0
