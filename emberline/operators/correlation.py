@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.storage import join_spread
+
 DEPLOY_WINDOW_MINUTES = 15
 
 
@@ -64,9 +66,14 @@ def pick_anchor(events: DataFrame) -> DataFrame:
     return best.select("incident", F.col("anchor.event_id").alias("anchor_id"), F.col("anchor.service").alias("anchor_service"), F.col("anchor.at").alias("anchor_at"))
 
 
+def with_anchors(events: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Events beside the anchor of their incident, without the anchor itself; one incident's events are dealt to many tasks."""
+    return join_spread(events, anchors, "incident", "event_id").filter("event_id <> anchor_id")
+
+
 def temporal_links(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """Every other event of an incident against its anchor: precedes, follows, coincides or unknown, with confidence and offset."""
-    joined = events.join(anchors, "incident").filter("event_id <> anchor_id")
+    joined = with_anchors(events, anchors)
     relation = (
         F.when(F.col("at").isNull() | F.col("anchor_at").isNull(), "temporal_relation_unknown")
         .when(F.col("at") < F.col("anchor_at"), "precedes_anchor").when(F.col("at") > F.col("anchor_at"), "follows_anchor").otherwise("coincides_with_anchor")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import sanitize, text
-from emberline.operators import counters, grouping, incidents, sampling
+from emberline.operators import correlation, counters, grouping, incidents, sampling
 from emberline.plans import catalogue, source_queries
 from emberline.sources import split_logs
 from emberline.storage import shared_dir
@@ -127,6 +127,23 @@ def test_dependencies_are_sought_in_names_of_signatures(spark, monkeypatch):
     assert [tuple(r) for r in found.collect()] == [("1970-01-01", first["event_id"], f"candidate-dependency-{first['event_id']}", "dependency_failure", 42)]
 
 
-@pytest.mark.parametrize("name", ["entity_links"])
+@pytest.mark.parametrize("name", ["entity_links", "temporal_links"])
 def test_links_read_a_written_timeline(spark, sf, name):
     assert scans(catalogue.queries()[name](spark, sf)) == 0
+
+
+def test_events_of_one_incident_meet_their_anchor_in_many_tasks(spark):
+    events = spark.range(2000).selectExpr("IF(id < 1990, 'day', IF(id = 1999, NULL, 'other')) AS incident", "concat('e', id) AS event_id", "'s' AS service", "timestamp_seconds(id) AS at")
+    anchors = spark.createDataFrame([("day", "e7", "s", 7), ("other", "e1990", "s", 1990)], "incident string, anchor_id string, anchor_service string, t long").selectExpr("* EXCEPT (t)", "timestamp_seconds(t) AS anchor_at")
+    asked = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        found = correlation.temporal_links(events, anchors).select("incident", "event_id", "relationship", "offset", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r["task"] for r in found if r["incident"] == "day"}) > 1
+    assert len(found) == 1989 + 8 and {r["event_id"] for r in found} == {f"e{i}" for i in range(1999)} - {"e7", "e1990"}
+    assert {tuple(r)[1:4] for r in found if r["event_id"] in ("e6", "e70", "e1991")} == {("e6", "precedes_anchor", "T-0m01s"), ("e70", "follows_anchor", "T+1m03s"), ("e1991", "follows_anchor", "T+0m01s")}
