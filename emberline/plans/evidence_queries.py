@@ -84,7 +84,7 @@ def q_temporal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = kept_timeline(spark, sf_dir)
-    links = events.join(correlation.pick_anchor(events), "incident").filter("event_id <> anchor_id AND service = anchor_service")
+    links = correlation.with_anchors(events, correlation.pick_anchor(events)).filter("service = anchor_service")
     return links.groupBy("incident", "anchor_service").agg(F.count(F.lit(1)).alias("links"))
 
 
